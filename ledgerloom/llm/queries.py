@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, simhash
+from . import exact_dedup, mixing, packing, quality, simhash
 from .common import table
 
 
@@ -50,5 +50,13 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, words=4)
 
 
-QUERIES = {"op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
