@@ -8,10 +8,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash
+from . import exact_dedup, mixing, packing, quality, simhash, suffix_dedup
 from .common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal target weight for every source, as many rows as the input has; whole rows come out."""
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -58,5 +62,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
