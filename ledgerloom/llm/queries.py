@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, packing, quality, simhash, suffix_dedup
+from . import exact_dedup, html_main, mixing, packing, quality, simhash, suffix_dedup, warc
 from .common import table
 
 
@@ -50,6 +50,25 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op4_html_main(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.main_text(table(spark, sf_dir, "pages"))
+
+
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"), least=100)
+
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+FROM f
+"""
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, words=4)
 
@@ -62,5 +81,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
-ORACLE = {"op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+QUERIES = {"op4_html_main": op4_html_main, "op9_warc": op9_warc, "op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
+ORACLE = {"op9_warc": OP9_SQL, "op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
