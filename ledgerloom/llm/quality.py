@@ -124,14 +124,17 @@ def fit(labelled: DataFrame, width: int = WIDTH, gamma: float = GAMMA, ridge: fl
     return kernel, weights, at, p
 
 
-def isotonic(bins: list[tuple[float, float, float]]) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over (bin, rows, positives); gives blocks' mean raw scores and rates."""
+def isotonic(bins: list[tuple[float, float, float]], raw: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators over (bin, rows, positives); gives blocks' mean raw scores and smoothed rates,
+    or, with ``raw``, their mean bins and rates as they are."""
     blocks: list[list[float]] = []  # weight, positives, weighted bin
     for b, n, y in bins:
         blocks.append([n, y, n * b])
         while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] >= blocks[-1][1] / blocks[-1][0]:
             last = blocks.pop()
             blocks[-1] = [u + v for u, v in zip(blocks[-1], last)]
+    if raw:
+        return np.array([x / n for n, _, x in blocks]), np.array([y / n for n, y, _ in blocks])
     at = np.array([(x / n + 0.5) / (BINS - 1) * 3 - 1 for n, _, x in blocks])
     return at, np.array([(y + 0.5) / (n + 1) for n, y, _ in blocks])
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, mixing, packing, quality, simhash, suffix_dedup, warc
+from . import exact_dedup, html_main, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -73,6 +73,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), distance=4, words=4)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -81,5 +85,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_html_main": op4_html_main, "op9_warc": op9_warc, "op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op6_toxicity": op6_toxicity, "op4_html_main": op4_html_main, "op9_warc": op9_warc, "op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op9_warc": OP9_SQL, "op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
