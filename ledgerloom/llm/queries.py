@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, html_main, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
+from . import ann, exact_dedup, html_main, mixing, packing, quality, simhash, suffix_dedup, toxicity, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
 
 
+def op2_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(table(spark, sf_dir, "embeddings"), every=20, k=20)
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equal target weight for every source, as many rows as the input has; whole rows come out."""
     mixed = mixing.poisson_mix(table(spark, sf_dir, "documents"))
@@ -85,5 +89,5 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op6_toxicity": op6_toxicity, "op4_html_main": op4_html_main, "op9_warc": op9_warc, "op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
+QUERIES = {"op2_permutation_index": op2_permutation_index, "op6_toxicity": op6_toxicity, "op4_html_main": op4_html_main, "op9_warc": op9_warc, "op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash}
 ORACLE = {"op9_warc": OP9_SQL, "op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
