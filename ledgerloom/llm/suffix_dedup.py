@@ -20,7 +20,7 @@ anchor.  An anchor speaks for the run of strings that elected it.
 4. Repeated starts meet their document again, which is cut.
 
 A string that a third of all documents share is settled within chunks first, and then sends one row for
-each chunk.  Equality in step 2 rests on 80 bits of two hashes; that in step 3 on the bytes.
+each chunk.  Equality in step 2 rests on 96 bits of hashes; that in step 3 on the bytes.
 
 Defined results: null text counts as empty; texts shorter than ``length`` stay whole; rows that repeat an
 id are judged as one document (they never remove each other) and give one row each; a null id counts as
@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-BASE, CHUNK, LAST = 0x9E3779B97F4A7C15, 2_000_000, (1 << 63) - 1
+BASE, CHUNK, SUFFIXES, LAST = 0x9E3779B97F4A7C15, 1_500_000, 300_000, (1 << 63) - 1
 U64 = np.uint64
 
 
@@ -74,7 +74,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
     """Anchors of all strings inside documents: (hash function, anchor, first start, last start, anchor hash)."""
     hashes = Hashes(raw)
-    n = len(raw) - gram + 1
+    n = max(0, len(raw) - gram + 1)
     at = np.arange(n, dtype=np.int64)
     grams = _mix(hashes(at, gram))
     key = (grams & ~U64((1 << 24) - 1)) | at.astype(U64)
@@ -94,43 +94,51 @@ def _runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     new = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1)) if len(s) else np.zeros(0, dtype=np.int64)
     a, lo = anchor[new], s[new]
     hi = s[np.concatenate((new[1:], [len(s)])) - 1] if len(s) else lo
-    return hashes, a, lo, hi, grams[a] >> U64(16)
+    return hashes, a, lo, hi, grams[a] >> U64(24)
 
 
-REC = np.dtype([("h", "<u8"), ("c", "<u4"), ("l", "<u2"), ("r", "<u2"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
+REC = np.dtype([("h", "<u8"), ("k", "<u8"), ("c", "<u2"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
 
 
-def _pack_records(h, c, left16, right16, doc, table, a, left, span) -> bytes:
-    """Columns one after the other; 48 bits of the anchor's hash (the rest is 0)."""
-    n = len(h)
-    six = h.astype("<u8").view(np.uint8).reshape(n, 8)[:, :6]
+def _five(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5])
+
+
+def _pack_records(h, k, c, doc, table, a, left, span) -> bytes:
+    """Columns one after the other; 40 bits of h and k."""
     own, index = np.unique(doc, return_inverse=True)
-    cols = (six, c.astype("<u4"), left16.astype("<u2"), right16.astype("<u2"), index.astype("<u2"), a.astype("<u4"), left.astype("u1"), span.astype("u1"))
-    return np.array([n, len(own)], dtype="<i8").tobytes() + table[own].astype("<i8").tobytes() + b"".join(np.ascontiguousarray(x).tobytes() for x in cols)
+    cols = (_five(h), _five(k), c.astype("<u2"), index.astype("<u2"), a.astype("<u4"), left.astype("u1"), span.astype("u1"))
+    return np.array([len(h), len(own)], dtype="<i8").tobytes() + table[own].astype("<i8").tobytes() + b"".join(x.tobytes() for x in cols)
 
 
 def _read_records(blob: bytes) -> np.ndarray:
     n, d = np.frombuffer(blob, "<i8", 2)
     table = np.frombuffer(blob, "<i8", 2 * d, 16).reshape(d, 2)
     out, at = np.zeros(n, dtype=REC), 16 + 16 * d
-    six = np.zeros((n, 8), dtype=np.uint8)
-    six[:, :6] = np.frombuffer(blob, np.uint8, 6 * n, at).reshape(n, 6)
-    out["h"], at = six.view("<u8").ravel(), at + 6 * n
-    for k, kind in (("c", "<u4"), ("l", "<u2"), ("r", "<u2"), ("i", "<u2"), ("a", "<u4"), ("left", "u1"), ("span", "u1")):
+    for name in ("h", "k"):
+        wide = np.zeros((n, 8), dtype=np.uint8)
+        wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
+        out[name], at = wide.view("<u8").ravel(), at + 5 * n
+    for name, kind in (("c", "<u2"), ("i", "<u2"), ("a", "<u4"), ("left", "u1"), ("span", "u1")):
         col = np.frombuffer(blob, kind, n, at)
         at += col.nbytes
-        if k == "i":
+        if name == "i":
             out["doc"], out["key"] = table[col, 0], table[col, 1]
         else:
-            out[k] = col
+            out[name] = col
     return out
 
 
+def _sides(missing: int) -> list[tuple[int, int]]:
+    """(bytes before, bytes after an anchor): a common string holds the anchor and ``missing`` more bytes, so
+    it agrees on one of these four."""
+    p1, p2, p3 = (-(-missing * i // 4) for i in (1, 2, 3))
+    return [(0, missing - p1 + 1), (p1, missing - p2 + 1), (p2, missing - p3 + 1), (p3, 0)]
+
+
 def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, gram: int, buckets: int):
     """Yields (bucket, doc, key, repeated starts, records) of one chunk of documents (fewer than 65,536)."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    if len(raw) < length:
-        return
     ends = np.cumsum([len(t) for t in texts])
     hashes, a, lo, hi, h = _runs(raw, ends, length, gram)
     if not len(a):
@@ -140,15 +148,16 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, g
     left, span = a - lo, hi - lo
     size = hi + length - lo
     content = _mix(hashes(lo, size) + size.astype(U64) * U64(0x2545F4914F6CDD1D) + left.astype(U64))
-    half = (length - gram + 1) // 2
-    l16 = np.where(left >= half, _mix(hashes(np.maximum(a - half, 0), half)) >> U64(48), U64(0)).astype(np.uint16)
-    right_ok = hi + length - a - gram >= half
-    r16 = np.where(right_ok, _mix(hashes(np.minimum(a + gram, len(raw) - half), half)) >> U64(48), U64(0)).astype(np.uint16)
+    after = hi + length - a - gram
+    k = np.zeros(len(a), dtype=U64)
+    for i, (x, y) in enumerate(_sides(length - gram)):  # ten bits for each side, 0 where the run is too short for it
+        v = _mix(hashes(np.maximum(a - x, 0), np.minimum(gram + x + y, len(raw) - np.maximum(a - x, 0)))) % U64(1023) + U64(1)
+        k |= np.where((left >= x) & (after >= y), v, U64(0)) << U64(10 * i)
     rank = ids[doc]
-    order = np.lexsort((rank, content))
+    order = np.argsort(content, kind="stable")
     cls = content[order]
-    new = np.concatenate(([True], cls[1:] != cls[:-1]))
-    least = rank[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+    new = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
+    least = np.repeat(np.minimum.reduceat(rank[order], new), np.diff(np.concatenate((new, [len(cls)]))))
     later = np.zeros(len(a), dtype=bool)
     later[order] = rank[order] > least
     if later.any():
@@ -165,7 +174,7 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, g
     for g in np.split(np.arange(len(i)), np.flatnonzero(np.diff(where)) + 1):
         if len(g):
             j = i[g]
-            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], content[j] >> U64(32), l16[j], r16[j], doc[j], table, a[j] - begin[j], left[j], span[j])
+            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], k[j], content[j] >> U64(48), doc[j], table, a[j] - begin[j], left[j], span[j])
 
 
 def _starts(lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -184,50 +193,62 @@ def _emit(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.RecordB
 
 
 FOUND, FOUND_NAMES, FOUND_KINDS = "bucket int, doc long, key long, starts binary, recs binary", ("bucket", "doc", "key", "starts", "recs"), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-ASK = np.dtype([("h", "<u8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
+ASK = np.dtype([("h", "<u8"), ("a", "<u4"), ("left", "u1"), ("span", "u1"), ("sides", "u1")])
 
 
 def _bucket(blobs: list[bytes]) -> Iterator[tuple]:
-    """(bucket, doc, key, repeated starts, runs to look at) of one bucket's records."""
+    """(doc, key, repeated starts, runs to look at) of one bucket's records."""
     t = np.concatenate([_read_records(b) for b in blobs])
-    t = t[np.lexsort((t["a"], t["doc"], t["c"], t["h"]))]
-    h, c, doc = t["h"], t["c"], t["doc"]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])))
-    cls = np.cumsum(new) - 1
+    low = (t["k"] & U64((1 << 16) - 1)) << U64(16) | t["c"]
+    order = np.lexsort((low, t["h"] << U64(24) | t["k"] >> U64(16)))
+    t, low = t[order], low[order]
+    h, k, doc = t["h"], t["k"], t["doc"]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (low[1:] != low[:-1])))
     heads = np.flatnonzero(new)
-    later = doc > doc[heads][cls]
-    # contents whose anchor has another content that agrees on one side
-    look = np.zeros(len(heads), dtype=bool)
-    for side in ("l", "r"):
-        v = t[side][heads]
-        order = np.lexsort((v, h[heads]))
-        same = (h[heads][order][1:] == h[heads][order][:-1]) & (v[order][1:] == v[order][:-1])
-        look[order[1:][same]] = True
-        look[order[:-1][same]] = True
-    ask = look[cls] & ~later
+    cls = np.cumsum(new) - 1
+    later = doc > np.minimum.reduceat(doc, heads)[cls]
+    # contents whose anchor has another content that agrees on one side of it
+    hh, look = h[heads], np.zeros(len(heads), dtype=np.uint8)
+    pair = hh[1:] == hh[:-1]
+    many = np.flatnonzero(np.concatenate((pair, [False])) | np.concatenate(([False], pair)))
+    for i in range(4):
+        v = k[heads[many]] >> U64(10 * i) & U64(1023)
+        some = many[v > 0]
+        key = hh[some] << U64(10) | v[v > 0]
+        o = np.argsort(key)
+        same = key[o][1:] == key[o][:-1]
+        look[some[o[1:][same]]] |= 1 << i
+        look[some[o[:-1][same]]] |= 1 << i
+    sides = look[cls]
+    ask = (sides > 0) & ~later
     pick = np.flatnonzero(later | ask)
     pick = pick[np.lexsort((t["a"][pick], t["key"][pick], doc[pick]))]
     who = np.flatnonzero((np.diff(doc[pick]) != 0) | (np.diff(t["key"][pick]) != 0)) + 1
+    start = t["a"].astype(np.int64) - t["left"]
     for g in np.split(pick, who):
         if len(g):
-            r, q = t[g[later[g]]], t[g[ask[g]]]
-            lo = r["a"].astype(np.int64) - r["left"]
-            wanted = np.zeros(len(q), dtype=ASK)
-            for k in ASK.names:
-                wanted[k] = q[k]
-            yield int(doc[g[0]]), int(t["key"][g[0]]), _starts(lo, lo + r["span"]), wanted.tobytes()
+            r, i = g[later[g]], g[ask[g]]
+            wanted = np.zeros(len(i), dtype=ASK)
+            for name in ("h", "a", "left", "span"):
+                wanted[name] = t[name][i]
+            wanted["sides"] = sides[i]
+            yield int(doc[g[0]]), int(t["key"][g[0]]), _starts(start[r], start[r] + t["span"][r]), wanted.tobytes()
 
 
 # -- suffix sort ----------------------------------------------------------------------------------
 
 def common_extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, at most ``most``: binary search on hashes."""
-    lo, hi = np.zeros(len(a), dtype=np.int64), np.full(len(a), most, dtype=np.int64)
+    out = np.full(len(a), most, dtype=np.int64)
+    part = np.flatnonzero(hashes(a, most) != hashes(b, most))
+    a, b = a[part], b[part]
+    lo, hi = np.zeros(len(a), dtype=np.int64), np.full(len(a), most - 1, dtype=np.int64)
     while (lo < hi).any():
         mid = (lo + hi + 1) // 2
         same = hashes(a, mid) == hashes(b, mid)
         lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    return lo
+    out[part] = lo
+    return out
 
 
 def sort_suffixes(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
@@ -267,8 +288,8 @@ def sort_suffixes(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np
     return order
 
 
-def _fine(blobs: list[bytes], length: int) -> Iterator[tuple]:
-    """(doc, key, repeated starts) among the runs whose bytes were asked for."""
+def _fine(blobs: list[bytes], length: int, gram: int) -> Iterator[tuple]:
+    """(doc, key, repeated starts) among the runs whose bytes were asked for; whole anchors at a time."""
     meta, text = [], []
     for b in blobs:
         n = int(np.frombuffer(b, "<i8", 1)[0])
@@ -277,18 +298,39 @@ def _fine(blobs: list[bytes], length: int) -> Iterator[tuple]:
     m = np.concatenate(meta)
     raw = np.frombuffer(b"".join(text), dtype=np.uint8)
     base = np.concatenate(([0], np.cumsum(m["span"].astype(np.int64) + length)[:-1]))
+    order = np.argsort(m["h"], kind="stable")
+    m, base = m[order], base[order]
+    ends = np.concatenate((np.flatnonzero(np.diff(m["h"])) + 1, [len(m)]))
+    total = np.cumsum(m["span"].astype(np.int64) + 1)[ends - 1]
+    at = 0
+    while at < len(m):
+        done = total[np.searchsorted(ends, at, side="right") - 1] if at else 0
+        last = max(np.searchsorted(total, done + SUFFIXES, side="right") - 1, np.searchsorted(ends, at, side="right"))
+        part = slice(at, ends[last])
+        size = m["span"][part].astype(np.int64) + length
+        own = np.concatenate([raw[x:x + n] for x, n in zip(base[part].tolist(), size.tolist())])
+        yield from _repeats(m[part], np.concatenate(([0], np.cumsum(size)[:-1])), own, length, gram)
+        at = ends[last]
+
+
+def _repeats(m: np.ndarray, base: np.ndarray, raw: np.ndarray, length: int, gram: int) -> Iterator[tuple]:
     count = m["span"].astype(np.int64) + 1
     which = np.repeat(np.arange(len(m)), count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     starts = base[which] + inner
     offset = m["left"][which].astype(np.int64) - inner  # from the string's start to its anchor
-    _, anchor = np.unique(m["h"], return_inverse=True)
-    _, group = np.unique(anchor[which] * 512 + offset, return_inverse=True)
-    many = np.bincount(group)[group] > 1
-    which, inner, starts, group = which[many], inner[many], starts[many], group[many]
-    if not len(which):
+    anchor = np.cumsum(np.concatenate(([0], np.diff(m["h"]) != 0)))
+    # a group: strings of one anchor at one offset, which can only equal each other
+    group = anchor[which] * 512 + offset
+    # a string with so many bytes before its anchor can only be shared on that side
+    side = np.searchsorted([x for x, _ in _sides(length - gram)[1:]], offset, side="right").astype(np.uint8)
+    may = m["sides"][which] >> side & 1 > 0
+    held = np.bincount(group[may], minlength=group.max() + 1)
+    keep = np.flatnonzero(may & (held[group] > 1))
+    if not len(keep):
         return
-    _, group = np.unique(group, return_inverse=True)
+    which, inner, starts, group = which[keep], inner[keep], starts[keep], group[keep]
+    group = (np.cumsum(held > 1) - 1)[group]
     hashes = Hashes(raw)
     order = sort_suffixes(raw, hashes, starts, group, length)
     window = np.lib.stride_tricks.sliding_window_view(raw, length)
@@ -296,13 +338,12 @@ def _fine(blobs: list[bytes], length: int) -> Iterator[tuple]:
     same = group[order[1:]] == group[order[:-1]]
     alike = same & (hashes(a, length) == hashes(b, length))
     at, true = np.flatnonzero(alike), True
-    for i in range(0, len(at), 100_000):  # collision verification
-        j = at[i:i + 100_000]
+    for i in range(0, len(at), 50_000):  # collision verification
+        j = at[i:i + 50_000]
         true &= bool((window[a[j]] == window[b[j]]).all())
     if true:
-        label = np.concatenate(([0], np.cumsum(~alike)))
         cls = np.empty(len(order), dtype=np.int64)
-        cls[order] = label
+        cls[order] = np.concatenate(([0], np.cumsum(~alike)))
     else:
         whole = np.concatenate([group[:, None].astype(">u8").view(np.uint8).reshape(-1, 8), window[starts]], axis=1)
         _, cls = np.unique(np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).ravel(), return_inverse=True)
@@ -319,7 +360,7 @@ def _fine(blobs: list[bytes], length: int) -> Iterator[tuple]:
             yield int(doc[g[0]]), int(key[g[0]]), _starts(s[g], s[g])
 
 
-RUN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
+RUN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1"), ("sides", "u1")])
 
 
 def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[bytes], list[dict]]]:
@@ -393,7 +434,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for blobs, _ in _by_bucket(batches, "runs"):
-            yield _emit(list(_fine(blobs, length)), ("doc", "key", "starts"), (pa.int64(), pa.int64(), pa.binary()))
+            yield _emit(list(_fine(blobs, length, gram)), ("doc", "key", "starts"), (pa.int64(), pa.int64(), pa.binary()))
 
     asks = found.where("length(asks) > 0").groupBy("doc", "key").agg(F.collect_list("asks").alias("asks"))
     fine = (docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "bucket int, runs binary")
@@ -401,7 +442,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     return found.where("length(starts) > 0").select("doc", "key", "starts").union(fine)
 
 
-def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 16, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
     if not 4 <= gram <= length <= 255:
         raise ValueError("4 <= gram <= length <= 255")
