@@ -1,10 +1,11 @@
 """WARC archives with a two-level capture index.
 
 Writing.  Of records with equal payloads of at least ``least`` bytes the smallest page id is a response and
-the others are revisits that refer to it; smaller payloads are always responses.  Records are dealt by
-ranges of their capture key (host name reversed, path, page id) and sorted; each task writes one archive of
-gzip members, one a record, and beside it one index: the sorted keys in blocks of ``block`` lines, each block
-compressed by itself, then a sparse directory (first key, place and size of every block) and its place.
+the others are revisits that refer to it; smaller payloads are always responses.  Each task writes one
+archive of gzip members, one a record.  The records' lines (capture key, archive, place, size) are dealt by ranges
+of the key (host name reversed, path, page id) and sorted; each task writes one index of them: blocks of
+``block`` lines, each compressed by itself, then a sparse directory (first key, place and size of every block)
+and its place.
 Files are written under a name of the attempt and renamed when whole, so that a lost executor's task can
 run again; their contents do not depend on the attempt.
 
@@ -60,7 +61,7 @@ def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: s
     first = (rows.where(F.length("payload") >= least).groupBy("digest")
              .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
     later = F.col("first.page_id") < F.col("page_id")
-    return rows.join(first, "digest", "left").select("page_id", "url", "payload", "digest", F.when(later, F.col("first.page_id")).alias("refers_to"),
+    return rows.join(first.hint("shuffle_hash"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(later, F.col("first.page_id")).alias("refers_to"),
                                                      F.when(later, F.col("first.url")).alias("refers_url"))
 
 
@@ -90,51 +91,66 @@ def parse(record: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
-    """Writes the archives; gives one row a file: file, first_key, records.  records: as ``plan`` gives them."""
+    """Writes archives and index; one row an index file: file, first_key, records.  records: as ``plan`` gives
+    them.  Payloads are written where they are; only index lines are dealt by key ranges and sorted."""
     spark = records.sparkSession
+    names = ["key", "file", "at", "size", "refers_key"]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name, attempt = f"part-{task.partitionId():06d}", f".{task.taskAttemptId()}"
-        out, at, n, first = None, 0, 0, ""
-        lines: list[str] = []
-        blocks: list[tuple[str, bytes]] = []
-
-        def close_block() -> None:
-            if lines:
-                blocks.append((lines[0].partition("\t")[0], zlib.compress("\n".join(lines).encode(), 6)))
-                lines.clear()
-
+        name, attempt = f"part-{task.partitionId():06d}.warc.gz", f".{task.taskAttemptId()}"
+        out, at, lines = None, 0, []
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out, first = fs.open_output_stream(f"{root}/{name}.warc.gz{attempt}"), r["key"]
+                    out = fs.open_output_stream(f"{root}/{name}{attempt}")
                 member = gzip.compress(_record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["refers_url"]), 6, mtime=0)
                 out.write(member)
-                lines.append("\t".join((r["key"], json.dumps([at, len(member), r["refers_to"], r["refers_key"], r["digest"]]))))
-                at, n = at + len(member), n + 1
+                lines.append((r["key"], name, at, len(member), r["refers_key"]))
+                at += len(member)
+        if out is not None:
+            out.close()
+            fs.move(f"{root}/{name}{attempt}", f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names=names)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pafs.FileSystem.from_uri(folder)
+        task = TaskContext.get()
+        name, attempt = f"index-{task.partitionId():06d}.cdx", f".{task.taskAttemptId()}"
+        out, where, n, first, lines, directory = None, 0, 0, "", [], []
+
+        def close_block() -> None:
+            nonlocal where
+            data = zlib.compress("\n".join(lines).encode(), 6)
+            out.write(data)
+            directory.append((lines[0].partition("\t")[0], where, len(data)))
+            where += len(data)
+            lines.clear()
+
+        for b in batches:
+            for r in b.to_pylist():
+                if out is None:
+                    out, first = fs.open_output_stream(f"{root}/{name}{attempt}"), r["key"]
+                lines.append(f"{r['key']}\t{json.dumps([r['file'], r['at'], r['size'], r['refers_key']])}")
+                n += 1
                 if len(lines) == block:
                     close_block()
-        close_block()
         if out is not None:
+            if lines:
+                close_block()
+            tail = zlib.compress(json.dumps(directory).encode(), 6)
+            out.write(tail + where.to_bytes(8, "big") + len(tail).to_bytes(8, "big"))
             out.close()
-            with fs.open_output_stream(f"{root}/{name}.cdx{attempt}") as idx:
-                where, directory = 0, []
-                for key, data in blocks:
-                    idx.write(data)
-                    directory.append((key, where, len(data)))
-                    where += len(data)
-                tail = zlib.compress(json.dumps(directory).encode(), 6)
-                idx.write(tail + where.to_bytes(8, "big") + len(tail).to_bytes(8, "big"))
-            for kind in ("warc.gz", "cdx"):
-                fs.move(f"{root}/{name}.{kind}{attempt}", f"{root}/{name}.{kind}")
+            fs.move(f"{root}/{name}{attempt}", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([n], pa.int64())], names=["file", "first_key", "records"])
 
     keyed = records.withColumn("key", capture_key("url", "page_id")).withColumn("refers_key", F.when(F.col("refers_to").isNotNull(), capture_key("refers_url", "refers_to")))
-    dealt = keyed.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key")
-    return dealt.select("key", "page_id", "url", "payload", "digest", "refers_to", "refers_url", "refers_key").mapInArrow(run, "file string, first_key string, records long")
+    lines = cut(keyed.select("key", "page_id", "url", "payload", "digest", "refers_to", "refers_url", "refers_key")
+                .mapInArrow(archive, "key string, file string, at long, size long, refers_key string"))
+    return lines.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(index, "file string, first_key string, records long")
 
 
 class Reader:
@@ -155,14 +171,11 @@ class Reader:
         return value
 
     def _read(self, file: str, at: int, size: int) -> bytes:
-        def opened():
-            return self.fs.open_input_file(f"{self.root}/{file}")
-        f = self._remember(("open", file), opened)
-        return f.read_at(size, at)
+        return self._remember(("open", file), lambda: self.fs.open_input_file(f"{self.root}/{file}")).read_at(size, at)
 
     def _directory(self, name: str) -> tuple[list[str], list]:
         def make():
-            f = self._remember(("open", f"{name}.cdx"), lambda: self.fs.open_input_file(f"{self.root}/{name}.cdx"))
+            f = self.fs.open_input_file(f"{self.root}/{name}")
             end = f.size()
             tail = f.read_at(16, end - 16)
             where, size = int.from_bytes(tail[:8], "big"), int.from_bytes(tail[8:], "big")
@@ -170,8 +183,8 @@ class Reader:
             return [r[0] for r in rows], rows
         return self._remember(("dir", name), make)
 
-    def find(self, key: str) -> tuple[str, list] | None:
-        """(file, [offset, size, refers_to, refers_key, digest]) of the first capture with that key."""
+    def find(self, key: str) -> list | None:
+        """[file, offset, size, refers_key] of the first capture with that key."""
         i = bisect.bisect_right(self.firsts, key) - 1
         if i < 0:
             return None
@@ -181,16 +194,15 @@ class Reader:
         if j < 0:
             return None
         _, at, size = rows[j]
-        keys, values = self._remember(("block", name, j), lambda: tuple(zip(*(x.split("\t") for x in zlib.decompress(self._read(f"{name}.cdx", at, size)).decode().split("\n")))))
+        keys, values = self._remember(("block", name, j), lambda: tuple(zip(*(x.split("\t") for x in zlib.decompress(self._read(name, at, size)).decode().split("\n")))))
         k = bisect.bisect_left(keys, key)
-        return (name, json.loads(values[k])) if k < len(keys) and keys[k] == key else None
+        return json.loads(values[k]) if k < len(keys) and keys[k] == key else None
 
     def capture(self, key: str) -> tuple[dict[str, str], bytes] | None:
         found = self.find(key)
         if found is None:
             return None
-        name, (at, size, *_) = found
-        return parse(gzip.decompress(self._read(f"{name}.warc.gz", at, size)))
+        return parse(gzip.decompress(self._read(*found[:3])))
 
     def full(self, key: str) -> tuple[int, str] | None:
         """Size and digest of the payload stored for a response."""
@@ -218,7 +230,7 @@ def read(lookups: DataFrame, folder: str, files: list[tuple[str, str]]) -> DataF
                 kind, refers = fields["WARC-Type"], None
                 if kind == "revisit":
                     refers = int(fields["X-Refers-To-Page"])
-                    size, digest = reader.full(reader.find(key)[1][3])
+                    size, digest = reader.full(reader.find(key)[3])
                 else:
                     size, digest = len(payload), hashlib.sha256(payload).hexdigest()
                 if fields["WARC-Payload-Digest"] != f"sha256:{digest}" or int(fields["X-Page"]) != page_id:
