@@ -30,6 +30,7 @@ larger than any other; an empty table gives an empty result; other columns are n
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -382,9 +383,49 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
         yield blobs, []
 
 
+def _bundle(rows: Iterator[tuple[int, int, bytes, bytes]], groups: int) -> Iterator[pa.RecordBatch]:
+    """Packs (doc, key, starts, asks) into one blob for each group of documents, about ``BUNDLE`` bytes at a time:
+    what a bucket says about many documents travels as few rows."""
+    held, size = {}, 0
+
+    def out() -> pa.RecordBatch:
+        return _emit([(g, b"".join(x)) for g, x in held.items()], ("g", "blob"), (pa.int32(), pa.binary()))
+
+    for doc, key, starts, asks in rows:
+        entry = struct.pack(ENTRY, doc, key, len(starts), len(asks)) + starts + asks
+        held.setdefault(key % groups, []).append(entry)
+        size += len(entry)
+        if size > BUNDLE:
+            yield out()
+            held, size = {}, 0
+    yield out()
+
+
+def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row a document of this partition's groups."""
+    docs: dict[tuple[int, int], tuple[list[bytes], list[bytes]]] = {}
+    for b in batches:
+        for blob in b.column(1).to_pylist():
+            at = 0
+            while at < len(blob):
+                doc, key, n, m = struct.unpack_from(ENTRY, blob, at)
+                at += struct.calcsize(ENTRY)
+                x = docs.setdefault((doc, key), ([], []))
+                x[0].append(blob[at:at + n])
+                x[1].append(blob[at + n:at + n + m])
+                at += n + m
+    names, kinds = ("doc", "key", "starts", "asks"), (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    rows = [(d, k, b"".join(x), b"".join(y)) for (d, k), (x, y) in docs.items()]
+    for i in range(0, len(rows), 5000):
+        yield _emit(rows[i:i + 5000], names, kinds)
+
+
+ENTRY, BUNDLE, BY_DOC = "<qqii", 8_000_000, "doc long, key long, starts binary, asks binary"
+
+
 def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc, key, starts: runs of starts (pairs of 64-bit numbers) of strings seen in a smaller id.
-    docs: doc, key, text (binary)."""
+    """doc, key, starts: runs of starts (pairs of 64-bit numbers) of strings seen in a smaller id; at most two
+    rows a document.  docs: doc, key, text (binary)."""
     spark = docs.sparkSession
     buckets = partitions(spark)
 
@@ -409,18 +450,23 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield _emit(done(), FOUND_NAMES, FOUND_KINDS)
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, kinds = ("doc", "key", "starts", "asks"), (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-        for blobs, through in _by_bucket(batches, "recs"):
-            yield _emit([(r["doc"], r["key"], r["starts"], b"") for r in through] or list(_bucket(blobs)), names, kinds)
+        def rows() -> Iterator[tuple]:
+            for blobs, through in _by_bucket(batches, "recs"):
+                yield from ((r["doc"], r["key"], r["starts"], b"") for r in through)
+                if blobs:
+                    yield from _bucket(blobs)
+        yield from _bundle(rows(), buckets)
+
+    def by_doc(bundles: DataFrame) -> DataFrame:
+        return bundles.repartition(buckets, "g").mapInArrow(_unbundle, BY_DOC)
 
-    found = cut(docs.mapInArrow(elect, FOUND).repartition(buckets, "bucket").sortWithinPartitions("bucket")
-                .mapInArrow(settle, "doc long, key long, starts binary, asks binary"))
+    found = cut(by_doc(docs.mapInArrow(elect, FOUND).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "g int, blob binary")))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[int, list] = {}
+            by: dict[int, tuple] = {}
             for r in b.to_pylist():
-                q = np.frombuffer(b"".join(r["asks"]), dtype=ASK)
+                q = np.frombuffer(r["asks"], dtype=ASK)
                 m = np.zeros(len(q), dtype=RUN)
                 for k in ASK.names:
                     m[k] = q[k]
@@ -433,13 +479,12 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield _emit([(k, len(x[0]).to_bytes(8, "little") + b"".join(x[0]) + b"".join(x[1])) for k, x in by.items()], ("bucket", "runs"), (pa.int32(), pa.binary()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for blobs, _ in _by_bucket(batches, "runs"):
-            yield _emit(list(_fine(blobs, length, gram)), ("doc", "key", "starts"), (pa.int64(), pa.int64(), pa.binary()))
+        yield from _bundle(((d, k, s, b"") for blobs, _ in _by_bucket(batches, "runs") for d, k, s in _fine(blobs, length, gram)), buckets)
 
-    asks = found.where("length(asks) > 0").groupBy("doc", "key").agg(F.collect_list("asks").alias("asks"))
-    fine = (docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "bucket int, runs binary")
-            .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "doc long, key long, starts binary"))
-    return found.where("length(starts) > 0").select("doc", "key", "starts").union(fine)
+    asks = found.where("length(asks) > 0").select("doc", "key", "asks")
+    fine = by_doc(docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "bucket int, runs binary")
+                  .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "g int, blob binary"))
+    return found.where("length(starts) > 0").select("doc", "key", "starts").union(fine.select("doc", "key", "starts"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
