@@ -36,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-BITS, TILE, SAMPLE, PARTS = 64, 2048, 3000, (2, 3, 4, 5)
+BITS, TILE, SAMPLE = 64, 2048, 3000
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
+SKETCH_PROBE_COST = 1500.0  # a row with a sketch takes about 5 us, a candidate in large tiles 3 ns
+BINS, EMPTY = 128, 255
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -89,20 +91,20 @@ def _groups(bits: np.ndarray, m: int) -> list[list[int]]:
     return out
 
 
-def plan(sample: np.ndarray, nodes: int, distance: int) -> list[tuple[list[int], int]]:
+def plan(sample: np.ndarray, nodes: int, distance: int, probe_cost: float = PROBE_COST) -> list[tuple[list[int], int]]:
     """[(bits of the part, threshold)] with the least estimated cost; sample: uint64 fingerprints."""
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
     sample_f = bits - 0.5
     pairs = max(1, len(sample) * (len(sample) - 1) // 2)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
-    for m in (m for m in PARTS if m <= distance + 1):
+    for m in range(min(2, distance + 1), distance + 2):
         groups, costs = _groups(bits, m), []
         for g in groups:
             x = sample_f[:, g]
             apart = len(g) / 2 - 2 * (x @ x.T)  # differing bits within the part
             near = [np.count_nonzero(np.triu(apart <= t + 0.25, 1)) for t in range(distance + 1)]
             costs.append([0.0] + [max(near[t], pairs / 2.0 ** len(g) * sum(math.comb(len(g), i) for i in range(t + 1))) / pairs * nodes
-                                  + PROBE_COST * sum(math.comb(len(g), i) for i in range(t + 1)) for t in range(distance + 1)])
+                                  + probe_cost * sum(math.comb(len(g), i) for i in range(t + 1)) for t in range(distance + 1)])
         need = distance - m + 1
         table = {0: (0.0, [])}  # key: sum of (t + 1)
         for c in costs:
@@ -157,92 +159,149 @@ class Forest:
         return [a for a, r in low if a != r], [r for a, r in low if a != r]
 
 
-def _tile(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest) -> None:
-    for i in range(0, len(fp), TILE):
-        for j in range(i, len(fp), TILE):
-            near = np.bitwise_count(fp[i:i + TILE, None] ^ fp[None, j:j + TILE]) <= distance
-            a, b = np.nonzero(np.triu(near, 1) if i == j else near)
-            # each row's first partner in a tile carries the rest of a clique; the others follow in turn
-            for x, y in set(zip(own[i + a].tolist(), own[j + b].tolist())):
-                forest.link(x, y)
-
-
-def _split(fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest, level: int = 0) -> None:
-    """All links inside a group; large groups split by pigeonhole on other cuts of the 64 bits."""
-    if len(fp) <= TILE or level > 3:
-        _tile(fp, own, distance, forest)
-        return
-    turned = (fp << np.uint64(7 * level + 3)) | (fp >> np.uint64(BITS - 7 * level - 3))
-    edges = [BITS * i // (distance + 1) for i in range(distance + 2)]
-    for lo, hi in zip(edges, edges[1:]):
-        part = (turned >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
-        for g in np.split(order, cuts):
-            if len(g) > 1:
-                _split(fp[g], own[g], distance, forest, level + 1)
-
-
-def _verify(part: np.ndarray, val: np.ndarray, fp: np.ndarray, own: np.ndarray, distance: int, forest: Forest) -> None:
+def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Estimated resemblance of shingle sets from their sketches."""
+    used = (x != EMPTY) | (y != EMPTY)
+    n = used.sum(axis=1)
+    share = ((x == y) & used).sum(axis=1) / np.maximum(n, 1)
+    return np.where(n, (share - 1 / EMPTY) / (1 - 1 / EMPTY), 1.0)
+
+
+def _hook(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row of the component of each of n rows under links (a, b)."""
+    low = np.arange(n)
+    while True:
+        best = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, best)
+        np.minimum.at(new, b, best)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
+class Group:
+    """Rows of one (part, value): ``base`` marks the nodes' own rows, the others are their probes."""
+
+    def __init__(self, fp: np.ndarray, own: np.ndarray, base: np.ndarray, sketch: np.ndarray | None, distance: int, similarity: float) -> None:
+        self.fp, self.own, self.base, self.sketch, self.distance, self.similarity = fp, own, base, sketch, distance, similarity
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        hit = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
+        return hit if self.sketch is None else self._alike(i, j, np.flatnonzero(hit), hit)
+
+    def _alike(self, i: np.ndarray, j: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
+        for k in range(0, len(at), 50_000):
+            x = at[k:k + 50_000]
+            hit[x] = _similar(self.sketch[i[x]], self.sketch[j[x]]) >= self.similarity
+        return hit
+
+    def tiles(self, rows: np.ndarray, forest: Forest) -> None:
+        """Every own row against every row, in tiles; a tile's links meet in its least rows."""
+        ours, all_ = rows[self.base[rows]], rows
+        for p in range(0, len(ours), TILE):
+            x = ours[p:p + TILE]
+            for q in range(0, len(all_), TILE):
+                y = all_[q:q + TILE]
+                a, b = np.nonzero(np.bitwise_count(self.fp[x, None] ^ self.fp[None, y]) <= self.distance)
+                a, b = x[a], y[b]
+                other = self.own[a] < self.own[b] if self.base.all() else self.own[a] != self.own[b]
+                a, b = a[other], b[other]
+                if self.sketch is not None and len(a):
+                    keep = self._alike(a, b, np.arange(len(a)), np.zeros(len(a), dtype=bool))
+                    a, b = a[keep], b[keep]
+                if len(a):
+                    ids, index = np.unique(np.concatenate([self.own[a], self.own[b]]), return_inverse=True)
+                    low = _hook(len(ids), index[:len(a)], index[len(a):])
+                    for u, v in zip(ids.tolist(), ids[low].tolist()):
+                        if u != v:
+                            forest.link(u, v)
+
+    def split(self, rows: np.ndarray, forest: Forest, level: int = 0) -> None:
+        """Large groups under a small distance split by pigeonhole on other cuts of the 64 bits."""
+        if len(rows) <= 8 * TILE or level > 3 or self.distance > 5:
+            self.tiles(rows, forest)
+            return
+        turn = 7 * level + 3
+        turned = (self.fp[rows] << np.uint64(turn)) | (self.fp[rows] >> np.uint64(BITS - turn))
+        edges = [BITS * i // (self.distance + 1) for i in range(self.distance + 2)]
+        for lo, hi in zip(edges, edges[1:]):
+            part = (turned >> np.uint64(lo)) & np.uint64((1 << (hi - lo)) - 1)
+            order = np.argsort(part, kind="stable")
+            for g in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+                if len(g) > 1:
+                    self.split(rows[g], forest, level + 1)
+
+
+def _verify(part: np.ndarray, val: np.ndarray, rows: Group, forest: Forest) -> None:
     """Rows sorted by (part, val): small groups by shifted comparison, large ones by tiles."""
     new = np.flatnonzero((np.diff(part) != 0) | (np.diff(val) != 0)) + 1
     starts = np.concatenate(([0], new))
     sizes = np.diff(np.concatenate((starts, [len(part)])))
     group = np.repeat(np.arange(len(starts)), sizes)
     for s, n in zip(starts[sizes > 128].tolist(), sizes[sizes > 128].tolist()):
-        f, first = np.unique(fp[s:s + n], return_index=True)
-        _split(f, own[s:s + n][first], distance, forest)
+        rows.split(np.arange(s, s + n), forest)
     small = np.flatnonzero(sizes[group] <= 128)
-    g, f, o = group[small], fp[small], own[small]
+    g = group[small]
     for d in range(1, 128):
-        same = np.flatnonzero(g[:-d] == g[d:])
-        if not len(same):
+        i = np.flatnonzero(g[:-d] == g[d:])
+        if not len(i):
             break
-        hit = same[np.bitwise_count(f[same] ^ f[same + d]) <= distance]
-        for x, y in zip(o[hit].tolist(), o[hit + d].tolist()):
-            if x != y:
-                forest.link(x, y)
+        i, j = small[i], small[i + d]
+        use = (rows.base[i] | rows.base[j]) & (rows.own[i] != rows.own[j])
+        i, j = i[use], j[use]
+        hit = rows.near(i, j)
+        for x, y in zip(rows.own[i[hit]].tolist(), rows.own[j[hit]].tolist()):
+            forest.link(x, y)
 
 
-def links(nodes: DataFrame, distance: int = 4, count: int | None = None) -> DataFrame:
-    """nodes: fp, node (one row a distinct fp).  Edges (node, root) whose components are those of all pairs
-    within distance."""
+def links(nodes: DataFrame, distance: int = 4, count: int | None = None, similarity: float | None = None) -> DataFrame:
+    """nodes: fp, node (one row a distinct fp) and, with ``similarity``, sketch.  Edges (node, root) whose
+    components are those of all pairs within distance (and of estimated similarity)."""
     n = nodes.count() if count is None else count
     sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(SAMPLE).select("fp").collect()], dtype=np.int64)
-    parts = plan(sample.view(np.uint64), n, distance)
+    parts = plan(sample.view(np.uint64), n, distance, PROBE_COST if similarity is None else SKETCH_PROBE_COST)
+    extra, kinds = (["sketch"], ", sketch binary") if similarity is not None else ([], "")
+    names = ["part", "val", "fp", "node", "base", *extra]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            own = b.column("node").to_numpy(zero_copy_only=False)
+            rest = [b.column(c) for c in extra]
             for i, (group, t) in enumerate(parts):
                 if t < 0:
                     continue
                 v = _take(fp.view(np.uint64), group)
                 for mask in [0, *_masks(len(group), t)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array((v ^ np.uint64(mask)).view(np.int64)), pa.array(fp), pa.array(own)],
-                                                     names=["part", "val", "fp", "node"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array((v ^ np.uint64(mask)).view(np.int64)), pa.array(fp), b.column("node"), pa.array(np.full(len(fp), mask == 0)), *rest], names=names)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, kept = Forest(), None
+
+        def settle(e: int) -> None:
+            group = Group(kept[2][:e].view(np.uint64), kept[3][:e], kept[4][:e], kept[5][:e] if extra else None, distance, similarity or 0.0)
+            _verify(kept[0][:e], kept[1][:e], group, forest)
+
         for b in batches:
-            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(4)]
+            now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
+            if extra:
+                now.append(np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
             kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
-            if len(kept[0]) < 200_000 and len(kept[0]) < 2 * len(now[0]):
+            if len(kept[0]) < 100_000 and len(kept[0]) < 2 * len(now[0]):
                 continue
             last = np.flatnonzero((kept[0] != kept[0][-1]) | (kept[1] != kept[1][-1]))
             if len(last):  # the last group may go on in the next batch
-                e = last[-1] + 1
-                _verify(kept[0][:e], kept[1][:e], kept[2][:e].view(np.uint64), kept[3][:e], distance, forest)
-                kept = [x[e:] for x in kept]
+                settle(last[-1] + 1)
+                kept = [x[last[-1] + 1:] for x in kept]
         if kept is not None and len(kept[0]):
-            _verify(kept[0], kept[1], kept[2].view(np.uint64), kept[3], distance, forest)
+            settle(len(kept[0]))
         a, r = forest.edges()
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
 
     width = partitions(nodes.sparkSession)
-    return (nodes.mapInArrow(post, "part int, val long, fp long, node long").repartition(width, "part", "val")
-            .sortWithinPartitions("part", "val").mapInArrow(check, "a long, b long"))
+    posted = nodes.select("fp", "node", *extra).mapInArrow(post, f"part int, val long, fp long, node long, base boolean{kinds}")
+    return posted.repartition(width, "part", "val").sortWithinPartitions("part", "val").mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -272,3 +331,46 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
     comp = components(links(named, distance))
     whole = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# -- shingle similarity ----------------------------------------------------------------------------
+
+def sketched(text: bytes | None, words: int) -> tuple[int, bytes]:
+    """SimHash of the set of single words, and a one-permutation sketch of the set of shingles: per bin eight
+    bits of its least hash."""
+    tokens = (text or b"").lower().split()
+    own = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(tokens)], dtype="<u8")
+    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(own) else np.zeros(BITS, dtype=np.int64)
+    fp = int(np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0])
+    line = b" ".join(tokens)
+    if len(tokens) > words:
+        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+        starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - words + 1].tolist()
+        h = np.array([xxhash.xxh64_intdigest(line[a:b], 7) for a, b in zip(starts, ends[words - 1:].tolist())], dtype=np.uint64)
+    else:
+        h = np.array([xxhash.xxh64_intdigest(line, 7)] if tokens else [], dtype=np.uint64)
+    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
+    np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(7))
+    return fp, np.where(least == np.iinfo(np.uint64).max, EMPTY, least % np.uint64(EMPTY)).astype(np.uint8).tobytes()
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 10, margin: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: documents linked whose shingle sets resemble each other by ``similarity`` or more.
+
+    Shingles of several words all change around one edit, so at 0.8 their SimHash already differs in ten to
+    fifteen bits of 64.  Candidates therefore come from the SimHash of the single words, which an edit
+    hardly moves (ten bits keep about 98 % of the pairs at exactly 0.8, and more above), by the same generalised
+    pigeonhole; each candidate is then verified by a sketch of its shingles, whose estimate has a deviation
+    of about 0.035 at 128 bins, ``margin`` to the safe side."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [sketched(t.as_py(), words) for t in b.column(1)]
+            fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([g[1] for g in got], pa.binary())], names=["doc_id", "fp", "sketch"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, sketch binary")
+    fps = cut(rows)
+    nodes = cut(fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")))
+    comp = components(links(nodes.where("node is not null"), distance, similarity=similarity - margin))
+    whole = nodes.join(comp, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(whole, ["fp", "sketch"]).select("doc_id", "component_id")
