@@ -2,15 +2,16 @@
 
 Pivots are a bounded, documented sample of the vectors (``pivots`` of them, the first in the order of a hash
 of their ids).  A vector is represented by its ``depth`` nearest pivots in order.  The index is dealt over
-``groups`` blocks of vectors by a hash of the id; each block keeps an inverted file: for every pivot the list
+groups of vectors by a hash of the id; each block of a group keeps an inverted file: for every pivot the list
 of its vectors that have it, with the place it has there.  A query walks the lists of its own pivots and
 adds up, for each vector met, how much smaller its footrule distance (the sum over pivots of the difference
 of places, a missing pivot counting as last) is than that of a vector that shares no pivot; the
 ``share`` of each block's vectors with the least distance is then reranked by the exact measure on the
 original vectors in double precision, and the blocks' best are merged.
 
-Queries travel in blocks to every group of vectors; neither side is broadcast or collected, and a block holds
-at most ``BLOCK`` vectors or queries whatever the input's size.  The work per query follows the number of
+Queries travel in blocks of about ``BLOCK`` to every group of about ``GROUP`` vectors; neither side is broadcast or
+collected, a group's task handles ``BLOCK`` vectors at a time and gives k rows a query, and how many groups there
+are follows from the rows alone.  The work per query follows the number of
 vectors; with random directions in some 60 dimensions, fewer candidates would miss the recall of 0.9.
 
 Ties go to the smaller id, also among candidates of equal distance.  Defined results: vectors that are
@@ -30,9 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import partitions
-
-PIVOTS, DEPTH, SHARE, BLOCK = 256, 48, 0.3, 8192
+PIVOTS, DEPTH, SHARE, BLOCK, GROUP = 256, 48, 0.3, 8192, 65536
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -114,7 +113,7 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = P
 
     rows = rows.where(F.size("v") == width)
     n = rows.agg(F.count("*"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
-    groups = max(partitions(spark), -(-n[0] // BLOCK))
+    groups = max(-(-n[0] // GROUP), min(12, -(-2 * n[0] // BLOCK)), 1)  # by rows alone; a few tasks for small tables
     query_blocks = max(1, -(-n[1] // BLOCK))
     g = F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int")
     b = F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(query_blocks)).cast("int")
@@ -124,16 +123,21 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = P
     def search(t: pa.Table) -> pa.Table:
         ids, x = _rows(t, False)
         qids, qx = _rows(t, True)
-        out: list[list] = [[], [], []]
+        best: list[list[tuple]] = [[] for _ in qids]
         if len(ids) and len(qids):
             perms = order_pivots(qx, base, used)
             for at in range(0, len(ids), BLOCK):
                 block = Block(ids[at:at + BLOCK], x[at:at + BLOCK], base, used)
-                for q, v, p in zip(qids.tolist(), qx, perms):
-                    got, scores = block.nearest(q, v, p, share, k)
-                    out[0].append(np.full(len(got), q))
-                    out[1].append(got)
-                    out[2].append(scores)
+                for i, q in enumerate(qids.tolist()):
+                    best[i].append(block.nearest(q, qx[i], perms[i], share, k))
+        out: list[list] = [[], [], []]
+        for q, parts in zip(qids.tolist(), best):  # the group's k best of a query
+            if parts:
+                got, scores = (np.concatenate(c) for c in zip(*parts))
+                top = np.lexsort((got, -scores))[:k]
+                out[0].append(np.full(len(top), q))
+                out[1].append(got[top])
+                out[2].append(scores[top])
         cols = [np.concatenate(c) if c else np.zeros(0) for c in out]
         return pa.table({"query_id": pa.array(cols[0].astype(np.int64)), "vec_id": pa.array(cols[1].astype(np.int64)), "score": pa.array(cols[2].astype(np.float64))})
 
