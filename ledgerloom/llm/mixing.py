@@ -13,7 +13,8 @@ third of all rows is dealt over many tasks.
 Defined results: a null source is a source of its own; a null id hashes as the word "null"; rows that
 repeat an id get the same count; sources with no weight get none (and so no rows) if weights are
 given, and weights for sources that have no rows are ignored (the remaining weights are not rescaled);
-an empty table gives an empty result; texts are carried untouched, null or empty ones too.
+an empty table gives an empty result; texts are carried untouched, null or empty ones too; input columns
+with the names of the copy and key columns are replaced by these.
 """
 
 from __future__ import annotations
@@ -74,8 +75,10 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     """All columns of the rows, each row repeated by its count, with the copy's number and shuffle key."""
     dist = distribution(rates(docs, source_col, weights, total)).select(
         F.col("source").alias("__source"), F.col("low").alias("__low"), F.col("cdf").alias("__cdf"))
-    keyed = docs.withColumn("__u", unit_hash(F.lit(seed), F.col(id_col)))
-    same = F.col(source_col).eqNullSafe(F.col("__source"))
+    names = [c for c in docs.columns if c not in (copy_col, key_col)]
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"), F.col(id_col).cast("string").alias("__id"),
+                        F.col(source_col).alias("__src"), unit_hash(F.lit(seed), F.col(id_col)).alias("__u"))
+    same = F.col("__src").eqNullSafe(F.col("__source"))
     if dist.limit(broadcast_sources + 1).count() <= broadcast_sources:
         joined = keyed.join(F.broadcast(dist), same)
     else:
@@ -86,6 +89,6 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     count = F.col("__low") + F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     copies = joined.withColumn("__n", count).where("__n > 0")
     out = copies.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int"))))
-    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.col("__copy")).cast("binary"), 256)
-    out = out.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__copy").alias(copy_col), key.alias(key_col))
+    key = F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce("__id", F.lit("null")), F.col("__copy")).cast("binary"), 256)
+    out = out.select(*[F.col(f"__row.c{i}").alias(c) for i, c in enumerate(names)], F.col("__copy").alias(copy_col), key.alias(key_col))
     return out.repartition(F.col(key_col)).sortWithinPartitions(key_col)

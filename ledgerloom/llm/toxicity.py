@@ -287,7 +287,7 @@ def score(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", folds: i
         own = Scanner(words, stems, weights)
         for b in batches:
             outs = [own.outputs(t or "") for t in b.column(1).to_pylist()]
-            total = np.array([sum(own.patterns[q] * w for q, w in o) for o in outs])
+            total = np.array([sum(own.patterns[q] * w for q, w in o) for o in outs], dtype=np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.clip(np.interp(total, at, p), 0, 1)), pa.array([len(o) for o in outs], pa.int32()), pa.array(total)],
                                              names=["doc_id", "score", "matches", "weight"])
 
