@@ -254,3 +254,10 @@ def _(spark, sf_dir):
     first, last = F.when(fwd, F.col("a")).otherwise(F.col("b")), F.when(fwd, F.col("b")).otherwise(F.col("a"))
     pos = p.select("id", F.when(F.col("id") % 5 == 0, "JRN?").otherwise(first["receiver"]).alias("before_receiver"), first["sequence"].alias("before_seq"), last["receiver"].alias("after_receiver"), last["sequence"].alias("after_seq"))
     return R.resume_progress(pos, L.receiver_ranks(j))
+
+
+@query("jon_13_offsets_by_events", """SELECT hours, count(*) AS matches FROM (SELECT unnest([-1, 0, 1]) AS hours) h, first_system a WHERE EXISTS (SELECT 1 FROM second_system b WHERE b.at_ms = a.at_ms + hours * 3600000 AND b.op = a.op) GROUP BY hours""")
+def _(spark, sf_dir):
+    """A few candidate offsets against all events, as an equi semi join on the shifted time."""
+    a = X.first_system(spark, sf_dir).select("op", F.explode(F.array(*[F.lit(h) for h in (-1, 0, 1)])).alias("hours"), "at_ms").withColumn("at_ms", F.col("at_ms") + F.col("hours") * 3600000)
+    return a.join(X.second_system(spark, sf_dir), ["at_ms", "op"], "left_semi").groupBy("hours").agg(F.count("*").alias("matches"))

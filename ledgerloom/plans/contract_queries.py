@@ -180,3 +180,10 @@ def _(spark, sf_dir):
     kinds = F.create_map(*[F.lit(x) for x in ("signup", "PT", "click", "UP", "view", "UB", "error", "DL", "purchase", "BR")])
     op, refused = C.map_entry_type(kinds[F.col("event_type")])
     return e.select("event_id", op.alias("operation"), refused.alias("refused"))
+
+
+@query("jon_7_not_exists", """SELECT event_id, before_key FROM ledger d WHERE operation = 'd' AND NOT EXISTS (SELECT 1 FROM ledger i WHERE i.after_key = d.before_key AND i.commit_ts <= d.commit_ts AND i.sequence % 9 = 0)""")
+def _(spark, sf_dir):
+    """The inequality is decided by the earliest known time of a key, so the join stays an equi join."""
+    led = ledger(spark, sf_dir).withColumns({"before_rrn": F.col("before_key"), "after_rrn": F.when(F.col("sequence") % 9 == 0, F.col("after_key"))})
+    return C.orphan_deletes(led).select("event_id", "before_key")

@@ -51,10 +51,10 @@ class LedgerStream:
         if self.boundary is not None:
             receiver, sequence = self.boundary
             batch = batch.where((F.col("receiver") != receiver) | (F.col("sequence") > sequence))
+        batch = batch.persist()  # read several times below
         known = self.history.read(without=number)
         content = ["receiver", "sequence", "operation", "before_key", "after_key", "cents", "event_type"]
-        bad = L.conflicts(batch.join(known.select("event_id"), "event_id", "left_semi").unionByName(known.join(batch.select("event_id"), "event_id", "left_semi")).unionByName(batch), content)
-        self.rejects.write(bad, number)
+        self.rejects.write(L.conflicts(known.join(batch.select("event_id"), "event_id", "left_semi").unionByName(batch), content), number)
         bad = self.rejects.read().select("event_id").distinct()
         self.history.write(L.append_history(batch, known).join(bad, "event_id", "left_anti").select(*known.columns), number)
         whole = self.history.read()
@@ -63,6 +63,7 @@ class LedgerStream:
         before = self.mirror.read(before=number + 1)
         won = L.latest_operation(ops, L.receiver_ranks(whole)).where("kind = 'upsert'").select(*before.columns)
         self.mirror.write(before.join(keys, "k", "left_anti").unionByName(won), number + 1)
+        batch.unpersist()
 
     def snapshot(self, events: DataFrame, run: str, boundary: tuple[str, int] | None = None) -> None:
         """STR-5: a snapshot run makes the mirror anew before any journal event; events up to the boundary are
