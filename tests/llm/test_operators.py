@@ -194,6 +194,7 @@ def test_site_tree_removes_what_a_site_repeats(spark):
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<b>b</b>c</p><p>d", "abc d"), ("<script>var x='</p>'; if (a<b) {}</script><p>t</p>", "t"), ("<p>x</p><script>never closed <p>gone</p>", "x"),
     ("<article><p>in</p><aside>ad</aside><div id='comments'>c</div></article><p>out</p>", "in"), ("<nav>n</nav><header>h</header><p>t</p><footer>f</footer><form><p>q</p></form>", "t"),
     ("<ul><li>a<li>b</ul><table><tr><td>1<td>2</table>", "a b 1 2"), ("<p>&#x41;&nbsp;&copy;\n\t  z</p>", "A © z"), ("<!-- <p>no</p> --><p title='a>b'>yes</p>", "yes"), ("<div hidden>h</div><div style='display: none'>h</div><p>v</p>", "v"),
+    ("<body class='has-sidebar'><div class='site-header'>h</div><div class='no-ads'>t</div><main class='with-nav'><header>m</header></main>", "m"), ("<body class='has-sidebar'><div class='site-header'>h</div><div class='no-ads'>t</div>", "t"),
     ("<div class='ad-banner'>buy</div><div class='badge'>ok</div>", "ok"), ("< p>1 < 2</p>", "< p>1 < 2"), ("<article></article><p>outside</p>", "outside")])
 def test_blocks(page, text):
     assert html_main.extract(page) == text
