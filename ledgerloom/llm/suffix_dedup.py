@@ -8,7 +8,8 @@ neighbouring strings nearly always share one, so about one position in ``(length
 anchor.  An anchor speaks for the run of strings that elected it.
 
 1. Each task hashes its documents in chunks with prefix polynomial hashes, elects anchors, and settles runs
-   of equal content within the chunk at once: all but those of the smallest id repeat something earlier.
+   of equal content within the chunk at once: all but those of the smallest id repeat something earlier, and
+   of a document's own equal runs the first speaks for the others (texts that repeat a word thousands of times).
 2. What is left (anchor hash, run hash, place: some 20 bytes a run, no text) is dealt by anchor hash.  Runs
    of equal content and a larger id repeat as a whole.  The smallest id's run of each content is only looked
    at further if another content with the same anchor also agrees with it on half of the missing bytes to
@@ -138,7 +139,8 @@ def _sides(missing: int) -> list[tuple[int, int]]:
 
 
 def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, gram: int, buckets: int):
-    """Yields (bucket, doc, key, repeated starts, records) of one chunk of documents (fewer than 65,536)."""
+    """Yields (bucket, doc, key, repeated starts, records, copies) of one chunk of documents (fewer than 65,536).
+    copies: (first start, last start, shift) of runs that repeat an earlier run of their own document."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     hashes, a, lo, hi, h = _runs(raw, ends, length, gram)
@@ -161,13 +163,19 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, g
     least = np.repeat(np.minimum.reduceat(rank[order], new), np.diff(np.concatenate((new, [len(cls)]))))
     later = np.zeros(len(a), dtype=bool)
     later[order] = rank[order] > least
-    if later.any():
-        i = np.flatnonzero(later)
-        cuts = np.flatnonzero(np.diff(doc[i])) + 1
-        for g in np.split(i, cuts):
-            d = doc[g[0]]
-            yield int(keys[d] % buckets), int(ids[d]), int(keys[d]), _starts(lo[g] - begin[g], hi[g] - begin[g]), b""
-    i = np.flatnonzero(~later)
+    # a document's runs of one content share their fate: the first one speaks for them
+    order = np.lexsort((lo, doc, content))
+    twin = np.concatenate(([False], (content[order][1:] == content[order][:-1]) & (doc[order][1:] == doc[order][:-1])))
+    first = np.empty(len(a), dtype=np.int64)
+    first[order] = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(a))))]
+    again = (first != np.arange(len(a))) & ~later
+    i = np.flatnonzero(later | again)
+    for g in np.split(i, np.flatnonzero(np.diff(doc[i])) + 1):
+        if len(g):
+            d, r, q = doc[g[0]], g[later[g]], g[again[g]]
+            copies = np.stack([lo[first[q]] - begin[q], hi[first[q]] - begin[q], lo[q] - lo[first[q]]], axis=1).astype("<i4").tobytes()
+            yield int(keys[d] % buckets), int(ids[d]), int(keys[d]), _starts(lo[r] - begin[r], hi[r] - begin[r]), b"", copies
+    i = np.flatnonzero(~later & ~again)
     where = (h[i] % U64(buckets)).astype(np.int64)
     order = np.argsort(where, kind="stable")
     i, where = i[order], where[order]
@@ -175,7 +183,7 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, g
     for g in np.split(np.arange(len(i)), np.flatnonzero(np.diff(where)) + 1):
         if len(g):
             j = i[g]
-            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], k[j], content[j] >> U64(48), doc[j], table, a[j] - begin[j], left[j], span[j])
+            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], k[j], content[j] >> U64(48), doc[j], table, a[j] - begin[j], left[j], span[j]), b""
 
 
 def _starts(lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -193,7 +201,8 @@ def _emit(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
 
 
-FOUND, FOUND_NAMES, FOUND_KINDS = "bucket int, doc long, key long, starts binary, recs binary", ("bucket", "doc", "key", "starts", "recs"), (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+FOUND, FOUND_NAMES = "bucket int, doc long, key long, starts binary, recs binary, copies binary", ("bucket", "doc", "key", "starts", "recs", "copies")
+FOUND_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
 ASK = np.dtype([("h", "<u8"), ("a", "<u4"), ("left", "u1"), ("span", "u1"), ("sides", "u1")])
 
 
@@ -383,16 +392,16 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple
         yield blobs, []
 
 
-def _bundle(rows: Iterator[tuple[int, int, bytes, bytes]], groups: int) -> Iterator[pa.RecordBatch]:
-    """Packs (doc, key, starts, asks) into one blob for each group of documents, about ``BUNDLE`` bytes at a time:
+def _bundle(rows: Iterator[tuple[int, int, bytes, bytes, bytes]], groups: int) -> Iterator[pa.RecordBatch]:
+    """Packs (doc, key, starts, asks, copies) into one blob for each group of documents, about ``BUNDLE`` bytes at a time:
     what a bucket says about many documents travels as few rows."""
     held, size = {}, 0
 
     def out() -> pa.RecordBatch:
         return _emit([(g, b"".join(x)) for g, x in held.items()], ("g", "blob"), (pa.int32(), pa.binary()))
 
-    for doc, key, starts, asks in rows:
-        entry = struct.pack(ENTRY, doc, key, len(starts), len(asks)) + starts + asks
+    for doc, key, *parts in rows:
+        entry = struct.pack(ENTRY, doc, key, *map(len, parts)) + b"".join(parts)
         held.setdefault(key % groups, []).append(entry)
         size += len(entry)
         if size > BUNDLE:
@@ -403,29 +412,28 @@ def _bundle(rows: Iterator[tuple[int, int, bytes, bytes]], groups: int) -> Itera
 
 def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row a document of this partition's groups."""
-    docs: dict[tuple[int, int], tuple[list[bytes], list[bytes]]] = {}
+    docs: dict[tuple[int, int], tuple[list[bytes], list[bytes], list[bytes]]] = {}
     for b in batches:
         for blob in b.column(1).to_pylist():
             at = 0
             while at < len(blob):
-                doc, key, n, m = struct.unpack_from(ENTRY, blob, at)
+                doc, key, *sizes = struct.unpack_from(ENTRY, blob, at)
                 at += struct.calcsize(ENTRY)
-                x = docs.setdefault((doc, key), ([], []))
-                x[0].append(blob[at:at + n])
-                x[1].append(blob[at + n:at + n + m])
-                at += n + m
-    names, kinds = ("doc", "key", "starts", "asks"), (pa.int64(), pa.int64(), pa.binary(), pa.binary())
-    rows = [(d, k, b"".join(x), b"".join(y)) for (d, k), (x, y) in docs.items()]
+                for x, n in zip(docs.setdefault((doc, key), ([], [], [])), sizes):
+                    x.append(blob[at:at + n])
+                    at += n
+    names, kinds = ("doc", "key", "starts", "asks", "copies"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+    rows = [(d, k, *map(b"".join, x)) for (d, k), x in docs.items()]
     for i in range(0, len(rows), 5000):
         yield _emit(rows[i:i + 5000], names, kinds)
 
 
-ENTRY, BUNDLE, BY_DOC = "<qqii", 8_000_000, "doc long, key long, starts binary, asks binary"
+ENTRY, BUNDLE, BY_DOC = "<qqiii", 8_000_000, "doc long, key long, starts binary, asks binary, copies binary"
 
 
 def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc, key, starts: runs of starts (pairs of 64-bit numbers) of strings seen in a smaller id; at most two
-    rows a document.  docs: doc, key, text (binary)."""
+    """doc, key, starts, copies: runs of starts (pairs of 64-bit numbers) of strings seen in a smaller id, and the
+    document's own copies of its runs; at most two rows a document.  docs: doc, key, text (binary)."""
     spark = docs.sparkSession
     buckets = partitions(spark)
 
@@ -452,9 +460,9 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for blobs, through in _by_bucket(batches, "recs"):
-                yield from ((r["doc"], r["key"], r["starts"], b"") for r in through)
+                yield from ((r["doc"], r["key"], r["starts"], b"", r["copies"]) for r in through)
                 if blobs:
-                    yield from _bucket(blobs)
+                    yield from ((*x, b"") for x in _bucket(blobs))
         yield from _bundle(rows(), buckets)
 
     def by_doc(bundles: DataFrame) -> DataFrame:
@@ -479,12 +487,28 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             yield _emit([(k, len(x[0]).to_bytes(8, "little") + b"".join(x[0]) + b"".join(x[1])) for k, x in by.items()], ("bucket", "runs"), (pa.int32(), pa.binary()))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _bundle(((d, k, s, b"") for blobs, _ in _by_bucket(batches, "runs") for d, k, s in _fine(blobs, length, gram)), buckets)
+        yield from _bundle(((d, k, s, b"", b"") for blobs, _ in _by_bucket(batches, "runs") for d, k, s in _fine(blobs, length, gram)), buckets)
 
     asks = found.where("length(asks) > 0").select("doc", "key", "asks")
     fine = by_doc(docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "bucket int, runs binary")
                   .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "g int, blob binary"))
-    return found.where("length(starts) > 0").select("doc", "key", "starts").union(fine.select("doc", "key", "starts"))
+    return found.where("length(starts) > 0 or length(copies) > 0").select("doc", "key", "starts", "copies").union(fine.select("doc", "key", "starts", "copies"))
+
+
+def _with_copies(s: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Repeated starts (first, last) and those that copies (first, last, shift) of their runs add."""
+    s = s[np.argsort(s[:, 0], kind="stable")]
+    new = np.concatenate(([True], s[1:, 0] > np.maximum.accumulate(s[:, 1])[:-1] + 1))
+    s = np.stack([s[new, 0], np.maximum.reduceat(s[:, 1], np.flatnonzero(new))], axis=1)
+    if not len(copies):
+        return s
+    i, j = np.searchsorted(s[:, 1], copies[:, 0]), np.searchsorted(s[:, 0], copies[:, 1], side="right")
+    n = np.maximum(j - i, 0)
+    which = np.repeat(np.arange(len(copies)), n)
+    run = np.repeat(i, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    c = copies[which]
+    added = np.stack([np.maximum(s[run, 0], c[:, 0]) + c[:, 2], np.minimum(s[run, 1], c[:, 1]) + c[:, 2]], axis=1)
+    return np.concatenate([s, added])
 
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
@@ -493,7 +517,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: st
         raise ValueError("4 <= gram <= length <= 255")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
-    starts = repeated_starts(rows, length, gram).groupBy("doc", "key").agg(F.collect_list("starts").alias("starts"))
+    starts = repeated_starts(rows, length, gram).groupBy("doc", "key").agg(F.collect_list("starts").alias("starts"), F.collect_list("copies").alias("copies"))
     names, kinds = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     if not with_text:
@@ -502,11 +526,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: st
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            for doc, t, found in zip(b.column("doc").to_pylist(), b.column("text"), b.column("starts").to_pylist()):
+            for doc, t, found, copies in zip(b.column("doc").to_pylist(), b.column("text"), b.column("starts").to_pylist(), b.column("copies").to_pylist()):
                 t = t.as_py()
                 kept, spans = t, 0
-                if found:
-                    s = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+                if found and any(found):
+                    s = _with_copies(np.frombuffer(b"".join(found), "<i8").reshape(-1, 2), np.frombuffer(b"".join(copies), "<i4").reshape(-1, 3).astype(np.int64))
                     s = s[np.argsort(s[:, 0], kind="stable")]
                     lo, hi = s[:, 0], np.maximum.accumulate(s[:, 1] + length)
                     new = np.concatenate(([True], lo[1:] > hi[:-1]))
@@ -516,4 +540,4 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: st
                 rows.append((None if doc == LAST else doc, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
             yield _emit(rows, tuple(names), tuple(kinds))
 
-    return rows.join(starts.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "starts").mapInArrow(finish, schema)
+    return rows.join(starts.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "starts", "copies").mapInArrow(finish, schema)
