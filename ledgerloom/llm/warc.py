@@ -6,8 +6,8 @@ archive of gzip members, one a record.  The records' lines (capture key, archive
 of the key (host name reversed, path, page id) and sorted; each task writes one index of them: blocks of
 ``block`` lines, each compressed by itself, then a sparse directory (first key, place and size of every block)
 and its place.
-Files are written under a name of the attempt and renamed when whole, so that a lost executor's task can
-run again; their contents do not depend on the attempt.
+Files are named by the attempt that writes them and renamed when whole, and lines name their file, so a lost
+executor's task can run again, even beside its first attempt; files of lost attempts are never read.
 
 Reading.  The first level is one row a file (its first key), which the driver holds; a lookup finds its file
 by binary search there, its block by binary search in that file's directory, its line by binary search in
@@ -100,26 +100,26 @@ def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name, attempt = f"part-{task.partitionId():06d}.warc.gz", f".{task.taskAttemptId()}"
+        name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         out, at, lines = None, 0, []
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
                     fs.create_dir(root, recursive=True)
-                    out = fs.open_output_stream(f"{root}/{name}{attempt}")
+                    out = fs.open_output_stream(f"{root}/{name}.part")
                 member = gzip.compress(_record(r["page_id"], r["url"], r["payload"], r["digest"], r["refers_to"], r["refers_url"]), 6, mtime=0)
                 out.write(member)
                 lines.append((r["key"], name, at, len(member), r["refers_key"]))
                 at += len(member)
         if out is not None:
             out.close()
-            fs.move(f"{root}/{name}{attempt}", f"{root}/{name}")
+            fs.move(f"{root}/{name}.part", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         task = TaskContext.get()
-        name, attempt = f"index-{task.partitionId():06d}.cdx", f".{task.taskAttemptId()}"
+        name = f"index-{task.partitionId():06d}-{task.taskAttemptId()}.cdx"
         out, where, n, first, lines, directory = None, 0, 0, "", [], []
 
         def close_block() -> None:
@@ -133,7 +133,7 @@ def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
         for b in batches:
             for r in b.to_pylist():
                 if out is None:
-                    out, first = fs.open_output_stream(f"{root}/{name}{attempt}"), r["key"]
+                    out, first = fs.open_output_stream(f"{root}/{name}.part"), r["key"]
                 lines.append(f"{r['key']}\t{json.dumps([r['file'], r['at'], r['size'], r['refers_key']])}")
                 n += 1
                 if len(lines) == block:
@@ -144,7 +144,7 @@ def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
             tail = zlib.compress(json.dumps(directory).encode(), 6)
             out.write(tail + where.to_bytes(8, "big") + len(tail).to_bytes(8, "big"))
             out.close()
-            fs.move(f"{root}/{name}{attempt}", f"{root}/{name}")
+            fs.move(f"{root}/{name}.part", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([n], pa.int64())], names=["file", "first_key", "records"])
 
     keyed = records.withColumn("key", capture_key("url", "page_id")).withColumn("refers_key", F.when(F.col("refers_to").isNotNull(), capture_key("refers_url", "refers_to")))
