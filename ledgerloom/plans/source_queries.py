@@ -24,9 +24,9 @@ def _(spark, sf_dir):
     return raw.select("event_id", "receiver", "sequence", "operation", F.col("source_row_number").cast("long").alias("row_number"))
 
 
-@query("src_2_read_listed_files", "SELECT event_id, sequence FROM ledger WHERE (receiver = 'JRN9' AND sequence // 500 = 0) OR (receiver = 'JRN2' AND sequence // 500 = 1)")
+@query("src_2_read_listed_files", "SELECT event_id, sequence FROM ledger WHERE (receiver = 'JRN9' AND sequence // 500 = 0) OR (receiver = 'JRN2' AND sequence // 500 = 0)")
 def _(spark, sf_dir):
-    files = ["table_name=ORDERS/receiver_dir=JRN9/batch=000000", "table_name=ORDERS/receiver_dir=JRN2/batch=000001"]
+    files = ["table_name=ORDERS/receiver_dir=JRN9/batch=000000", "table_name=ORDERS/receiver_dir=JRN2/batch=000000"]
     return W.project_envelope(W.read_raw_events(spark, written(spark, sf_dir), files)).select("event_id", "sequence")
 
 
