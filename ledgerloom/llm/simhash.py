@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-BITS, TILE, SAMPLE = 64, 2048, 3000
+BITS, TILE, SAMPLE = 64, 2048, 2000
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
 SKETCH_PROBE_COST = 1500.0  # a row with a sketch takes about 5 us, a candidate in large tiles 3 ns
 BINS, EMPTY = 128, 255
@@ -94,15 +94,17 @@ def _groups(bits: np.ndarray, m: int) -> list[list[int]]:
 def plan(sample: np.ndarray, nodes: int, distance: int, probe_cost: float = PROBE_COST) -> list[tuple[list[int], int]]:
     """[(bits of the part, threshold)] with the least estimated cost; sample: uint64 fingerprints."""
     bits = np.unpackbits(sample.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.float64)
-    sample_f = bits - 0.5
     pairs = max(1, len(sample) * (len(sample) - 1) // 2)
     best: tuple[float, list[tuple[list[int], int]]] | None = None
     for m in range(min(2, distance + 1), distance + 2):
         groups, costs = _groups(bits, m), []
         for g in groups:
-            x = sample_f[:, g]
-            apart = len(g) / 2 - 2 * (x @ x.T)  # differing bits within the part
-            near = [np.count_nonzero(np.triu(apart <= t + 0.25, 1)) for t in range(distance + 1)]
+            code = _take(sample, g)
+            apart = np.zeros(BITS + 1, dtype=np.int64)  # pairs by differing bits within the part
+            for i in range(0, len(code), 250):
+                apart += np.bincount(np.bitwise_count(code[i:i + 250, None] ^ code[None]).ravel(), minlength=BITS + 1)
+            apart[0] -= len(code)
+            near = np.cumsum(apart)[:distance + 1] // 2
             costs.append([0.0] + [max(near[t], pairs / 2.0 ** len(g) * sum(math.comb(len(g), i) for i in range(t + 1))) / pairs * nodes
                                   + probe_cost * sum(math.comb(len(g), i) for i in range(t + 1)) for t in range(distance + 1)])
         need = distance - m + 1
