@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-BITS, TILE, SAMPLE = 64, 2048, 2000
+BITS, TILE, SAMPLE = 64, 2048, 1000
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
 SKETCH_PROBE_COST = 1500.0  # a row with a sketch takes about 5 us, a candidate in large tiles 3 ns
 BINS, EMPTY = 128, 255
