@@ -112,10 +112,11 @@ def _(spark, sf_dir):
     return M.cluster_allocation(a.union(a.where("day % 7 = 0")), "view")
 
 
-@query("agg_14_compare_runs", """SELECT solution, count(*) AS samples, sum(bytes)::BIGINT AS bytes, sum(elapsed_ms)::BIGINT AS elapsed_ms, quantile_cont(elapsed_ms, 0.5) AS p50, quantile_cont(elapsed_ms, 0.95) AS p95, quantile_cont(elapsed_ms, 0.99) AS p99,
+@query("agg_14_compare_runs", """SELECT solution, count(*) AS samples, sum(bytes)::BIGINT AS bytes, sum(elapsed_ms)::BIGINT AS elapsed_ms, round(quantile_cont(elapsed_ms, 0.5), 3) AS p50, round(quantile_cont(elapsed_ms, 0.95), 3) AS p95, round(quantile_cont(elapsed_ms, 0.99), 3) AS p99,
 max(lag) AS most_lag, (count(*) * 1000 // sum(elapsed_ms))::BIGINT AS samples_per_s, (sum(bytes) * 1000 // sum(elapsed_ms))::BIGINT AS bytes_per_s, count(DISTINCT scope) = 1 AS comparable FROM benchmark_samples GROUP BY solution""")
 def _(spark, sf_dir):
-    return M.compare_runs(X.benchmark_samples(spark, sf_dir))
+    runs = M.compare_runs(X.benchmark_samples(spark, sf_dir))
+    return runs.withColumns({c: F.round(c, 3) for c in ("p50", "p95", "p99")})
 
 
 @query("agg_15_latency_summary", """WITH r AS (SELECT run, poll_ms, row_number() OVER (PARTITION BY run ORDER BY poll_ms) - 1 AS i, count(*) OVER (PARTITION BY run) AS n FROM capture_polls)
@@ -189,14 +190,16 @@ def _(spark, sf_dir):
     return M.capture_counters(X.capture_polls(spark, sf_dir))
 
 
-@query("agg_28_stage_durations")
+@query("agg_28_stage_durations", """WITH s AS (SELECT i, (event_id + i) % 50 AS ms FROM events, range(7) t(i) WHERE event_id % 9 <> 0), k AS (SELECT (['discover', 'snapshot', 'split', 'history', 'mirror', 'checkpoint', 'lag'])[i + 1] AS stage, ms FROM s WHERE i <> 1 OR ms < 10)
+SELECT stage, count(*) AS cycles, round(quantile_cont(ms, 0.5), 3)::DOUBLE AS p50_ms, round(quantile_cont(ms, 0.95), 3)::DOUBLE AS p95_ms, max(ms)::DOUBLE AS most_ms FROM k GROUP BY stage""")
 def _(spark, sf_dir):
     e = X.table(spark, sf_dir, "events")
     stages = F.create_map(*[x for i, s in enumerate(M.STAGES) for x in (F.lit(s), ((F.col("event_id") + i) % 50).cast("double"))])
     some = F.map_filter(stages, lambda k, v: (k != "snapshot") | (v < 10))
     total = F.aggregate(F.map_values(some), F.lit(0.0), lambda a, x: a + x)
     line = F.to_json(F.struct((total + F.when(F.col("event_id") % 9 == 0, -1.0).otherwise(2.0)).alias("cycle_ms"), some.alias("stages_ms")))
-    return M.stage_durations(e.select(line.alias("line")))
+    got = M.stage_durations(e.select(line.alias("line")))
+    return got.withColumns({c: F.round(c, 3) for c in ("p50_ms", "p95_ms")})
 
 
 @query("agg_29_known_sum", "SELECT pipeline, sum(CASE WHEN pipeline <> 'view' THEN credits END)::BIGINT AS total FROM metering GROUP BY pipeline")

@@ -108,10 +108,13 @@ def _(spark, sf_dir):
     return O.report_status(O.evaluate_slo(t, ["pipeline", "hour_us"]), ["pipeline", "hour_us"])
 
 
-@query("win_16_alert_lifecycle", f"""WITH c AS ({CHECKS}), s AS (SELECT *, lag(status) OVER (PARTITION BY pipeline, "check" ORDER BY hour) AS p FROM c WHERE status <> 'unobserved'),
+LIFECYCLE = f"""WITH c AS ({CHECKS}), s AS (SELECT *, lag(status) OVER (PARTITION BY pipeline, "check" ORDER BY hour) AS p FROM c WHERE status <> 'unobserved'),
 o AS (SELECT *, sum(CASE WHEN status = 'breach' AND (p IS NULL OR p = 'pass') THEN 1 ELSE 0 END) OVER w AS occurrence, sum(CASE WHEN status = 'breach' THEN 1 ELSE 0 END) OVER w AS evaluations FROM s WINDOW w AS (PARTITION BY pipeline, "check" ORDER BY hour))
 SELECT pipeline, "check", epoch_us(hour) AS at_us, CASE WHEN status = 'pass' THEN 'resolved' WHEN occurrence = 1 THEN 'opened' ELSE 'reopened' END AS event, occurrence::BIGINT AS occurrence, evaluations::BIGINT AS evaluations
-FROM o WHERE (status = 'breach' AND (p IS NULL OR p = 'pass')) OR (status = 'pass' AND p = 'breach')""")
+FROM o WHERE (status = 'breach' AND (p IS NULL OR p = 'pass')) OR (status = 'pass' AND p = 'breach')"""
+
+
+@query("win_16_alert_lifecycle", LIFECYCLE)
 def _(spark, sf_dir):
     c = O.evaluate_slo(X.slo_telemetry(spark, sf_dir), ["pipeline", "hour"]).withColumnRenamed("hour", "at")
     return S.alert_lifecycle(c).withColumn("at_us", X.micros("at")).drop("at")

@@ -10,6 +10,7 @@ from ..sources import fixtures as X
 from ..sources import raw as W
 from ..streaming import streams as T
 from .registry import query
+from .sequence_queries import LIFECYCLE
 from .source_queries import written
 
 
@@ -108,7 +109,7 @@ def _(spark, sf_dir):
     return got.select("pipeline", F.unix_micros("start").alias("start_us"), "least", "most", "samples", "unknown")
 
 
-@query("str_9_alert_stream")
+@query("str_9_alert_stream", LIFECYCLE)
 def _(spark, sf_dir):
     """The live transitions; a test holds them against the batch form."""
     out = W.scratch(spark, "alerts")
