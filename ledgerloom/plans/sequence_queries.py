@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import compare as R
-from ..operators import ledger as L
 from ..operators import metrics as M
 from ..operators import sequences as S
 from ..operators import slo as O

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ledger as L
 from ..sources import fixtures as X
 from ..sources import raw as W
 from .ledger_queries import ledger
