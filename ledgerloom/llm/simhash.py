@@ -34,6 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import cut, partitions
 
 BITS, TILE, SAMPLE = 64, 2048, 1000
@@ -337,42 +338,25 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
 
 # -- shingle similarity ----------------------------------------------------------------------------
 
-def sketched(text: bytes | None, words: int) -> tuple[int, bytes]:
-    """SimHash of the set of single words, and a one-permutation sketch of the set of shingles: per bin eight
-    bits of its least hash."""
-    tokens = (text or b"").lower().split()
-    own = np.array([xxhash.xxh64_intdigest(w, 42) for w in set(tokens)], dtype="<u8")
-    ones = np.unpackbits(own.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64) if len(own) else np.zeros(BITS, dtype=np.int64)
-    fp = int(np.packbits(ones * 2 > len(own), bitorder="little").view("<u8")[0])
-    line = b" ".join(tokens)
-    if len(tokens) > words:
-        ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))[: len(tokens) - words + 1].tolist()
-        h = np.array([xxhash.xxh64_intdigest(line[a:b], 7) for a, b in zip(starts, ends[words - 1:].tolist())], dtype=np.uint64)
-    else:
-        h = np.array([xxhash.xxh64_intdigest(line, 7)] if tokens else [], dtype=np.uint64)
-    least = np.full(BINS, np.iinfo(np.uint64).max, dtype=np.uint64)
-    np.minimum.at(least, (h % np.uint64(BINS)).astype(np.int64), h >> np.uint64(7))
-    return fp, np.where(least == np.iinfo(np.uint64).max, EMPTY, least % np.uint64(EMPTY)).astype(np.uint8).tobytes()
-
-
-def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, distance: int = 10, margin: float = 0.02, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: documents linked whose shingle sets resemble each other by ``similarity`` or more.
-
-    Shingles of several words all change around one edit, so at 0.8 their SimHash already differs in ten to
-    fifteen bits of 64.  Candidates therefore come from the SimHash of the single words, which an edit
-    hardly moves (ten bits keep about 98 % of the pairs at exactly 0.8, and more above), by the same generalised
-    pigeonhole; each candidate is then verified by a sketch of its shingles, whose estimate has a deviation
-    of about 0.035 at 128 bins, ``margin`` to the safe side."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = [sketched(t.as_py(), words) for t in b.column(1)]
-            fps = np.array([g[0] for g in got], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps), pa.array([g[1] for g in got], pa.binary())], names=["doc_id", "fp", "sketch"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long, sketch binary")
-    fps = cut(rows)
-    nodes = cut(fps.groupBy("fp", "sketch").agg(F.min("doc_id").alias("node")))
-    comp = components(links(nodes.where("node is not null"), distance, similarity=similarity - margin))
-    whole = nodes.join(comp, "node", "left").select("fp", "sketch", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(whole, ["fp", "sketch"]).select("doc_id", "component_id")
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, component_id: documents linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+
+    SimHash cannot give these candidates without loss: shingles of several words all change around one edit, and
+    single words change with every added block.  They come from the prefix filter of ``jaccard``, and the
+    links are exact."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    own = cut(jaccard.nodes(rows, words))
+    common = jaccard.common_shingles(rows, own.count(), words)
+    first = cut(jaccard.candidates(rows, words, similarity, common))
+    edges = cut(jaccard.verified(rows, cut(jaccard.possible(first.where("not more"), own, similarity)), words, similarity))
+    comp = components(edges)
+    if first.where("more").limit(1).count():
+        labels = None
+        if comp.count() <= jaccard.LABELS:
+            held = comp.orderBy("node").toPandas()
+            labels = held.node.to_numpy(dtype=np.int64), held.component.to_numpy(dtype=np.int64)
+        rest = cut(jaccard.candidates(rows, words, similarity, common, labels, second=True))
+        more = jaccard.verified(rows, cut(jaccard.possible(rest, own, similarity)), words, similarity)
+        comp = components(edges.union(more))
+    named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
+    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")

@@ -466,3 +466,60 @@ def test_similar_groups_find_small_edits(spark):
             rows.append((10 * i + e, " ".join(u)))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert sum(got[d] == d // 10 * 10 for d, _ in rows) >= 0.98 * len(rows) and all(c // 10 == d // 10 for d, c in got.items())
+
+
+def block_edits():
+    """Pairs of distinct words whose five-word shingles have J of 0.8 to 0.9 after one block is added, removed or replaced,
+    and pairs just below 0.8."""
+    rng, rows, far = np.random.default_rng(11), [], []
+    word = iter(f"w{i}" for i in rng.permutation(2_000_000))
+    fresh = lambda n: [next(word) for _ in range(n)]
+    for i in range(120):
+        t = fresh(404)  # 400 shingles
+        kind, j = i % 4, (0.8, 0.85, 0.9)[i % 3]
+        if kind == 0:
+            u = t + fresh(round(400 / j) - 400)
+        elif kind == 1:
+            u = t[round(400 * (1 - j)):]
+        elif kind == 2:  # n of 400 shingles differ in both: J = (400 - n) / (400 + n)
+            n = int(400 * (1 - j) / (1 + j))
+            u = t[:404 - n] + fresh(n)
+        else:
+            u = t + fresh(102)  # J = 400 / 502
+            far.append(2 * i)
+        rows += [(2 * i, " ".join(t)), (2 * i + 1, " ".join(u))]
+    return rows, far
+
+
+def exact_groups(rows, t=0.8, n=5):
+    sets = [(d, {tuple(x.split()[i:i + n]) for i in range(max(1, len(x.split()) - n + 1))}) for d, x in rows]
+    name = {d: d for d, _ in sets}
+    for a, x in sets:
+        for b, y in sets:
+            if a < b and name[a] != name[b] and 5 * len(x & y) >= 4 * len(x | y):
+                low, high = sorted((name[a], name[b]))
+                name = {d: low if c == high else c for d, c in name.items()}
+    return name
+
+
+def test_similar_groups_are_exact_for_block_edits(spark):
+    rows, far = block_edits()
+    want = exact_groups(rows)
+    assert all(want[d] == d and want[d + 1] == d + 1 for d in far) and sum(want[d] == d - 1 for d in want if d % 2) == 90
+    assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
+
+
+def test_similar_groups_of_a_large_family(spark, monkeypatch):
+    monkeypatch.setattr(simhash.jaccard, "SMALL", 4)
+    monkeypatch.setattr(simhash.jaccard, "TILE", 16)
+    rng, rows = np.random.default_rng(12), []
+    for f in range(3):
+        base = [f"f{f}w{i}" for i in range(200)]
+        for i in range(50):
+            at = int(rng.integers(0, 150))
+            rows.append((100 * f + i, " ".join(base[:at] + [f"x{f}-{i}-{k}" for k in range(int(rng.integers(5, 30)))] + base[at + int(rng.integers(0, 25)):])))
+    want = exact_groups(rows)
+    assert len(set(want.values())) > 3
+    d = spark.createDataFrame(rows + [(None, rows[0][1]), (None, "alone and without an id")], "doc_id long, text string")
+    got = [(r.doc_id, r.component_id) for r in simhash.similar_groups(d).collect()]
+    assert {a: b for a, b in got if a is not None} == want and sorted(str(b) for a, b in got if a is None) == ["0", "None"]
