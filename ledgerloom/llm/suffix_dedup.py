@@ -10,7 +10,7 @@ anchor.  An anchor speaks for the run of strings that elected it.
 1. Each task hashes its documents in chunks with prefix polynomial hashes, elects anchors, and settles runs
    of equal content within the chunk at once: all but those of the smallest id repeat something earlier, and
    of a document's own equal runs the first speaks for the others (texts that repeat a word thousands of times).
-2. What is left (anchor hash, run hash, place: some 20 bytes a run, no text) is dealt by anchor hash.  Runs
+2. What is left (anchor hash, run hash, place: some 26 bytes a run, no text) is dealt by anchor hash.  Runs
    of equal content and a larger id repeat as a whole.  The smallest id's run of each content is only looked
    at further if another content with the same anchor also agrees with it on half of the missing bytes to
    the left or to the right, as any common string must.
@@ -21,7 +21,9 @@ anchor.  An anchor speaks for the run of strings that elected it.
 4. Repeated starts meet their document again, which is cut.
 
 A string that a third of all documents share is settled within chunks first, and then sends one row for
-each chunk.  Equality in step 2 rests on 96 bits of hashes; that in step 3 on the bytes.
+each chunk.  Equality in step 2 rests on 64 bits of the whole run's hash, its length and its place about the anchor
+(and on the anchor's and sides' hashes, which are not independent of these); that in step 3 on the bytes.
+Texts over ``CHUNK`` bytes are cut into pieces that overlap by ``length - 1`` bytes, so each string is in one piece.
 
 Defined results: null text counts as empty; texts shorter than ``length`` stay whole; rows that repeat an
 id are judged as one document (they never remove each other) and give one row each; a null id counts as
@@ -99,7 +101,7 @@ def _runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     return hashes, a, lo, hi, grams[a] >> U64(24)
 
 
-REC = np.dtype([("h", "<u8"), ("k", "<u8"), ("c", "<u2"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
+REC = np.dtype([("h", "<u8"), ("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
 
 
 def _five(x: np.ndarray) -> np.ndarray:
@@ -109,7 +111,7 @@ def _five(x: np.ndarray) -> np.ndarray:
 def _pack_records(h, k, c, doc, table, a, left, span) -> bytes:
     """Columns one after the other; 40 bits of h and k."""
     own, index = np.unique(doc, return_inverse=True)
-    cols = (_five(h), _five(k), c.astype("<u2"), index.astype("<u2"), a.astype("<u4"), left.astype("u1"), span.astype("u1"))
+    cols = (_five(h), _five(k), c.astype("<u8"), index.astype("<u2"), a.astype("<u4"), left.astype("u1"), span.astype("u1"))
     return np.array([len(h), len(own)], dtype="<i8").tobytes() + table[own].astype("<i8").tobytes() + b"".join(x.tobytes() for x in cols)
 
 
@@ -121,7 +123,7 @@ def _read_records(blob: bytes) -> np.ndarray:
         wide = np.zeros((n, 8), dtype=np.uint8)
         wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
         out[name], at = wide.view("<u8").ravel(), at + 5 * n
-    for name, kind in (("c", "<u2"), ("i", "<u2"), ("a", "<u4"), ("left", "u1"), ("span", "u1")):
+    for name, kind in (("c", "<u8"), ("i", "<u2"), ("a", "<u4"), ("left", "u1"), ("span", "u1")):
         col = np.frombuffer(blob, kind, n, at)
         at += col.nbytes
         if name == "i":
@@ -183,7 +185,7 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, g
     for g in np.split(np.arange(len(i)), np.flatnonzero(np.diff(where)) + 1):
         if len(g):
             j = i[g]
-            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], k[j], content[j] >> U64(48), doc[j], table, a[j] - begin[j], left[j], span[j]), b""
+            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], k[j], content[j], doc[j], table, a[j] - begin[j], left[j], span[j]), b""
 
 
 def _starts(lo: np.ndarray, hi: np.ndarray) -> bytes:
@@ -209,11 +211,11 @@ ASK = np.dtype([("h", "<u8"), ("a", "<u4"), ("left", "u1"), ("span", "u1"), ("si
 def _bucket(blobs: list[bytes]) -> Iterator[tuple]:
     """(doc, key, repeated starts, runs to look at) of one bucket's records."""
     t = np.concatenate([_read_records(b) for b in blobs])
-    low = (t["k"] & U64((1 << 16) - 1)) << U64(16) | t["c"]
-    order = np.lexsort((low, t["h"] << U64(24) | t["k"] >> U64(16)))
+    low = (t["k"] & U64((1 << 16) - 1)) << U64(16) | t["left"].astype(U64) << U64(8) | t["span"]
+    order = np.lexsort((t["c"], low, t["h"] << U64(24) | t["k"] >> U64(16)))
     t, low = t[order], low[order]
-    h, k, doc = t["h"], t["k"], t["doc"]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (low[1:] != low[:-1])))
+    h, k, c, doc = t["h"], t["k"], t["c"], t["doc"]
+    new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (c[1:] != c[:-1])))
     heads = np.flatnonzero(new)
     cls = np.cumsum(new) - 1
     later = doc > np.minimum.reduceat(doc, heads)[cls]

@@ -523,3 +523,18 @@ def test_similar_groups_of_a_large_family(spark, monkeypatch):
     d = spark.createDataFrame(rows + [(None, rows[0][1]), (None, "alone and without an id")], "doc_id long, text string")
     got = [(r.doc_id, r.component_id) for r in simhash.similar_groups(d).collect()]
     assert {a: b for a, b in got if a is not None} == want and sorted(str(b) for a, b in got if a is None) == ["0", "None"]
+
+
+def test_suffix_runs_of_other_content_are_not_equal():
+    """Documents that share a passage, their runs at its ends told apart only by bytes far from the anchor."""
+    rng = np.random.default_rng(7)
+    some = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
+    passage = some(60)
+    texts = [some(40) + passage + some(40) for _ in range(3000)]
+    blobs = [r[4] for i, t in enumerate(texts) for r in suffix_dedup._chunk([t], np.array([i]), np.array([i]), 50, 12, 1) if r[4]]
+    first = {}
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 49):
+            first.setdefault(t[s:s + 50], i)
+    wrong = [(i, s) for i, _, starts, _ in suffix_dedup._bucket(blobs) for lo, hi in np.frombuffer(starts, "<i8").reshape(-1, 2).tolist() for s in range(lo, hi + 1) if first[texts[i][s:s + 50]] == i]
+    assert not wrong
