@@ -76,7 +76,7 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all strings inside documents: (hash function, anchor, first start, last start, anchor hash)."""
+    """Anchors of all strings inside documents (fewer than 2**24 bytes): (hash function, anchor, first start, last start, anchor hash)."""
     hashes = Hashes(raw)
     n = max(0, len(raw) - gram + 1)
     at = np.arange(n, dtype=np.int64)
@@ -140,16 +140,17 @@ def _sides(missing: int) -> list[tuple[int, int]]:
     return [(0, missing - p1 + 1), (p1, missing - p2 + 1), (p2, missing - p3 + 1), (p3, 0)]
 
 
-def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, gram: int, buckets: int):
+def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, gram: int, buckets: int, offsets: np.ndarray | None = None):
     """Yields (bucket, doc, key, repeated starts, records, copies) of one chunk of documents (fewer than 65,536).
-    copies: (first start, last start, shift) of runs that repeat an earlier run of their own document."""
+    copies: (first start, last start, shift) of runs that repeat an earlier run of their own document.
+    A text may be a piece of its document that starts at its offset there."""
     raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     hashes, a, lo, hi, h = _runs(raw, ends, length, gram)
     if not len(a):
         return
     doc = np.searchsorted(ends, a, side="right")
-    begin = np.concatenate(([0], ends[:-1]))[doc]
+    begin = (np.concatenate(([0], ends[:-1])) - (0 if offsets is None else offsets))[doc]
     left, span = a - lo, hi - lo
     size = hi + length - lo
     content = _mix(hashes(lo, size) + size.astype(U64) * U64(0x2545F4914F6CDD1D) + left.astype(U64))
@@ -437,24 +438,26 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
     """doc, key, starts, copies: runs of starts (pairs of 64-bit numbers) of strings seen in a smaller id, and the
     document's own copies of its runs; at most two rows a document.  docs: doc, key, text (binary)."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    buckets, chunk = partitions(spark), CHUNK
 
     def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, keys, held = [], [], [], 0
+        texts, ids, keys, offsets, held = [], [], [], [], 0
 
         def done() -> list[tuple]:
-            return list(_chunk(texts, np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), length, gram, buckets))
+            return list(_chunk(texts, np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), length, gram, buckets, np.array(offsets, dtype=np.int64)))
 
         for b in batches:
             for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                text = text.as_py()
-                if held and (held + len(text) > CHUNK or len(texts) > 60_000):
-                    yield _emit(done(), FOUND_NAMES, FOUND_KINDS)
-                    texts, ids, keys, held = [], [], [], 0
-                if len(text) >= length:
+                whole = text.as_py()
+                for at in range(0, len(whole) - length + 1, chunk):
+                    text = whole[at:at + chunk + length - 1]
+                    if held and (held + len(text) > chunk or len(texts) > 60_000):
+                        yield _emit(done(), FOUND_NAMES, FOUND_KINDS)
+                        texts, ids, keys, offsets, held = [], [], [], [], 0
                     texts.append(text)
                     ids.append(doc)
                     keys.append(key)
+                    offsets.append(at)
                     held += len(text)
         if texts:
             yield _emit(done(), FOUND_NAMES, FOUND_KINDS)

@@ -538,3 +538,25 @@ def test_suffix_runs_of_other_content_are_not_equal():
             first.setdefault(t[s:s + 50], i)
     wrong = [(i, s) for i, _, starts, _ in suffix_dedup._bucket(blobs) for lo, hi in np.frombuffer(starts, "<i8").reshape(-1, 2).tolist() for s in range(lo, hi + 1) if first[texts[i][s:s + 50]] == i]
     assert not wrong
+
+
+def test_suffix_very_long_text(spark):
+    """A repeat beyond 2**24 bytes of one text, whose own part of another document's text goes as well."""
+    rng = np.random.default_rng(8)
+    some = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    shared, later = some(300), some(200)
+    long = some((1 << 24) + 5000) + shared + some(3000) + later + some(2000)
+    rows = [(1, "A" + later + "B"), (2, long), (3, "C" + shared + "D")]
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 200, 3: 300}
+
+
+def test_suffix_pieces_of_documents(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    some = lambda n: rng.integers(97, 101, n, dtype=np.uint8).tobytes().decode()
+    bits = [some(int(n)) for n in rng.integers(20, 400, 12)]
+    rows = [(i, some(30).join(bits[k] for k in rng.integers(0, 12, 8))) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(suffix_dedup.remove_repeats(d).collect())
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 90)
+    assert sorted(suffix_dedup.remove_repeats(d).collect()) == want
