@@ -348,7 +348,11 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     own = cut(jaccard.nodes(rows, words))
     common = jaccard.common_shingles(rows, own.count(), words)
     first = cut(jaccard.candidates(rows, words, similarity, common))
-    edges = cut(jaccard.verified(rows, cut(jaccard.possible(first.where("not more"), own, similarity)), words, similarity))
+    pairs = cut(jaccard.possible(first.where("not more"), own, similarity))
+    edges = cut(jaccard.verified(rows, cut(jaccard.best(pairs)), words, similarity))
+    comp = components(edges)
+    pairs = cut(jaccard.across(pairs, comp))
+    edges = cut(edges.union(jaccard.verified(rows, pairs, words, similarity)))
     comp = components(edges)
     if first.where("more").limit(1).count():
         labels = None
@@ -356,7 +360,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
             held = comp.orderBy("node").toPandas()
             labels = held.node.to_numpy(dtype=np.int64), held.component.to_numpy(dtype=np.int64)
         rest = cut(jaccard.candidates(rows, words, similarity, common, labels, second=True))
-        more = jaccard.verified(rows, cut(jaccard.possible(rest, own, similarity)), words, similarity)
+        more = jaccard.verified(rows, cut(jaccard.possible(rest, own, similarity).select("a", "b")), words, similarity)
         comp = components(edges.union(more))
     named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
     return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
