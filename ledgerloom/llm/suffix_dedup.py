@@ -7,22 +7,23 @@ least hash (the first of equals), as its anchor: equal strings elect the same on
 neighbouring strings nearly always share one, so about one position in ``(length - gram) / 2`` is an
 anchor.  An anchor speaks for the run of strings that elected it.
 
-1. Each task hashes its documents in chunks with prefix polynomial hashes, elects anchors, and settles runs
-   of equal content within the chunk at once: all but those of the smallest id repeat something earlier, and
-   of a document's own equal runs the first speaks for the others (texts that repeat a word thousands of times).
-2. What is left (anchor hash, run hash, place: some 26 bytes a run, no text) is dealt by anchor hash.  Runs
-   of equal content and a larger id repeat as a whole.  The smallest id's run of each content is only looked
-   at further if another content with the same anchor also agrees with it on half of the missing bytes to
-   the left or to the right, as any common string must.
-3. Those runs' bytes are dealt by anchor hash, and the suffixes that start strings of these runs are sorted
-   by mergesort.  Two suffixes are compared by binary search for their common extension on prefix hashes
-   and one byte after it; neighbours that hash alike are compared byte by byte, and a collision
-   sends the group to a plain byte sort.  In each class of equal strings, all but the smallest id repeat.
+1. Each task elects the anchors of its documents in chunks and settles equal runs within the chunk: all but those
+   of the smallest id repeat something earlier, and of a document's own equal runs the first speaks for the others
+   (texts that repeat a word thousands of times).
+2. What is left (anchor hash, four hashes of parts of the run about it, place: some 23 bytes a run, no text) is
+   dealt by anchor hash.  A string that two runs share covers one of these four parts as a whole, so runs that agree
+   with no other document on any of them are done with.
+3. The other runs' bytes are dealt by anchor hash, and their suffixes are sorted by mergesort: first whole runs,
+   then, of runs that differ, the strings in them.  Two suffixes are compared by binary search for their common
+   extension on prefix hashes and one byte after it; neighbours that hash alike are compared byte by byte, and a
+   collision sends them to classes by plain bytes.  In each class of equal strings, all but the smallest id repeat.
 4. Repeated starts meet their document again, which is cut.
 
-A string that a third of all documents share is settled within chunks first, and then sends one row for
-each chunk.  Equality in step 2 rests on 64 bits of the whole run's hash, its length and its place about the anchor
-(and on the anchor's and sides' hashes, which are not independent of these); that in step 3 on the bytes.
+Steps 1 and 3 decide by the same suffix order and byte comparison; hashes alone only rule runs out.
+
+Anchors that many documents of a bounded sample share (``SAMPLE`` rows; it only steers cost) are hot: within a chunk
+their runs are also settled string by string, so of a line that a third of all documents share one copy a chunk goes
+on, and their records are dealt by anchor and part instead of anchor alone.
 Texts over ``CHUNK`` bytes are cut into pieces that overlap by ``length - 1`` bytes, so each string is in one piece.
 
 Defined results: null text counts as empty; texts shorter than ``length`` stay whole; rows that repeat an
@@ -33,7 +34,6 @@ larger than any other; an empty table gives an empty result; other columns are n
 from __future__ import annotations
 
 import hashlib
-import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,7 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import cut, partitions
 
-BASE, CHUNK, SUFFIXES, LAST = 0x9E3779B97F4A7C15, 1_500_000, 300_000, (1 << 63) - 1
+BASE, CHUNK, SLICE, LAST = 0x9E3779B97F4A7C15, 1_500_000, 2_000_000, (1 << 63) - 1
+SAMPLE, HOT_SHARE, HOT_LEAST = 4_000, 0.02, 16
+SIDE_BITS = 20
 U64 = np.uint64
 
 
@@ -60,10 +62,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 class Hashes:
     """Prefix polynomial hashes modulo 2**64 of a byte array; the hash of any substring in constant time."""
 
-    def __init__(self, raw: np.ndarray) -> None:
-        up, self.down = _powers(len(raw))
-        self.sums = np.zeros(len(raw) + 1, dtype=U64)
-        np.cumsum((raw.astype(U64) + U64(1)) * up[:-1], out=self.sums[1:], dtype=U64)
+    def __init__(self, raw: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> None:
+        n = len(raw)
+        up, down = powers if powers is not None and len(powers[0]) > n else _powers(n)
+        self.down = down
+        self.sums = np.zeros(n + 1, dtype=U64)
+        np.cumsum((raw.astype(U64) + U64(1)) * up[:n], out=self.sums[1:], dtype=U64)
 
     def __call__(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
         return (self.sums[start + size] - self.sums[start]) * self.down[start]
@@ -75,14 +79,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Anchors of all strings inside documents (fewer than 2**24 bytes): (hash function, anchor, first start, last start, anchor hash)."""
-    hashes = Hashes(raw)
+def _runs(raw: np.ndarray, hashes: Hashes, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """Anchors of all strings inside documents (fewer than 2**24 bytes): (anchor, first start, last start, anchor hash)."""
     n = max(0, len(raw) - gram + 1)
     at = np.arange(n, dtype=np.int64)
-    grams = _mix(hashes(at, gram))
-    key = (grams & ~U64((1 << 24) - 1)) | at.astype(U64)
-    width, low = length - gram + 1, key
+    grams = _mix((hashes.sums[gram:] - hashes.sums[:n]) * hashes.down[:n])
+    low = (grams & ~U64((1 << 24) - 1)) | at.astype(U64)
+    width = length - gram + 1
     step = 1
     while step * 2 <= width:
         low = np.minimum(low[:-step], low[step:])
@@ -98,39 +101,7 @@ def _runs(raw: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np
     new = np.concatenate(([0], np.flatnonzero(np.diff(anchor)) + 1)) if len(s) else np.zeros(0, dtype=np.int64)
     a, lo = anchor[new], s[new]
     hi = s[np.concatenate((new[1:], [len(s)])) - 1] if len(s) else lo
-    return hashes, a, lo, hi, grams[a] >> U64(24)
-
-
-REC = np.dtype([("h", "<u8"), ("k", "<u8"), ("c", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
-
-
-def _five(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5])
-
-
-def _pack_records(h, k, c, doc, table, a, left, span) -> bytes:
-    """Columns one after the other; 40 bits of h and k."""
-    own, index = np.unique(doc, return_inverse=True)
-    cols = (_five(h), _five(k), c.astype("<u8"), index.astype("<u2"), a.astype("<u4"), left.astype("u1"), span.astype("u1"))
-    return np.array([len(h), len(own)], dtype="<i8").tobytes() + table[own].astype("<i8").tobytes() + b"".join(x.tobytes() for x in cols)
-
-
-def _read_records(blob: bytes) -> np.ndarray:
-    n, d = np.frombuffer(blob, "<i8", 2)
-    table = np.frombuffer(blob, "<i8", 2 * d, 16).reshape(d, 2)
-    out, at = np.zeros(n, dtype=REC), 16 + 16 * d
-    for name in ("h", "k"):
-        wide = np.zeros((n, 8), dtype=np.uint8)
-        wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
-        out[name], at = wide.view("<u8").ravel(), at + 5 * n
-    for name, kind in (("c", "<u8"), ("i", "<u2"), ("a", "<u4"), ("left", "u1"), ("span", "u1")):
-        col = np.frombuffer(blob, kind, n, at)
-        at += col.nbytes
-        if name == "i":
-            out["doc"], out["key"] = table[col, 0], table[col, 1]
-        else:
-            out[name] = col
-    return out
+    return a, lo, hi, grams[a] >> U64(24)
 
 
 def _sides(missing: int) -> list[tuple[int, int]]:
@@ -140,122 +111,24 @@ def _sides(missing: int) -> list[tuple[int, int]]:
     return [(0, missing - p1 + 1), (p1, missing - p2 + 1), (p2, missing - p3 + 1), (p3, 0)]
 
 
-def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, length: int, gram: int, buckets: int, offsets: np.ndarray | None = None):
-    """Yields (bucket, doc, key, repeated starts, records, copies) of one chunk of documents (fewer than 65,536).
-    copies: (first start, last start, shift) of runs that repeat an earlier run of their own document.
-    A text may be a piece of its document that starts at its offset there."""
-    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ends = np.cumsum([len(t) for t in texts])
-    hashes, a, lo, hi, h = _runs(raw, ends, length, gram)
-    if not len(a):
-        return
-    doc = np.searchsorted(ends, a, side="right")
-    begin = (np.concatenate(([0], ends[:-1])) - (0 if offsets is None else offsets))[doc]
-    left, span = a - lo, hi - lo
-    size = hi + length - lo
-    content = _mix(hashes(lo, size) + size.astype(U64) * U64(0x2545F4914F6CDD1D) + left.astype(U64))
-    after = hi + length - a - gram
-    k = np.zeros(len(a), dtype=U64)
-    for i, (x, y) in enumerate(_sides(length - gram)):  # ten bits for each side, 0 where the run is too short for it
-        v = _mix(hashes(np.maximum(a - x, 0), np.minimum(gram + x + y, len(raw) - np.maximum(a - x, 0)))) % U64(1023) + U64(1)
-        k |= np.where((left >= x) & (after >= y), v, U64(0)) << U64(10 * i)
-    rank = ids[doc]
-    order = np.argsort(content, kind="stable")
-    cls = content[order]
-    new = np.flatnonzero(np.concatenate(([True], cls[1:] != cls[:-1])))
-    least = np.repeat(np.minimum.reduceat(rank[order], new), np.diff(np.concatenate((new, [len(cls)]))))
-    later = np.zeros(len(a), dtype=bool)
-    later[order] = rank[order] > least
-    # a document's runs of one content share their fate: the first one speaks for them
-    order = np.lexsort((lo, doc, content))
-    twin = np.concatenate(([False], (content[order][1:] == content[order][:-1]) & (doc[order][1:] == doc[order][:-1])))
-    first = np.empty(len(a), dtype=np.int64)
-    first[order] = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(a))))]
-    again = (first != np.arange(len(a))) & ~later
-    i = np.flatnonzero(later | again)
-    for g in np.split(i, np.flatnonzero(np.diff(doc[i])) + 1):
-        if len(g):
-            d, r, q = doc[g[0]], g[later[g]], g[again[g]]
-            copies = np.stack([lo[first[q]] - begin[q], hi[first[q]] - begin[q], lo[q] - lo[first[q]]], axis=1).astype("<i4").tobytes()
-            yield int(keys[d] % buckets), int(ids[d]), int(keys[d]), _starts(lo[r] - begin[r], hi[r] - begin[r]), b"", copies
-    i = np.flatnonzero(~later & ~again)
-    where = (h[i] % U64(buckets)).astype(np.int64)
-    order = np.argsort(where, kind="stable")
-    i, where = i[order], where[order]
-    table = np.stack([ids, keys], axis=1)
-    for g in np.split(np.arange(len(i)), np.flatnonzero(np.diff(where)) + 1):
-        if len(g):
-            j = i[g]
-            yield int(where[g[0]]), None, None, b"", _pack_records(h[j], k[j], content[j], doc[j], table, a[j] - begin[j], left[j], span[j]), b""
-
-
-def _starts(lo: np.ndarray, hi: np.ndarray) -> bytes:
-    """Runs of starts (first, last), joined where they touch; given in ascending order."""
-    if not len(lo):
-        return b""
-    new = np.concatenate(([True], lo[1:] > np.maximum.accumulate(hi)[:-1] + 1))
-    first = lo[new]
-    last = np.maximum.reduceat(hi, np.flatnonzero(new))
-    return np.stack([first, last], axis=1).astype("<i8").tobytes()
-
-
-def _emit(rows: list[tuple], names: tuple[str, ...], kinds: tuple) -> pa.RecordBatch:
-    cols = list(zip(*rows)) if rows else [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=list(names))
-
-
-FOUND, FOUND_NAMES = "bucket int, doc long, key long, starts binary, recs binary, copies binary", ("bucket", "doc", "key", "starts", "recs", "copies")
-FOUND_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-ASK = np.dtype([("h", "<u8"), ("a", "<u4"), ("left", "u1"), ("span", "u1"), ("sides", "u1")])
-
-
-def _bucket(blobs: list[bytes]) -> Iterator[tuple]:
-    """(doc, key, repeated starts, runs to look at) of one bucket's records."""
-    t = np.concatenate([_read_records(b) for b in blobs])
-    low = (t["k"] & U64((1 << 16) - 1)) << U64(16) | t["left"].astype(U64) << U64(8) | t["span"]
-    order = np.lexsort((t["c"], low, t["h"] << U64(24) | t["k"] >> U64(16)))
-    t, low = t[order], low[order]
-    h, k, c, doc = t["h"], t["k"], t["c"], t["doc"]
-    new = np.concatenate(([True], (h[1:] != h[:-1]) | (k[1:] != k[:-1]) | (low[1:] != low[:-1]) | (c[1:] != c[:-1])))
-    heads = np.flatnonzero(new)
-    cls = np.cumsum(new) - 1
-    later = doc > np.minimum.reduceat(doc, heads)[cls]
-    # contents whose anchor has another content that agrees on one side of it
-    hh, look = h[heads], np.zeros(len(heads), dtype=np.uint8)
-    pair = hh[1:] == hh[:-1]
-    many = np.flatnonzero(np.concatenate((pair, [False])) | np.concatenate(([False], pair)))
-    for i in range(4):
-        v = k[heads[many]] >> U64(10 * i) & U64(1023)
-        some = many[v > 0]
-        key = hh[some] << U64(10) | v[v > 0]
-        o = np.argsort(key)
-        same = key[o][1:] == key[o][:-1]
-        look[some[o[1:][same]]] |= 1 << i
-        look[some[o[:-1][same]]] |= 1 << i
-    sides = look[cls]
-    ask = (sides > 0) & ~later
-    pick = np.flatnonzero(later | ask)
-    pick = pick[np.lexsort((t["a"][pick], t["key"][pick], doc[pick]))]
-    who = np.flatnonzero((np.diff(doc[pick]) != 0) | (np.diff(t["key"][pick]) != 0)) + 1
-    start = t["a"].astype(np.int64) - t["left"]
-    for g in np.split(pick, who):
-        if len(g):
-            r, i = g[later[g]], g[ask[g]]
-            wanted = np.zeros(len(i), dtype=ASK)
-            for name in ("h", "a", "left", "span"):
-                wanted[name] = t[name][i]
-            wanted["sides"] = sides[i]
-            yield int(doc[g[0]]), int(t["key"][g[0]]), _starts(start[r], start[r] + t["span"][r]), wanted.tobytes()
+def _side_hashes(hashes: Hashes, at: np.ndarray, left: np.ndarray, span: np.ndarray, length: int, gram: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each side: the runs that reach over it, and the hash of its bytes.  at: anchor positions."""
+    out = []
+    after = length + span - left - gram
+    for x, y in _sides(length - gram):
+        i = np.flatnonzero((left >= x) & (after >= y))
+        out.append((i, _mix(hashes(at[i] - x, gram + x + y))))
+    return out
 
 
 # -- suffix sort ----------------------------------------------------------------------------------
 
-def common_extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+def common_extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: np.ndarray | int) -> np.ndarray:
     """Length of the common prefix of the suffixes at a and b, at most ``most``: binary search on hashes."""
-    out = np.full(len(a), most, dtype=np.int64)
-    part = np.flatnonzero(hashes(a, most) != hashes(b, most))
+    out = np.array(np.broadcast_to(most, a.shape), dtype=np.int64)
+    part = np.flatnonzero(hashes(a, out) != hashes(b, out))
     a, b = a[part], b[part]
-    lo, hi = np.zeros(len(a), dtype=np.int64), np.full(len(a), most - 1, dtype=np.int64)
+    lo, hi = np.zeros(len(a), dtype=np.int64), out[part] - 1
     while (lo < hi).any():
         mid = (lo + hi + 1) // 2
         same = hashes(a, mid) == hashes(b, mid)
@@ -264,9 +137,10 @@ def common_extension(hashes: Hashes, a: np.ndarray, b: np.ndarray, most: int) ->
     return out
 
 
-def sort_suffixes(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
+def sort_suffixes(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: np.ndarray | int) -> np.ndarray:
     """Order of the suffixes by (group, first ``most`` bytes): mergesort in every group at once.  At each
     level a suffix finds its place in the neighbouring run by binary search; equals keep their order."""
+    most = np.broadcast_to(most, starts.shape)
     order = np.argsort(group, kind="stable")
     sizes = np.bincount(group)
     first = np.concatenate(([0], np.cumsum(sizes)[:-1]))[group[order]]
@@ -281,14 +155,14 @@ def sort_suffixes(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np
         lo = (first + sib)[act]
         end = first[act] + np.minimum(sib[act] + run, size[act])
         base, hi = lo.copy(), end
-        me, right = starts[order[act]], (own[act] & 1).astype(bool)
+        me, right, reach = starts[order[act]], (own[act] & 1).astype(bool), most[order[act]]
         live = np.flatnonzero(lo < hi)
         while len(live):
             mid = (lo[live] + hi[live]) // 2
             other = starts[order[mid]]
-            n = common_extension(hashes, me[live], other, most)
+            n = common_extension(hashes, me[live], other, reach[live])
             x, y = raw[np.minimum(other + n, len(raw) - 1)], raw[np.minimum(me[live] + n, len(raw) - 1)]
-            before = np.where(n == most, right[live], x < y)  # the other stands before me
+            before = np.where(n == reach[live], right[live], x < y)  # the other stands before me
             lo[live] = np.where(before, mid + 1, lo[live])
             hi[live] = np.where(before, hi[live], mid)
             live = live[lo[live] < hi[live]]
@@ -301,202 +175,435 @@ def sort_suffixes(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np
     return order
 
 
-def _fine(blobs: list[bytes], length: int, gram: int) -> Iterator[tuple]:
-    """(doc, key, repeated starts) among the runs whose bytes were asked for; whole anchors at a time."""
-    meta, text = [], []
-    for b in blobs:
-        n = int(np.frombuffer(b, "<i8", 1)[0])
-        meta.append(np.frombuffer(b, RUN, n, 8))
-        text.append(b[8 + n * RUN.itemsize:])
-    m = np.concatenate(meta)
-    raw = np.frombuffer(b"".join(text), dtype=np.uint8)
-    base = np.concatenate(([0], np.cumsum(m["span"].astype(np.int64) + length)[:-1]))
-    order = np.argsort(m["h"], kind="stable")
-    m, base = m[order], base[order]
-    ends = np.concatenate((np.flatnonzero(np.diff(m["h"])) + 1, [len(m)]))
-    total = np.cumsum(m["span"].astype(np.int64) + 1)[ends - 1]
-    at = 0
-    while at < len(m):
-        done = total[np.searchsorted(ends, at, side="right") - 1] if at else 0
-        last = max(np.searchsorted(total, done + SUFFIXES, side="right") - 1, np.searchsorted(ends, at, side="right"))
-        part = slice(at, ends[last])
-        size = m["span"][part].astype(np.int64) + length
-        own = np.concatenate([raw[x:x + n] for x, n in zip(base[part].tolist(), size.tolist())])
-        yield from _repeats(m[part], np.concatenate(([0], np.cumsum(size)[:-1])), own, length, gram)
-        at = ends[last]
-
-
-def _repeats(m: np.ndarray, base: np.ndarray, raw: np.ndarray, length: int, gram: int) -> Iterator[tuple]:
-    count = m["span"].astype(np.int64) + 1
-    which = np.repeat(np.arange(len(m)), count)
+def _same_bytes(raw: np.ndarray, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> bool:
+    """Whether the n (8 or more) bytes at a equal those at b, for all pairs; eight bytes at a time."""
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=raw, strides=(1,))
+    for i in range(0, len(a), 200_000):
+        x, y, m = a[i:i + 200_000], b[i:i + 200_000], n[i:i + 200_000]
+        for at in range(0, int(m.max()), 8):
+            k = np.flatnonzero(m > at) if at else slice(None)
+            p = np.minimum(at, m[k] - 8)
+            if not (words[x[k] + p] == words[y[k] + p]).all():
+                return False
+    return True
+
+
+def equal_strings(raw: np.ndarray, hashes: Hashes, starts: np.ndarray, group: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """A class for each suffix: equal where group and the first ``most`` bytes (one number a group) are."""
+    order = sort_suffixes(raw, hashes, starts, group, most)
+    at = np.flatnonzero(group[order[1:]] == group[order[:-1]])
+    a, b, n = starts[order[at + 1]], starts[order[at]], most[order[at]]
+    same = hashes(a, n) == hashes(b, n)
+    alike = np.zeros(len(order) - 1, dtype=bool)
+    alike[at[same]] = True
+    if not same.any() or _same_bytes(raw, a[same], b[same], n[same]):  # collision verification
+        cls = np.empty(len(order), dtype=np.int64)
+        cls[order] = np.concatenate(([0], np.cumsum(~alike)))
+        return cls
+    names: dict[tuple[int, bytes], int] = {}
+    return np.array([names.setdefault((g, raw[s:s + n].tobytes()), len(names)) for g, s, n in zip(group.tolist(), starts.tolist(), most.tolist())], dtype=np.int64)
+
+
+def _partners(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Whether a key also stands in another document."""
+    if not len(key):
+        return np.zeros(0, dtype=bool)
+    order = np.argsort(key)
+    k, d = key[order], doc[order]
+    new = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+    out = np.empty(len(key), dtype=bool)
+    out[order] = np.repeat(np.minimum.reduceat(d, new) != np.maximum.reduceat(d, new), np.diff(np.append(new, len(k))))
+    return out
+
+
+def _later(cls: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    least = np.full(cls.max() + 1, LAST, dtype=np.int64)
+    np.minimum.at(least, cls, doc)
+    return doc > least[cls]
+
+
+def _whole_runs(raw: np.ndarray, hashes: Hashes, h: np.ndarray, base: np.ndarray, left: np.ndarray, span: np.ndarray, length: int) -> np.ndarray:
+    """Class of each run that equals another one (place, length and bytes), -1 for the others."""
+    cls = np.full(len(h), -1, dtype=np.int64)
+    size = span + length
+    place = h << U64(16) | left.astype(U64) << U64(8) | span.astype(U64)
+    content = _mix(hashes(base, size)) ^ _mix(place)
+    order = np.argsort(content)
+    twin = content[order][1:] == content[order][:-1]
+    many = np.sort(order[np.concatenate(([False], twin)) | np.concatenate((twin, [False]))]) if len(h) else order
+    if len(many):
+        _, group = np.unique(place[many], return_inverse=True)
+        cls[many] = equal_strings(raw, hashes, base[many], group, size[many])
+    return cls
+
+
+def _shared_strings(raw: np.ndarray, hashes: Hashes, h: np.ndarray, doc: np.ndarray, base: np.ndarray, left: np.ndarray, span: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """(run, string in it) of strings that runs of a smaller id with the same anchor also hold."""
+    none = np.zeros(0, dtype=np.int64)
+    sides = np.zeros(len(h), dtype=np.uint8)
+    for k, (i, v) in enumerate(_side_hashes(hashes, base + left, left, span, length, gram)):
+        i = i[_partners(v ^ _mix(h[i]), doc[i])]
+        sides[i] |= 1 << k
+    run = np.flatnonzero(sides)
+    if not len(run):
+        return none, none
+    count = span[run].astype(np.int64) + 1
+    which = np.repeat(run, count)
     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    starts = base[which] + inner
-    offset = m["left"][which].astype(np.int64) - inner  # from the string's start to its anchor
-    anchor = np.cumsum(np.concatenate(([0], np.diff(m["h"]) != 0)))
-    # a group: strings of one anchor at one offset, which can only equal each other
-    group = anchor[which] * 512 + offset
+    offset = left[which] - inner  # from the string's start to its anchor
     # a string with so many bytes before its anchor can only be shared on that side
     side = np.searchsorted([x for x, _ in _sides(length - gram)[1:]], offset, side="right").astype(np.uint8)
-    may = m["sides"][which] >> side & 1 > 0
-    held = np.bincount(group[may], minlength=group.max() + 1)
-    keep = np.flatnonzero(may & (held[group] > 1))
+    keep = np.flatnonzero(sides[which] >> side & 1)
+    which, inner, offset = which[keep], inner[keep], offset[keep]
+    place = h[which] << U64(16) | offset.astype(U64)
+    keep = np.flatnonzero(_partners(_mix(hashes(base[which] + inner, length)) ^ _mix(place), doc[which]))
     if not len(keep):
-        return
-    which, inner, starts, group = which[keep], inner[keep], starts[keep], group[keep]
-    group = (np.cumsum(held > 1) - 1)[group]
+        return none, none
+    which, inner, place = which[keep], inner[keep], place[keep]
+    _, group = np.unique(place, return_inverse=True)
+    cls = equal_strings(raw, hashes, base[which] + inner, group, np.full(len(which), length, dtype=np.int64))
+    later = _later(cls, doc[which])
+    return which[later], inner[later]
+
+
+def repeated_strings(raw: np.ndarray, h: np.ndarray, doc: np.ndarray, base: np.ndarray, left: np.ndarray, span: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(run, first, last string) of runs of strings that a smaller id also holds."""
     hashes = Hashes(raw)
-    order = sort_suffixes(raw, hashes, starts, group, length)
-    window = np.lib.stride_tricks.sliding_window_view(raw, length)
-    a, b = starts[order[1:]], starts[order[:-1]]
-    same = group[order[1:]] == group[order[:-1]]
-    alike = same & (hashes(a, length) == hashes(b, length))
-    at, true = np.flatnonzero(alike), True
-    for i in range(0, len(at), 50_000):  # collision verification
-        j = at[i:i + 50_000]
-        true &= bool((window[a[j]] == window[b[j]]).all())
-    if true:
-        cls = np.empty(len(order), dtype=np.int64)
-        cls[order] = np.concatenate(([0], np.cumsum(~alike)))
-    else:
-        whole = np.concatenate([group[:, None].astype(">u8").view(np.uint8).reshape(-1, 8), window[starts]], axis=1)
-        _, cls = np.unique(np.ascontiguousarray(whole).view(np.dtype((np.void, whole.shape[1]))).ravel(), return_inverse=True)
-    doc = m["doc"][which]
-    least = np.full(cls.max() + 1, LAST, dtype=np.int64)
-    np.minimum.at(least, cls, doc)
-    later = doc > least[cls]
-    key, s = m["key"][which][later], m["a"][which][later].astype(np.int64) - m["left"][which][later] + inner[later]
-    doc = doc[later]
-    order = np.lexsort((s, key, doc))
-    doc, key, s = doc[order], key[order], s[order]
-    for g in np.split(np.arange(len(s)), np.flatnonzero((np.diff(doc) != 0) | (np.diff(key) != 0)) + 1):
-        if len(g):
-            yield int(doc[g[0]]), int(key[g[0]]), _starts(s[g], s[g])
+    cls = _whole_runs(raw, hashes, h, base, left, span, length)
+    part = np.flatnonzero(cls >= 0)
+    whole = part[_later(cls[part], doc[part])] if len(part) else part
+    rest = np.ones(len(h), dtype=bool)
+    rest[whole] = False
+    rest = np.flatnonzero(rest)
+    run, inner = _shared_strings(raw, hashes, h[rest], doc[rest], base[rest], left[rest], span[rest], length, gram)
+    return np.concatenate((whole, rest[run])), np.concatenate((np.zeros(len(whole), dtype=np.int64), inner)), np.concatenate((span[whole], inner))
 
 
-RUN = np.dtype([("h", "<u8"), ("doc", "<i8"), ("key", "<i8"), ("a", "<u4"), ("left", "u1"), ("span", "u1"), ("sides", "u1")])
+# -- packed columns ---------------------------------------------------------------------------------
 
+def _five(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5])
 
-def _by_bucket(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[bytes], list[dict]]]:
-    """The blobs of each bucket of a partition sorted by bucket, and rows that only pass through."""
-    now, blobs = None, []
-    for b in batches:
-        rows = b.to_pylist()
-        through = [r for r in rows if not r[column]]
-        if through:
-            yield [], through
-        for r in rows:
-            if r[column]:
-                if r["bucket"] != now and blobs:
-                    yield blobs, []
-                    blobs = []
-                now = r["bucket"]
-                blobs.append(r[column])
-    if blobs:
-        yield blobs, []
-
-
-def _bundle(rows: Iterator[tuple[int, int, bytes, bytes, bytes]], groups: int) -> Iterator[pa.RecordBatch]:
-    """Packs (doc, key, starts, asks, copies) into one blob for each group of documents, about ``BUNDLE`` bytes at a time:
-    what a bucket says about many documents travels as few rows."""
-    held, size = {}, 0
-
-    def out() -> pa.RecordBatch:
-        return _emit([(g, b"".join(x)) for g, x in held.items()], ("g", "blob"), (pa.int32(), pa.binary()))
-
-    for doc, key, *parts in rows:
-        entry = struct.pack(ENTRY, doc, key, *map(len, parts)) + b"".join(parts)
-        held.setdefault(key % groups, []).append(entry)
-        size += len(entry)
-        if size > BUNDLE:
-            yield out()
-            held, size = {}, 0
-    yield out()
-
-
-def _unbundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row a document of this partition's groups."""
-    docs: dict[tuple[int, int], tuple[list[bytes], list[bytes], list[bytes]]] = {}
-    for b in batches:
-        for blob in b.column(1).to_pylist():
-            at = 0
-            while at < len(blob):
-                doc, key, *sizes = struct.unpack_from(ENTRY, blob, at)
-                at += struct.calcsize(ENTRY)
-                for x, n in zip(docs.setdefault((doc, key), ([], [], [])), sizes):
-                    x.append(blob[at:at + n])
-                    at += n
-    names, kinds = ("doc", "key", "starts", "asks", "copies"), (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-    rows = [(d, k, *map(b"".join, x)) for (d, k), x in docs.items()]
-    for i in range(0, len(rows), 5000):
-        yield _emit(rows[i:i + 5000], names, kinds)
 
+class Columns:
+    """Columns one after the other in one blob: (name, kind); "five" keeps 40 bits.  Documents (id, key) are held once
+    a blob, rows point into them."""
+
+    def __init__(self, *fields: tuple[str, str]) -> None:
+        self.fields = fields
+
+    def pack(self, doc: np.ndarray, key: np.ndarray, **cols: np.ndarray) -> bytes:
+        order = np.lexsort((key, doc))
+        new = np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0)))
+        index = np.empty(len(doc), dtype="<u4")
+        index[order] = np.cumsum(new) - 1
+        own = order[new]
+        parts = [np.array([len(doc), len(own)], dtype="<i8"), doc[own].astype("<i8"), key[own].astype("<i8"), index]
+        return b"".join(x.tobytes() for x in (*parts, *(_five(cols[n]) if kind == "five" else cols[n].astype(kind) for n, kind in self.fields)))
+
+    def read(self, blobs: list[bytes]) -> dict[str, np.ndarray]:
+        got: dict[str, list[np.ndarray]] = {n: [] for n in ("doc", "key", *(f for f, _ in self.fields))}
+        for blob in blobs:
+            n, d = np.frombuffer(blob, "<i8", 2).tolist()
+            own, at = np.frombuffer(blob, "<i8", 2 * d, 16).reshape(2, d), 16 + 16 * d
+            index, at = np.frombuffer(blob, "<u4", n, at), at + 4 * n
+            got["doc"].append(own[0][index])
+            got["key"].append(own[1][index])
+            for name, kind in self.fields:
+                if kind == "five":
+                    wide = np.zeros((n, 8), dtype=np.uint8)
+                    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
+                    got[name].append(wide.view("<u8").ravel())
+                    at += 5 * n
+                else:
+                    got[name].append(np.frombuffer(blob, kind, n, at))
+                    at += got[name][-1].nbytes
+        kinds = dict(self.fields) | {"doc": "<i8", "key": "<i8"}
+        return {n: np.concatenate(x) if x else np.zeros(0, dtype="<u8" if kinds[n] == "five" else kinds[n]) for n, x in got.items()}
+
+
+RECORDS = Columns(("h", "five"), ("s0", "<u4"), ("s1", "<u4"), ("s2", "<u4"), ("s3", "<u4"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
+STARTS = Columns(("lo", "<u4"), ("hi", "<u4"))
+COPIES = Columns(("lo", "<u4"), ("hi", "<u4"), ("shift", "<u4"))
+ASKS = Columns(("h", "five"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
+KINDS = {"records": RECORDS, "starts": STARTS, "copies": COPIES, "asks": ASKS}
+
+
+def _deal(kind: str, to: np.ndarray, doc: np.ndarray, key: np.ndarray, **cols: np.ndarray) -> Iterator[tuple[int, str, bytes]]:
+    """(partition, kind, blob) for every partition that rows go to."""
+    order = np.argsort(to, kind="stable")
+    for g in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        if len(g):
+            yield int(to[g[0]]), kind, KINDS[kind].pack(doc[g], key[g], **{n: x[g] for n, x in cols.items()})
 
-ENTRY, BUNDLE, BY_DOC = "<qqiii", 8_000_000, "doc long, key long, starts binary, asks binary, copies binary"
+
+# -- tasks ------------------------------------------------------------------------------------------
+
+def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, offsets: np.ndarray, length: int, gram: int, buckets: int, hot: np.ndarray, powers: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, str, bytes]]:
+    """(partition, kind, blob) of one chunk of texts.  A text may be a piece of its document that starts at its
+    offset there; all places that leave are places in the document."""
+    raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    hashes = Hashes(raw, powers)
+    a, lo, hi, h = _runs(raw, hashes, ends, length, gram)
+    if not len(a):
+        return
+    piece = np.searchsorted(ends, a, side="right")
+    begin = (np.concatenate(([0], ends[:-1])) - offsets)[piece]
+    doc, key, left, span = ids[piece], keys[piece], a - lo, hi - lo
+    home = (key % buckets).astype(np.int64)
+    cls = _whole_runs(raw, hashes, h, lo, left, span, length)
+    part = np.flatnonzero(cls >= 0)
+    later, first = np.zeros(len(a), dtype=bool), np.arange(len(a))
+    if len(part):
+        later[part] = _later(cls[part], doc[part])
+        # a document's own equal runs share their fate: the first one speaks for them
+        order = part[np.lexsort((lo[part] - begin[part], key[part], doc[part], cls[part]))]
+        twin = np.concatenate(([False], (np.diff(cls[order]) == 0) & (np.diff(doc[order]) == 0) & (np.diff(key[order]) == 0)))
+        first[order] = order[np.maximum.accumulate(np.where(twin, 0, np.arange(len(order))))]
+    again = (first != np.arange(len(a))) & ~later
+    i = np.flatnonzero(later)
+    yield from _deal("starts", home[i], doc[i], key[i], lo=lo[i] - begin[i], hi=hi[i] - begin[i])
+    i = np.flatnonzero(again)
+    at, to = lo[first[i]] - begin[first[i]], lo[i] - begin[i]
+    yield from _deal("copies", home[i], doc[i], key[i], lo=at, hi=at + span[i], shift=to - at)
+    live = ~later & ~again
+    warm = np.zeros(len(a), dtype=bool)
+    if len(hot):
+        warm = live & (hot[np.minimum(np.searchsorted(hot, h), len(hot) - 1)] == h)
+        i = np.flatnonzero(warm)
+        run, inner = _shared_strings(raw, hashes, h[i], doc[i], lo[i], left[i], span[i], length, gram)
+        at = lo[i[run]] - begin[i[run]] + inner
+        yield from _deal("starts", home[i[run]], doc[i[run]], key[i[run]], lo=at, hi=at)
+        # what is left of these runs: from their first to their last string that is not settled
+        count = span[i] + 1
+        which, before = np.repeat(np.arange(len(i)), count), np.cumsum(count) - count
+        open_ = np.ones(len(which), dtype=bool)
+        open_[before[run] + inner] = False
+        which, place = which[open_], (np.arange(len(open_)) - np.repeat(before, count))[open_]
+        low, high = np.full(len(i), LAST), np.full(len(i), -1)
+        np.minimum.at(low, which, place)
+        np.maximum.at(high, which, place)
+        live[i[high < 0]] = warm[i[high < 0]] = False
+        i, low, high = i[high >= 0], low[high >= 0], high[high >= 0]
+        lo[i], left[i], span[i] = lo[i] + low, left[i] - low, high - low
+    sides = np.zeros((4, len(a)), dtype=U64)
+    for k, (i, v) in enumerate(_side_hashes(hashes, a, left, span, length, gram)):
+        sides[k, i] = v % U64((1 << SIDE_BITS) - 1) + U64(1)
+    i = np.flatnonzero(live & ~warm)
+    fixed = lambda i: {"h": h[i], "a": a[i] - begin[i], "left": left[i], "span": span[i]}
+    yield from _deal("records", (h[i] % U64(buckets)).astype(np.int64), doc[i], key[i], **fixed(i), **{f"s{k}": sides[k, i] for k in range(4)})
+    for k in range(4):  # of hot anchors, each side goes its own way
+        i = np.flatnonzero(warm & (sides[k] > 0))
+        to = (_mix(h[i] << U64(SIDE_BITS) | sides[k, i]) + U64(k)) % U64(buckets)
+        yield from _deal("records", to.astype(np.int64), doc[i], key[i], **fixed(i), **{f"s{j}": sides[j, i] if j == k else np.zeros(len(i), dtype=U64) for j in range(4)})
+
+
+def _settle(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, str, bytes]]:
+    """The runs of one partition's records that agree with another document's run of their anchor on a side."""
+    t = RECORDS.read(blobs)
+    h, doc = t["h"], t["doc"]
+    some = np.flatnonzero(_partners(h, doc))
+    ask = np.zeros(len(h), dtype=bool)
+    for k in range(4):
+        i = some[t[f"s{k}"][some] > 0]
+        ask[i] |= _partners(h[i] << U64(SIDE_BITS) | t[f"s{k}"][i], doc[i])
+    i = np.flatnonzero(ask)
+    yield from _deal("asks", t["key"][i] % buckets, doc[i], t["key"][i], **{n: t[n][i] for n in ("h", "a", "left", "span")})
+
+
+ROW = np.dtype([("h", "<u8"), ("a", "<u4"), ("left", "u1"), ("span", "u1")])
+RUNS = Columns(("h", "five"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
+
+
+def _binary(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and bytes of a binary column, without a copy."""
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    _, offsets, data = column.buffers()
+    off = np.frombuffer(offsets, kind)[column.offset:column.offset + len(column) + 1].astype(np.int64) if offsets else np.zeros(1, dtype=np.int64)
+    return off, np.frombuffer(data, np.uint8) if data else np.zeros(0, dtype=np.uint8)
+
+
+def _gather(raw: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return raw[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+
+
+def _fine(m: dict[str, np.ndarray], raw: np.ndarray, length: int, gram: int, buckets: int) -> Iterator[tuple[int, str, bytes]]:
+    """Repeated starts among runs (in the order of their bytes in raw); whole anchors, about ``SLICE`` bytes at a time."""
+    size = m["span"].astype(np.int64) + length
+    base = np.cumsum(size) - size
+    order = np.argsort(m["h"], kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(m["h"][order])) + 1, len(order))
+    total = np.cumsum(size[order])[ends - 1]
+    at = done = 0
+    while at < len(order):
+        last = max(int(np.searchsorted(total, done + SLICE, side="right")) - 1, int(np.searchsorted(ends, at, side="right")))
+        i = order[at:ends[last]]
+        own = _gather(raw, base[i], size[i])
+        doc, left, span = m["doc"][i], m["left"][i].astype(np.int64), m["span"][i].astype(np.int64)
+        run, low, high = repeated_strings(own, m["h"][i], doc, np.cumsum(size[i]) - size[i], left, span, length, gram)
+        start = m["a"][i][run].astype(np.int64) - left[run]
+        key = m["key"][i][run]
+        yield from _deal("starts", key % buckets, doc[run], key, lo=start + low, hi=start + high)
+        at, done = int(ends[last]), int(total[last])
+
+
+def _emit(rows: Iterator[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += len(row[2])
+        if size > 8_000_000:
+            yield pa.RecordBatch.from_pydict(dict(zip(("p", "kind", "blob"), map(list, zip(*held)))), schema=DEALT_TYPES)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict(dict(zip(("p", "kind", "blob"), map(list, zip(*held)))), schema=DEALT_TYPES)
+
+
+DEALT, DEALT_TYPES = "p int, kind string, blob binary", pa.schema([("p", pa.int32()), ("kind", pa.string()), ("blob", pa.binary())])
+BY_DOC = "doc long, key long, starts binary, copies binary, asks binary"
+
+
+def _of_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each document of this partition: its repeated starts (joined where they touch), copies and asks."""
+    blobs: dict[str, list[bytes]] = {"starts": [], "copies": [], "asks": []}
+    for b in batches:
+        for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
+            blobs[kind].append(blob)
+    t = {kind: KINDS[kind].read(x) for kind, x in blobs.items()}
+    doc, key = (np.concatenate([x[c] for x in t.values()]) for c in ("doc", "key"))
+    if not len(doc):
+        return
+    order = np.lexsort((key, doc))
+    new = np.concatenate(([True], (np.diff(doc[order]) != 0) | (np.diff(key[order]) != 0)))
+    row = np.empty(len(doc), dtype=np.int64)
+    row[order] = np.cumsum(new) - 1
+    own, n = order[new], int(new.sum())
+    cols, done = [pa.array(doc[own]), pa.array(key[own])], 0
+    for kind, x in t.items():
+        r = row[done:done + len(x["doc"])]
+        done += len(r)
+        if kind == "starts":
+            lo, hi = r << 33 | x["lo"].astype(np.int64), r << 33 | x["hi"].astype(np.int64)
+            o = np.argsort(lo)
+            lo, hi, r = lo[o], hi[o], r[o]
+            first = np.flatnonzero(np.concatenate(([True], lo[1:] > np.maximum.accumulate(hi)[:-1] + 1))) if len(lo) else o
+            mask = (1 << 33) - 1
+            data = np.stack([lo[first] & mask, (np.maximum.reduceat(hi, first) if len(lo) else hi) & mask], axis=1).astype("<u4")
+            r = r[first]
+        elif kind == "copies":
+            o = np.lexsort((x["lo"], r))
+            data, r = np.stack([x[c][o] for c in ("lo", "hi", "shift")], axis=1).astype("<u4"), r[o]
+        else:
+            o = np.lexsort((x["span"], x["left"], x["a"], r))
+            same = [np.diff(c[o].astype(np.int64)) == 0 for c in (r, x["a"], x["left"], x["span"])]
+            o = o[np.concatenate(([True], ~np.logical_and.reduce(same)))] if len(o) else o
+            data, r = np.zeros(len(o), dtype=ROW), r[o]
+            for c in ROW.names:
+                data[c] = x[c][o]
+        width = data.nbytes // max(1, len(data))
+        offsets = np.searchsorted(r, np.arange(n + 1)) * width
+        cols.append(pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary()))
+    whole = pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in BY_DOC.split(", ")])
+    for i in range(0, n, 5000):
+        yield whole.slice(i, 5000)
+
+
+def hot_anchors(docs: DataFrame, length: int, gram: int) -> np.ndarray:
+    """Ascending hashes of anchors that many of a sample's documents hold: at most ``1 / HOT_SHARE`` times the anchors of
+    an average document."""
+    every = max(1, docs.count() // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [np.zeros(0, dtype=U64)]
+            for text in b.column(0):
+                t = text.as_py()
+                for at in range(0, len(t) - length + 1, CHUNK):
+                    raw = np.frombuffer(t[at:at + CHUNK + length - 1], dtype=np.uint8)
+                    own.append(np.unique(_runs(raw, Hashes(raw), np.array([len(raw)]), length, gram)[3]))
+            h, c = np.unique(np.concatenate(own), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(c.astype(np.int64)), pa.array(np.where(np.arange(len(h)) == 0, b.num_rows, 0))], names=["h", "c", "n"])
+
+    counts = cut(docs.where(F.pmod(F.xxhash64("doc"), F.lit(every)) == 0).select("text").mapInArrow(run, "h long, c long, n long"))
+    n = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    held = counts.groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= max(HOT_LEAST, HOT_SHARE * n)).select("h").toPandas()
+    return np.sort(held.h.to_numpy(dtype=np.int64)).astype(U64)
 
 
 def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """doc, key, starts, copies: runs of starts (pairs of 64-bit numbers) of strings seen in a smaller id, and the
+    """doc, key, starts, copies: runs of starts (pairs of 32-bit numbers) of strings seen in a smaller id, and the
     document's own copies of its runs; at most two rows a document.  docs: doc, key, text (binary)."""
     spark = docs.sparkSession
-    buckets, chunk = partitions(spark), CHUNK
+    buckets, chunk, hot = partitions(spark), CHUNK, hot_anchors(docs, length, gram)
 
     def elect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, ids, keys, offsets, held = [], [], [], [], 0
-
-        def done() -> list[tuple]:
-            return list(_chunk(texts, np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), length, gram, buckets, np.array(offsets, dtype=np.int64)))
+        powers = _powers(chunk + length + 1)
 
-        for b in batches:
-            for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                whole = text.as_py()
-                for at in range(0, len(whole) - length + 1, chunk):
-                    text = whole[at:at + chunk + length - 1]
-                    if held and (held + len(text) > chunk or len(texts) > 60_000):
-                        yield _emit(done(), FOUND_NAMES, FOUND_KINDS)
-                        texts, ids, keys, offsets, held = [], [], [], [], 0
-                    texts.append(text)
-                    ids.append(doc)
-                    keys.append(key)
-                    offsets.append(at)
-                    held += len(text)
-        if texts:
-            yield _emit(done(), FOUND_NAMES, FOUND_KINDS)
+        def rows() -> Iterator[tuple]:
+            texts, ids, keys, offsets, held = [], [], [], [], 0
+            done = lambda: _chunk(texts, *(np.array(x, dtype=np.int64) for x in (ids, keys, offsets)), length, gram, buckets, hot, powers)
+            for b in batches:
+                for doc, key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                    whole = text.as_py()
+                    for at in range(0, len(whole) - length + 1, chunk):
+                        text = whole[at:at + chunk + length - 1]
+                        if held and held + len(text) > chunk:
+                            yield from done()
+                            texts, ids, keys, offsets, held = [], [], [], [], 0
+                        texts.append(text)
+                        ids.append(doc)
+                        keys.append(key)
+                        offsets.append(at)
+                        held += len(text)
+            if texts:
+                yield from done()
+        yield from _emit(rows())
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
-            for blobs, through in _by_bucket(batches, "recs"):
-                yield from ((r["doc"], r["key"], r["starts"], b"", r["copies"]) for r in through)
-                if blobs:
-                    yield from ((*x, b"") for x in _bucket(blobs))
-        yield from _bundle(rows(), buckets)
-
-    def by_doc(bundles: DataFrame) -> DataFrame:
-        return bundles.repartition(buckets, "g").mapInArrow(_unbundle, BY_DOC)
-
-    found = cut(by_doc(docs.mapInArrow(elect, FOUND).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(settle, "g int, blob binary")))
+            blobs = []
+            for b in batches:
+                for p, kind, blob in zip(*(b.column(c).to_pylist() for c in ("p", "kind", "blob"))):
+                    if kind == "records":
+                        blobs.append(blob)
+                    else:
+                        yield p, kind, blob
+            yield from _settle(blobs, buckets)
+        yield from _emit(rows())
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            by: dict[int, tuple] = {}
-            for r in b.to_pylist():
-                q = np.frombuffer(r["asks"], dtype=ASK)
-                m = np.zeros(len(q), dtype=RUN)
-                for k in ASK.names:
-                    m[k] = q[k]
-                m["doc"], m["key"] = r["doc"], r["key"]
-                lo = q["a"].astype(np.int64) - q["left"]
-                for i, (at, n, bucket) in enumerate(zip(lo.tolist(), q["span"].tolist(), (q["h"] % U64(buckets)).tolist())):
-                    x = by.setdefault(bucket, ([], []))
-                    x[0].append(m[i:i + 1].tobytes())
-                    x[1].append(r["text"][at:at + n + length])
-            yield _emit([(k, len(x[0]).to_bytes(8, "little") + b"".join(x[0]) + b"".join(x[1])) for k, x in by.items()], ("bucket", "runs"), (pa.int32(), pa.binary()))
+            doc, key = (b.column(c).to_numpy() for c in ("doc", "key"))
+            off, raw = _binary(b.column("text"))
+            at, data = _binary(b.column("asks"))
+            q = np.frombuffer(data[at[0]:at[-1]].tobytes(), dtype=ROW)
+            which = np.repeat(np.arange(b.num_rows), np.diff(at) // ROW.itemsize)
+            base = off[which] + q["a"] - q["left"]
+            size = q["span"].astype(np.int64) + length
+            to = (q["h"] % U64(buckets)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            ps, blobs, parts = [], [], []
+            for g in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+                if len(g):
+                    ps.append(int(to[g[0]]))
+                    blobs.append(RUNS.pack(doc[which[g]], key[which[g]], **{c: q[c][g] for c in ROW.names}))
+                    parts.append(_gather(raw, base[g], size[g]).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary()), pa.array(parts, pa.binary())], names=["p", "blob", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _bundle(((d, k, s, b"", b"") for blobs, _ in _by_bucket(batches, "runs") for d, k, s in _fine(blobs, length, gram)), buckets)
+        blobs, parts = [], []
+        for b in batches:
+            blobs += b.column("blob").to_pylist()
+            parts += b.column("part").to_pylist()
+        if blobs:
+            yield from _emit(_fine(RUNS.read(blobs), np.frombuffer(b"".join(parts), dtype=np.uint8), length, gram, buckets))
 
+    dealt = lambda df: df.repartitionById(buckets, "p")
+    found = cut(dealt(dealt(docs.mapInArrow(elect, DEALT)).mapInArrow(settle, DEALT)).mapInArrow(_of_documents, BY_DOC))
     asks = found.where("length(asks) > 0").select("doc", "key", "asks")
-    fine = by_doc(docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "bucket int, runs binary")
-                  .repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(compare, "g int, blob binary"))
+    runs = dealt(docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "p int, blob binary, part binary"))
+    fine = dealt(runs.mapInArrow(compare, DEALT)).mapInArrow(_of_documents, BY_DOC)
     return found.where("length(starts) > 0 or length(copies) > 0").select("doc", "key", "starts", "copies").union(fine.select("doc", "key", "starts", "copies"))
 
 
@@ -518,8 +625,8 @@ def _with_copies(s: np.ndarray, copies: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the remaining bytes)."""
-    if not 4 <= gram <= length <= 255:
-        raise ValueError("4 <= gram <= length <= 255")
+    if not 4 <= gram <= length <= 255 or length < 8:
+        raise ValueError("4 <= gram <= length, 8 <= length <= 255")
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
     starts = repeated_starts(rows, length, gram).groupBy("doc", "key").agg(F.collect_list("starts").alias("starts"), F.collect_list("copies").alias("copies"))
@@ -535,7 +642,8 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: st
                 t = t.as_py()
                 kept, spans = t, 0
                 if found and any(found):
-                    s = _with_copies(np.frombuffer(b"".join(found), "<i8").reshape(-1, 2), np.frombuffer(b"".join(copies), "<i4").reshape(-1, 3).astype(np.int64))
+                    s, c = (np.frombuffer(b"".join(x), "<u4").reshape(-1, k).astype(np.int64) for x, k in ((found, 2), (copies, 3)))
+                    s = _with_copies(s, c)
                     s = s[np.argsort(s[:, 0], kind="stable")]
                     lo, hi = s[:, 0], np.maximum.accumulate(s[:, 1] + length)
                     new = np.concatenate(([True], lo[1:] > hi[:-1]))
@@ -543,6 +651,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 12, id_col: st
                     kept = b"".join(t[x:y] for x, y in zip([0, *end], [*begin, len(t)]))
                     spans = len(begin)
                 rows.append((None if doc == LAST else doc, len(t), len(t) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)[: len(names)])
-            yield _emit(rows, tuple(names), tuple(kinds))
+            cols = list(zip(*rows)) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=names)
 
     return rows.join(starts.hint("shuffle_hash"), ["doc", "key"], "left").select("doc", "text", "starts", "copies").mapInArrow(finish, schema)

@@ -102,12 +102,46 @@ def test_suffix_sort_orders_like_plain_sort():
 
 
 def test_hash_collisions_fall_back_to_bytes(monkeypatch):
-    """With a hash that always agrees, neighbours are told apart by their bytes."""
+    """With a hash that always agrees, suffixes are told apart by their bytes."""
     monkeypatch.setattr(suffix_dedup.Hashes, "__call__", lambda self, start, size: np.zeros(len(start), dtype=np.uint64))
-    m = np.zeros(2, dtype=suffix_dedup.RUN)
-    m["doc"], m["key"], m["sides"], m["h"] = [1, 2], [1, 2], 15, 7
-    raw = np.frombuffer(b"aaaaaaaaaaaaaaaaaaaabaaaaaaaaaaaaaaaaaaa", dtype=np.uint8)
-    assert list(suffix_dedup._repeats(m, np.array([0, 20]), raw, 20, 5)) == []
+    raw = np.frombuffer(b"aaaaaaaaaaaaaaaaaaaabaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", dtype=np.uint8)
+    cls = suffix_dedup.equal_strings(raw, suffix_dedup.Hashes(raw), np.array([0, 20, 40]), np.zeros(3, dtype=np.int64), np.full(3, 20))
+    assert cls[0] == cls[2] != cls[1]
+
+
+def test_suffix_order_decides(spark, sf, monkeypatch):
+    """Without the classes of the suffix sort nothing is removed."""
+    d = docs(spark, sf)
+    assert sum(r.n_removed for r in suffix_dedup.remove_repeats(d).collect()) > 0
+    monkeypatch.setattr(suffix_dedup, "equal_strings", lambda raw, hashes, starts, group, most: np.arange(len(starts)))
+    assert sum(r.n_removed for r in suffix_dedup.remove_repeats(d).collect()) == 0
+
+
+def test_suffix_hot_anchors_change_nothing(spark, monkeypatch):
+    """A line that a third of all documents hold, with other text before and after it, and anchors dealt both ways."""
+    rng = np.random.default_rng(21)
+    some = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes().decode()
+    line = some(90)
+    rows = [(i, some(60) + line + some(60) if i % 3 == 0 else some(200)) for i in range(240)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least, chunk in ((4, 3000), (10**9, 3000), (4, 1_500_000)):
+        monkeypatch.setattr(suffix_dedup, "HOT_LEAST", least)
+        monkeypatch.setattr(suffix_dedup, "CHUNK", chunk)
+        assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(d).collect()} == brute_repeats(rows, 50)
+
+
+def test_suffix_awkward(spark, awkward):
+    """Null and empty texts stay empty, rows that repeat an id are one document, a null id is larger than all, other columns
+    are not looked at, an empty table gives an empty result."""
+    ids = {r: i for i, r in enumerate(sorted({r.doc_id for r in awkward.collect() if r.doc_id is not None}))}
+    rows = [(10**9 if r.doc_id is None else r.doc_id, r.text) for r in awkward.collect()]
+    got = suffix_dedup.remove_repeats(awkward).collect()
+    assert len(got) == len(rows) and set(ids) <= {r.doc_id for r in got}
+    want = brute_repeats(rows, 50)
+    assert {(10**9 if r.doc_id is None else r.doc_id): (r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert suffix_dedup.remove_repeats(awkward.limit(0)).count() == 0
+    late = spark.createDataFrame([(None, "x" + LONG[:300]), (5, "y" + LONG[:300]), (5, "z" + LONG[:300])], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.n_removed) for r in suffix_dedup.remove_repeats(late).collect()) == [("5", 0), ("5", 0), ("None", 300)]
 
 
 # -- 2 ---------------------------------------------------------------------------------------------
@@ -525,19 +559,15 @@ def test_similar_groups_of_a_large_family(spark, monkeypatch):
     assert {a: b for a, b in got if a is not None} == want and sorted(str(b) for a, b in got if a is None) == ["0", "None"]
 
 
-def test_suffix_runs_of_other_content_are_not_equal():
+def test_suffix_runs_of_other_content_are_not_equal(spark):
     """Documents that share a passage, their runs at its ends told apart only by bytes far from the anchor."""
     rng = np.random.default_rng(7)
     some = lambda n: rng.integers(97, 123, n, dtype=np.uint8).tobytes()
     passage = some(60)
     texts = [some(40) + passage + some(40) for _ in range(3000)]
-    blobs = [r[4] for i, t in enumerate(texts) for r in suffix_dedup._chunk([t], np.array([i]), np.array([i]), 50, 12, 1) if r[4]]
-    first = {}
-    for i, t in enumerate(texts):
-        for s in range(len(t) - 49):
-            first.setdefault(t[s:s + 50], i)
-    wrong = [(i, s) for i, _, starts, _ in suffix_dedup._bucket(blobs) for lo, hi in np.frombuffer(starts, "<i8").reshape(-1, 2).tolist() for s in range(lo, hi + 1) if first[texts[i][s:s + 50]] == i]
-    assert not wrong
+    rows = list(enumerate(t.decode() for t in texts))
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert {r.doc_id: (r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute_repeats(rows, 50)
 
 
 def test_suffix_very_long_text(spark):
