@@ -10,7 +10,7 @@ anchor.  An anchor speaks for the run of strings that elected it.
 1. Each task elects the anchors of its documents in chunks and settles equal runs within the chunk: all but those
    of the smallest id repeat something earlier, and of a document's own equal runs the first speaks for the others
    (texts that repeat a word thousands of times).
-2. What is left (anchor hash, four hashes of parts of the run about it, place: some 23 bytes a run, no text) is
+2. What is left (anchor hash, four hashes of parts of the run about it, place: some 25 bytes a run, no text) is
    dealt by anchor hash.  A string that two runs share covers one of these four parts as a whole, so runs that agree
    with no other document on any of them are done with.
 3. The other runs' bytes are dealt by anchor hash, and their suffixes are sorted by mergesort: first whole runs,
@@ -285,6 +285,15 @@ def _five(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5])
 
 
+def _squeeze(data: bytes) -> bytes:
+    """zstd at its fastest level, after the size."""
+    return len(data).to_bytes(8, "little") + pa.Codec("zstd", 1).compress(data, asbytes=True)
+
+
+def _unsqueeze(blob: bytes) -> bytes:
+    return pa.Codec("zstd", 1).decompress(memoryview(blob)[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+
+
 class Columns:
     """Columns one after the other in one blob: (name, kind); "five" keeps 40 bits.  Documents (id, key) are held once
     a blob, rows point into them."""
@@ -299,11 +308,11 @@ class Columns:
         index[order] = np.cumsum(new) - 1
         own = order[new]
         parts = [np.array([len(doc), len(own)], dtype="<i8"), doc[own].astype("<i8"), key[own].astype("<i8"), index]
-        return b"".join(x.tobytes() for x in (*parts, *(_five(cols[n]) if kind == "five" else cols[n].astype(kind) for n, kind in self.fields)))
+        return _squeeze(b"".join(x.tobytes() for x in (*parts, *(_five(cols[n]) if kind == "five" else cols[n].astype(kind) for n, kind in self.fields))))
 
     def read(self, blobs: list[bytes]) -> dict[str, np.ndarray]:
         got: dict[str, list[np.ndarray]] = {n: [] for n in ("doc", "key", *(f for f, _ in self.fields))}
-        for blob in blobs:
+        for blob in map(_unsqueeze, blobs):
             n, d = np.frombuffer(blob, "<i8", 2).tolist()
             own, at = np.frombuffer(blob, "<i8", 2 * d, 16).reshape(2, d), 16 + 16 * d
             index, at = np.frombuffer(blob, "<u4", n, at), at + 4 * n
@@ -322,7 +331,7 @@ class Columns:
         return {n: np.concatenate(x) if x else np.zeros(0, dtype="<u8" if kinds[n] == "five" else kinds[n]) for n, x in got.items()}
 
 
-RECORDS = Columns(("h", "five"), ("s0", "<u4"), ("s1", "<u4"), ("s2", "<u4"), ("s3", "<u4"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
+RECORDS = Columns(("h", "five"), ("s01", "five"), ("s23", "five"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
 STARTS = Columns(("lo", "<u4"), ("hi", "<u4"))
 COPIES = Columns(("lo", "<u4"), ("hi", "<u4"), ("shift", "<u4"))
 ASKS = Columns(("h", "five"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
@@ -392,11 +401,15 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, offsets: np.nd
         sides[k, i] = v % U64((1 << SIDE_BITS) - 1) + U64(1)
     i = np.flatnonzero(live & ~warm)
     fixed = lambda i: {"h": h[i], "a": a[i] - begin[i], "left": left[i], "span": span[i]}
-    yield from _deal("records", (h[i] % U64(buckets)).astype(np.int64), doc[i], key[i], **fixed(i), **{f"s{k}": sides[k, i] for k in range(4)})
+    yield from _deal("records", (h[i] % U64(buckets)).astype(np.int64), doc[i], key[i], **fixed(i), **_pairs(sides[:, i]))
     for k in range(4):  # of hot anchors, each side goes its own way
         i = np.flatnonzero(warm & (sides[k] > 0))
         to = (_mix(h[i] << U64(SIDE_BITS) | sides[k, i]) + U64(k)) % U64(buckets)
-        yield from _deal("records", to.astype(np.int64), doc[i], key[i], **fixed(i), **{f"s{j}": sides[j, i] if j == k else np.zeros(len(i), dtype=U64) for j in range(4)})
+        yield from _deal("records", to.astype(np.int64), doc[i], key[i], **fixed(i), **_pairs(sides[:, i] * (np.arange(4) == k).astype(U64)[:, None]))
+
+
+def _pairs(sides: np.ndarray) -> dict[str, np.ndarray]:
+    return {f"s{k}{k + 1}": sides[k] | sides[k + 1] << U64(SIDE_BITS) for k in (0, 2)}
 
 
 def _settle(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, str, bytes]]:
@@ -406,8 +419,9 @@ def _settle(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, str, bytes]
     some = np.flatnonzero(_partners(h, doc))
     ask = np.zeros(len(h), dtype=bool)
     for k in range(4):
-        i = some[t[f"s{k}"][some] > 0]
-        ask[i] |= _partners(h[i] << U64(SIDE_BITS) | t[f"s{k}"][i], doc[i])
+        side = t["s01" if k < 2 else "s23"][some] >> U64(k % 2 * SIDE_BITS) & U64((1 << SIDE_BITS) - 1)
+        i = some[side > 0]
+        ask[i] |= _partners(h[i] << U64(SIDE_BITS) | side[side > 0], doc[i])
     i = np.flatnonzero(ask)
     yield from _deal("asks", t["key"][i] % buckets, doc[i], t["key"][i], **{n: t[n][i] for n in ("h", "a", "left", "span")})
 
@@ -588,7 +602,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
                 if len(g):
                     ps.append(int(to[g[0]]))
                     blobs.append(RUNS.pack(doc[which[g]], key[which[g]], **{c: q[c][g] for c in ROW.names}))
-                    parts.append(_gather(raw, base[g], size[g]).tobytes())
+                    parts.append(_squeeze(_gather(raw, base[g], size[g]).tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(ps, pa.int32()), pa.array(blobs, pa.binary()), pa.array(parts, pa.binary())], names=["p", "blob", "part"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -597,7 +611,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
             blobs += b.column("blob").to_pylist()
             parts += b.column("part").to_pylist()
         if blobs:
-            yield from _emit(_fine(RUNS.read(blobs), np.frombuffer(b"".join(parts), dtype=np.uint8), length, gram, buckets))
+            yield from _emit(_fine(RUNS.read(blobs), np.frombuffer(b"".join(map(_unsqueeze, parts)), dtype=np.uint8), length, gram, buckets))
 
     dealt = lambda df: df.repartitionById(buckets, "p")
     found = cut(dealt(dealt(docs.mapInArrow(elect, DEALT)).mapInArrow(settle, DEALT)).mapInArrow(_of_documents, BY_DOC))
