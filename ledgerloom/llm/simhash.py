@@ -348,19 +348,21 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     own = cut(jaccard.nodes(rows, words))
     common = jaccard.common_shingles(rows, own.count(), words)
     first = cut(jaccard.candidates(rows, words, similarity, common))
-    pairs = cut(jaccard.possible(first.where("not more"), own, similarity))
-    edges = cut(jaccard.verified(rows, cut(jaccard.best(pairs)), words, similarity))
-    comp = components(edges)
-    pairs = cut(jaccard.across(pairs, comp))
-    edges = cut(edges.union(jaccard.verified(rows, pairs, words, similarity)))
+
+    def linked(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
+        """edges and the links among pairs that join different components of them."""
+        pairs = cut(jaccard.possible(pairs, own, similarity))
+        sure = pairs.where("sure").select("a", "b")
+        edges = sure if edges is None else edges.union(sure)
+        open_ = cut(jaccard.across(pairs.where("not sure"), components(edges)))
+        edges = cut(edges.union(jaccard.verified(rows, own, cut(jaccard.best(open_)), words, similarity)))
+        open_ = cut(jaccard.across(open_, components(edges)))
+        return cut(edges.union(jaccard.verified(rows, own, open_.select("a", "b"), words, similarity)))
+
+    edges = linked(first.where("n is null").select("a", "b"), None)
     comp = components(edges)
-    if first.where("more").limit(1).count():
-        labels = None
-        if comp.count() <= jaccard.LABELS:
-            held = comp.orderBy("node").toPandas()
-            labels = held.node.to_numpy(dtype=np.int64), held.component.to_numpy(dtype=np.int64)
-        rest = cut(jaccard.candidates(rows, words, similarity, common, labels, second=True))
-        more = jaccard.verified(rows, cut(jaccard.possible(rest, own, similarity).select("a", "b")), words, similarity)
-        comp = components(edges.union(more))
+    posts = first.where("n is not null")
+    if posts.limit(1).count():
+        comp = components(linked(jaccard.across_groups(posts, comp, similarity), edges))
     named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
     return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
