@@ -224,6 +224,49 @@ def test_site_tree_removes_what_a_site_repeats(spark):
     assert {r.page_id: r.text for r in html_main.main_text(p).collect()} == {i: f"Story {i} alpha{i} More {i} beta{i}" for i in range(30)}
 
 
+def test_site_tree_decides_inside_articles(spark):
+    """A share box without a telling class stands in every article; only the tree can tell it."""
+    page = "<html><body><article><h1>Story {i}</h1><p>alpha{i} beta{i}</p><div class='q7'><span>Tell your friends</span></div></article></body></html>"
+    p = spark.createDataFrame([(i, f"https://s.example/{i}", page.replace("{i}", str(i))) for i in range(40)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_main.main_text(p).collect()} == {i: f"Story {i} alpha{i} beta{i}" for i in range(40)}
+    few = {r.page_id: r.text for r in html_main.main_text(p.limit(3)).collect()}  # three pages say too little
+    assert all(x.endswith("Tell your friends") for x in few.values())
+
+
+def test_without_the_tree_nothing_goes(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    got = {r.page_id: r.text for r in html_main.main_text(p).collect()}
+    off = {r.page_id: r.text for r in html_main.main_text(p, least=0.0).collect()}
+    assert sum(got[k] != off[k] for k in got) == len(got)
+
+
+def test_site_tree_equals_brute_force(spark, sf):
+    p = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "regexp_extract(url, '://([^/]*)', 1) AS host", "html")
+    seen = defaultdict(lambda: [Counter(), Counter(), 0])  # node -> child sequences, texts, pages
+    for host, page in {(r.host, r.html) for r in p.collect()}:
+        found, children = html_main.nodes(page)
+        for node in {n for n, _ in found}:
+            x = seen[host, node]
+            x[0][" ".join(children[node])] += 1
+            x[1].update({t for n, t in found if n == node})
+            x[2] += 1
+    got = {(r.host, r.path): r for r in html_main.site_tree(p).collect()}
+    assert set(got) == set(seen)
+    for (host, node), (shapes, texts, m) in seen.items():
+        entropy = -sum(k / m * math.log(k / m, m) for k in shapes.values()) if m > 1 else 1.0
+        content = sum(k * (1 - math.log(k, m)) for k in texts.values()) / sum(texts.values()) if m > 1 else 1.0
+        drawn = [(html_main.PRIOR + m * max(0.0, e)) / (html_main.PRIOR + m) for e in (entropy, content)]
+        want = html_main.weight(node) * ((1 - html_main.GAMMA) * drawn[0] + html_main.GAMMA * drawn[1])
+        assert got[host, node].pages == m and abs(got[host, node].importance - want) < 1e-9
+
+
+def test_many_removed_branches_are_joined(spark, sf, monkeypatch):
+    p = spark.read.parquet(f"{sf}/pages.parquet")
+    want = sorted(html_main.main_text(p).collect())
+    monkeypatch.setattr(html_main, "BROADCAST_BYTES", 0)
+    assert sorted(html_main.main_text(p).collect()) == want
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain &amp; simple", "plain & simple"), ("<p>a<b>b</b>c</p><p>d", "abc d"), ("<script>var x='</p>'; if (a<b) {}</script><p>t</p>", "t"), ("<p>x</p><script>never closed <p>gone</p>", "x"),
     ("<article><p>in</p><aside>ad</aside><div id='comments'>c</div></article><p>out</p>", "in"), ("<nav>n</nav><header>h</header><p>t</p><footer>f</footer><form><p>q</p></form>", "t"),
