@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,8 @@ def shared_dir(spark: SparkSession) -> str:
             sc.setCheckpointDir(folder)
         return folder
     own = sc.getCheckpointDir()
+    if own is None and not sc.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     if own is None:
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-ckpt-"))
         own = sc.getCheckpointDir()
@@ -33,6 +36,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Asks for the shuffle files of lineage that a checkpoint has cut to go now: Spark removes them once the driver's
+    JVM happens to collect its garbage, and until then they fill the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

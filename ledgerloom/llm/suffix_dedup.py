@@ -10,7 +10,7 @@ anchor.  An anchor speaks for the run of strings that elected it.
 1. Each task elects the anchors of its documents in chunks and settles equal runs within the chunk: all but those
    of the smallest id repeat something earlier, and of a document's own equal runs the first speaks for the others
    (texts that repeat a word thousands of times).
-2. What is left (anchor hash, four hashes of parts of the run about it, place: some 25 bytes a run, no text) is
+2. What is left (anchor hash, four hashes of parts of the run about it, place: some 21 bytes a run, no text) is
    dealt by anchor hash.  A string that two runs share covers one of these four parts as a whole, so runs that agree
    with no other document on any of them are done with.
 3. The other runs' bytes are dealt by anchor hash, and their suffixes are sorted by mergesort: first whole runs,
@@ -41,11 +41,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, partitions
+from .common import cut, partitions, release
 
 BASE, CHUNK, SLICE, LAST = 0x9E3779B97F4A7C15, 1_500_000, 2_000_000, (1 << 63) - 1
 SAMPLE, HOT_SHARE, HOT_LEAST = 4_000, 0.02, 16
-SIDE_BITS = 20
+SIDE_BITS = 12
 U64 = np.uint64
 
 
@@ -281,8 +281,11 @@ def repeated_strings(raw: np.ndarray, h: np.ndarray, doc: np.ndarray, base: np.n
 
 # -- packed columns ---------------------------------------------------------------------------------
 
-def _five(x: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :5])
+NARROW = {"five": 5, "six": 6}
+
+
+def _narrow(x: np.ndarray, width: int) -> np.ndarray:
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(len(x), 8)[:, :width])
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -295,7 +298,7 @@ def _unsqueeze(blob: bytes) -> bytes:
 
 
 class Columns:
-    """Columns one after the other in one blob: (name, kind); "five" keeps 40 bits.  Documents (id, key) are held once
+    """Columns one after the other in one blob: (name, kind); "five" and "six" keep so many bytes.  Documents (id, key) are held once
     a blob, rows point into them."""
 
     def __init__(self, *fields: tuple[str, str]) -> None:
@@ -308,7 +311,7 @@ class Columns:
         index[order] = np.cumsum(new) - 1
         own = order[new]
         parts = [np.array([len(doc), len(own)], dtype="<i8"), doc[own].astype("<i8"), key[own].astype("<i8"), index]
-        return _squeeze(b"".join(x.tobytes() for x in (*parts, *(_five(cols[n]) if kind == "five" else cols[n].astype(kind) for n, kind in self.fields))))
+        return _squeeze(b"".join(x.tobytes() for x in (*parts, *(_narrow(cols[n], NARROW[kind]) if kind in NARROW else cols[n].astype(kind) for n, kind in self.fields))))
 
     def read(self, blobs: list[bytes]) -> dict[str, np.ndarray]:
         got: dict[str, list[np.ndarray]] = {n: [] for n in ("doc", "key", *(f for f, _ in self.fields))}
@@ -319,19 +322,19 @@ class Columns:
             got["doc"].append(own[0][index])
             got["key"].append(own[1][index])
             for name, kind in self.fields:
-                if kind == "five":
-                    wide = np.zeros((n, 8), dtype=np.uint8)
-                    wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * n, at).reshape(n, 5)
+                if kind in NARROW:
+                    width, wide = NARROW[kind], np.zeros((n, 8), dtype=np.uint8)
+                    wide[:, :width] = np.frombuffer(blob, np.uint8, width * n, at).reshape(n, width)
                     got[name].append(wide.view("<u8").ravel())
-                    at += 5 * n
+                    at += width * n
                 else:
                     got[name].append(np.frombuffer(blob, kind, n, at))
                     at += got[name][-1].nbytes
         kinds = dict(self.fields) | {"doc": "<i8", "key": "<i8"}
-        return {n: np.concatenate(x) if x else np.zeros(0, dtype="<u8" if kinds[n] == "five" else kinds[n]) for n, x in got.items()}
+        return {n: np.concatenate(x) if x else np.zeros(0, dtype="<u8" if kinds[n] in NARROW else kinds[n]) for n, x in got.items()}
 
 
-RECORDS = Columns(("h", "five"), ("s01", "five"), ("s23", "five"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
+RECORDS = Columns(("h", "five"), ("sides", "six"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
 STARTS = Columns(("lo", "<u4"), ("hi", "<u4"))
 COPIES = Columns(("lo", "<u4"), ("hi", "<u4"), ("shift", "<u4"))
 ASKS = Columns(("h", "five"), ("a", "<u4"), ("left", "u1"), ("span", "u1"))
@@ -401,15 +404,15 @@ def _chunk(texts: list[bytes], ids: np.ndarray, keys: np.ndarray, offsets: np.nd
         sides[k, i] = v % U64((1 << SIDE_BITS) - 1) + U64(1)
     i = np.flatnonzero(live & ~warm)
     fixed = lambda i: {"h": h[i], "a": a[i] - begin[i], "left": left[i], "span": span[i]}
-    yield from _deal("records", (h[i] % U64(buckets)).astype(np.int64), doc[i], key[i], **fixed(i), **_pairs(sides[:, i]))
+    yield from _deal("records", (h[i] % U64(buckets)).astype(np.int64), doc[i], key[i], **fixed(i), sides=_packed(sides[:, i]))
     for k in range(4):  # of hot anchors, each side goes its own way
         i = np.flatnonzero(warm & (sides[k] > 0))
         to = (_mix(h[i] << U64(SIDE_BITS) | sides[k, i]) + U64(k)) % U64(buckets)
-        yield from _deal("records", to.astype(np.int64), doc[i], key[i], **fixed(i), **_pairs(sides[:, i] * (np.arange(4) == k).astype(U64)[:, None]))
+        yield from _deal("records", to.astype(np.int64), doc[i], key[i], **fixed(i), sides=sides[k, i] << U64(k * SIDE_BITS))
 
 
-def _pairs(sides: np.ndarray) -> dict[str, np.ndarray]:
-    return {f"s{k}{k + 1}": sides[k] | sides[k + 1] << U64(SIDE_BITS) for k in (0, 2)}
+def _packed(sides: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduce([s << U64(k * SIDE_BITS) for k, s in enumerate(sides)])
 
 
 def _settle(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, str, bytes]]:
@@ -419,7 +422,7 @@ def _settle(blobs: list[bytes], buckets: int) -> Iterator[tuple[int, str, bytes]
     some = np.flatnonzero(_partners(h, doc))
     ask = np.zeros(len(h), dtype=bool)
     for k in range(4):
-        side = t["s01" if k < 2 else "s23"][some] >> U64(k % 2 * SIDE_BITS) & U64((1 << SIDE_BITS) - 1)
+        side = t["sides"][some] >> U64(k * SIDE_BITS) & U64((1 << SIDE_BITS) - 1)
         i = some[side > 0]
         ask[i] |= _partners(h[i] << U64(SIDE_BITS) | side[side > 0], doc[i])
     i = np.flatnonzero(ask)
@@ -615,6 +618,7 @@ def repeated_starts(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     dealt = lambda df: df.repartitionById(buckets, "p")
     found = cut(dealt(dealt(docs.mapInArrow(elect, DEALT)).mapInArrow(settle, DEALT)).mapInArrow(_of_documents, BY_DOC))
+    release(spark)
     asks = found.where("length(asks) > 0").select("doc", "key", "asks")
     runs = dealt(docs.join(asks.hint("shuffle_hash"), ["doc", "key"]).mapInArrow(fetch, "p int, blob binary, part binary"))
     fine = dealt(runs.mapInArrow(compare, DEALT)).mapInArrow(_of_documents, BY_DOC)
