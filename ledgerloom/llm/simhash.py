@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, partitions
+from .common import cut, partitions, release
 
 BITS, TILE, SAMPLE = 64, 2048, 1000
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
@@ -348,6 +348,7 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     own = cut(jaccard.nodes(rows, words))
     common = jaccard.common_shingles(rows, own.count(), words)
     first = cut(jaccard.candidates(rows, words, similarity, common))
+    release(docs.sparkSession)
 
     def linked(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
         """edges and the links among pairs that join different components of them."""
