@@ -22,7 +22,10 @@ FORMAT = "ledger-raw-v1"
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one that the session names; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-ledger-")
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file://" + tempfile.mkdtemp(prefix="spark-ledger-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
