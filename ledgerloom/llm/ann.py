@@ -15,7 +15,8 @@ are follows from the rows alone.  The work per query follows the number of
 vectors; with random directions in some 60 dimensions, fewer candidates would miss the recall of 0.9.
 
 Ties go to the smaller id, also among candidates of equal distance.  Defined results: vectors that are
-null, empty, all zero, of another length than the first pivot, or hold nulls or non-finite numbers, take no part,
+null, empty, all zero, of another length than most (of equally common lengths, the least), or hold nulls or non-finite
+numbers, take no part,
 neither do null ids; rows that repeat an id are candidates of their own, the query's own id is never
 one; an empty table gives an empty result; other columns are not looked at.
 """
@@ -97,19 +98,18 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = P
     """query_id, rank, vec_id, score for the rows whose id is divisible by ``every``, against all rows."""
     spark = vectors.sparkSession
     rows = usable(vectors, id_col, vector_col)
+    common = rows.groupBy(F.size("v").alias("width")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "width").first()
+    if common is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    rows = rows.where(F.size("v") == common.width)
     # bounded: four times the pivots, as equal vectors are one pivot
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if not some:
-        return spark.createDataFrame([], schema)
-    width = len(some[0].v)
-    unit = np.array([r.v for r in some if len(r.v) == width], dtype=np.float64)
+    unit = np.array([r.v for r in some], dtype=np.float64)
     unit /= np.linalg.norm(unit, axis=1, keepdims=True)
     _, first = np.unique(unit, axis=0, return_index=True)
     base = unit[np.sort(first)][:pivots]
     used = min(depth, len(base))
 
-    rows = rows.where(F.size("v") == width)
     n = rows.agg(F.count("*"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()
     groups = max(-(-n[0] // GROUP), min(12, -(-2 * n[0] // BLOCK)), 1)  # by rows alone; a few tasks for small tables
     query_blocks = max(1, -(-n[1] // BLOCK))
