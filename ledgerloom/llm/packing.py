@@ -10,9 +10,10 @@ attention of n tokens to themselves).  Per window of about ``window`` tokens:
 * what is left over (less than one sequence) opens the next window.
 
 The last few tokens of a task are cut into sequences whose lengths are powers of two, which need no
-padding.  Ids are those of the byte-level BPE vocabulary at ``vocab`` (ranks file), one end id closes each
-document.  A word with the space before it is a unit of the vocabulary's split pattern, so words are
-looked up in a bounded cache; texts with any other white space are encoded as one string.
+padding.  Ids are those that ``tokenizers`` gives for the byte-level BPE vocabulary at ``vocab`` (its JSON file),
+added tokens in a text included; one end id closes each document.  A text is cut at added tokens; between them a
+word with the space before it is a unit of the vocabulary's split pattern, so words are looked up in a bounded cache, and
+pieces with any other white space are encoded as one string.
 
 Defined results: a null text counts as empty (one end id); rows that repeat an id are packed as documents
 of their own; a null id is kept; very long texts are cut like others; an empty table gives an
@@ -21,7 +22,8 @@ empty result; other columns are not looked at.
 
 from __future__ import annotations
 
-import base64
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -38,18 +40,34 @@ CACHE = 300_000
 def default_vocab() -> tuple[str, str]:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
+
+
+def byte_letters() -> dict[str, int]:
+    """The byte that each letter of a byte-level vocabulary stands for: printable Latin-1 stands for itself, the other bytes
+    for the letters from 256 on, in order."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = (b for b in range(256) if b not in set(plain))
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 class Words(dict):
-    """word -> its ids as little-endian unsigned 32-bit; the word follows a space unless a newline starts it."""
+    """word -> its ids as little-endian unsigned 32-bit; the word follows a space unless a newline starts it.
+    Added tokens of the vocabulary file are found wherever they stand, the longest of those that start first."""
 
     def __init__(self, vocab: str, pattern: str) -> None:
         import tiktoken
 
-        with open(vocab, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        with open(vocab, encoding="utf-8") as f:
+            held = json.load(f)
+        added = {x["content"]: x["id"] for x in held.get("added_tokens") or ()}
+        if any(x.get(k) for x in held.get("added_tokens") or () for k in ("single_word", "lstrip", "rstrip", "normalized")) or held.get("normalizer"):
+            raise ValueError("only added tokens that are matched as they stand, and no normalizer")
+        letters = byte_letters()
+        ranks = {bytes(letters[c] for c in w): i for w, i in held["model"]["vocab"].items() if w not in added}
         self.encode = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.added = {k: np.array([i], dtype="<u4").tobytes() for k, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
 
     def whole(self, text: str) -> bytes:
         return np.array(self.encode(text), dtype="<u4").tobytes()
@@ -61,6 +79,11 @@ class Words(dict):
         return ids
 
     def ids(self, text: str) -> bytes:
+        if self.cut and any(a in text for a in self.added):
+            return b"".join(self.added[x] if x in self.added else self.plain(x) for x in self.cut.split(text) if x)
+        return self.plain(text)
+
+    def plain(self, text: str) -> bytes:
         parts = text.replace("\n", " \n").split(" ")
         if len(parts) != len(text.split()) or "" in parts or "\n" in parts:
             return self.whole(text)
