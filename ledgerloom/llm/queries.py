@@ -67,8 +67,8 @@ WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
 d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha256(payload) AS payload_digest FROM p),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-       CASE WHEN payload_bytes >= 100 AND first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN payload_bytes >= 100 AND first < page_id THEN first END AS refers_to
+       CASE WHEN payload_bytes >= 100 AND (first < page_id OR page_id IS NULL AND first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND (first < page_id OR page_id IS NULL AND first IS NOT NULL) THEN first END AS refers_to
 FROM f
 """
 

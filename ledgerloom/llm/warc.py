@@ -3,7 +3,7 @@
 Writing.  Of records with equal payloads of at least ``least`` bytes the smallest page id is a response and
 the others are revisits that refer to it; smaller payloads are always responses.  Each task writes one
 archive of gzip members, one a record.  The records' lines (capture key, archive, place, size) are dealt by ranges
-of the key (host name reversed, path, page id) and sorted; each task writes one index of them: blocks of
+of the key (host name reversed, path, page id, digest of the payload) and sorted; each task writes one index of them: blocks of
 ``block`` lines, each compressed by itself, then a sparse directory (first key, place and size of every block)
 and its place.
 Files are named by the attempt that writes them and renamed when whole, and lines name their file, so a lost
@@ -14,10 +14,12 @@ by binary search there, its block by binary search in that file's directory, its
 the block, and then reads just the record's bytes.  Revisits follow their reference the same way.
 Lookups are dealt by the same ranges and sorted, so a task reads few directories and each block once.
 
+Tasks open the folder by pyarrow, whose names of object stores are used for Hadoop's (``s3a://`` is ``s3://``); hdfs needs
+libhdfs on the executors.
+
 Defined results: null html counts as empty; a null url is the key of an empty host; rows that repeat a page
-id are archived one by one under the same key and are read back as the first of them (equal rows give
-equal results); a null page id is skipped by the index and the read, as no key could name it; an empty
-table gives an empty result; other columns are not looked at.
+id are archived and read back one by one, as their payloads are part of the key; a null page id counts as larger than
+any other and gives a row too; an empty table gives an empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from urllib.parse import quote
 import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, partitions, shared_dir
@@ -43,24 +45,39 @@ from .common import cut, partitions, shared_dir
 EPOCH = "2024-01-01T00:00:00Z"  # captures carry no time of their own
 
 
-def capture_key(url: str | Column, page_id: str | Column) -> Column:
-    """Reversed host, then the rest of the URL, then the page id: sorts a site's captures together."""
-    u, p = (F.col(x) if isinstance(x, str) else x for x in (url, page_id))
+def store_uri(folder: str) -> str:
+    """pyarrow's name of a folder that Hadoop names."""
+    scheme, mark, rest = folder.partition("://")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + mark + rest
+
+
+def open_folder(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(store_uri(folder))
+
+
+def capture_key(url: str | Column, page_id: str | Column, digest: str | Column) -> Column:
+    """Reversed host, then the rest of the URL, then page id and payload digest: sorts a site's captures together."""
+    u, p, d = (F.col(x) if isinstance(x, str) else x for x in (url, page_id, digest))
     u = F.coalesce(u, F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rest = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[\x00-\x20]", "+")
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest, F.lit(" "), F.format_string("%020d", p))
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest, F.lit(" "), F.coalesce(F.format_string("%020d", p), F.lit("-")), F.lit(" "), F.substring(d, 1, 32))
+
+
+def keyed(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
+    """page_id, url, payload, digest."""
+    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
 
 
 def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, digest, refers_to (page id) and refers_url: which record each page becomes."""
-    payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
-    rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url"), payload.alias("payload"),
-                        F.sha2(payload, 256).alias("digest")).where("page_id is not null")
+    rows = keyed(pages, id_col, url_col, html_col)
     # only groups with more than one record of some size travel to the join
-    first = (rows.where(F.length("payload") >= least).groupBy("digest")
-             .agg(F.min(F.struct("page_id", "url")).alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first"))
-    later = F.col("first.page_id") < F.col("page_id")
+    named = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))
+    first = (rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
+             .where("n > 1 and first is not null").select("digest", "first"))
+    later = (F.col("first.page_id") < F.col("page_id")) | (F.col("first").isNotNull() & F.col("page_id").isNull())
     return rows.join(first.hint("shuffle_hash"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(later, F.col("first.page_id")).alias("refers_to"),
                                                      F.when(later, F.col("first.url")).alias("refers_url"))
 
@@ -68,7 +85,7 @@ def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: s
 def _record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
     uri = url if url and url.isascii() and not any(c <= " " for c in url) else quote(url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    head = [("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri}')}>"),
+    head = [("WARC-Type", "revisit" if refers_to is not None else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'{page_id} {uri} {digest}')}>"),
             ("WARC-Date", EPOCH), ("WARC-Target-URI", uri), ("WARC-Payload-Digest", f"sha256:{digest}")]
     if refers_to is None:
         body = http + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
@@ -76,7 +93,7 @@ def _record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int
         body = http + b"\r\n"
         head += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
                  ("WARC-Refers-To-Target-URI", quote(refers_url or "about:blank", safe=":/?#[]@!$&'()*+,;=%~")), ("X-Refers-To-Page", str(refers_to))]
-    head += [("X-Page", str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
+    head += [("X-Page", "-" if page_id is None else str(page_id)), ("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(body)))]
     return b"WARC/1.1\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head) + b"\r\n" + body + b"\r\n\r\n"
 
 
@@ -98,7 +115,7 @@ def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
     kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string()]
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = open_folder(folder)
         task = TaskContext.get()
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.warc.gz"
         out, at, lines = None, 0, []
@@ -117,7 +134,7 @@ def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*lines), kinds)], names=names)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pafs.FileSystem.from_uri(folder)
+        fs, root = open_folder(folder)
         task = TaskContext.get()
         name = f"index-{task.partitionId():06d}-{task.taskAttemptId()}.cdx"
         out, where, n, first, lines, directory = None, 0, 0, "", [], []
@@ -147,8 +164,8 @@ def write(records: DataFrame, folder: str, block: int = 200) -> DataFrame:
             fs.move(f"{root}/{name}.part", f"{root}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([first]), pa.array([n], pa.int64())], names=["file", "first_key", "records"])
 
-    keyed = records.withColumn("key", capture_key("url", "page_id")).withColumn("refers_key", F.when(F.col("refers_to").isNotNull(), capture_key("refers_url", "refers_to")))
-    lines = cut(keyed.select("key", "page_id", "url", "payload", "digest", "refers_to", "refers_url", "refers_key")
+    named = records.withColumn("key", capture_key("url", "page_id", "digest")).withColumn("refers_key", F.when(F.col("refers_to").isNotNull(), capture_key("refers_url", "refers_to", "digest")))
+    lines = cut(named.select("key", "page_id", "url", "payload", "digest", "refers_to", "refers_url", "refers_key")
                 .mapInArrow(archive, "key string, file string, at long, size long, refers_key string"))
     return lines.repartitionByRange(partitions(spark), "key").sortWithinPartitions("key").mapInArrow(index, "file string, first_key string, records long")
 
@@ -157,7 +174,7 @@ class Reader:
     """Looks captures up in the files of ``folder``; holds a few directories, blocks and payload sizes."""
 
     def __init__(self, folder: str, files: list[tuple[str, str]]) -> None:
-        self.fs, self.root = pafs.FileSystem.from_uri(folder)
+        self.fs, self.root = open_folder(folder)
         self.firsts, self.names = [k for k, _ in files], [f for _, f in files]
         self.kept: OrderedDict = OrderedDict()
 
@@ -233,7 +250,7 @@ def read(lookups: DataFrame, folder: str, files: list[tuple[str, str]]) -> DataF
                     size, digest = reader.full(reader.find(key)[3])
                 else:
                     size, digest = len(payload), hashlib.sha256(payload).hexdigest()
-                if fields["WARC-Payload-Digest"] != f"sha256:{digest}" or int(fields["X-Page"]) != page_id:
+                if fields["WARC-Payload-Digest"] != f"sha256:{digest}" or fields["X-Page"] != ("-" if page_id is None else str(page_id)):
                     raise ValueError(f"capture {key} does not hold what its header says")
                 rows.append((page_id, size, digest, kind, refers))
             cols = list(zip(*rows)) if rows else [()] * 5
@@ -243,11 +260,19 @@ def read(lookups: DataFrame, folder: str, files: list[tuple[str, str]]) -> DataF
     return lookups.repartitionByRange(n, "key").sortWithinPartitions("key").select("page_id", "key").mapInArrow(run, schema)
 
 
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def round_trip(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Archives the pages in the shared folder and reads every one of them back."""
-    folder = f"{shared_dir(pages.sparkSession).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    """Archives the pages in the shared folder, reads every one of them back, and removes the archives; ``write`` keeps them."""
+    spark = pages.sparkSession
+    folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     files = cut(write(plan(pages, least, id_col, url_col, html_col), folder))
     index = sorted((r.first_key, r.file) for r in files.collect())  # one row a file
-    lookups = pages.select(F.col(id_col).cast("long").alias("page_id"), F.coalesce(F.col(url_col), F.lit("")).alias("url")).where("page_id is not null")
-    return read(lookups.select("page_id", capture_key("url", "page_id").alias("key")), folder, index)
+    lookups = keyed(pages, id_col, url_col, html_col).select("page_id", capture_key("url", "page_id", "digest").alias("key"))
+    result = cut(read(lookups, folder, index))
+    remove(spark, folder)
+    return result
