@@ -1,19 +1,20 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Five transducers read the words of a clause: insults and threats put a mark, with a weight, where a word
-of the lexicon starts; targets remember that the clause names a person; negation holds for the next few
-words; reported speech holds to the end of the clause.  They are composed once into one deterministic
-machine whose output at an insult or threat says which of target, negation and report hold there, and a
-document's score sums, over its clauses, word weight times pattern weight of every output.  A word alone
-is thus worth less where it is denied or quoted, and more where it is aimed at somebody.
+Five transducers read the symbols of a clause's words: the insult and the threat transducer say that a word of their lexicon
+stands here, the target transducer that the clause names a person, the negation transducer holds for the next few
+words, the reported-speech transducer to the end of the clause.  They are composed into one deterministic machine;
+where it is in a state of an insult or a threat it puts out a mark with what the others say there (what names a
+person may also follow, so marks leave at the end of their clause), and a document's score sums, over its clauses,
+word weight times pattern weight of every mark.  A word alone is thus worth less where it is denied or quoted, and
+more where it is aimed at somebody.
 
 The lexicon holds fixed words in four languages and stems learned from labelled rows: a word's first 4 to
 8 letters, or the whole word, is a stem if documents labelled 1 have it far more often than others
-(a likelihood ratio that chance over all candidates would not reach).  Learning uses at most
-``LABELS_1`` rows labelled 1 and ``LABELS_0`` others, taken in the order of a hash of their ids, less near
-copies; three quarters give stems and pattern weights, the rest the monotone map from summed weight to
-probability.  Documents are scanned by an Aho-Corasick machine; only those with a hit run the grammar, over
-their whole text.
+(a likelihood ratio that chance over all candidates would not reach); candidates are counted and chosen in Spark, only
+chosen stems reach the driver.  Learning uses at most ``LABELS_1`` rows labelled 1 and ``LABELS_0`` others, taken in the
+order of a hash of their ids, less near copies; of the three residues of crc32(id) modulo 4 that may be read, two give
+stems and pattern weights, the third the monotone map from summed weight to probability.  Documents are scanned by
+an Aho-Corasick machine; only those with a hit run the grammar, over their whole text.
 
 Defined results: a null or empty text has no matches and the score of such; without labels of both kinds
 the fixed words alone decide; rows that repeat an id give one row each; repeated labels of an id count as
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from .common import crc_mod, cut
 from .quality import isotonic
 
-LABELS_1, LABELS_0, CANDIDATES, PREFIXES = 4000, 8000, 200_000, range(4, 9)
+LABELS_1, LABELS_0, PREFIXES, HELD = 4000, 8000, range(4, 9), 200_000
 TOP, STEP = 60.0, 0.1  # summed weights are binned for calibration
 
 # Words of everyday abuse and of the patterns around it.
@@ -81,6 +82,12 @@ class Transducer:
         return Transducer(step, flag)
 
 
+def _mark(symbol: int) -> Transducer:
+    """Says so right after the symbol."""
+    row = [int(s == symbol) for s in range(7)]
+    return Transducer([row, row], [(False,), (True,)])
+
+
 def _sticky(symbol: int) -> Transducer:
     """Set by the symbol until the clause ends."""
     rows = [[int(s == symbol) for s in range(7)], [int(s != END) for s in range(7)]]
@@ -90,13 +97,17 @@ def _sticky(symbol: int) -> Transducer:
 def _window(symbol: int, words: int) -> Transducer:
     """Set for the given number of words after the symbol; the end of the clause clears it."""
     rows = []
-    for left in range(words + 1):
-        rows.append([words if s == symbol else 0 if s == END else max(0, left - 1) for s in range(7)])
-    return Transducer(rows, [(left > 0,) for left in range(words + 1)])
+    for left in range(words + 2):
+        rows.append([words + 1 if s == symbol else 0 if s == END else max(0, left - 1) for s in range(7)])
+    return Transducer(rows, [(left > 0,) for left in range(words + 2)])
 
 
 def grammar() -> Transducer:
-    return _sticky(TARGET).compose(_window(NEGATION, 3)).compose(_sticky(REPORT))
+    """Flags: insult, threat, target, negated, reported."""
+    whole = _mark(INSULT)
+    for part in (_mark(THREAT), _sticky(TARGET), _window(NEGATION, 3), _sticky(REPORT)):
+        whole = whole.compose(part)
+    return whole
 
 
 GRAMMAR = grammar()
@@ -132,22 +143,19 @@ class Scanner:
         low = text.lower()
         if not len(self.machine) or next(self.machine.iter(low), None) is None:
             return []
-        found, state, known, step, flag = [], 0, CONTEXT, GRAMMAR.step, GRAMMAR.flag
-        marks: list[tuple[int, float, bool, int]] = []
+        marks, clause, state, known, step, flag = [], [], 0, CONTEXT, GRAMMAR.step, GRAMMAR.flag
         for m in TOKEN.finditer(low):
-            t = m[0]
+            t, w = m[0], 0.0
             symbol = known.get(t, OTHER)
             if symbol == OTHER and (w := self.weight(t)):
-                found.append((t in THREAT_SET, state, w))
-            elif symbol == TARGET and found:
-                # a target after the word still names the clause's target
-                found = [(a, step[s][TARGET] if s >= 0 and not flag[s][0] else s, w) for a, s, w in found]
-            elif symbol == END and found:
-                marks += [(a, *flag[s], w) for a, s, w in found]
-                found = []
+                symbol = THREAT if t in THREAT_SET else INSULT
+            if symbol == END and clause:
+                marks += [((threat, flag[state][2], negated, reported), w) for (_, threat, _, negated, reported), w in clause]
+                clause = []
             state = step[state][symbol]
-        marks += [(a, *flag[s], w) for a, s, w in found]
-        return [((m[0], m[1], m[2], m[3]), m[4]) for m in marks]
+            if flag[state][0] or flag[state][1]:
+                clause.append((flag[state], w))
+        return marks + [((threat, flag[state][2], negated, reported), w) for (_, threat, _, negated, reported), w in clause]
 
     def total(self, text: str | None) -> float:
         return sum(self.patterns[p] * w for p, w in self.outputs(text or ""))
@@ -190,19 +198,51 @@ def _stems_of(text: str) -> set[str]:
     return out
 
 
-def _count(rows: DataFrame, only: frozenset[str] | None) -> DataFrame:
+def _count(rows: DataFrame) -> DataFrame:
     """stem, n: the documents of rows (text) that hold it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["stem", "n"])
+
         for b in batches:
             for t in b.column(0).to_pylist():
-                s = _stems_of(t or "")
-                seen.update(s if only is None else s & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["stem", "n"])
+                seen.update(_stems_of(t or ""))
+                if len(seen) > HELD:
+                    yield out()
+                    seen.clear()
+        yield out()
 
     return rows.select("text").mapInArrow(run, "stem string, n long").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
+def chosen_stems(teach: DataFrame, n1: int, n0: int) -> list:
+    """stem, odds of the stems that documents labelled 1 have far more often; teach: y, text."""
+    ones = cut(_count(teach.where("y = 1")).where("n >= 3").select("stem", F.col("n").alias("t")))
+    t, c, p = F.col("t"), F.coalesce("c", F.lit(0)), n1 / (n1 + n0)
+    n = t + c
+    gain = t * F.log(t / (n * p)) + F.when(c > 0, c * F.log(c / (n * (1 - p)))).otherwise(0.0)
+    odds = F.log((t + 0.5) / (n1 + 1)) - F.log((c + 0.5) / (n0 + 1))
+    zeros = _count(teach.where("y = 0")).select("stem", F.col("n").alias("c"))
+    return (ones.join(zeros, "stem", "left").select("stem", gain.alias("gain"), odds.alias("odds"))
+            .where((F.col("odds") > 1.5) & (F.col("gain") > float(np.log(ones.count() + 1)))).select("stem", "odds").collect())
+
+
+def fixed_counts(teach: DataFrame) -> dict[tuple[str, int], int]:
+    """Documents by (fixed word, label)."""
+    fixed = frozenset((*INSULTS, *THREATS))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for b in batches:
+            for y, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                seen.update((w, y) for w in fixed.intersection(TOKEN.findall((t or "").lower())))
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["word", "y", "n"])
+
+    return {(r.word, r.y): r.n for r in teach.select("y", "text").mapInArrow(run, "word string, y int, n long").groupBy("word", "y").agg(F.sum("n").alias("n")).collect()}
+
+
 def learn(rows: DataFrame, counts: dict[int, int]) -> tuple[Scanner, np.ndarray, np.ndarray]:
     """rows: doc_id, y, text.  The scanner, and the knots of the map from summed weight to probability."""
     teach, test = rows.where(crc_mod("doc_id", 4) != 3), rows.where(crc_mod("doc_id", 4) == 3)
@@ -210,19 +250,11 @@ def learn(rows: DataFrame, counts: dict[int, int]) -> tuple[Scanner, np.ndarray,
     words = {w: 4.0 for w in (*INSULTS, *THREATS)}
     stems: dict[str, float] = {}
     if n1 and n0:
-        common = _count(teach.where("y = 1"), None).where(F.col("n") >= 3).orderBy(F.desc("n"), "stem").limit(CANDIDATES).collect()
-        ones = {r.stem: r.n for r in common}
-        zeros = {r.stem: r.n for r in _count(teach.where("y = 0"), frozenset([*ones, *[f"{w}$" for w in words]])).collect()}
-        p, need = n1 / (n1 + n0), np.log(len(ones) + 1)
-        for s, t in ones.items():
-            c = zeros.get(s, 0)
-            n = t + c
-            gain = t * np.log(t / (n * p)) + (c * np.log(c / (n * (1 - p))) if c else 0.0)
-            odds = float(np.log((t + 0.5) / (n1 + 1)) - np.log((c + 0.5) / (n0 + 1)))
-            if odds > 1.5 and gain > need:
-                (words if s.endswith("$") else stems)[s.removesuffix("$")] = min(odds, 7.0)
+        for r in chosen_stems(teach, n1, n0):
+            (words if r.stem.endswith("$") else stems)[r.stem.removesuffix("$")] = min(r.odds, 7.0)
+        seen_words = fixed_counts(teach)
         for w in (*INSULTS, *THREATS):  # a fixed word that clean documents use as often loses its weight
-            t, c = ones.get(f"{w}$", 0), zeros.get(f"{w}$", 0)
+            t, c = seen_words.get((w, 1), 0), seen_words.get((w, 0), 0)
             if c:
                 words[w] = float(max(0.0, np.log((t + 2.0) / (n1 + 2)) - np.log((c + 0.1) / (n0 + 2))))
         words = {w: v for w, v in words.items() if v > 0.5}

@@ -317,9 +317,9 @@ def auc(score, y):
     return (order[y == 1].sum() - n1 * (n1 - 1) / 2) / (n1 * (len(y) - n1))
 
 
-@pytest.mark.parametrize("op,label,least", [(queries.op6_toxicity, "toxic", 0.75), (queries.op7_quality, "quality", 0.97)])
-def test_held_out_rows_are_told_apart(spark, sf, op, label, least):
-    big = sf.replace("0.001", "0.01")
+@pytest.mark.parametrize("op,label,size,least", [(queries.op6_toxicity, "toxic", "0.1", 0.92), (queries.op7_quality, "quality", "0.01", 0.97)])
+def test_held_out_rows_are_told_apart(spark, sf, op, label, size, least):
+    big = sf.replace("0.001", size)
     got = op(spark, big).toPandas().merge(spark.read.parquet(f"{big}/labels.parquet").toPandas(), on="doc_id")
     fold = np.array([zlib.crc32(str(i).encode()) for i in got.doc_id]) % (4 if label == "toxic" else 5)
     assert ((fold == (2 if label == "toxic" else 0)) == got.held_out).all() and got.score.between(0, 1).all() and ((got.score >= 0.3) == (got.predicted == 1)).all()
@@ -344,7 +344,26 @@ def test_grammar_weighs_target_negation_and_report():
 
 def test_composition_is_the_product():
     g = toxicity.GRAMMAR
-    assert len(g.step) == 2 * 4 * 2 and all(len(r) == 7 and max(r) < len(g.step) for r in g.step)
+    # insult and threat exclude each other, and a word of theirs can't open the full window of a negation
+    assert len(g.step) == (1 * 2 * 5 + 2 * 2 * 4) * 2 and all(len(r) == 7 and max(r) < len(g.step) for r in g.step)
+    rng = np.random.default_rng(5)
+    parts = [toxicity._mark(toxicity.INSULT), toxicity._mark(toxicity.THREAT), toxicity._sticky(toxicity.TARGET), toxicity._window(toxicity.NEGATION, 3), toxicity._sticky(toxicity.REPORT)]
+    state, own = 0, [0] * 5
+    for s in rng.integers(0, 7, 2000).tolist():
+        state, own = g.step[state][s], [p.step[x][s] for p, x in zip(parts, own)]
+        assert g.flag[state] == tuple(p.flag[x][0] for p, x in zip(parts, own))
+
+
+@pytest.mark.parametrize("symbol,text", [(toxicity.INSULT, "you are an idiot"), (toxicity.THREAT, "i will kill you")])
+def test_insult_and_threat_transducers_decide(monkeypatch, symbol, text):
+    """Without the transducer of its own kind a word of the lexicon puts out nothing; the other kind's stays."""
+    s = toxicity.Scanner({"idiot": 4.0, "kill": 4.0}, {})
+    both = {t: s.total(t) for t in ("you are an idiot", "i will kill you")}
+    assert both["you are an idiot"] != both["i will kill you"] and min(both.values()) > 0
+    mark = toxicity._mark
+    monkeypatch.setattr(toxicity, "_mark", lambda x: toxicity.Transducer(mark(x).step, [(False,), (x != symbol,)]))
+    monkeypatch.setattr(toxicity, "GRAMMAR", toxicity.grammar())
+    assert {t: s.total(t) for t in both} == both | {text: 0}
 
 
 def test_isotonic_is_monotone():
