@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,15 +40,32 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Asks for the shuffle files of lineage that a checkpoint has cut to go now: Spark removes them once the driver's
-    JVM happens to collect its garbage, and until then they fill the executors' disks."""
+    JVM happens to collect its garbage, and until then they fill the executors' disks.  What the first collection
+    frees lets go of the rest, so it takes two with a pause."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Least row of the component of each of n rows under links (a, b)."""
+    low = np.arange(n)
+    while True:
+        best = np.minimum(low[a], low[b])
+        new = low.copy()
+        np.minimum.at(new, a, best)
+        np.minimum.at(new, b, best)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def crc_mod(id_col: str, n: int) -> Column:
     """crc32 of the id written as text, modulo n: the fold rule of the held-out contracts."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(n))
