@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
-from .common import cut, partitions, release
+from .common import cut, least_reachable, partitions, release
 
 BITS, TILE, SAMPLE = 64, 2048, 1000
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
@@ -170,20 +170,6 @@ def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.where(n, (share - 1 / EMPTY) / (1 - 1 / EMPTY), 1.0)
 
 
-def _hook(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Least row of the component of each of n rows under links (a, b)."""
-    low = np.arange(n)
-    while True:
-        best = np.minimum(low[a], low[b])
-        new = low.copy()
-        np.minimum.at(new, a, best)
-        np.minimum.at(new, b, best)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 class Group:
     """Rows of one (part, value): ``base`` marks the nodes' own rows, the others are their probes."""
 
@@ -216,7 +202,7 @@ class Group:
                     a, b = a[keep], b[keep]
                 if len(a):
                     ids, index = np.unique(np.concatenate([self.own[a], self.own[b]]), return_inverse=True)
-                    low = _hook(len(ids), index[:len(a)], index[len(a):])
+                    low = least_reachable(len(ids), index[:len(a)], index[len(a):])
                     for u, v in zip(ids.tolist(), ids[low].tolist()):
                         if u != v:
                             forest.link(u, v)
@@ -352,7 +338,6 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
 
     def linked(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
         """edges and the links among pairs that join different components of them."""
-        pairs = cut(jaccard.possible(pairs, own, similarity))
         sure = pairs.where("sure").select("a", "b")
         edges = sure if edges is None else edges.union(sure)
         open_ = cut(jaccard.across(pairs.where("not sure"), components(edges)))
@@ -360,10 +345,10 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
         open_ = cut(jaccard.across(open_, components(edges)))
         return cut(edges.union(jaccard.verified(rows, own, open_.select("a", "b"), words, similarity)))
 
-    edges = linked(first.where("n is null").select("a", "b"), None)
+    edges = linked(cut(jaccard.possible(first.where("n is null").select("a", "b"), own, similarity)), None)
     comp = components(edges)
     posts = first.where("n is not null")
     if posts.limit(1).count():
-        comp = components(linked(jaccard.across_groups(posts, comp, similarity), edges))
+        comp = components(linked(cut(jaccard.across_groups(posts, own, comp, similarity)), edges))
     named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
     return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
