@@ -40,9 +40,10 @@ def cut(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Asks for the shuffle files of lineage that a checkpoint has cut to go now: Spark removes them once the driver's
-    JVM happens to collect its garbage, and until then they fill the executors' disks.  What the first collection
-    frees lets go of the rest, so it takes two with a pause."""
+    JVM happens to collect its garbage, and until then they fill the executors' disks.  Python lets go of JVM objects
+    about a second after its own collection, and what the JVM's first collection frees lets go of the rest."""
     gc.collect()
+    time.sleep(1.5)
     for _ in range(2):
         spark.sparkContext._jvm.System.gc()
         time.sleep(0.5)
