@@ -103,3 +103,14 @@ def local_to_utc(local: Column, zone: str) -> tuple[Column, Column]:
     twice = (F.from_utc_timestamp(utc + hour, zone) == t) | (F.from_utc_timestamp(utc - hour, zone) == t)
     why = F.when(local.isNull(), "missing").when(back != t, "nonexistent_hour").when(twice, "ambiguous_hour")
     return F.when(why.isNull(), utc), why
+
+
+def september_to_utc(local: Column) -> tuple[Column, Column]:
+    """PRJ-13 for the system value whose summer time (one hour ahead of UTC+1) begins at 02:00 on the last Sunday of March
+    and ends at 02:00 on the last Sunday of September, a rule that no zone database has."""
+    t = local.cast("timestamp")
+    last = lambda month: F.date_sub(F.next_day(F.last_day(F.make_date(F.year(t), F.lit(month), F.lit(1))), "SUN"), 7)
+    at = lambda month, h: last(month).cast("timestamp") + F.make_dt_interval(hours=F.lit(h))
+    why = (F.when(local.isNull(), "missing").when((t >= at(3, 2)) & (t < at(3, 3)), "nonexistent_hour").when((t >= at(9, 1)) & (t < at(9, 2)), "ambiguous_hour"))
+    summer = (t >= at(3, 3)) & (t < at(9, 1))
+    return F.when(why.isNull(), t - F.make_dt_interval(hours=F.when(summer, 2).otherwise(1))), why

@@ -45,14 +45,27 @@ def diff_summary(expected: DataFrame, actual: DataFrame, keys: list[str], fields
                     (n * len(fields)).alias("cells"), F.coalesce(F.sum(differing), F.lit(0)).alias("differing"), F.coalesce(F.sum(nulls), F.lit(0)).alias("null_cells"))
 
 
-def nearest_sequence(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
-    """JON-8: for every row of a the row of b with its key and the nearest sequence, and the difference;
-    ties to the smaller one.  Only the least difference of each row survives the map side."""
-    left = a.select(key, F.col("sequence").alias("a_seq"), F.col("n").alias("a_n"))
-    right = b.select(key, F.col("sequence").alias("b_seq"))
-    pair = left.join(right, key)
-    best = F.min(F.struct(F.abs(F.col("b_seq") - F.col("a_seq")).alias("gap"), F.col("b_seq").alias("b_seq")))
-    return pair.groupBy(key, "a_n", "a_seq").agg(best.alias("best")).select(key, "a_n", "a_seq", "best.b_seq", (F.col("best.b_seq") - F.col("a_seq")).alias("delta"))
+def nearest_sequence(a: DataFrame, b: DataFrame, key: str, width: int = 100_000) -> DataFrame:
+    """JON-8: for every row of a the row of b with its key and the nearest sequence, and the difference; ties to the
+    smaller one; rows of a whose key b lacks are left out.  Both sides are one sort by sequence: the neighbours
+    are the last b before and the first b after a row.  A key is dealt over ranges of ``width`` positions, and each range
+    carries its neighbours' nearest b, so a hot key is many tasks and no pairs are made."""
+    place = F.floor(F.col("sequence") / width).alias("__range")
+    none = F.lit(None).cast("long")
+    rows = (a.select(key, "sequence", place, F.col("n").alias("a_n"), none.alias("b_seq"), F.lit(1).alias("o"))
+            .unionByName(b.select(key, "sequence", place, F.lit(None).cast(a.schema["n"].dataType).alias("a_n"), F.col("sequence").cast("long").alias("b_seq"), F.lit(0).alias("o"))))
+    # one row a key and range
+    ranges = Window.partitionBy(key).orderBy("__range")
+    edges = rows.groupBy(key, "__range").agg(F.min("b_seq").alias("lo"), F.max("b_seq").alias("hi")).select(
+        key, "__range", F.last("hi", ignorenulls=True).over(ranges.rowsBetween(Window.unboundedPreceding, -1)).alias("before"),
+        F.first("lo", ignorenulls=True).over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
+    inside = Window.partitionBy(key, "__range").orderBy("sequence", "o")
+    low = F.coalesce(F.last("b_seq", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0)), "before")
+    high = F.coalesce(F.first("b_seq", ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing)), "after")
+    near = rows.join(edges, [key, "__range"]).withColumns({"low": low, "high": high}).where("o = 1")
+    best = F.when(F.col("low").isNull() | (F.col("high") - F.col("sequence") < F.col("sequence") - F.col("low")), F.col("high")).otherwise(F.col("low"))
+    return (near.withColumn("b_seq", best).where("b_seq is not null")
+            .select(key, "a_n", F.col("sequence").alias("a_seq"), "b_seq", (F.col("b_seq") - F.col("sequence")).alias("delta")))
 
 
 def delta_profile(nearest: DataFrame) -> DataFrame:
@@ -106,6 +119,21 @@ def best_offset(a: DataFrame, b: DataFrame, hours: list[int]) -> DataFrame:
     return got.select("hours", "overlap", ((F.col("overlap") > 0) & (F.struct("overlap", -F.col("hours")) == first)).alias("best"))
 
 
+def classify_matrix(events: DataFrame, captured: DataFrame, coverage: DataFrame, band_ms: int) -> DataFrame:
+    """SET-5: per source table and band of time PASS, FAIL or NOT_COMPARABLE, and why; a matrix of several source tables is
+    refused.  events, captured: table_name, at_ms, op; coverage: low, high (one row)."""
+    tag = lambda df, x, y: df.select("table_name", "at_ms", "op", F.lit(x).alias("x"), F.lit(y).alias("y"))
+    per = tag(events, 1, 0).unionByName(tag(captured, 0, 1)).groupBy("table_name", "at_ms", "op").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    band = per.groupBy("table_name", F.floor(F.col("at_ms") / band_ms).alias("band")).agg(
+        F.sum(F.least("x", "y")).alias("overlap"), F.sum(F.greatest(F.col("x") - F.col("y"), F.lit(0))).alias("missing"), F.sum(F.greatest(F.col("y") - F.col("x"), F.lit(0))).alias("extra"))
+    tables = band.agg(F.count_distinct("table_name").alias("tables"))
+    x = band.crossJoin(tables).crossJoin(coverage.select(F.col("low").alias("c_low"), F.col("high").alias("c_high")))  # one row each
+    low, high = F.col("band") * band_ms, F.col("band") * band_ms + band_ms - 1
+    why = (F.when(F.col("tables") > 1, "several_tables").when(F.col("c_low").isNull(), "no_coverage").when(low < F.col("c_low"), "before_coverage").when(high > F.col("c_high"), "after_coverage"))
+    verdict = F.when(why.isNotNull(), "NOT_COMPARABLE").when((F.col("missing") == 0) & (F.col("extra") == 0), "PASS").otherwise("FAIL")
+    return x.select("table_name", "band", "overlap", "missing", "extra", verdict.alias("verdict"), why.alias("reason"))
+
+
 def band_comparability(bands: DataFrame, coverage: DataFrame) -> DataFrame:
     """SET-5: PASS, FAIL or NOT_COMPARABLE: a band only compares inside both systems' coverage.
     bands: band, low, high, overlap, missing, extra; coverage: one row (low, high)."""
@@ -153,6 +181,37 @@ def before_image_mismatch(events: DataFrame, ranks: DataFrame) -> DataFrame:
     return seen.withColumn("reason", why).where("reason is not null").select("k", "receiver", "sequence", "reason")
 
 
+def reconcile_run(oracle: DataFrame, source: DataFrame, destination: DataFrame, mirror: DataFrame, key: str, fields: list[str], events: DataFrame, ranks: DataFrame, bootstrap: tuple[str, int],
+                  source_positions: DataFrame, raw: DataFrame, content: list[str], history_ids: DataFrame, deleted: DataFrame) -> DataFrame:
+    """REC-2: one row with a counter for every part of a run's proof, and PASS only if all that must be 0 are.
+    oracle, source, destination, mirror: key and fields (destination is the replayed state, mirror the stored rows);
+    events: the ledger, with k, before_value and after_value for the images; ranks: receiver, receiver_rank; bootstrap: the
+    position (receiver, sequence) before which the journal may hold nothing; source_positions: receiver, sequence;
+    history_ids: one id a stored row; deleted: keys that must be gone.  Unknown parts count as wrong."""
+    journal = events.where(~is_snapshot())
+    three = reconcile3(oracle, source, destination, mirror, key, fields)
+    parts = [three.agg(*[F.coalesce(F.sum(F.when(F.col("pair") == p, F.col("missing") + F.col("extra") + F.col("different"))), F.lit(0)).alias(p.replace("-", "_vs_"))
+                         for p in ("oracle-source", "oracle-destination", "source-destination", "destination-mirror", "oracle-mirror")]),
+             mirror.groupBy(key).agg(F.count("*").alias("c")).agg(F.count_if(F.col("c") > 1).alias("duplicate_mirror_keys"))]
+    edge = ranks.where(F.col("receiver") == bootstrap[0]).agg(F.max("receiver_rank").alias("edge"))
+    ranked = journal.join(F.broadcast(ranks.select("receiver", "receiver_rank")), "receiver", "left").crossJoin(edge)  # one row
+    before = (F.col("receiver_rank") < F.col("edge")) | ((F.col("receiver_rank") == F.col("edge")) & (F.col("sequence") < bootstrap[1]))
+    parts.append(ranked.agg(F.count_if(before | F.col("receiver_rank").isNull() | F.col("edge").isNull()).alias("before_bootstrap")))
+    parts.append(position_diff(journal, source_positions).agg(F.count("*").alias("position_differences")))
+    parts.append(replay_check(raw, content).select(F.col("divergent_repeats").alias("divergent_repeats"), (F.col("raw_rows") - F.col("distinct_ids") - F.col("identical_repeats") - F.col("divergent_repeats")).alias("unexplained_repeats")))
+    parts.append(before_image_mismatch(journal, ranks).agg(F.count("*").alias("before_image_mismatches")))
+    parts.append(destination.join(deleted.select(key), key, "left_semi").agg(F.count("*").alias("deleted_present")))
+    ids = history_ids.groupBy("event_id").agg(F.count("*").alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)).alias("h"), F.count("*").alias("d"))
+    parts.append(ids.crossJoin(events.agg(F.count("*").alias("e"))).select((F.col("h") - F.col("d")).alias("history_repeats"), F.abs(F.col("h") - F.col("e")).alias("history_off_by")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.crossJoin(p)  # one row each
+    bad = F.lit(0)
+    for c in out.columns:
+        bad = bad + F.coalesce(F.col(c), F.lit(1))
+    return out.withColumn("verdict", F.when(bad == 0, "PASS").otherwise("FAIL"))
+
+
 def boundary_check(events: DataFrame, bootstrap_ts: str) -> DataFrame:
     """REC-3: rows of the snapshot, positions of the journal, and journal events before the bootstrap."""
     j = ~is_snapshot()
@@ -208,22 +267,34 @@ def reconcile_files(raw: DataFrame, ledger: DataFrame, files: DataFrame, expecte
     return both.withColumn("verdict", verdict)
 
 
-def window_delivery(windows: DataFrame, events: DataFrame, ledger: DataFrame) -> DataFrame:
+def window_delivery(windows: DataFrame, events: DataFrame, ledger: DataFrame, width: int = 100_000) -> DataFrame:
     """REC-9: per closed window: not_tested without events, matched, or invalid.
     windows: window_id, receiver, start_seq, end_seq, event_count; they do not overlap, so an event's window is
-    the last one of its receiver that starts at or before it: one sort, no range join."""
-    w = windows.select("receiver", F.col("start_seq").alias("sequence"), F.struct("window_id", "end_seq").alias("w"))
-    e = events.select("receiver", "sequence", "event_id")
-    both = w.select("receiver", "sequence", "w", F.lit(None).cast("string").alias("event_id"), F.lit(0).alias("o")).unionByName(e.select("receiver", "sequence", F.lit(None).cast(w.schema["w"].dataType).alias("w"), "event_id", F.lit(1).alias("o")))
-    inside = F.last("w", ignorenulls=True).over(Window.partitionBy("receiver").orderBy("sequence", "o").rowsBetween(Window.unboundedPreceding, 0))
+    the last one of its receiver that starts at or before it: one sort, no range join.  A receiver is dealt over ranges
+    of ``width`` positions; a window has a row in every range that it reaches into, so one receiver is many tasks."""
+    place = lambda c: F.floor(F.col(c) / width)
+    w = (windows.where("end_seq >= start_seq").withColumn("range", F.explode(F.sequence(place("start_seq"), place("end_seq"))))
+         .select("receiver", "range", F.greatest(F.col("start_seq"), F.col("range") * width).alias("sequence"), F.struct("window_id", "end_seq").alias("w")))
+    e = events.select("receiver", place("sequence").alias("range"), "sequence", "event_id")
+    both = (w.select("*", F.lit(None).cast("string").alias("event_id"), F.lit(0).alias("o"))
+            .unionByName(e.select("*", F.lit(None).cast(w.schema["w"].dataType).alias("w"), F.lit(1).alias("o"))))
+    inside = F.last("w", ignorenulls=True).over(Window.partitionBy("receiver", "range").orderBy("sequence", "o").rowsBetween(Window.unboundedPreceding, 0))
     placed = both.withColumn("in", inside).where("event_id is not null and sequence <= in.end_seq").select("in.window_id", "event_id")
     held = placed.join(ledger.select("event_id", F.lit(1).alias("there")), "event_id", "left")
     per = held.groupBy("window_id").agg(F.count("*").alias("raw_rows"), F.count_distinct("event_id").alias("distinct_ids"), F.count("there").alias("ledger_rows"))
     out = windows.join(per, "window_id", "left")
-    state = (F.when(F.col("event_count") == 0, "not_tested").when((F.col("raw_rows") == F.col("event_count")) & (F.col("distinct_ids") == F.col("raw_rows")) & (F.col("ledger_rows") == F.col("raw_rows")), "matched").otherwise("invalid"))
+    whole = (F.col("raw_rows") == F.col("event_count")) & (F.col("distinct_ids") == F.col("raw_rows")) & (F.col("ledger_rows") == F.col("raw_rows"))
+    state = F.when(F.col("event_count") == 0, "not_tested").when(whole, "matched").otherwise("invalid")
     return out.select("window_id", "event_count", F.coalesce("raw_rows", F.lit(0)).alias("raw_rows"), state.alias("state"))
 
 
+def chain_verdict(delivered: DataFrame) -> DataFrame:
+    """REC-9: complete only if every window matched; one with no events to test leaves the chain untested."""
+    n = lambda s: F.count_if(F.col("state") == s)
+    verdict = F.when(F.count("*") == 0, "empty").when(n("invalid") > 0, "broken").when(n("not_tested") > 0, "untested").otherwise("complete")
+    return delivered.agg(F.count("*").alias("windows"), n("matched").alias("matched"), n("not_tested").alias("not_tested"), n("invalid").alias("invalid"), verdict.alias("verdict"))
+
+
 def write_latency(writes: DataFrame, visible: DataFrame) -> DataFrame:
     """REC-11: acknowledgement to first visibility per marker; inconsistent clocks have no latency."""
     first = visible.groupBy("marker").agg(F.min("visible_us").alias("visible_us"))

@@ -100,6 +100,26 @@ def replay_incremental(ledger: DataFrame, mirror: DataFrame, watermark) -> DataF
     return mirror.join(keys, "k", "left_anti").unionByName(won)
 
 
+#: A key's winning operation, deletes included: all that later events are compared with.
+STATE = "k long, kind string, cents long, event_type string, event_id string, receiver string, sequence long, commit_ts timestamp_ntz, source_file string"
+STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
+
+
+def advance(state: DataFrame, events: DataFrame, ranks: DataFrame) -> DataFrame:
+    """REP-2 on stored winners (``STATE``, as ``latest_operation`` gives them): the winners of the keys in state and events after
+    these events.  A winner is a maximum, so a key's stored winner stands for its whole history, which is not read;
+    this holds as long as the receivers keep their order (``same_order``)."""
+    return latest_operation(state.unionByName(operations(events).select(*STATE_COLUMNS)), ranks).select(*STATE_COLUMNS)
+
+
+def same_order(before: DataFrame, after: DataFrame) -> bool:
+    """Whether receivers known before stand in the same order after; one row a receiver."""
+    held = {r.receiver: r.receiver_rank for r in before.collect()}
+    now = {r.receiver: r.receiver_rank for r in after.collect()}
+    order = sorted(held, key=lambda r: (held[r], r))
+    return all(r in now for r in held) and all((held[a] < held[b]) == (now[a] < now[b]) and (held[a] == held[b]) == (now[a] == now[b]) for a, b in zip(order, order[1:]))
+
+
 def append_history(events: DataFrame, history: DataFrame) -> DataFrame:
     """SRC-11: the events that history does not hold yet, once each."""
     return dedupe_first(events).join(history.select("event_id"), "event_id", "left_anti")

@@ -36,12 +36,20 @@ def identity_digest(df: DataFrame, window: list[str], col: str) -> DataFrame:
     return per.select(*window, F.size("__v").alias("values"), F.when(~twice, F.sha2(F.array_join("__v", "\n"), 256)).alias("digest"), twice.alias("refused"))
 
 
-def two_level_digest(df: DataFrame, col: str, buckets: int = 4096) -> DataFrame:
-    """AGG-5 beyond one window: digests of hash buckets, then the digest of those in bucket order."""
-    per = df.groupBy(F.conv(F.substring(F.sha2(F.col(col), 256), 1, 8), 16, 10).cast("long").alias("h"), col).agg(F.count("*").alias("c"))
-    bucket = per.groupBy((F.col("h") % buckets).alias("b")).agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.sha2(F.array_join(F.sort_array(F.collect_list(col)), "\n"), 256).alias("d"))
-    all_ = F.sort_array(F.collect_list(F.struct("b", "d")))  # at most ``buckets`` short rows
-    return bucket.agg(F.sum("n").alias("values"), (F.max("most") > 1).alias("refused"), F.sha2(F.array_join(F.transform(all_, lambda x: x["d"]), "\n"), 256).alias("digest"))
+def tree_digest(df: DataFrame, col: str, leaf: int = 2000) -> DataFrame:
+    """AGG-5 beyond one window: ids are dealt by hash over as many buckets as make about ``leaf`` ids each, every bucket is
+    digested in id order, and digests are digested in turn, ``leaf`` buckets at a time, until one is left.  No task holds
+    more than some ``leaf`` values of a group; the value is this function's own."""
+    ids = df.groupBy(col).agg(F.count("*").alias("c"))
+    n = ids.agg(F.count("*")).first()[0]
+    buckets = max(1, -(-n // leaf))
+    text = lambda c, by: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(by, c))), lambda x: x[c]), "\n"), 256)
+    h = F.conv(F.substring(F.sha2(F.col(col), 256), 1, 8), 16, 10).cast("long") % buckets
+    level = ids.groupBy(h.alias("b")).agg(F.sum("c").alias("n"), F.max("c").alias("most"), F.sha2(F.array_join(F.sort_array(F.collect_list(col)), "\n"), 256).alias("d"))
+    while buckets > leaf:
+        level = level.groupBy(F.floor(F.col("b") / leaf).alias("u")).agg(F.sum("n").alias("n"), F.max("most").alias("most"), text("d", "b").alias("d")).withColumnRenamed("u", "b")
+        buckets = -(-buckets // leaf)
+    return level.agg(F.sum("n").alias("values"), (F.max("most") > 1).alias("refused"), text("d", "b").alias("digest"))
 
 
 def operation_mix(events: DataFrame, by: list[str]) -> DataFrame:
@@ -123,24 +131,40 @@ def cluster_allocation(allocations: DataFrame, namespace: str) -> DataFrame:
     return a.select("day", F.when(ok, F.col("own")).alias("namespace_cost"), F.when(ok, F.col("cluster")).alias("cluster_cost"), F.when(ok, F.col("idle")).alias("idle_cost"))
 
 
+def _counted(values: DataFrame, by: list[str], col: str) -> DataFrame:
+    """by, value, c (rows of that value), upto (rows up to it) and n (all rows): what percentiles need, one row a value."""
+    per = values.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*by)
+    return per.withColumns({"upto": F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+
+
+def _at(index: Column) -> Column:
+    """The value at a place (from 0) of the sorted rows."""
+    return F.min(F.when(F.col("upto") > index, F.col("value")))
+
+
 def compare_runs(samples: DataFrame) -> DataFrame:
-    """AGG-14: per solution totals, linear percentiles and rates; refused if scopes differ."""
-    a = samples.groupBy("solution").agg(
-        F.count("*").alias("samples"), F.sum("bytes").alias("bytes"), F.sum("elapsed_ms").alias("elapsed_ms"), *[F.percentile("elapsed_ms", p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)],
-        F.max("lag").alias("most_lag"), F.count_distinct("scope").alias("scopes"))
+    """AGG-14: per solution totals, linear percentiles (over counts by value), rates and cost per million samples; comparable
+    only if all samples have one scope and one fingerprint, whatever the solution."""
+    a = samples.groupBy("solution").agg(F.count("*").alias("samples"), F.sum("bytes").alias("bytes"), F.sum("elapsed_ms").alias("elapsed_ms"), F.max("lag").alias("most_lag"), F.sum("cost_cents").alias("cost_cents"))
+    one = samples.agg((F.count_distinct("scope") == 1).alias("one_scope"), (F.count_distinct("fingerprint") == 1).alias("one_fingerprint"))
+    quantiles = []
+    for p in (0.5, 0.95, 0.99):
+        place = F.lit(p) * (F.col("n") - 1)
+        low = F.floor(place)
+        quantiles.append((_at(low) + (_at(F.ceil(place)) - _at(low)) * F.max(place - low)).cast("double").alias(f"p{int(p * 100)}"))
+    x = a.join(_counted(samples, ["solution"], "elapsed_ms").groupBy("solution").agg(*quantiles), "solution", "left").crossJoin(one)  # one row
     per_s = lambda c: F.when(F.col("elapsed_ms") > 0, F.floor(F.col(c) * 1000 / F.col("elapsed_ms")))
-    return a.withColumns({"samples_per_s": per_s("samples"), "bytes_per_s": per_s("bytes"), "comparable": F.col("scopes") == 1}).drop("scopes")
+    return x.select("solution", "samples", "bytes", "elapsed_ms", "p50", "p95", "p99", "most_lag", per_s("samples").alias("samples_per_s"), per_s("bytes").alias("bytes_per_s"),
+                    F.floor(F.col("cost_cents") * 1000000 / F.col("samples")).alias("cents_per_million"), (F.col("one_scope") & F.col("one_fingerprint")).alias("comparable"))
 
 
 def latency_summary(values: DataFrame, by: list[str], col: str) -> DataFrame:
-    """AGG-15: count, nearest-rank p50 and p95 at the half-even index, most, and mean with six digits.  The
-    percentiles rank rows within each group; ranks are computed by a sort, no list is collected."""
-    known = values.where(F.col(col).isNotNull())
-    w = Window.partitionBy(*by).orderBy(col)
-    n = F.count("*").over(Window.partitionBy(*by))
-    ranked = known.withColumns({"__i": F.row_number().over(w) - 1, "__n": n})
-    at = lambda p: F.max(F.when(F.col("__i") == F.bround(F.lit(p) * (F.col("__n") - 1), 0), F.col(col)))
-    return ranked.groupBy(*by).agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(col).alias("most"), F.round(F.avg(col), 6).alias("mean"))
+    """AGG-15: count, nearest-rank p50 and p95 at the half-even index, most, and mean with six digits.  Rows are counted by
+    value first, so a group is as many rows as it has different values."""
+    at = lambda p: _at(F.bround(F.lit(p) * (F.col("n") - 1), 0))
+    return _counted(values, by, col).groupBy(*by).agg(F.sum("c").alias("rows"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"),
+                                                      F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6).alias("mean")).withColumnRenamed("rows", "n")
 
 
 def position_fingerprint(events: DataFrame, by: list[str]) -> DataFrame:

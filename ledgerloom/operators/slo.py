@@ -21,6 +21,44 @@ def evaluate_slo(telemetry: DataFrame, key: list[str], policy: dict[str, float]
     return telemetry.select(*key, F.explode(F.array(*rows)).alias("c")).select(*key, "c.*")
 
 
+#: The whole report: check: (stage, rule, threshold); thresholds are defaults (fixed values).
+REPORT = {"capture_freshness": ("capture", "capture_age_s", 120), "capture_state": ("capture", None, None), "capture_errors": ("capture", "capture_errors", 0), "checkpoint_lag": ("capture", None, 1000),
+          "raw_freshness": ("raw", "raw_age_s", 180), "raw_requests": ("cost", "requests_24h", 500000), "load_queue": ("load", "pending_files", 10), "ledger_freshness": ("ledger", "destination_age_s", 300),
+          "delivery_p95": ("delivery", "p95_s", 60), "delivery_p99": ("delivery", "p99_s", 180), "reconciliation": ("reconciliation", None, 0), "credits": ("cost", "credits_cents", 100), "observability": ("observability", "report_age_s", 600)}
+
+
+def evaluate_report(telemetry: DataFrame, key: list[str], report: dict | None = None) -> DataFrame:
+    """SLO-1 in full: one row a report and check: check, stage, observed, threshold, status and, unless it passes, why.
+    telemetry: the measures of ``REPORT`` (ages come from the moment of collection, ``report_age_s`` from the clock of the evaluation),
+    capture_state; receiver, sequence, source_receiver, source_sequence; state and deviation of the reconciliation;
+    metered_hours (credits count only for a whole day of 24 metered hours).  An age below zero is a clock to distrust, not an age;
+    credits without their window are not measured; positions of two receivers do not compare."""
+    rows = []
+    for check, (stage, column, most) in (report or REPORT).items():
+        x = F.col(column).cast("double") if column else F.lit(None).cast("double")
+        missing = F.when(x.isNull(), "measurement_missing").when(x < 0, "negative_measurement")
+        if check == "capture_state":
+            ok = capture_state_check(F.col("capture_state"))
+            status, why = ok, F.when(F.col("capture_state").isNull(), "measurement_missing").when(ok == "unobserved", "unknown_state").when(ok == "breach", F.col("capture_state"))
+        else:
+            if check == "checkpoint_lag":
+                x = F.when(F.col("receiver") == F.col("source_receiver"), F.col("source_sequence") - F.col("sequence")).cast("double")
+                missing = (F.when(F.col("receiver").isNull() | F.col("source_receiver").isNull() | F.col("sequence").isNull() | F.col("source_sequence").isNull(), "measurement_missing")
+                           .when(F.col("receiver") != F.col("source_receiver"), "different_receivers").when(x < 0, "checkpoint_ahead"))
+            elif check == "reconciliation":
+                x = F.col("deviation").cast("double")
+                missing = F.when(x.isNull() | F.col("state").isNull(), "measurement_missing").when(~F.col("state").isin("matched", "mismatch"), "not_settled")
+            elif check == "credits":
+                missing = F.when(F.col("metered_hours").isNull() | (F.col("metered_hours") != 24), "window_missing").otherwise(missing)
+            elif column and column.endswith("_age_s"):
+                missing = F.when(x.isNull(), "measurement_missing").when(x < 0, "clock_in_future")
+            over = (x > most) | ((F.col("state") != "matched") if check == "reconciliation" else F.lit(False))
+            status = F.when(missing.isNotNull(), "unobserved").when(over, "breach").otherwise("pass")
+            why = F.coalesce(missing, F.when(over, "beyond_threshold"))
+        rows.append(F.struct(F.lit(check).alias("check"), F.lit(stage).alias("stage"), x.alias("observed"), F.lit(most).cast("double").alias("threshold"), status.alias("status"), why.alias("reason")))
+    return telemetry.select(*key, F.explode(F.array(*rows)).alias("c")).select(*key, "c.*")
+
+
 def report_status(checks: DataFrame, key: list[str]) -> DataFrame:
     """A report is breach if any check is, else unobserved if any is, else pass."""
     return checks.groupBy(*key).agg(F.count("*").alias("checks"), F.when(F.count_if(F.col("status") == "breach") > 0, "breach").when(F.count_if(F.col("status") == "unobserved") > 0, "unobserved").otherwise("pass").alias("status"))

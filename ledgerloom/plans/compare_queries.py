@@ -261,3 +261,47 @@ def _(spark, sf_dir):
     """A few candidate offsets against all events, as an equi semi join on the shifted time."""
     a = X.first_system(spark, sf_dir).select("op", F.explode(F.array(*[F.lit(h) for h in (-1, 0, 1)])).alias("hours"), "at_ms").withColumn("at_ms", F.col("at_ms") + F.col("hours") * 3600000)
     return a.join(X.second_system(spark, sf_dir), ["at_ms", "op"], "left_semi").groupBy("hours").agg(F.count("*").alias("matches"))
+
+
+@query("rec_9_chain_verdict", f"""WITH w AS ({WINDOWS}), s AS (SELECT window_id, event_count, (SELECT count(*) FROM journal_events j WHERE j.receiver = w.receiver AND j.sequence BETWEEN start_seq AND end_seq) AS raw_rows FROM w),
+t AS (SELECT CASE WHEN event_count = 0 THEN 'not_tested' WHEN event_count = raw_rows THEN 'matched' ELSE 'invalid' END AS state FROM s)
+SELECT count(*) AS windows, count(CASE WHEN state = 'matched' THEN 1 END) AS matched, count(CASE WHEN state = 'not_tested' THEN 1 END) AS not_tested, count(CASE WHEN state = 'invalid' THEN 1 END) AS invalid,
+CASE WHEN count(*) = 0 THEN 'empty' WHEN count(CASE WHEN state = 'invalid' THEN 1 END) > 0 THEN 'broken' WHEN count(CASE WHEN state = 'not_tested' THEN 1 END) > 0 THEN 'untested' ELSE 'complete' END AS verdict FROM t""")
+def _(spark, sf_dir):
+    r = X.receipts(spark, sf_dir)
+    w = r.select(F.concat_ws("-", "receiver", "start_seq").alias("window_id"), "receiver", "start_seq", "end_seq",
+                 F.when(F.col("start_seq") == 1001, 0).when(F.col("start_seq") == 501, F.col("event_count") + 1).otherwise(F.col("event_count")).alias("event_count"))
+    return R.chain_verdict(R.window_delivery(w, X.journal_events(spark, sf_dir), ledger(spark, sf_dir), width=700))
+
+
+@query("set_5_classify_matrix", """WITH k AS (SELECT at_ms, op, sum(x) AS x, sum(y) AS y FROM (SELECT at_ms, op, 1 AS x, 0 AS y FROM first_system UNION ALL SELECT at_ms - 3600000, op, 0, 1 FROM second_system) GROUP BY 1, 2),
+b AS (SELECT at_ms // 86400000 AS band, sum(least(x, y))::BIGINT AS overlap, sum(greatest(x - y, 0))::BIGINT AS missing, sum(greatest(y - x, 0))::BIGINT AS extra FROM k GROUP BY 1), c AS (SELECT min(at_ms) AS low, max(at_ms) AS high FROM first_system),
+r AS (SELECT b.*, CASE WHEN band * 86400000 < low THEN 'before_coverage' WHEN band * 86400000 + 86399999 > high THEN 'after_coverage' END AS reason FROM b, c)
+SELECT 'ORDERS' AS table_name, band, overlap, missing, extra, CASE WHEN reason IS NOT NULL THEN 'NOT_COMPARABLE' WHEN missing = 0 AND extra = 0 THEN 'PASS' ELSE 'FAIL' END AS verdict, reason FROM r""")
+def _(spark, sf_dir):
+    a, b = X.first_system(spark, sf_dir), X.second_system(spark, sf_dir).withColumn("at_ms", F.col("at_ms") - 3600000)
+    one = F.lit("ORDERS").alias("table_name")
+    return R.classify_matrix(a.select(one, "at_ms", "op"), b.select(one, "at_ms", "op"), a.agg(F.min("at_ms").alias("low"), F.max("at_ms").alias("high")), 86400000)
+
+
+RUN = """WITH o AS (SELECT k, cents FROM mirror), d AS (SELECT k, cents FROM mirror), h AS (SELECT k, cents FROM mirror_broken), hm AS (SELECT k, min(cents) AS lo, max(cents) AS hi FROM h GROUP BY k),
+x AS (SELECT count(*) AS c FROM o FULL JOIN (SELECT k, hi AS cents FROM hm) m ON o.k = m.k WHERE o.k IS NULL OR m.k IS NULL OR o.cents <> m.cents),
+j AS (SELECT l.*, r.receiver_rank FROM ledger l LEFT JOIN receiver_ranks r ON r.receiver = l.receiver WHERE l.receiver NOT LIKE 'SNAPSHOT:%')
+SELECT 0 AS oracle_vs_source, 0 AS oracle_vs_destination, 0 AS source_vs_destination, (SELECT c FROM x) AS destination_vs_mirror, (SELECT c FROM x) AS oracle_vs_mirror, (SELECT count(*) FROM (SELECT k FROM h GROUP BY k HAVING count(*) > 1)) AS duplicate_mirror_keys,
+(SELECT count(*) FROM j WHERE receiver_rank < (SELECT receiver_rank FROM receiver_ranks WHERE receiver = 'JRN9') OR receiver = 'JRN9' AND sequence < 11) AS before_bootstrap, (SELECT count(*) FROM j WHERE sequence % 211 = 0) AS position_differences,
+0 AS divergent_repeats, 0 AS unexplained_repeats, (SELECT count(*) FROM ledger WHERE n % 50 = 11) AS history_repeats, (SELECT count(*) FROM ledger WHERE n % 50 = 11) AS history_off_by, 'FAIL' AS verdict"""
+
+
+@query("rec_2_reconcile_run_in_full", RUN)
+def _(spark, sf_dir):
+    """A run whose mirror, history, boundary and positions are off in known ways; the image checks have a query of their own."""
+    raw = X.raw_events(spark, sf_dir)
+    led = L.dedupe_first(raw)
+    state = L.replay_full(led).select("k", "cents")
+    j = led.withColumns({"k": F.coalesce("before_key", "after_key"), "before_value": F.lit(None).cast("long"), "after_value": F.col("cents")})
+    gone = L.latest_operation(L.operations(led), L.receiver_ranks(led)).where("kind = 'delete'").select("k")
+    ids = led.select("event_id", "n")
+    run = R.reconcile_run(state, state, state, X.broken_mirror(L.replay_full(led)).select("k", "cents"), "k", ["cents"], j, L.receiver_ranks(led), ("JRN9", 11),
+                          led.where("sequence % 211 <> 0 and receiver not like 'SNAPSHOT:%'").select("receiver", "sequence"), raw, ["operation", "before_key", "after_key", "cents"],
+                          ids.union(ids.where("n % 50 = 11")).select("event_id"), gone)
+    return run.drop("before_image_mismatches", "deleted_present")

@@ -78,11 +78,26 @@ def _(spark, sf_dir):
     return e.select("event_id", P.epoch_ms(text, 2).alias("at_ms"))
 
 
-@query("prj_13_resolve_source_time")
+LOCAL = "SELECT event_id, make_timestamp((1704067200 + event_id * 6007 % 31622400) * 1000000) AS local FROM events"
+
+
+@query("prj_13_resolve_source_time", f"""SELECT event_id, CASE WHEN w IS NULL THEN epoch_us(local) - CASE WHEN local >= TIMESTAMP '2024-03-31 03:00:00' AND local < TIMESTAMP '2024-10-27 02:00:00' THEN 7200000000 ELSE 3600000000 END END AS utc_us, w AS refused FROM (
+SELECT *, CASE WHEN local >= TIMESTAMP '2024-03-31 02:00:00' AND local < TIMESTAMP '2024-03-31 03:00:00' THEN 'nonexistent_hour' WHEN local >= TIMESTAMP '2024-10-27 02:00:00' AND local < TIMESTAMP '2024-10-27 03:00:00' THEN 'ambiguous_hour' END AS w FROM ({LOCAL}))""")
 def _(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").select("event_id", F.timestamp_seconds(F.lit(1711839600) + F.col("event_id") * 997).alias("local"))
+    """Wall clocks all over the leap year 2024, with both changes of the zone."""
     utc, why = P.local_to_utc(F.col("local"), "Europe/Paris")
-    return e.select("event_id", utc.alias("utc"), why.alias("refused"))
+    return local_clocks(spark, sf_dir).select("event_id", F.unix_micros(utc).alias("utc_us"), why.alias("refused"))
+
+
+@query("prj_13_september_rule", f"""SELECT event_id, CASE WHEN w IS NULL THEN epoch_us(local) - CASE WHEN local >= TIMESTAMP '2024-03-31 03:00:00' AND local < TIMESTAMP '2024-09-29 01:00:00' THEN 7200000000 ELSE 3600000000 END END AS utc_us, w AS refused FROM (
+SELECT *, CASE WHEN local >= TIMESTAMP '2024-03-31 02:00:00' AND local < TIMESTAMP '2024-03-31 03:00:00' THEN 'nonexistent_hour' WHEN local >= TIMESTAMP '2024-09-29 01:00:00' AND local < TIMESTAMP '2024-09-29 02:00:00' THEN 'ambiguous_hour' END AS w FROM ({LOCAL}))""")
+def _(spark, sf_dir):
+    utc, why = P.september_to_utc(F.col("local"))
+    return local_clocks(spark, sf_dir).select("event_id", F.unix_micros(utc).alias("utc_us"), why.alias("refused"))
+
+
+def local_clocks(spark, sf_dir):
+    return X.table(spark, sf_dir, "events").select("event_id", F.timestamp_seconds(F.lit(1704067200) + F.col("event_id") * 6007 % 31622400).alias("local"))
 
 
 @query("prj_14_system_keys", "SELECT n, receiver || '/' || sequence || '/' || op AS technical, at_ms || '/' || op AS temporal FROM first_system")
@@ -136,11 +151,17 @@ def _(spark, sf_dir):
     return C.in_scope(X.raw_events(spark, sf_dir), "ORDERS", ends).select("event_id", "source_file")
 
 
-@query("con_7_schema_drift")
+@query("con_7_schema_drift", """WITH v AS (SELECT DISTINCT 'v' || (n % 3 + 1) AS v FROM (SELECT n % 3 + CASE WHEN n % 3 < 0 THEN 3 ELSE 0 END AS n FROM ledger)),
+f AS (SELECT v, field FROM v JOIN (VALUES ('v1', 'cents'), ('v1', 'event_type'), ('v2', 'cents'), ('v2', 'event_type'), ('v2', 'k2'), ('v3', 'cents'), ('v3', 'k2')) p(pv, field) ON pv = v),
+base AS (SELECT field FROM f WHERE v = (SELECT min(v) FROM f)), d AS (SELECT f.v, string_agg(CASE WHEN b.field IS NULL THEN f.field END, ',' ORDER BY f.field) AS added, count(b.field) AS kept FROM f LEFT JOIN base b ON b.field = f.field GROUP BY f.v)
+SELECT v AS schema_version, added FROM d WHERE added IS NOT NULL AND kept = (SELECT count(*) FROM base)""")
 def _(spark, sf_dir):
     e = ledger(spark, sf_dir)
-    image = F.when(F.col("n") % 3 == 0, F.to_json(F.struct("cents", "event_type", "k2"))).otherwise(F.to_json(F.struct("cents", "event_type")))
-    return C.schema_drift(e.withColumn("k2", F.lit(1)).select(F.when(F.col("n") % 3 == 0, "v2").otherwise("v1").alias("schema_version"), image.alias("image")))
+    """The second version adds a field; the third also loses one, so it is no drift of this kind."""
+    v = F.concat(F.lit("v"), F.pmod("n", F.lit(3)) + 1)
+    image = F.when(v == "v1", F.to_json(F.struct("cents", "event_type"))).when(v == "v2", F.to_json(F.struct("cents", "event_type", "k2"))).otherwise(F.to_json(F.struct("cents", "k2")))
+    drift = C.schema_drift(e.withColumns({"k2": F.lit(1), "cents": F.coalesce("cents", F.lit(0))}).select(v.alias("schema_version"), image.alias("image")))
+    return drift.withColumn("added", F.array_join("added", ","))
 
 
 @query("con_8_after_boundary", "SELECT event_id FROM ledger WHERE receiver <> 'JRN9' OR sequence > 1000")

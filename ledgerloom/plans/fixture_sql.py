@@ -27,6 +27,8 @@ def with_ctes(sql: str) -> str:
     if not needed:
         return own
     head = "WITH " + ",\n".join(f"{n} AS ({CTES[n]})" for n in needed)
+    if own[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {head[5:]},\n{own[15:].lstrip()}"
     return f"{head},\n{own[4:].lstrip()}" if own[:5].upper() == "WITH " else f"{head}\n{own}"
 
 
@@ -107,7 +109,7 @@ cte("metering", "SELECT pipeline, hour, CASE WHEN n % 17 = 0 THEN NULL ELSE cent
 cte("deliveries", """
 SELECT event_type AS pipeline, epoch_us(ts) // 300000000 AS slot, count(*) AS n, max(epoch_us(ts)) AS at_us FROM events GROUP BY 1, 2""")
 cte("benchmark_samples", """
-SELECT l_returnflag AS solution, CAST(l_quantity AS BIGINT) AS elapsed_ms, CAST(round(l_extendedprice) AS BIGINT) AS bytes, l_linenumber AS lag, 'scope-1' AS scope FROM lineitem""")
+SELECT l_returnflag AS solution, CAST(l_quantity AS BIGINT) AS elapsed_ms, CAST(round(l_extendedprice) AS BIGINT) AS bytes, l_linenumber AS lag, 'scope-1' AS scope, 'print-1' AS fingerprint, CAST(l_quantity AS BIGINT) AS cost_cents FROM lineitem""")
 cte("capture_polls", """
 SELECT user_id AS run, event_id AS n, epoch_us(ts) AS at_us, CAST(round(value) AS BIGINT) AS poll_ms, CASE WHEN event_type = 'view' THEN 0 ELSE event_id % 40 END AS events,
        event_id % 9000 AS bytes, count(CASE WHEN event_type = 'error' THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS errors_total,

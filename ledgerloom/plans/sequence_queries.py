@@ -107,6 +107,34 @@ def _(spark, sf_dir):
     return O.report_status(O.evaluate_slo(t, ["pipeline", "hour_us"]), ["pipeline", "hour_us"])
 
 
+FULL = """WITH t AS (SELECT s.*, CASE n % 6 WHEN 0 THEN 'running' WHEN 1 THEN 'idle' WHEN 2 THEN 'failed' WHEN 3 THEN 'odd' WHEN 4 THEN NULL ELSE 'running' END AS capture_state, CASE WHEN n % 9 = 0 THEN NULL ELSE top % 3 END AS capture_errors,
+CASE WHEN top % 4 = 0 THEN 'B' ELSE 'A' END AS receiver, top % 700 AS sequence, CASE WHEN n % 8 = 0 THEN NULL ELSE 'A' END AS source_receiver, top % 2100 AS source_sequence, CASE n % 4 WHEN 0 THEN 'matched' WHEN 1 THEN 'mismatch' WHEN 2 THEN 'running' END AS state,
+top % 2 AS deviation, CASE WHEN n % 5 = 0 THEN 23 ELSE 24 END AS metered_hours, top % 1300 - 30 AS report_age_s FROM slo_telemetry s JOIN hourly h ON s.pipeline = h.pipeline AND s.hour = h.hour),
+m AS (SELECT pipeline, hour, unnest([{'c': 'capture_freshness', 'g': 'capture', 'o': capture_age_s, 't': 120, 'a': 'age'}, {'c': 'capture_errors', 'g': 'capture', 'o': capture_errors, 't': 0, 'a': 'most'},
+{'c': 'raw_freshness', 'g': 'raw', 'o': raw_age_s, 't': 180, 'a': 'age'}, {'c': 'raw_requests', 'g': 'cost', 'o': requests_24h, 't': 500000, 'a': 'most'}, {'c': 'load_queue', 'g': 'load', 'o': pending_files, 't': 10, 'a': 'most'},
+{'c': 'ledger_freshness', 'g': 'ledger', 'o': destination_age_s, 't': 300, 'a': 'age'}, {'c': 'delivery_p95', 'g': 'delivery', 'o': p95_s, 't': 60, 'a': 'most'}, {'c': 'delivery_p99', 'g': 'delivery', 'o': p99_s, 't': 180, 'a': 'most'},
+{'c': 'observability', 'g': 'observability', 'o': report_age_s, 't': 600, 'a': 'age'}]) AS x FROM t),
+r AS (SELECT pipeline, hour, x.c AS c, x.g AS g, x.o AS o, x.t AS t, CASE WHEN x.o IS NULL THEN 'measurement_missing' WHEN x.o < 0 AND x.a = 'age' THEN 'clock_in_future' WHEN x.o < 0 THEN 'negative_measurement' END AS w, x.o > x.t AS over FROM m UNION ALL
+SELECT pipeline, hour, 'checkpoint_lag', 'capture', CASE WHEN receiver = source_receiver THEN source_sequence - sequence END, 1000, CASE WHEN source_receiver IS NULL THEN 'measurement_missing' WHEN receiver <> source_receiver THEN 'different_receivers' WHEN source_sequence < sequence THEN 'checkpoint_ahead' END, source_sequence - sequence > 1000 FROM t UNION ALL
+SELECT pipeline, hour, 'reconciliation', 'reconciliation', deviation, 0, CASE WHEN state IS NULL THEN 'measurement_missing' WHEN state = 'running' THEN 'not_settled' END, deviation > 0 OR state <> 'matched' FROM t UNION ALL
+SELECT pipeline, hour, 'credits', 'cost', credits_cents, 100, CASE WHEN metered_hours <> 24 THEN 'window_missing' WHEN credits_cents IS NULL THEN 'measurement_missing' WHEN credits_cents < 0 THEN 'negative_measurement' END, credits_cents > 100 FROM t)
+SELECT pipeline, epoch_us(hour) AS hour_us, c AS "check", g AS stage, o::DOUBLE AS observed, t::DOUBLE AS threshold, CASE WHEN w IS NOT NULL THEN 'unobserved' WHEN over THEN 'breach' ELSE 'pass' END AS status, coalesce(w, CASE WHEN over THEN 'beyond_threshold' END) AS reason FROM r UNION ALL
+SELECT pipeline, epoch_us(hour), 'capture_state', 'capture', NULL, NULL, CASE WHEN capture_state IN ('running', 'idle') THEN 'pass' WHEN capture_state = 'failed' THEN 'breach' ELSE 'unobserved' END, CASE WHEN capture_state IS NULL THEN 'measurement_missing' WHEN capture_state = 'odd' THEN 'unknown_state' WHEN capture_state = 'failed' THEN 'failed' END FROM t"""
+
+
+@query("slo_1_report_in_full", FULL)
+def _(spark, sf_dir):
+    """All thirteen checks of every report, with reasons."""
+    h = X.hourly(spark, sf_dir).select("pipeline", "hour", "n", "top")
+    n, top = F.col("n"), F.col("top")
+    states = F.element_at(F.array(*[F.lit(s) for s in ("running", "idle", "failed", "odd", None, "running")]), (n % 6 + 1).cast("int"))
+    t = X.slo_telemetry(spark, sf_dir).join(h, ["pipeline", "hour"]).select(
+        "*", X.micros("hour").alias("hour_us"), states.alias("capture_state"), F.when(n % 9 != 0, top % 3).alias("capture_errors"), F.when(top % 4 == 0, "B").otherwise("A").alias("receiver"), (top % 700).alias("sequence"),
+        F.when(n % 8 != 0, "A").alias("source_receiver"), (top % 2100).alias("source_sequence"), F.element_at(F.array(*[F.lit(s) for s in ("matched", "mismatch", "running", None)]), (n % 4 + 1).cast("int")).alias("state"),
+        (top % 2).alias("deviation"), F.when(n % 5 == 0, 23).otherwise(24).alias("metered_hours"), (top % 1300 - 30).alias("report_age_s"))
+    return O.evaluate_report(t, ["pipeline", "hour_us"])
+
+
 LIFECYCLE = f"""WITH c AS ({CHECKS}), s AS (SELECT *, lag(status) OVER (PARTITION BY pipeline, "check" ORDER BY hour) AS p FROM c WHERE status <> 'unobserved'),
 o AS (SELECT *, sum(CASE WHEN status = 'breach' AND (p IS NULL OR p = 'pass') THEN 1 ELSE 0 END) OVER w AS occurrence, sum(CASE WHEN status = 'breach' THEN 1 ELSE 0 END) OVER w AS evaluations FROM s WINDOW w AS (PARTITION BY pipeline, "check" ORDER BY hour))
 SELECT pipeline, "check", epoch_us(hour) AS at_us, CASE WHEN status = 'pass' THEN 'resolved' WHEN occurrence = 1 THEN 'opened' ELSE 'reopened' END AS event, occurrence::BIGINT AS occurrence, evaluations::BIGINT AS evaluations
@@ -228,31 +256,43 @@ def _(spark, sf_dir):
     return r.select("receiver", "start_seq", O.coverage_complete(F.col("end_seq"), load, F.col("end_seq"), F.col("end_seq"), F.col("start_seq") != 1).alias("complete"))
 
 
-@query("rec_6_destination_status", """SELECT user_id AS id, CASE WHEN user_id % 10 = 0 THEN 'unknown' WHEN user_id % 10 = 1 OR user_id % 10 = 2 THEN 'mismatch' WHEN user_id % 10 = 3 THEN 'running' ELSE 'matched' END AS state FROM events GROUP BY user_id""")
-def _(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"))
-    k, n = F.col("user_id") % 10, F.col("n")
-    zero = F.lit(0).cast("long")
-    return O.destination_status(e.select(F.col("user_id").alias("id"), F.when(k != 0, n).alias("source_rows"), F.when(k == 3, n - 1).otherwise(n).alias("raw_rows"), F.when(k == 3, n - 1).otherwise(n).alias("ledger_rows"), n.alias("mirror_rows"),
-                                         F.when(k.isin(1, 3), F.lit(1)).otherwise(zero).alias("missing"), zero.alias("extra"), F.when(k == 2, F.lit(1)).otherwise(zero).alias("duplicates"), F.when(k == 3, F.lit(1)).otherwise(zero).alias("pending"))).select("id", "state")
+MEASURES = """SELECT user_id AS id, CASE WHEN count(*) % 11 <> 0 THEN count(*) END AS source_rows, count(*) - max(event_id) % 3 % 2 AS raw_rows, count(*) - max(event_id) % 3 % 2 + CASE WHEN min(event_id) % 17 = 0 THEN 1 ELSE 0 END AS ledger_rows,
+count(*) AS mirror_rows, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) % 2 AS missing, min(event_id) % 13 // 12 AS extra, max(event_id) % 7 // 6 AS duplicates, max(event_id) % 3 % 2 AS pending FROM events GROUP BY user_id"""
 
 
-@query("rec_8_certification_verdict", """SELECT user_id AS id, CASE user_id % 8 WHEN 0 THEN 'unmeasured' WHEN 1 THEN 'counts_differ' WHEN 2 THEN 'hashes_differ' WHEN 3 THEN 'missing' WHEN 4 THEN 'freshness_unknown' WHEN 5 THEN 'stale' WHEN 6 THEN 'cost_differs' END AS reason,
-CASE WHEN user_id % 8 = 7 THEN 'certified' ELSE 'refused' END AS verdict FROM events GROUP BY user_id""")
+@query("rec_6_destination_status", f"""SELECT id, CASE WHEN source_rows IS NULL THEN 'unknown' WHEN missing > 0 AND pending = 0 OR extra > 0 OR duplicates > 0 OR ledger_rows > raw_rows THEN 'mismatch'
+WHEN source_rows = raw_rows AND raw_rows = ledger_rows AND missing = 0 AND pending = 0 THEN 'matched' ELSE 'running' END AS state FROM ({MEASURES})""")
+def _(spark, sf_dir):
+    """Counters that follow from the events; the rule is what the SQL says again."""
+    n, top, low = F.count("*"), F.max("event_id"), F.min("event_id")
+    late = top % 3 % 2
+    m = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(
+        F.when(n % 11 != 0, n).alias("source_rows"), (n - late).alias("raw_rows"), (n - late + F.when(low % 17 == 0, 1).otherwise(0)).alias("ledger_rows"), n.alias("mirror_rows"),
+        (F.count_if(F.col("event_type") == "error") % 2).alias("missing"), F.floor(low % 13 / 12).alias("extra"), F.floor(top % 7 / 6).alias("duplicates"), late.alias("pending"))
+    return O.destination_status(m).select("id", "state")
+
+
+@query("rec_8_certification_verdict", """WITH c AS (SELECT user_id AS id, CASE WHEN count(*) % 9 <> 0 THEN count(*) END AS raw_rows, count(*) + CASE WHEN max(event_id) % 8 = 0 THEN 1 ELSE 0 END AS ledger_rows, sum(event_id) AS raw_hash, sum(event_id + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS ledger_hash,
+max(event_id) % 6 // 5 AS missing, min(event_id) % 5 // 4 AS extra, min(event_id) % 7 // 6 AS duplicates, CASE WHEN max(event_id) % 10 <> 0 THEN max(event_id) % 400 END AS freshness_s, CASE WHEN min(event_id) % 3 = 0 THEN NULL ELSE min(event_id) % 3 = 1 END AS cost_matches FROM events GROUP BY user_id),
+w AS (SELECT id, CASE WHEN raw_rows IS NULL THEN 'unmeasured' WHEN raw_rows <> ledger_rows THEN 'counts_differ' WHEN raw_hash <> ledger_hash THEN 'hashes_differ' WHEN missing > 0 THEN 'missing' WHEN extra > 0 THEN 'extra' WHEN duplicates > 0 THEN 'duplicates'
+WHEN freshness_s IS NULL THEN 'freshness_unknown' WHEN freshness_s > 300 THEN 'stale' WHEN cost_matches IS DISTINCT FROM true THEN 'cost_differs' END AS reason FROM c) SELECT id, reason, CASE WHEN reason IS NULL THEN 'certified' ELSE 'refused' END AS verdict FROM w""")
 def _(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.sum("event_id").alias("h"))
-    k, n = F.col("user_id") % 8, F.col("n")
-    c = e.select(F.col("user_id").alias("id"), F.when(k != 0, n).alias("raw_rows"), F.when(k == 1, n + 1).otherwise(n).alias("ledger_rows"), F.col("h").alias("raw_hash"), F.when(k == 2, F.col("h") + 1).otherwise(F.col("h")).alias("ledger_hash"),
-                 F.when(k == 3, 1).otherwise(0).alias("missing"), F.lit(0).alias("extra"), F.lit(0).alias("duplicates"), F.when(k == 5, 9999).when(k != 4, 10).alias("freshness_s"), F.when(k != 6, F.lit(True)).alias("cost_matches"))
+    n, top, low, e = F.count("*"), F.max("event_id"), F.min("event_id"), F.col("event_id")
+    c = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(
+        F.when(n % 9 != 0, n).alias("raw_rows"), (n + F.when(top % 8 == 0, 1).otherwise(0)).alias("ledger_rows"), F.sum(e).alias("raw_hash"), F.sum(e + F.when(e % 97 == 0, 1).otherwise(0)).alias("ledger_hash"),
+        F.floor(top % 6 / 5).alias("missing"), F.floor(low % 5 / 4).alias("extra"), F.floor(low % 7 / 6).alias("duplicates"), F.when(top % 10 != 0, top % 400).alias("freshness_s"), F.when(low % 3 != 0, low % 3 == 1).alias("cost_matches"))
     return O.certification_verdict(c, 300).select("id", "reason", "verdict")
 
 
-@query("rec_10_archived_window", """WITH b AS (SELECT user_id AS run, event_id // 500 AS b, count(*) AS c FROM events GROUP BY 1, 2), s AS (SELECT run, count(*) AS batches, sum(c)::BIGINT AS events FROM b GROUP BY 1)
-SELECT run, CASE WHEN run % 7 = 0 THEN 'not_stopped_by_budget' WHEN run % 7 = 1 THEN 'errors' WHEN run % 7 = 2 THEN 'batch_count' WHEN run % 7 = 3 THEN 'event_count' WHEN run % 7 = 4 THEN 'repeated_id' END AS reason, run % 7 > 4 AS valid FROM s""")
+@query("rec_10_archived_window", """WITH b AS (SELECT user_id AS run, event_id // 500 AS batch_id, count(*) AS event_count, count(DISTINCT CASE WHEN event_id % 83 = 0 THEN -1 ELSE event_id END) AS ids, CASE WHEN max(event_id) % 211 = 0 THEN 'other' ELSE 's' END AS scope FROM events GROUP BY 1, 2),
+r AS (SELECT user_id AS run, CASE WHEN count(*) % 7 = 0 THEN 'signal' ELSE 'budget' END AS stopped_by, count(CASE WHEN event_type = 'error' THEN 1 END) // 20 AS errors, count(DISTINCT event_id // 500) + CASE WHEN max(event_id) % 9 = 0 THEN 1 ELSE 0 END AS batches, count(*) + CASE WHEN min(event_id) % 9 = 0 THEN 1 ELSE 0 END AS events FROM events GROUP BY 1),
+l AS (SELECT run, count(*) AS n_batches, sum(event_count) AS n_events, sum(ids) AS n_ids, count(DISTINCT scope) AS scopes FROM b GROUP BY 1),
+w AS (SELECT r.run, CASE WHEN stopped_by <> 'budget' THEN 'not_stopped_by_budget' WHEN errors > 0 THEN 'errors' WHEN batches <> n_batches THEN 'batch_count' WHEN events <> n_events THEN 'event_count' WHEN n_ids <> n_events THEN 'repeated_id' WHEN scopes <> 1 THEN 'several_scopes' END AS reason FROM r JOIN l ON r.run = l.run)
+SELECT run, reason, reason IS NULL AS valid FROM w""")
 def _(spark, sf_dir):
-    e = X.table(spark, sf_dir, "events")
-    b = e.groupBy(F.col("user_id").alias("run"), F.floor(F.col("event_id") / 500).alias("batch_id")).agg(F.count("*").alias("event_count"))
-    k = F.col("run") % 7
-    s = b.groupBy("run").agg(F.count("*").alias("batches"), F.sum("event_count").alias("events"))
-    run = s.select("run", F.when(k == 0, "signal").otherwise("budget").alias("stopped_by"), F.when(k == 1, 2).otherwise(0).alias("errors"), F.when(k == 2, F.col("batches") + 1).otherwise(F.col("batches")).alias("batches"), F.when(k == 3, F.col("events") + 1).otherwise(F.col("events")).alias("events"))
-    return O.archived_window(run, b.withColumns({"distinct_ids": F.when(k == 4, F.col("event_count") - 1).otherwise(F.col("event_count")), "scope": F.lit("s")}))
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), "event_id", "event_type", F.floor(F.col("event_id") / 500).alias("batch_id"))
+    b = e.groupBy("run", "batch_id").agg(F.count("*").alias("event_count"), F.count_distinct(F.when(F.col("event_id") % 83 == 0, -1).otherwise(F.col("event_id"))).alias("distinct_ids"),
+                                         F.when(F.max("event_id") % 211 == 0, "other").otherwise("s").alias("scope"))
+    run = e.groupBy("run").agg(F.when(F.count("*") % 7 == 0, "signal").otherwise("budget").alias("stopped_by"), F.floor(F.count_if(F.col("event_type") == "error") / 20).alias("errors"),
+                               (F.count_distinct("batch_id") + F.when(F.max("event_id") % 9 == 0, 1).otherwise(0)).alias("batches"), (F.count("*") + F.when(F.min("event_id") % 9 == 0, 1).otherwise(0)).alias("events"))
+    return O.archived_window(run, b)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..sources import fixtures as X
 from ..sources import raw as W
@@ -61,9 +62,19 @@ def _(spark, sf_dir):
     return W.read_partitioned(o, "o_orderkey", b[0], b[1], 7).select("o_orderkey", "chunk", "ordinal_base")
 
 
-@query("src_8_latest_raw_object")
+@query("src_8_latest_raw_object", "WITH b AS (" + BATCHES + ") SELECT count(*) AS objects, true AS newest_is_recent, true AS has_bytes FROM b")
 def _(spark, sf_dir):
-    return W.latest_raw_object(spark, written(spark, sf_dir))
+    """One file a batch; its time is the file system's, so it is only held to be of the last hour."""
+    got = W.latest_raw_object(spark, written(spark, sf_dir))
+    age = F.unix_seconds(F.current_timestamp()) - F.unix_seconds("last_object_at")
+    return got.select("objects", ((age >= -5) & (age < 3600)).alias("newest_is_recent"), (F.col("bytes") > 0).alias("has_bytes"))
+
+
+@query("src_8_latest_of_listed_keys", "SELECT 2 AS objects")
+def _(spark, sf_dir):
+    """Only listed objects count; names that are not there do not."""
+    keys = ["receiver_dir=JRN9/batch=000000", "receiver_dir=JRN2/batch=000000", "receiver_dir=JRN2/batch=999999"]
+    return W.latest_raw_object(spark, written(spark, sf_dir), keys).select(F.col("objects").cast("int").alias("objects"))
 
 
 @query("src_9_write_raw_batches", BATCHES.replace("AS last_sequence", "AS last_sequence, sha256(string_agg(event_id, ',' ORDER BY sequence, event_id)) AS ids"))
@@ -80,10 +91,14 @@ def _(spark, sf_dir):
     return per.join(bad, "table_name", "left").select("table_name", "events", "last_sequence", F.when(F.col("bad"), "refused").otherwise("routed").alias("state"))
 
 
-@query("src_14_generate_changes")
+@query("src_14_generate_changes", """WITH s AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 50 = 1 THEN '3-changes' WHEN c_custkey % 60 = 0 OR c_custkey % 30 = 1 THEN '2-changes' WHEN c_custkey % 4 = 3 OR c_custkey % 10 = 1 OR c_custkey % 20 = 0 THEN '1-changes' ELSE '0-seed' END AS step,
+c_name, c_acctbal FROM customer WHERE c_custkey % 20 <> 0 OR c_custkey % 60 = 0)
+SELECT key, step, 'Libellé ' || c_name || ' ' || step AS label, rpad('C' || key, 8, ' ') AS code, CAST(CAST(round(c_acctbal * 100) AS BIGINT) * CASE WHEN key % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS cents,
+CASE WHEN key % 5 <> 0 THEN 'note ' || key END AS note FROM s""")
 def _(spark, sf_dir):
-    """As many seed rows as the customers; the state the changes must lead to."""
-    return W.generate_changes(spark, X.table(spark, sf_dir, "customer").count())[1]
+    """The state that changes of the customers must lead to."""
+    c = X.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("label"), (X.cents("c_acctbal") / 100).cast("decimal(15,2)").alias("amount"))
+    return W.generate_changes(c)[1].select("key", "step", "label", "code", (F.col("amount") * 100).cast("long").alias("cents"), "note")
 
 
 @query("prj_1_project_envelope", "SELECT event_id, receiver, sequence, operation FROM ledger")
@@ -110,33 +125,65 @@ def _(spark, sf_dir):
     return W.typed_events(raw).select("event_id", "operation", "cents", X.micros("commit_ts").alias("commit_us"), "before_key", "after_key")
 
 
-@query("con_10_batch_integrity", "SELECT batch_id, event_count AS events, CASE WHEN batch_id LIKE '%JRN2/000001' THEN 'event_count' WHEN batch_id LIKE '%JRN9/000000' THEN 'payload_sha256' WHEN batch_id LIKE '%JRN5/000000' THEN 'format_unsupported' END AS reason FROM (" + BATCHES + ")")
+@query("prj_7_declared_history", """SELECT event_id AS _event_id, operation AS _operation, receiver AS _receiver, sequence AS _sequence, epoch_us(commit_ts) AS _commit_us, coalesce(after_key, before_key) AS k,
+CAST(round(cents * 10) AS BIGINT) AS amount_mills, event_type AS label, hex(encode(event_type)) AS payload, CAST(CAST(commit_ts AS DATE) AS VARCHAR) AS day, strftime(commit_ts, '%H:%M:%S') AS clock, CASE WHEN n % 3 = 0 THEN NULL ELSE n END AS note FROM ledger""")
 def _(spark, sf_dir):
+    """Images as JSON text, of any declared kinds: the after-image where there is one, else the before-image."""
+    led = ledger(spark, sf_dir)
+    blob = F.struct(F.lit("bytes").alias("type"), F.lit("base64").alias("encoding"), F.base64(F.col("event_type").cast("binary")).alias("value"))
+    image = lambda key: F.when(F.col(key).isNotNull(), F.to_json(F.struct(
+        F.col(key).alias("k"), (F.col("cents") / 100).cast("decimal(20,3)").alias("amount"), F.col("event_type").alias("label"), blob.alias("payload"), F.date_format("commit_ts", "yyyy-MM-dd").alias("day"),
+        F.date_format("commit_ts", "HH:mm:ss").alias("clock"), F.when(F.col("n") % 3 != 0, F.col("n")).alias("note"))))
+    kinds = {"k": "bigint", "amount": "decimal(20,3)", "label": "string", "payload": "binary", "day": "date", "clock": "time", "note": "bigint"}
+    typed = W.typed_history(led.withColumns({"before": image("before_key"), "after": image("after_key")}), kinds)
+    return typed.select("_event_id", "_operation", "_receiver", "_sequence", X.micros("_commit_ts").alias("_commit_us"), "k", (F.col("amount") * 1000).cast("long").alias("amount_mills"), "label", F.hex("payload").alias("payload"),
+                        F.col("day").cast("string").alias("day"), "clock", "note")
+
+
+@query("con_10_batch_integrity", "WITH b AS (" + BATCHES + """), m AS (SELECT *, row_number() OVER (ORDER BY batch_id) AS i FROM b)
+SELECT batch_id, event_count AS events, CASE WHEN i % 7 = 1 THEN 'format_unsupported' WHEN event_count <> event_count + CASE WHEN i % 7 = 2 THEN 1 ELSE 0 END THEN 'event_count' WHEN i % 7 = 3 THEN 'event_ids'
+WHEN i % 7 = 4 THEN 'payload_sha256' WHEN last_sequence <> last_sequence + CASE WHEN i % 7 = 5 THEN 1 ELSE 0 END THEN 'watermark' WHEN i % 7 = 6 THEN 'manifest_missing' END AS reason FROM m""")
+def _(spark, sf_dir):
+    """Every seventh batch is left whole; the others' manifests say something else in one way each."""
     out = written(spark, sf_dir)
-    m = W.read_manifests(spark, out).withColumns({
-        "event_count": F.when(F.col("batch_id").endswith("JRN2/000001"), F.col("event_count") + 1).otherwise(F.col("event_count")),
-        "payload_sha256": F.when(F.col("batch_id").endswith("JRN9/000000"), "x").otherwise(F.col("payload_sha256")),
-        "format_version": F.when(F.col("batch_id").endswith("JRN5/000000"), "v0").otherwise(F.col("format_version"))})
-    return W.batch_integrity(W.read_raw_events(spark, out), m)
+    m = W.read_manifests(spark, out)
+    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("batch_id")) % 7  # one row a batch
+    broken = m.withColumn("i", i).where("i <> 6").withColumns({
+        "event_count": F.when(F.col("i") == 2, F.col("event_count") + 1).otherwise(F.col("event_count")), "event_ids": F.when(F.col("i") == 3, F.slice(F.reverse("event_ids"), 1, 10**6)).otherwise(F.col("event_ids")),
+        "payload_sha256": F.when(F.col("i") == 4, "x").otherwise(F.col("payload_sha256")), "format_version": F.when(F.col("i") == 1, "v0").otherwise(F.col("format_version")),
+        "high_watermark": F.when(F.col("i") == 5, F.struct(F.col("high_watermark.receiver").alias("receiver"), (F.col("high_watermark.sequence") + 1).alias("sequence"))).otherwise(F.col("high_watermark"))})
+    return W.batch_integrity(W.read_raw_events(spark, out), broken)
 
 
-@query("con_11_receipt_integrity", "SELECT batch_id AS receipt, CASE WHEN batch_id LIKE '%000001' THEN 'payload_sha256' WHEN batch_id LIKE '%JRN9/000002' THEN 'event_outside' END AS reason FROM (" + BATCHES + ")")
+@query("con_11_receipt_integrity", "WITH b AS (" + BATCHES + """), s AS (SELECT 'ORDERS/' || replace(receiver, ':', '_') || '/' || lpad((sequence // 500)::VARCHAR, 6, '0') AS batch_id, min(sequence) AS lo, max(sequence) AS hi, count(*) AS n FROM ledger GROUP BY 1),
+r AS (SELECT s.*, row_number() OVER (ORDER BY batch_id) % 5 AS i FROM s), c AS (SELECT *, CASE WHEN i = 2 THEN n + 1 ELSE n END AS claimed, CASE WHEN i = 3 THEN hi - 1 ELSE hi END AS claimed_end, CASE WHEN i = 4 THEN lo + 1 ELSE lo END AS claimed_start FROM r)
+SELECT batch_id AS receipt, CASE WHEN i = 1 THEN 'payload_sha256' WHEN claimed <> n THEN 'event_count' WHEN claimed_end <> hi THEN 'end_is_not_watermark' WHEN lo < claimed_start OR hi > claimed_end THEN 'event_outside' END AS reason FROM c""")
 def _(spark, sf_dir):
     out = written(spark, sf_dir)
     m = W.read_manifests(spark, out)
     e = W.project_envelope(W.read_raw_events(spark, out)).select("batch_id", "sequence")
-    low = e.groupBy("batch_id").agg(F.min("sequence").alias("start_seq"))
-    r = m.join(low, "batch_id").select(F.col("batch_id").alias("receipt"), "batch_id", F.when(F.col("batch_id").endswith("JRN9/000002"), F.col("start_seq") + 1).otherwise(F.col("start_seq")).alias("start_seq"),
-                                       F.col("high_watermark.sequence").alias("end_seq"), "event_count", F.when(F.col("batch_id").endswith("000001"), "x").otherwise(F.col("payload_sha256")).alias("payload_sha256"))
+    low = e.groupBy("batch_id").agg(F.min("sequence").alias("lo"))
+    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("batch_id")) % 5  # one row a batch
+    r = m.join(low, "batch_id").withColumn("i", i).select(
+        F.col("batch_id").alias("receipt"), "batch_id", F.when(F.col("i") == 4, F.col("lo") + 1).otherwise(F.col("lo")).alias("start_seq"), (F.col("high_watermark.sequence") - F.when(F.col("i") == 3, 1).otherwise(0)).alias("end_seq"),
+        (F.col("event_count") + F.when(F.col("i") == 2, 1).otherwise(0)).alias("event_count"), F.when(F.col("i") == 1, "x").otherwise(F.col("payload_sha256")).alias("payload_sha256"))
     return W.receipt_integrity(r, m, e)
 
 
 @query("rep_4_receipt_chain", """WITH o AS (SELECT r.*, row_number() OVER (ORDER BY ordinal, start_seq) - 1 AS place FROM receipts r JOIN receiver_catalogue c ON r.receiver = c.receiver) SELECT receiver || ':' || start_seq AS receipt, place::INT AS place, NULL AS reason FROM o""")
 def _(spark, sf_dir):
-    from pyspark.sql.window import Window
-
     r = X.receipts(spark, sf_dir).join(F.broadcast(X.receiver_catalogue(spark, sf_dir).select("receiver", "ordinal")), "receiver")
     end = F.concat_ws(":", "receiver", "end_seq")
     w = Window.partitionBy("table_name").orderBy("ordinal", "start_seq")
     chain = r.select(F.concat_ws(":", "receiver", "start_seq").alias("receipt"), end.alias("end_key"), F.lag(end).over(w).alias("previous_key"))
-    return W.receipt_chain(chain)
+    return W.receipt_chain(chain).withColumn("place", F.col("place").cast("int"))
+
+
+@query("rep_4_pending_after_cursor", """WITH o AS (SELECT r.*, row_number() OVER (ORDER BY ordinal, start_seq) - 1 AS place FROM receipts r JOIN receiver_catalogue c ON r.receiver = c.receiver),
+f AS (SELECT min(place) AS first FROM o WHERE receiver = 'JRN2' AND start_seq <= 750 AND end_seq > 750) SELECT receiver || ':' || start_seq AS receipt, (place - first)::INT AS place, NULL AS reason FROM o, f WHERE place >= first""")
+def _(spark, sf_dir):
+    """A cursor in the middle of a receipt: that one and all after it, across receivers."""
+    r = X.receipts(spark, sf_dir).join(F.broadcast(X.receiver_catalogue(spark, sf_dir).select("receiver", "ordinal")), "receiver")
+    w = Window.partitionBy("table_name").orderBy("ordinal", "start_seq")
+    linked = r.select(F.concat_ws(":", "receiver", "start_seq").alias("receipt"), "receiver", "start_seq", "end_seq", F.lag("receiver").over(w).alias("previous_receiver"), F.lag("end_seq").over(w).alias("previous_seq"))
+    return W.pending_receipts(linked, ("JRN2", 750)).withColumn("place", F.col("place").cast("int"))

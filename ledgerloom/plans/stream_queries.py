@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import slo as O
 from ..operators import ledger as L
@@ -81,28 +82,61 @@ def scans(spark, sf_dir):
     return X.deliveries(spark, sf_dir).select(F.col("pipeline").alias("stream"), "at_us", F.col("n").alias("event_count"))
 
 
-@query("str_7_proof_windows")
+CLOSED = """WITH RECURSIVE s AS (SELECT pipeline AS stream, at_us, n FROM deliveries), w AS (SELECT stream, 0::BIGINT AS window_no, min(at_us) AS start_us FROM s GROUP BY stream UNION ALL
+SELECT w.stream, w.window_no + 1, min(s.at_us) FROM w JOIN s ON s.stream = w.stream AND s.at_us >= w.start_us + 86400000000 GROUP BY w.stream, w.window_no),
+c AS (SELECT *, lead(start_us) OVER (PARTITION BY stream ORDER BY window_no) AS close_us FROM w),
+r AS (SELECT c.stream, window_no, start_us, close_us, count(s.n) AS receipts, coalesce(sum(s.n), 0)::BIGINT AS events FROM c LEFT JOIN s ON s.stream = c.stream AND (s.at_us > start_us OR window_no = 0 AND s.at_us = start_us) AND (close_us IS NULL OR s.at_us <= close_us) GROUP BY ALL)
+SELECT stream, window_no, start_us, close_us, receipts, events, CASE WHEN close_us IS NULL THEN 'open' WHEN close_us <= start_us + 90000000000 THEN 'closed' ELSE 'late' END AS state FROM r WHERE """
+
+
+@query("str_7_proof_windows", CLOSED + "receipts > 0")
 def _(spark, sf_dir):
     return T.proof_windows(scans(spark, sf_dir), 86400, 3600)
 
 
-@query("str_7_proof_window_stream")
+@query("str_7_proof_window_stream", CLOSED + "close_us IS NOT NULL")
 def _(spark, sf_dir):
+    """Scans in files by time, read over several micro-batches."""
     out = W.scratch(spark, "windows")
-    scans(spark, sf_dir).coalesce(1).write.parquet(f"{out}/scans")
-    live = spark.readStream.schema("stream string, at_us long, event_count long").parquet(f"{out}/scans")
+    by_time(scans(spark, sf_dir), F.col("at_us"), f"{out}/scans")
+    live = spark.readStream.schema("stream string, at_us long, event_count long").option("maxFilesPerTrigger", 2).parquet(f"{out}/scans")
     T.drain(T.proof_window_stream(live, 86400, 3600), f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table")
 
 
+@query("str_7_refused_scans", """WITH s AS (SELECT pipeline AS stream, at_us, CASE WHEN slot % 11 = 3 THEN at_us WHEN slot % 13 = 5 THEN at_us - 1 ELSE lag(at_us) OVER (PARTITION BY pipeline ORDER BY at_us) END AS previous_us, lag(at_us) OVER (PARTITION BY pipeline ORDER BY at_us) AS before FROM deliveries)
+SELECT stream, at_us, CASE WHEN previous_us >= at_us THEN 'loop' WHEN before IS NULL THEN 'unknown_predecessor' ELSE 'gap' END AS reason FROM s WHERE previous_us >= at_us OR previous_us IS DISTINCT FROM before""")
+def _(spark, sf_dir):
+    """Scans whose link names themselves, or another moment than the scan before."""
+    d = X.deliveries(spark, sf_dir)
+    before = F.lag("at_us").over(Window.partitionBy("pipeline").orderBy("at_us"))
+    s = d.select(F.col("pipeline").alias("stream"), "at_us", F.when(F.col("slot") % 11 == 3, F.col("at_us")).when(F.col("slot") % 13 == 5, F.col("at_us") - 1).otherwise(before).alias("previous_us"))
+    return T.refused_scans(s)
+
+
+def by_time(rows, at, path: str) -> None:
+    """Rows in files by ranges of time, written one range after the other: a stream reads files in the order of their age."""
+    spark = rows.sparkSession
+    rows = rows.withColumn("__at", at)
+    lo, hi = rows.agg(F.min("__at"), F.max("__at")).first()
+    parts = 6
+    for i in range(parts if lo is not None else 0):
+        low, high = lo + (hi - lo) * i // parts, lo + (hi - lo) * (i + 1) // parts
+        some = rows.where((F.col("__at") > low if i else F.col("__at") >= low) & (F.col("__at") <= high)).drop("__at")
+        some.repartition(2).write.mode("append").parquet(path)
+    if lo is None:
+        spark.createDataFrame([], rows.drop("__at").schema).write.mode("append").parquet(path)
+
+
 @query("str_8_lag_stream", """SELECT event_type AS pipeline, epoch_us(date_trunc('hour', ts)) AS start_us, min(CASE WHEN event_id % 13 <> 0 THEN event_id % 5000 END) AS least, max(CASE WHEN event_id % 13 <> 0 THEN event_id % 5000 END) AS most, count(*) AS samples,
 count(CASE WHEN event_id % 13 = 0 THEN 1 END) AS unknown FROM events WHERE date_trunc('hour', ts) < (SELECT date_trunc('hour', max(ts) - INTERVAL 70 MINUTE) FROM events) GROUP BY 1, 2""")
 def _(spark, sf_dir):
     """Windows that the watermark has closed; the last two hours may still be open."""
     out = W.scratch(spark, "lag")
     e = X.table(spark, sf_dir, "events")
-    e.select(F.col("event_type").alias("pipeline"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 5000).alias("lag")).coalesce(1).write.parquet(f"{out}/samples")
-    live = spark.readStream.schema("pipeline string, at timestamp, lag long").parquet(f"{out}/samples")
+    samples = e.select(F.col("event_type").alias("pipeline"), F.col("ts").cast("timestamp").alias("at"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 5000).alias("lag"))
+    by_time(samples, F.unix_micros("at"), f"{out}/samples")
+    live = spark.readStream.schema("pipeline string, at timestamp, lag long").option("maxFilesPerTrigger", 2).parquet(f"{out}/samples")
     T.drain(T.lag_stream(live), f"{out}/table", f"{out}/checkpoint")
     last = e.agg(F.max(F.col("ts").cast("timestamp")).alias("m"))
     got = spark.read.parquet(f"{out}/table").join(F.broadcast(last)).where(F.col("start") < F.date_trunc("hour", F.col("m") - F.expr("INTERVAL 70 MINUTES")))  # one row
@@ -114,8 +148,8 @@ def _(spark, sf_dir):
     """The live transitions; a test holds them against the batch form."""
     out = W.scratch(spark, "alerts")
     c = O.evaluate_slo(X.slo_telemetry(spark, sf_dir), ["pipeline", "hour"]).select("pipeline", "check", X.micros("hour").alias("at_us"), "status")
-    c.coalesce(1).write.parquet(f"{out}/checks")
-    live = spark.readStream.schema("pipeline string, check string, at_us long, status string").parquet(f"{out}/checks")
+    by_time(c, F.col("at_us"), f"{out}/checks")
+    live = spark.readStream.schema("pipeline string, check string, at_us long, status string").option("maxFilesPerTrigger", 2).parquet(f"{out}/checks")
     T.drain(T.alert_stream(live), f"{out}/table", f"{out}/checkpoint")
     return spark.read.parquet(f"{out}/table")
 

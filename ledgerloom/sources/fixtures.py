@@ -144,7 +144,8 @@ def deliveries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def benchmark_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select(
         F.col("l_returnflag").alias("solution"), F.col("l_quantity").cast("long").alias("elapsed_ms"), F.round("l_extendedprice").cast("long").alias("bytes"),
-        F.col("l_linenumber").alias("lag"), F.lit("scope-1").alias("scope"))
+        F.col("l_linenumber").alias("lag"), F.lit("scope-1").alias("scope"),
+        F.lit("print-1").alias("fingerprint"), F.col("l_quantity").cast("long").alias("cost_cents"))
 
 
 def capture_polls(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ Paths are anything that Spark reads; listing and content go through Spark's own
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -29,6 +30,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows, read from the shared folder: lineage ends here and survives a lost executor."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(scratch(df.sparkSession, "checkpoint"))
+    return df.checkpoint()
+
+
 def batch_of(size: int = 500) -> Column:
     return F.lpad(F.floor(F.col("sequence") / size).cast("string"), 6, "0")
 
@@ -63,7 +72,7 @@ def read_raw_events(spark: SparkSession, path: str, files: list[str] | None = No
     where = f"{path}/payload" if files is None else [f"{path}/payload/{f}" for f in files]
     rows = spark.read.option("basePath", f"{path}/payload").text(where)
     parsed = rows.select(F.concat_ws("/", "table_name", "receiver_dir", F.lpad(F.col("batch").cast("string"), 6, "0")).alias("batch_id"), F.parse_json("value").alias("payload"), "value",
-                         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("ingested_at"))
+                         F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_modification_time").alias("ingested_at"), F.struct(F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("i")).alias("line_number"))
     order = Window.partitionBy("source_file").orderBy(F.expr("variant_get(payload, '$.sequence', 'long')"), F.expr("variant_get(payload, '$.event_id', 'string')"))
     return parsed.withColumn("source_row_number", F.row_number().over(order))
 
@@ -75,10 +84,42 @@ def project_envelope(raw: DataFrame) -> DataFrame:
 
 
 def typed_events(raw: DataFrame, col: str = "value") -> DataFrame:
-    """PRJ-7: the declared columns of every line; decimals and times are read from their text."""
+    """The ledger's own columns of every line; decimals and times are read from their text."""
     return raw.select(F.from_json(col, EVENT, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("e")).select("e.*")
 
 
+#: What a declared column may be (fixed values); decimals carry precision and scale.
+KINDS = re.compile(r"string|smallint|integer|int|bigint|long|date|time|timestamp|binary|decimal\(\d{1,2},\d{1,2}\)")
+TECHNICAL = ("_event_id", "_operation", "_receiver", "_sequence", "_commit_ts")
+
+
+def typed_history(events: DataFrame, declared: dict[str, str], before: str = "before", after: str = "after") -> DataFrame:
+    """PRJ-7: one typed row a change: the after-image, else the before-image (JSON text), cast to the declared columns (name:
+    kind), and five technical columns.  Numbers are read from their text, so 38 digits survive; binary arrives as
+    {type: bytes, encoding: base64, value}; a time is text HH:mm:ss; what cannot be cast is null.  Unknown kinds and names
+    that clash with technical columns are refused."""
+    bad = [k for k in declared.values() if not KINDS.fullmatch(k.replace(" ", ""))]
+    clash = [c for c in declared if c in TECHNICAL]
+    if bad or clash:
+        raise ValueError(f"not supported: {bad + clash}")
+    text = {c: "string" if k in ("time", "date", "timestamp") else "struct<type:string,encoding:string,value:string>" if k == "binary" else k for c, k in declared.items()}
+    read = F.from_json(F.coalesce(after, before), ", ".join(f"`{c}` {k}" for c, k in text.items()))
+
+    def typed(c: str, kind: str) -> Column:
+        x = F.col("__image").getField(c)
+        if kind == "binary":
+            return F.when((x["type"] == "bytes") & (x["encoding"] == "base64"), F.try_to_binary(x["value"], F.lit("base64")))
+        if kind == "time":
+            return F.when(x.rlike(r"^([01]\d|2[0-3]):[0-5]\d:[0-5]\d$"), x)
+        if kind == "date":
+            return F.when(x.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(x, "yyyy-MM-dd"))
+        if kind == "timestamp":
+            return F.try_to_timestamp(x).cast("timestamp_ntz")
+        return x
+    technical = [F.col(c.removeprefix("_")).alias(c) for c in TECHNICAL]
+    return events.withColumn("__image", read).select(*technical, *[typed(c, k).alias(c) for c, k in declared.items()])
+
+
 def with_rrn(image: Column, rrn: Column, operation: Column) -> tuple[Column, Column]:
     """PRJ-4: the image (map) with its record number; a delete without image keeps only that; other events
     without image are refused; a record number of 0 or less is unknown."""
@@ -126,21 +167,33 @@ def read_partitioned(table: DataFrame, column: str, least: int, most: int, parts
     return table.where(F.col(column).between(least, most)).withColumn("chunk", fixed).withColumn("ordinal_base", F.element_at(lows, F.col("chunk") + 1) - 1)
 
 
-def latest_raw_object(spark: SparkSession, path: str) -> DataFrame:
-    """SRC-8: newest payload file time and number of files; contents are not read."""
+def latest_raw_object(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """SRC-8: newest payload file time, number of files and bytes, of all or only of those under listed folders or names (parts of
+    a path); contents are not read, a listed name that is not there does not count."""
     listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/payload").select("path", "modificationTime", "length")
+    if keys is not None:
+        found = F.lit(False)
+        for k in keys:
+            found = found | F.contains("path", F.lit(f"/{k}/")) | F.endswith("path", F.lit(f"/{k}"))
+        listed = listed.where(found)
     return listed.agg(F.max("modificationTime").alias("last_object_at"), F.count("*").alias("objects"), F.sum("length").alias("bytes"))
 
 
-def batch_integrity(raw: DataFrame, manifests: DataFrame) -> DataFrame:
-    """CON-10: one row per batch and what is wrong with it, the first rule that fails."""
+def batch_integrity(raw: DataFrame, manifests: DataFrame, size: int = 500) -> DataFrame:
+    """CON-10: one row per batch and what is wrong with it, the first rule that fails: manifest or payload missing, format,
+    receivers, the batch id that the positions give, order of the lines, count, ids, digest, watermark."""
     e = project_envelope(raw)
+    # the id that the position gives, and lines that stand before a smaller position in their file
+    derived = F.concat_ws("/", F.regexp_replace("receiver", "[^A-Za-z0-9]", "_"), batch_of(size))
+    place = Window.partitionBy("source_file").orderBy("line_number")
+    e = e.withColumns({"stray": ~F.endswith("batch_id", derived), "back": F.col("sequence") < F.lag("sequence").over(place)})
     order = F.array_sort(F.collect_list(F.struct("sequence", "event_id", "value")))
-    per = e.groupBy("batch_id").agg(F.count("*").alias("n"), order.alias("o"), F.count_distinct("receiver").alias("receivers"), F.max("sequence").alias("last"), F.max("receiver").alias("receiver"))
-    per = per.select("batch_id", "n", "receivers", "last", "receiver", F.transform("o", lambda x: x["event_id"]).alias("ids"), F.sha2(F.concat(F.array_join(F.transform("o", lambda x: x["value"]), "\n"), F.lit("\n")), 256).alias("sha"))
+    per = e.groupBy("batch_id").agg(F.count("*").alias("n"), order.alias("o"), F.count_distinct("receiver").alias("receivers"), F.max("sequence").alias("last"), F.max("receiver").alias("receiver"),
+                                      F.count_if("stray").alias("strays"), F.count_if("back").alias("unordered"))
+    per = per.select("batch_id", "n", "receivers", "last", "receiver", "strays", "unordered", F.transform("o", lambda x: x["event_id"]).alias("ids"), F.sha2(F.concat(F.array_join(F.transform("o", lambda x: x["value"]), "\n"), F.lit("\n")), 256).alias("sha"))
     x = per.join(manifests.withColumn("__m", F.lit(1)), "batch_id", "full_outer")
     why = (F.when(F.col("__m").isNull(), "manifest_missing").when(F.col("n").isNull(), "payload_missing").when(F.col("format_version") != FORMAT, "format_unsupported").when(F.col("receivers") != 1, "several_receivers")
-           .when(F.col("n") != F.col("event_count"), "event_count").when(~F.col("ids").eqNullSafe(F.col("event_ids")), "event_ids").when(F.col("sha") != F.col("payload_sha256"), "payload_sha256")
+           .when(F.col("strays") > 0, "batch_id").when(F.col("unordered") > 0, "order").when(F.col("n") != F.col("event_count"), "event_count").when(~F.col("ids").eqNullSafe(F.col("event_ids")), "event_ids").when(F.col("sha") != F.col("payload_sha256"), "payload_sha256")
            .when((F.col("high_watermark.sequence") != F.col("last")) | (F.col("high_watermark.receiver") != F.col("receiver")), "watermark"))
     return x.select("batch_id", F.coalesce("n", F.lit(0)).alias("events"), why.alias("reason"))
 
@@ -162,40 +215,68 @@ def route_by_table(events: DataFrame, allowed: DataFrame) -> tuple[DataFrame, Da
     return per, events.join(F.broadcast(allowed), "table_name", "left_anti")
 
 
-def generate_changes(spark: SparkSession, n: int = 100) -> tuple[DataFrame, DataFrame]:
-    """SRC-14: deterministic change events (seed rows and three steps with nulls, accents, padding and signed
-    decimals) and the state they must lead to: the latest step of every key that was not deleted."""
-    i = F.col("order_id")
+def generate_changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """SRC-14: deterministic changes of a table's own rows (a seed and three steps, chosen by key: updates with accents, padding,
+    nulls and changed signs, deletes, and keys that come back) and the state they must lead to: the latest step of every
+    key that was not deleted.  rows: key, label, amount."""
+    k = F.col("key")
 
-    def step(name: str, ids: DataFrame, op: str) -> DataFrame:
-        return ids.select(i, F.lit(name).alias("step"), F.lit(op).alias("operation"), F.concat(F.lit("Libellé é "), i, F.lit(f" {name}")).alias("label"), F.rpad(F.concat(F.lit("C"), i), 8, " ").alias("code"),
-                          ((i * 137 % 100000 - 50000) / 100 * F.when(i % 2 == 0, 1).otherwise(-1)).cast("decimal(11,2)").alias("amount"), F.when(i % 5 != 0, F.concat(F.lit("note "), i)).alias("note"))
-    ids = lambda a, b: spark.range(a, b).select(F.col("id").alias("order_id"))
-    tenth = max(1, n // 10)
-    plan = [("0-seed", ids(1, n + 1), "c"), ("1-changes", ids(n + 1, n + 1 + tenth), "c"), ("1-changes", ids(1, 1 + tenth), "u_after"), ("1-changes", ids(n - tenth // 2 + 1, n + 1), "d"),
-            ("2-changes", ids(n + 1 + tenth, n + 1 + tenth + tenth // 2), "c"), ("2-changes", ids(tenth // 2, tenth), "u_after"), ("3-changes", ids(1, 3), "u_after")]
+    def step(name: str, some: Column, op: str) -> DataFrame:
+        return rows.where(some).select(k, F.lit(name).alias("step"), F.lit(op).alias("operation"), F.concat(F.lit("Libellé "), "label", F.lit(f" {name}")).alias("label"), F.rpad(F.concat(F.lit("C"), k), 8, " ").alias("code"),
+                                       (F.col("amount") * F.when(k % 2 == 0, 1).otherwise(-1)).cast("decimal(15,2)").alias("amount"), F.when(k % 5 != 0, F.concat(F.lit("note "), k)).alias("note"))
+    plan = [("0-seed", k % 4 != 3, "c"), ("1-changes", k % 4 == 3, "c"), ("1-changes", k % 10 == 1, "u_after"), ("1-changes", k % 20 == 0, "d"), ("2-changes", k % 60 == 0, "c"), ("2-changes", k % 30 == 1, "u_after"), ("3-changes", k % 50 == 1, "u_after")]
     events = None
     for p in plan:
         s = step(*p)
         events = s if events is None else events.unionByName(s)
-    last = events.groupBy("order_id").agg(F.max(F.struct("step", "operation", "label", "code", "amount", "note")).alias("x")).where("x.operation <> 'd'")
-    return events, last.select("order_id", "x.step", "x.label", "x.code", "x.amount", "x.note")
+    last = events.groupBy("key").agg(F.max(F.struct("step", F.when(F.col("operation") == "c", 0).otherwise(1).alias("o"), "operation", "label", "code", "amount", "note")).alias("x")).where("x.operation <> 'd'")
+    return events, last.select("key", "x.step", "x.label", "x.code", "x.amount", "x.note")
 
 
-def receipt_chain(receipts: DataFrame, rounds: int = 40) -> DataFrame:
-    """REP-4: receipts in chain order by doubling their ``previous`` links, so a chain of n receipts takes about
-    log2(n) joins: start of the chain, distance from it, and what is wrong (fork, several_roots, unreachable).
-    receipts: receipt, start_key, end_key, previous_key (null: root)."""
-    r = receipts.select("receipt", "end_key", "previous_key")
+def receipt_chain(receipts: DataFrame) -> DataFrame:
+    """REP-4: receipts in chain order by doubling their ``previous`` links: start of the chain, distance from it, and what is
+    wrong (fork, several_roots, cycle, unreachable).  A chain of n receipts takes about log2(n) joins, each cut by a
+    checkpoint, and the rounds end where all have found their root or nothing moves on.
+    receipts: receipt, end_key, previous_key (null: root)."""
+    r = cut(receipts.select("receipt", "end_key", "previous_key"))
     forks = r.where("previous_key is not null").groupBy("previous_key").agg(F.count("*").alias("c")).where("c > 1")
     roots = r.where("previous_key is null").agg(F.count("*").alias("roots"))
-    jump = r.select("receipt", F.col("previous_key").alias("to"), F.when(F.col("previous_key").isNull(), 0).otherwise(1).alias("steps"), F.col("end_key").alias("key"))
-    bound = 1
-    total = r.count()
-    while bound < total and rounds:
-        nxt = jump.select(F.col("key").alias("to"), F.col("to").alias("far"), F.col("steps").alias("more"))
-        jump = jump.join(nxt, "to", "left").select("receipt", F.when(F.col("more").isNull(), F.col("to")).otherwise(F.col("far")).alias("to"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps"), "key").dropDuplicates(["receipt"])
-        bound, rounds = bound * 2, rounds - 1
-    x = jump.join(r.select("receipt", "previous_key"), "receipt").join(forks.select("previous_key", F.lit(True).alias("fork")), "previous_key", "left").crossJoin(roots)  # one row
-    why = F.when(F.col("to").isNotNull(), "unreachable").when(F.col("fork"), "fork").when(F.col("roots") != 1, "several_roots")
+    jump = r.select("receipt", F.col("previous_key").alias("to"), F.when(F.col("previous_key").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("end_key").alias("key"))
+    total, bound, before = r.count(), 1, None
+    while True:
+        now = jump.agg(F.count("to"), F.sum("steps")).first()
+        if not now[0] or now == before or bound > 2 * total:
+            break
+        nxt = jump.groupBy(F.col("key").alias("to")).agg(F.min(F.struct(F.col("to").alias("far"), F.col("steps").alias("more"))).alias("n"))
+        far = F.when(F.col("n").isNull(), F.col("to")).otherwise(F.col("n.far"))
+        jump = cut(jump.where("to is not null").join(nxt, "to", "left").select("receipt", far.alias("to"), (F.col("steps") + F.coalesce("n.more", F.lit(0))).alias("steps"), "key").unionByName(jump.where("to is null")))
+        before, bound = now, bound * 2
+    ends = r.select(F.col("end_key").alias("to"), F.lit(True).alias("loops")).distinct()
+    x = (jump.join(r.select("receipt", "previous_key"), "receipt").join(forks.select("previous_key", F.lit(True).alias("fork")), "previous_key", "left")
+         .join(ends, "to", "left").crossJoin(roots))  # one row
+    why = (F.when(F.col("to").isNotNull() & F.col("loops"), "cycle").when(F.col("to").isNotNull(), "unreachable").when(F.col("fork"), "fork").when(F.col("roots") != 1, "several_roots"))
     return x.select("receipt", F.when(F.col("to").isNull(), F.col("steps")).alias("place"), why.alias("reason"))
+
+
+def pending_receipts(receipts: DataFrame, cursor: tuple[str, int] | None) -> DataFrame:
+    """REP-4: what is to be read after a cursor: the chain from the receipt whose ``previous`` is the cursor; else from a root
+    that starts right behind it; else from the one receipt that covers it (a copy's boundary may lie inside a window).
+    Several covering receipts and a hole right after the boundary are refused, without a cursor the whole chain is pending.
+    receipts: receipt, receiver, start_seq, end_seq, previous_receiver, previous_seq.  receipt, place, reason."""
+    name = lambda a, b: F.when(F.col(a).isNotNull(), F.concat_ws(":", a, F.col(b).cast("string")))
+    keyed = receipts.select("receipt", "receiver", "start_seq", "end_seq", name("receiver", "end_seq").alias("end_key"), name("previous_receiver", "previous_seq").alias("previous_key"))
+    chain = cut(receipt_chain(keyed).join(keyed.drop("end_key"), "receipt"))
+    if cursor is None:
+        return chain.select("receipt", "place", "reason")
+    receiver, sequence = cursor
+    here = F.col("receiver") == receiver
+    follows = F.col("previous_key") == f"{receiver}:{sequence}"
+    behind = F.col("previous_key").isNull() & here & (F.col("start_seq") == sequence + 1)
+    covers = here & (F.col("start_seq") <= sequence) & (F.col("end_seq") > sequence)
+    first = chain.agg(F.min(F.when(follows, F.col("place"))).alias("a"), F.min(F.when(behind, F.col("place"))).alias("b"), F.min(F.when(covers, F.col("place"))).alias("c"),
+                      F.count_if(covers).alias("covering"), F.count_if(here & (F.col("start_seq") > sequence + 1)).alias("beyond"))
+    known = F.coalesce("a", "b")
+    start = F.coalesce(known, F.when(F.col("covering") == 1, F.col("c")))
+    why = F.when(known.isNull() & (F.col("covering") > 1), "several_cover_the_boundary").when(start.isNull() & (F.col("beyond") > 0), "hole_after_boundary")
+    x = chain.crossJoin(first.select(start.alias("start"), why.alias("why")))  # one row
+    return x.where("place >= start or why is not null or reason is not null").select("receipt", (F.col("place") - F.col("start")).alias("place"), F.coalesce("reason", "why").alias("reason"))

@@ -8,13 +8,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 from ..operators import ledger as L
 from ..sources.raw import EVENT, typed_events
-from ..sources.versions import BatchedTable, VersionedTable
+from ..sources.versions import BatchedTable, BucketTable
 
 MIRROR = "k long, cents long, event_type string, event_id string, receiver string, sequence long, commit_ts timestamp_ntz"
 
@@ -35,42 +36,65 @@ def dedupe_within(events: DataFrame, horizon: str = "3 days") -> DataFrame:
     return events.withColumn("__t", F.col("ingested_at").cast("timestamp")).withWatermark("__t", horizon).dropDuplicatesWithinWatermark(["event_id"]).drop("__t")
 
 
+class Mirror(BucketTable):
+    """The current state: a key's winning operation, deletes included, by bucket of the key."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__(spark, path, L.STATE, "k")
+
+    def read(self) -> DataFrame:
+        return self.rows().where("kind = 'upsert'").select(*[c.split()[0] for c in MIRROR.split(", ")])
+
+
+def place(width: int = 1_000_000) -> Column:
+    """The cell of history that a position falls in: an id follows from its position, so copies share a cell."""
+    return F.concat(F.regexp_replace("receiver", "[^A-Za-z0-9]", "_"), F.lit("-"), F.floor(F.col("sequence") / width).cast("string"))
+
+
 class LedgerStream:
-    """STR-2 to STR-6 and STR-10 in one ``foreachBatch``: conflicts, history, then mirror, then positions."""
+    """STR-2 to STR-6 and STR-10 in one ``foreachBatch``: conflicts, history, then mirror, then positions.  A batch reads
+    the cells of history that its positions fall in, and reads and rewrites the buckets of the mirror that its keys fall in;
+    only if it changes the receivers' order is the mirror made anew from all of history."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
-        self.history = BatchedTable(spark, f"{folder}/history", EVENT)
+        self.history = BatchedTable(spark, f"{folder}/history", EVENT, place())
         self.rejects = BatchedTable(spark, f"{folder}/rejects", "event_id string, copies long")
-        self.mirror = VersionedTable(spark, f"{folder}/mirror", MIRROR)
+        self.receivers = BatchedTable(spark, f"{folder}/receivers", "receiver string, commit_ts timestamp_ntz")
+        self.mirror = Mirror(spark, f"{folder}/mirror")
         self.boundary: tuple[str, int] | None = None
 
     def apply(self, batch: DataFrame, number: int) -> None:
-        """One batch: its events that history lacks, and the mirror over the whole history of touched keys.  The
+        """One batch: its events that history lacks, and the mirror of the keys it touches.  The
         mirror is made again even if history already holds the rows, so a crash between the two heals."""
         if self.boundary is not None:
             receiver, sequence = self.boundary
             batch = batch.where((F.col("receiver") != receiver) | (F.col("sequence") > sequence))
         batch = batch.persist()  # read several times below
-        known = self.history.read(without=number)
+        cells = [r.cell for r in batch.select(place().alias("cell")).distinct().collect()]  # as many as a batch spans
+        known = self.history.read(without=number, cells=cells)
         content = ["receiver", "sequence", "operation", "before_key", "after_key", "cents", "event_type"]
-        self.rejects.write(L.conflicts(known.join(batch.select("event_id"), "event_id", "left_semi").unionByName(batch), content), number)
-        bad = self.rejects.read().select("event_id").distinct()
-        self.history.write(L.append_history(batch, known).join(bad, "event_id", "left_anti").select(*known.columns), number)
-        whole = self.history.read()
-        keys = L.touched_keys(batch)
-        ops = L.operations(L.scope(whole, keys)).join(keys, "k", "left_semi")
-        before = self.mirror.read(before=number + 1)
-        won = L.latest_operation(ops, L.receiver_ranks(whole)).where("kind = 'upsert'").select(*before.columns)
-        self.mirror.write(before.join(keys, "k", "left_anti").unionByName(won), number + 1)
+        ids = batch.select("event_id").distinct()
+        self.rejects.write(L.conflicts(known.join(ids, "event_id", "left_semi").unionByName(batch), content), number)
+        good = batch.join(self.rejects.read().select("event_id").distinct(), "event_id", "left_anti")
+        self.history.write(L.append_history(good, known).select(*known.columns), number)
+        ranks = L.receiver_ranks(self.receivers.read(without=number))
+        self.receivers.write(good.groupBy("receiver").agg(F.min("commit_ts").alias("commit_ts")), number)
+        now = L.receiver_ranks(self.receivers.read())
+        if L.same_order(ranks, now):
+            touched = L.touched_keys(good).select(self.mirror.bucket().alias("b")).distinct().collect()  # at most the buckets
+            stored = self.mirror.rows(only={r.b for r in touched}, before=number + 1)
+            self.mirror.write(L.advance(stored, L.dedupe_first(good), now), number + 1)
+        else:
+            self.mirror.write(L.advance(self.mirror._empty(), self.history.read(), now), number + 1, whole=True)
         batch.unpersist()
 
     def snapshot(self, events: DataFrame, run: str, boundary: tuple[str, int] | None = None) -> None:
         """STR-5: a snapshot run makes the mirror anew before any journal event; events up to the boundary are
         inside it already.  History keeps earlier epochs."""
         s = events.where(F.col("receiver") == f"SNAPSHOT:{run}")
-        self.history.write(s.select(*self.history.read().columns), -1)
-        self.mirror.write(L.replace_from_snapshot(s, run), 0)
+        self.history.write(s.select(*[f.split()[0] for f in EVENT.split(", ")]), -1)
+        self.mirror.write(L.advance(self.mirror._empty(), s, L.receiver_ranks(self.receivers.read())), 0, whole=True)
         self.boundary = boundary
 
     def positions(self) -> DataFrame:
@@ -86,6 +110,39 @@ class LedgerStream:
         q.awaitTermination()
 
 
+class IncrementalReplay:
+    """REP-2 with its state: winners by bucket of the key, and the ingestion-time watermark that the last finished run left.
+    The watermark is written last, so a run that dies is simply run again."""
+
+    def __init__(self, spark: SparkSession, folder: str) -> None:
+        self.winners = Mirror(spark, f"{folder}/winners")
+        self.marks = BatchedTable(spark, f"{folder}/marks", "run long, ingested_at timestamp_ntz")
+        self.receivers = BatchedTable(spark, f"{folder}/receivers", "receiver string, commit_ts timestamp_ntz")
+
+    def last(self) -> tuple[int, object]:
+        """Number and watermark of the last finished run."""
+        mark = self.marks.read().agg(F.max(F.struct("run", "ingested_at")).alias("m")).first().m
+        return (mark.run, mark.ingested_at) if mark else (0, None)
+
+    def run(self, ledger: DataFrame) -> DataFrame:
+        """The mirror after all events of the ledger; only those ingested past the watermark are read."""
+        run, mark = self.last()
+        changed = (ledger if mark is None else ledger.where(F.col("ingested_at") > F.lit(mark))).persist()
+        high = changed.agg(F.max("ingested_at")).first()[0]
+        if high is not None:
+            before = L.receiver_ranks(self.receivers.read(without=run + 1))
+            self.receivers.write(changed.groupBy("receiver").agg(F.min("commit_ts").alias("commit_ts")), run + 1)
+            now = L.receiver_ranks(self.receivers.read())
+            if L.same_order(before, now):
+                touched = L.touched_keys(changed).select(self.winners.bucket().alias("b")).distinct().collect()  # at most the buckets
+                self.winners.write(L.advance(self.winners.rows(only={r.b for r in touched}, before=run + 1), changed, now), run + 1)
+            else:  # the receivers' order has changed: stored winners may be wrong
+                self.winners.write(L.advance(self.winners._empty(), ledger, now), run + 1, whole=True)
+            self.marks.write(changed.sparkSession.createDataFrame([(run + 1, high)], self.marks.schema), run + 1)
+        changed.unpersist()
+        return self.winners.read()
+
+
 # -- windows that close on data ---------------------------------------------------------------------
 
 WINDOW_OUT = "stream string, window_no long, start_us long, close_us long, receipts long, events long, state string"
@@ -120,6 +177,15 @@ def proof_windows(receipts: DataFrame, duration_s: int, grace_s: int) -> DataFra
     return receipts.groupBy("stream").applyInPandas(run, WINDOW_OUT)
 
 
+def refused_scans(scans: DataFrame) -> DataFrame:
+    """STR-7: scans that break their stream's chain: a loop (linked to itself or to a later one), a link to a scan that is not
+    there, or a gap (linked to another than the one before).  scans: stream, at_us, previous_us (null: first)."""
+    before = F.lag("at_us").over(Window.partitionBy("stream").orderBy("at_us"))
+    x = scans.withColumn("__before", before)
+    why = F.when(F.col("previous_us") >= F.col("at_us"), "loop").when(F.col("previous_us").isNotNull() & F.col("__before").isNull(), "unknown_predecessor").when(~F.col("previous_us").eqNullSafe(F.col("__before")), "gap")
+    return x.select("stream", "at_us", why.alias("reason")).where("reason is not null")
+
+
 def proof_window_stream(receipts: DataFrame, duration_s: int, grace_s: int) -> DataFrame:
     """STR-7 live: closed windows as scans arrive in order; the open window is the state."""
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -2,7 +2,9 @@
 
 import datetime as dt
 import json
+import time
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -101,8 +103,10 @@ def test_key_ranges_cover_every_key_once():
 
 
 def test_changes_lead_to_the_state(spark):
-    events, final = W.generate_changes(spark, 100)
-    assert final.count() == 110 and events.where("operation = 'd'").count() == 5
+    rows = spark.range(1, 101).selectExpr("id AS key", "concat('r', id) AS label", "cast(id AS decimal(15,2)) AS amount")
+    events, final = W.generate_changes(rows)
+    assert events.where("operation = 'd'").count() == 5 and final.count() == 96  # 60 comes back
+    assert {r.key: r.step for r in final.where("key in (3, 4, 21, 51, 60)").collect()} == {3: "1-changes", 4: "0-seed", 21: "1-changes", 51: "3-changes", 60: "2-changes"}
 
 
 def test_receipt_chain_finds_forks_and_holes(spark):
@@ -111,6 +115,49 @@ def test_receipt_chain_finds_forks_and_holes(spark):
     assert got["a"] == (0, None) and got["b"] == (1, None) and got["c"][1] == got["d"][1] == "fork" and got["x"] == (None, "unreachable")
 
 
+def test_receipt_chain_finds_cycles(spark):
+    d = spark.createDataFrame([("a", "1", None), ("b", "2", "1"), ("x", "8", "9"), ("y", "9", "8")], "receipt string, end_key string, previous_key string")
+    got = {r.receipt: (r.place, r.reason) for r in W.receipt_chain(d).collect()}
+    assert got == {"a": (0, None), "b": (1, None), "x": (None, "cycle"), "y": (None, "cycle")}
+
+
+def test_a_long_receipt_chain_ends_soon(spark):
+    n = 5000
+    d = spark.range(n).selectExpr("cast(id AS string) AS receipt", "cast(id AS string) AS end_key", "case when id > 0 then cast(id - 1 AS string) end AS previous_key").repartition(4)
+    start = time.time()
+    got = {r.receipt: r.place for r in W.receipt_chain(d).collect()}
+    assert got == {str(i): i for i in range(n)} and time.time() - start < 60
+
+
+@pytest.mark.parametrize("cursor,want", [
+    (None, [("a", 0, None), ("b", 1, None), ("c", 2, None)]), (("R", 20), [("c", 0, None)]), (("R", 15), [("b", 0, None), ("c", 1, None)]), (("R", 0), [("a", 0, None), ("b", 1, None), ("c", 2, None)]),
+    (("Q", 7), []), (("R", -5), [("a", None, "hole_after_boundary"), ("b", None, "hole_after_boundary"), ("c", None, "hole_after_boundary")])])
+def test_pending_receipts(spark, cursor, want):
+    rows = [("a", "R", 1, 10, None, None), ("b", "R", 11, 20, "R", 10), ("c", "S", 1, 5, "R", 20)]
+    d = spark.createDataFrame(rows, "receipt string, receiver string, start_seq long, end_seq long, previous_receiver string, previous_seq long")
+    assert sorted((r.receipt, r.place, r.reason) for r in W.pending_receipts(d, cursor).collect()) == want
+
+
+def test_nearest_sequence_of_a_hot_key(spark):
+    a = spark.range(1, 100_001).selectExpr("'hot' AS key", "id * 7 AS sequence", "id AS n")
+    b = spark.range(1, 70_001).selectExpr("'hot' AS key", "id * 10 AS sequence").where("sequence not between 100000 and 300000")
+    got = R.nearest_sequence(a, b, "key", width=10_000).toPandas()
+    held = np.sort(b.toPandas().sequence.to_numpy())
+    at = np.searchsorted(held, got.a_seq)
+    low, high = held[np.maximum(at - 1, 0)], held[np.minimum(at, len(held) - 1)]
+    want = np.where((abs(high - got.a_seq) < abs(got.a_seq - low)), high, low)
+    assert len(got) == 100_000 and (abs(got.b_seq - got.a_seq) == abs(want - got.a_seq)).all()
+
+
+def test_declared_history_refuses(spark):
+    e = spark.createDataFrame([("i", "d", "R", 1, None, '{"a": 12345678901234567890123456.123456789012, "b": {"type": "bytes", "encoding": "base64", "value": "AQI="}, "t": "25:00:00"}', None)], "event_id string, operation string, receiver string, sequence long, commit_ts timestamp_ntz, before string, after string")
+    r = W.typed_history(e, {"a": "decimal(38,12)", "b": "binary", "t": "time"}).first()
+    assert str(r.a) == "12345678901234567890123456.123456789012" and bytes(r.b) == b"\x01\x02" and r.t is None and r._event_id == "i"
+    for bad in ({"a": "variant"}, {"_receiver": "string"}):
+        with pytest.raises(ValueError):
+            W.typed_history(e, bad)
+
+
 def test_gap_in_receipts(spark):
     r = spark.createDataFrame([("T", "A", 100, 199, 100), ("T", "A", 250, 299, 50)], "table_name string, receiver string, start_seq long, end_seq long, event_count long")
     ranks = spark.createDataFrame([("A", 1, 100, 299)], "receiver string, receiver_rank long, first_seq long, last_seq long")
@@ -137,8 +184,10 @@ def test_digest_refuses_repeats_and_ignores_order(spark):
     import hashlib
 
     assert got["w"].digest == hashlib.sha256(b"a\nb").hexdigest() and got["v"].digest is None and got["v"].refused
-    two = M.two_level_digest(d.where("w = 'w'"), "id").first()
-    assert two.digest == M.two_level_digest(d.where("w = 'w'").orderBy("id"), "id").first().digest and not two.refused
+    many = spark.range(500).selectExpr("cast(id AS string) AS id")
+    one = M.tree_digest(many, "id", leaf=5).first()  # four levels
+    assert one.digest == M.tree_digest(many.orderBy("id"), "id", leaf=5).first().digest and one["values"] == 500 and not one.refused
+    assert M.tree_digest(many.where("id <> '77'"), "id", leaf=5).first().digest != one.digest and M.tree_digest(many.union(many.limit(1)), "id", leaf=5).first().refused
 
 
 def test_fingerprint_sees_multiplicity(spark):

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ledgerloom.operators import ledger as L
 from ledgerloom.sources import fixtures as X
 from ledgerloom.sources.raw import EVENT
-from ledgerloom.sources.versions import VersionedTable
-from ledgerloom.streaming.streams import MIRROR, LedgerStream
+from ledgerloom.sources.versions import BucketTable
+from ledgerloom.streaming.streams import IncrementalReplay, LedgerStream
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -106,12 +106,57 @@ def test_conflicting_content_is_refused(spark, tmp_path):
     assert s.history.read().first().cents == 1
 
 
-def test_versions_keep_the_last_two(spark, tmp_path):
-    v = VersionedTable(spark, f"file://{tmp_path}/m", MIRROR)
-    assert v.read().count() == 0
-    for i in range(4):
-        v.write(v.read(), i)
-    assert v.versions() == [2, 3]
+def test_a_write_replaces_only_its_buckets(spark, tmp_path):
+    v = BucketTable(spark, f"file://{tmp_path}/m", "k long, x long", "k", buckets=4)
+    rows = lambda *r: spark.createDataFrame(list(r), "k long, x long")
+    assert v.rows().count() == 0
+    v.write(rows(*[(k, 0) for k in range(20)]), 0)
+    first = {b: p[-1] for b, p in v.versions().items()}
+    one = rows((3, 1)).select(v.bucket()).first()[0]
+    for i in (1, 2, 3):
+        v.write(v.rows(only={one}).where("k <> 3").union(rows((3, i))), i)
+    now = v.versions()
+    assert all((p[-1] == first[b]) == (b != one) for b, p in now.items()) and len(now[one]) == 2
+    assert {r.k: r.x for r in v.rows().collect()} == {k: 3 if k == 3 else 0 for k in range(20)} and v.rows(before=1).where("x > 0").count() == 0
+    v.write(rows((7, 9)), 4, whole=True)
+    assert [tuple(r) for r in v.rows().collect()] == [(7, 9)]
+
+
+def test_a_batch_touches_its_buckets_and_cells_only(spark, tmp_path):
+    s = LedgerStream(spark, f"file://{tmp_path}/t")
+    s.apply(events(spark, [(i, "A", i + 1, "c", None, i) for i in range(200)]), 0)
+    before = {b: p[-1] for b, p in s.mirror.versions().items()}
+    s.apply(events(spark, [(300, "A", 2_000_001, "u_after", None, 5)]), 1)
+    after = {b: p[-1] for b, p in s.mirror.versions().items()}
+    assert sum(before[b] != after[b] for b in before) == 1 and state(s.mirror.read())[5] == 2_000_001
+    assert s.history.read(cells=["A-2"]).count() == 1 and s.history.read(cells=["A-0"]).count() == 200
+
+
+def test_a_receiver_that_turns_out_older_changes_all_winners(spark, tmp_path):
+    """B is known from minute 20 and wins; then an event of B from minute 0 puts B before A."""
+    rows = [(10, "A", 1, "c", None, 1), (20, "B", 1, "u_after", None, 1), (0, "B", 0, "c", None, 9)]
+    s = LedgerStream(spark, f"file://{tmp_path}/t")
+    seen = []
+    for i, r in enumerate(rows):
+        s.apply(events(spark, [r]), i)
+        seen.append({r.k: r.receiver for r in s.mirror.read().collect()})
+    assert seen == [{1: "A"}, {1: "B"}, {1: "A", 9: "B"}]
+    led = events(spark, rows)
+    assert state(L.replay_full(led)) == state(s.mirror.read())
+
+
+def test_the_watermark_moves_after_success(spark, tmp_path, monkeypatch):
+    led = events(spark, [(0, "A", 1, "c", None, 1), (1, "A", 2, "c", None, 2), (2, "A", 3, "d", 1, None), (3, "A", 4, "u", 2, 5)])
+    r = IncrementalReplay(spark, f"file://{tmp_path}/r")
+    assert state(r.run(led.where("sequence <= 2"))) == {1: 1, 2: 2}
+    mark = r.last()
+    with monkeypatch.context() as m:
+        m.setattr(r.marks, "write", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            r.run(led)
+    assert r.last() == mark
+    assert state(r.run(led)) == {5: 4} == state(L.replay_full(led)) and r.last()[0] == mark[0] + 1
+    assert state(r.run(led)) == {5: 4} and r.last()[0] == mark[0] + 1  # nothing new
 
 
 def test_snapshot_ordinals_follow_the_key(spark):
