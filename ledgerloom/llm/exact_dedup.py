@@ -7,8 +7,9 @@ Three combines, each of which compares the whole text and not only its digest:
    share is dealt over ``salts`` tasks;
 3. the salt winners, at most ``salts`` rows a text, merge on (digest, text).
 
-A row then finds its group's winner through the salted group it belongs to, by digest, a second
-independent hash and the length, so that no text moves for that step.
+In ``decide`` a row then finds its group's winner through the salted group it belongs to, by digest, a second
+independent hash and the length, so that no text moves for that step: this last look-up alone does not compare
+contents.  ``keep_rows`` carries the rows through the three combines and needs no such step.
 
 Defined results: a null text counts as empty; a null id loses to any other; rows that repeat an id with
 the same text count as rows of the group and all carry the winner's mark in ``decide`` (``keep_rows``

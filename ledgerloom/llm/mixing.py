@@ -7,8 +7,9 @@ no state and is independent between rows.  The copies are dealt by a hash of see
 by it inside each partition, which is a global shuffle.
 
 Only the sources' rates (one short table row a source) are joined to the rows.  That table is broadcast
-after its size is counted (``broadcast_sources``); beyond it, rows are salted so that a source with a
-third of all rows is dealt over many tasks.
+after its sources and the steps of their distributions are counted (``broadcast_sources``, ``broadcast_steps``: a source
+of few rows has a high rate and a long table); beyond either, rows are salted so that a source with a third of all rows is
+dealt over many tasks.
 
 Defined results: a null source is a source of its own; a null id hashes as the word "null"; rows that
 repeat an id get the same count; sources with no weight get none (and so no rows) if weights are
@@ -70,7 +71,7 @@ def distribution(rate_table: DataFrame) -> DataFrame:
 
 
 def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total: int | None = None, seed: int = 7,
-                id_col: str = "doc_id", source_col: str = "source", broadcast_sources: int = 10_000,
+                id_col: str = "doc_id", source_col: str = "source", broadcast_sources: int = 10_000, broadcast_steps: int = 500_000,
                 copy_col: str = "copy", key_col: str = "mix_key") -> DataFrame:
     """All columns of the rows, each row repeated by its count, with the copy's number and shuffle key."""
     dist = distribution(rates(docs, source_col, weights, total)).select(
@@ -79,7 +80,8 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, total:
     keyed = docs.select(F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]).alias("__row"), F.col(id_col).cast("string").alias("__id"),
                         F.col(source_col).alias("__src"), unit_hash(F.lit(seed), F.col(id_col)).alias("__u"))
     same = F.col("__src").eqNullSafe(F.col("__source"))
-    if dist.limit(broadcast_sources + 1).count() <= broadcast_sources:
+    held = dist.agg(F.count("*"), F.coalesce(F.sum(F.size("__cdf")), F.lit(0))).first()
+    if held[0] <= broadcast_sources and held[1] <= broadcast_steps:
         joined = keyed.join(F.broadcast(dist), same)
     else:
         salts = 64

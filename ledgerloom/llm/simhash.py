@@ -340,6 +340,8 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
         """edges and the links among pairs that join different components of them."""
         sure = pairs.where("sure").select("a", "b")
         edges = sure if edges is None else edges.union(sure)
+        if not pairs.where("not sure").limit(1).count():
+            return cut(edges)
         open_ = cut(jaccard.across(pairs.where("not sure"), components(edges)))
         edges = cut(edges.union(jaccard.verified(rows, own, cut(jaccard.best(open_)), words, similarity)))
         open_ = cut(jaccard.across(open_, components(edges)))

@@ -206,8 +206,9 @@ def test_poisson_counts_invert_the_distribution(spark):
 
 def test_mixing_beyond_the_broadcast_bound_is_the_same(spark, sf):
     a = mixing.poisson_mix(docs(spark, sf)).select("doc_id", "copy")
-    b = mixing.poisson_mix(docs(spark, sf), broadcast_sources=2).select("doc_id", "copy")
-    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+    for bound in ({"broadcast_sources": 2}, {"broadcast_steps": 100}):
+        b = mixing.poisson_mix(docs(spark, sf), **bound).select("doc_id", "copy")
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
 def test_mixing_awkward(spark, awkward):
@@ -587,7 +588,7 @@ def test_similar_groups_find_small_edits(spark):
                 u[k] = "changed"
             rows.append((10 * i + e, " ".join(u)))
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[d] == d // 10 * 10 for d, _ in rows) >= 0.98 * len(rows) and all(c // 10 == d // 10 for d, c in got.items())
+    assert got == exact_groups(rows)
 
 
 def block_edits():
@@ -631,6 +632,26 @@ def test_similar_groups_are_exact_for_block_edits(spark):
     assert {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == want
 
 
+def test_parities_err_as_they_say():
+    """Bins apart never exceed the shingles that sets do not share, follow the mean and deviation of ``odd_bins``, and halves
+    laid over each other give the bitmap of half as many bins."""
+    rng = np.random.default_rng(31)
+    J = simhash.jaccard
+    z = []
+    for _ in range(200):
+        n, apart = int(rng.integers(50, 900)), int(rng.integers(1, 300))
+        s = rng.integers(0, 1 << 63, n + apart, dtype=np.uint64)
+        x, y = np.sort(s[:n]), np.sort(s[apart:])
+        got, bins = J.bins_apart([J.parities(x)], [J.parities(y)])
+        unshared = len(np.setxor1d(x, y))
+        assert got[0] <= unshared
+        mean, sd = J.odd_bins(np.array([unshared]), bins)
+        z.append((got[0] - mean[0]) / max(sd[0], 0.5))
+    assert abs(np.mean(z)) < 0.3 and max(map(abs, z)) < 5
+    whole = np.frombuffer(J.parities(rng.integers(0, 1 << 63, 1000, dtype=np.uint64)), "<u8")
+    assert len(whole) * 64 == 2048
+
+
 def test_similar_groups_of_a_large_family(spark, monkeypatch):
     monkeypatch.setattr(simhash.jaccard, "SMALL", 4)
     monkeypatch.setattr(simhash.jaccard, "TILE", 16)
