@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 STAMP = r"^(\d{4}-\d{2}-\d{2})[-T ](\d{2})[.:](\d{2})[.:](\d{2})(?:[.,](\d+))?$"
@@ -114,3 +114,30 @@ def september_to_utc(local: Column) -> tuple[Column, Column]:
     why = (F.when(local.isNull(), "missing").when((t >= at(3, 2)) & (t < at(3, 3)), "nonexistent_hour").when((t >= at(9, 1)) & (t < at(9, 2)), "ambiguous_hour"))
     summer = (t >= at(3, 3)) & (t < at(9, 1))
     return F.when(why.isNull(), t - F.make_dt_interval(hours=F.when(summer, 2).otherwise(1))), why
+
+
+def key_object(present: Column, **keys: Column | str) -> Column:
+    """PRJ-5: the key values as a JSON object, nulls kept; null where the image is absent."""
+    values = [(F.col(k) if isinstance(k, str) else k).alias(n) for n, k in keys.items()]
+    return F.when(present, F.to_json(F.struct(*values), {"ignoreNullFields": "false"}))
+
+
+def canonicalise(df: DataFrame, schema: dict[str, tuple]) -> DataFrame:
+    """PRJ-8: every declared column in its one spelling, as text: ("integer",), ("char", width), ("varchar",),
+    ("decimal", precision, scale), ("date",), ("timestamp", digits); what has none is null.  Other columns stay."""
+    def form(c: str, kind: str, *args: int) -> Column:
+        x = F.col(c).cast("string")
+        if kind == "integer":
+            return exact_integer(x).cast("string")
+        if kind == "char":
+            return canonical_char(x, *args)
+        if kind == "varchar":
+            return x
+        if kind == "decimal":
+            return canonical_decimal(x, args[1], args[0])
+        if kind == "date":
+            return canonical_date(x)[0]
+        if kind == "timestamp":
+            return canonical_timestamp(x, *args)
+        raise ValueError(f"unknown kind {kind}")
+    return df.withColumns({c: form(c, *kind) for c, kind in schema.items()})

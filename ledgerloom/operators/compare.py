@@ -328,3 +328,47 @@ def state_when(conditions: list[tuple[Column, str]], otherwise: str | None) -> C
         out = F.when(c, name) if out is None else out.when(c, name)
     assert out is not None
     return out.otherwise(F.lit(otherwise))
+
+
+def column_sets(left: DataFrame, right: DataFrame) -> DataFrame:
+    """REC-1 and AGG-25: columns that only one side has, one row each; known from the schemas."""
+    spark = left.sparkSession
+    rows = [(c, "missing") for c in left.columns if c not in right.columns] + [(c, "extra") for c in right.columns if c not in left.columns]
+    return spark.createDataFrame(sorted(rows), "column string, kind string")
+
+
+def cell_kinds(df: DataFrame, columns: list[str]) -> DataFrame:
+    """AGG-25: per column its cells, nulls and cells that are numbers, as text says it."""
+    number = r"^[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?$"
+    cells = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("v")) for c in columns])).alias("x")).select("x.*")
+    return cells.groupBy("column").agg(F.count("*").alias("cells"), F.count_if(F.col("v").isNull()).alias("nulls"), F.count_if(F.col("v").rlike(number)).alias("numeric"))
+
+
+def duplicate_totals(history: DataFrame) -> DataFrame:
+    """AGG-17: rows, distinct ids, rows too many, and ids that repeat."""
+    per = history.groupBy("event_id").agg(F.count("*").alias("c"))
+    return per.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("rows"), F.count("*").alias("distinct_ids"), F.coalesce(F.sum(F.col("c") - 1), F.lit(0)).alias("surplus"), F.count_if(F.col("c") > 1).alias("repeated_ids"))
+
+
+def multiset_digests(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """SET-3: order-free digests of overlap, missing and extra with multiplicity: the sum of 60 bits of each key's
+    SHA-256, as often as the key counts."""
+    n = a.select(*keys, F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(b.select(*keys, F.lit(0).alias("x"), F.lit(1).alias("y")))
+    per = n.groupBy(*keys).agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    h = F.conv(F.substring(F.sha2(F.concat_ws("|", *[F.col(k).cast("string") for k in keys]), 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    parts = {"overlap": F.least("x", "y"), "missing": F.greatest(F.col("x") - F.col("y"), F.lit(0)), "extra": F.greatest(F.col("y") - F.col("x"), F.lit(0))}
+    return per.agg(*[F.coalesce(F.sum((h * c).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)")).cast("string").alias(f"{k}_digest") for k, c in parts.items()])
+
+
+def write_bounds(writes: DataFrame, published: DataFrame, visible: DataFrame) -> DataFrame:
+    """REC-11: per marker the times from acknowledgement to raw and to visible; what became visible between two looks lies
+    between a lower and an upper bound.  writes: marker, acked_us; published: marker, raw_us; visible: marker, absent_us (last look
+    without it, null: none), visible_us (first look with it)."""
+    raw = published.groupBy("marker").agg(F.min("raw_us").alias("raw_us"))
+    seen = visible.groupBy("marker").agg(F.max("absent_us").alias("absent_us"), F.min("visible_us").alias("visible_us"))
+    x = writes.join(raw, "marker", "left").join(seen, "marker", "left")
+    bad = (F.col("raw_us") < F.col("acked_us")) | (F.col("visible_us") < F.col("acked_us")) | (F.col("visible_us") < F.col("absent_us"))
+    why = F.when(F.col("visible_us").isNull(), "not_visible").when(F.coalesce(bad, F.lit(False)), "clock")
+    ok = why.isNull()
+    return x.select("marker", F.when(ok, F.col("raw_us") - F.col("acked_us")).alias("to_raw_us"), F.when(ok, F.greatest(F.coalesce("absent_us", "acked_us") - F.col("acked_us"), F.lit(0))).alias("at_least_us"),
+                    F.when(ok, F.col("visible_us") - F.col("acked_us")).alias("at_most_us"), why.alias("reason"))

@@ -74,6 +74,11 @@ def in_scope(events: DataFrame, table_name: str, suffixes: DataFrame | None = No
     return found if suffixes is None else found.join(F.broadcast(suffixes), F.col(file_col).endswith(F.col("suffix")), "left_semi")
 
 
+def of_table(events: DataFrame, library: str, table: str) -> DataFrame:
+    """CON-6: events of one library and table, both equal as they stand."""
+    return events.where((F.col("library") == library) & (F.col("table_name") == table))
+
+
 def schema_drift(events: DataFrame, payload: str = "image") -> DataFrame:
     """CON-7: versions whose fields strictly contain those of the first version."""
     fields = events.select("schema_version", F.explode(F.json_object_keys(payload)).alias("field")).distinct().groupBy("schema_version").agg(F.sort_array(F.collect_set("field")).alias("fields"))
@@ -103,12 +108,13 @@ def replay_order(batches: DataFrame, order: DataFrame) -> DataFrame:
 
 def mutation_window_checks(events: DataFrame) -> DataFrame:
     """CON-13: one row per window and check, true, false or null (not measurable): scope, receiver, strict
-    order, keys, operation coverage, image balance, image order, business null, idempotent replay.
-    events: window, table_name, receiver, sequence, event_id, operation, k, cents."""
+    order, keys, operation coverage, image balance, image order, business null, additive schema, idempotent replay.
+    events: window, table_name, receiver, sequence, event_id, operation, k, cents, schema_version, fields (an array)."""
     w = Window.partitionBy("window").orderBy("sequence")
     image = F.when(F.col("operation") == "u_before", 1).when(F.col("operation") == "u_after", -1).otherwise(0)
     balance = F.sum(image).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    one = events.withColumns({"__prev": F.lag("sequence").over(w), "__balance": balance, "__image": image})
+    base = F.first("fields").over(Window.partitionBy("window").orderBy("schema_version", "sequence").rowsBetween(Window.unboundedPreceding, 0))
+    one = events.withColumn("__base", base).withColumns({"__prev": F.lag("sequence").over(w), "__balance": balance, "__image": image})
     n = F.count("*")
     both = F.count_if(F.col("operation") == "u_before"), F.count_if(F.col("operation") == "u_after")
     checks = {
@@ -116,7 +122,8 @@ def mutation_window_checks(events: DataFrame) -> DataFrame:
         "strict_order": F.count_if(F.col("sequence") <= F.col("__prev")) == 0, "keys": F.count_if(F.col("k").isNull()) == 0,
         "operation_coverage": (F.count_if(F.col("operation") == "c") > 0) & (F.count_if(F.col("operation") == "d") > 0) & (F.count_if(F.col("operation").isin("u", "u_after")) > 0),
         "image_balance": F.when(both[0] + both[1] > 0, both[0] == both[1]), "image_order": F.when(both[0] + both[1] > 0, (F.min("__balance") >= 0) & (F.sum("__image") == 0)),
-        "business_null": F.count_if(F.col("cents").isNull()) == 0, "idempotent_replay": n == F.count_distinct("event_id")}
+        "business_null": F.count_if(F.col("cents").isNull()) == 0,
+        "additive_schema": F.when(F.count_distinct("schema_version") > 1, F.max(F.size(F.array_except("__base", "fields"))) == 0), "idempotent_replay": n == F.count_distinct("event_id")}
     agg = one.groupBy("window").agg(*[c.alias(k) for k, c in checks.items()])
     return agg.unpivot("window", list(checks), "check", "passed")
 

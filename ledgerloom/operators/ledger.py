@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.forms import key_fingerprint
+
 SNAPSHOT = "SNAPSHOT:"
 
 
@@ -120,8 +122,39 @@ def same_order(before: DataFrame, after: DataFrame) -> bool:
     return all(r in now for r in held) and all((held[a] < held[b]) == (now[a] < now[b]) and (held[a] == held[b]) == (now[a] == now[b]) for a, b in zip(order, order[1:]))
 
 
-def append_history(events: DataFrame, history: DataFrame) -> DataFrame:
-    """SRC-11: the events that history does not hold yet, once each."""
+def project_events(ledger: DataFrame, images: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """PRJ-6: what full and incremental replay share: lower-case operation, snapshot flag, both keys and their fingerprints
+    (null where the image is absent), and both images as JSON (name: before and after column)."""
+    side = lambda i: F.to_json(F.struct(*[F.col(c[i]).alias(n) for n, c in images.items()]), {"ignoreNullFields": "false"}) if images else F.lit(None).cast("string")
+    there = {s: F.col(f"{s}_key").isNotNull() for s in ("before", "after")}
+    return ledger.select("event_id", "receiver", "sequence", F.lower("operation").alias("op"), is_snapshot().alias("is_snapshot"), "before_key", "after_key",
+                         *[key_fingerprint(there[s], f"{s}_key").alias(f"{s}_fp") for s in there], *[F.when(there[s], side(i)).alias(f"{s}_image") for i, s in enumerate(there)])
+
+
+def idempotence_check(raw: DataFrame, history: DataFrame) -> DataFrame:
+    """REP-3: loading the same deliveries twice: raw rows, distinct ids, history after the first load, and what the second
+    load would insert; stable only if that is nothing and history holds every id once."""
+    first = history.unionByName(append_history(raw, history).select(*history.columns))
+    again = append_history(raw, first)
+    x = (raw.agg(F.count("*").alias("raw_rows"), F.count_distinct("event_id").alias("distinct_ids")).crossJoin(first.agg(F.count("*").alias("ledger_rows"), F.count_distinct("event_id").alias("ids")))
+         .crossJoin(again.agg(F.count("*").alias("inserted_again"))))  # one row each
+    return x.select("raw_rows", "distinct_ids", "ledger_rows", "inserted_again", ((F.col("inserted_again") == 0) & (F.col("ledger_rows") == F.col("ids"))).alias("stable"))
+
+
+def snapshot_complete(mirror: DataFrame, rows_copied: int) -> DataFrame:
+    """SRC-13: whether the mirror holds as many rows as the snapshot says it copied, and each key once."""
+    a = mirror.agg(F.count("*").alias("rows"), F.count_distinct("k").alias("keys"))
+    return a.select("rows", "keys", F.lit(rows_copied).cast("long").alias("rows_copied"), ((F.col("rows") == rows_copied) & (F.col("rows") == F.col("keys"))).alias("complete"))
+
+
+def append_history(events: DataFrame, history: DataFrame, content: list[str] | None = None) -> DataFrame:
+    """SRC-11: the events that history does not hold yet, once each.  With ``content``, ids that come with another content
+    than they have, in history or among themselves, are an error; it names how many there are."""
+    if content is not None:
+        held = history.join(events.select("event_id").distinct(), "event_id", "left_semi")
+        bad = conflicts(held.select("event_id", *content).unionByName(events.select("event_id", *content)), content).count()
+        if bad:
+            raise ValueError(f"{bad} ids come with more than one content")
     return dedupe_first(events).join(history.select("event_id"), "event_id", "left_anti")
 
 
@@ -146,7 +179,9 @@ def replace_from_snapshot(ledger: DataFrame, run: str) -> DataFrame:
 
 def snapshot_as_events(table: DataFrame, key: str, run: str, schema_table: str, first: int = 1) -> DataFrame:
     """SRC-6: a table as create events; the ordinal follows the key (range partitions, no global sort in
-    one task), and ``first`` is the base of a chunk's range."""
+    one task), and ``first`` is the base of a chunk's range.  The image holds the ordinal as ``_rrn``, a reserved name."""
+    if "_rrn" in table.columns:
+        raise ValueError("_rrn is reserved")
     spark = table.sparkSession
     dealt = table.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
     inside = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
@@ -156,4 +191,4 @@ def snapshot_as_events(table: DataFrame, key: str, run: str, schema_table: str,
     receiver = f"{SNAPSHOT}{run}"
     return numbered.select(
         F.sha2(F.concat_ws("|", F.lit("ibmi"), F.lit(f"{SNAPSHOT}{schema_table}"), F.lit(receiver), "sequence"), 256).alias("event_id"), F.lit(receiver).alias("receiver"), "sequence",
-        F.lit("c").alias("operation"), F.to_json(F.struct(*table.columns)).alias("after"))
+        F.lit("c").alias("operation"), F.to_json(F.struct(*table.columns, F.col("sequence").alias("_rrn")), {"ignoreNullFields": "false"}).alias("after"))

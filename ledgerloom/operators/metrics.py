@@ -97,6 +97,20 @@ def certify(raw: DataFrame, ledger: DataFrame, end: str, trailing_s: int = 3600)
                     F.floor(F.greatest(F.col("i") - F.col("c"), F.lit(0)) / 1000000).alias("latency_s"), "trailing")
 
 
+def certify_pending(raw: DataFrame, ledger: DataFrame, pending: DataFrame, end: str) -> DataFrame:
+    """AGG-9 with what is known to be on its way, and both fingerprints: ids that the ledger lacks are pending if they are listed
+    so, else missing; fingerprints sum 60 bits of each distinct id's SHA-256 over both sides, pending ids left out.
+    pending: event_id."""
+    at = F.lit(end).cast("timestamp_ntz")
+    one = lambda df, **k: df.select("event_id", *[F.lit(k.get(c, 0)).alias(c) for c in "rlp"])
+    per = (one(raw.where(F.col("ingested_at") <= at), r=1).unionByName(one(ledger, l=1)).unionByName(one(pending, p=1)).groupBy("event_id").agg(*[F.max(c).alias(c) for c in "rlp"]))
+    r, held, p = (F.col(c) == 1 for c in "rlp")
+    h = F.conv(F.substring(F.sha2("event_id", 256), 1, 15), 16, 10).cast("decimal(20,0)")
+    total = lambda c: F.coalesce(F.sum(F.when(c, h)), F.lit(0)).cast("decimal(38,0)").cast("string")
+    a = per.agg(F.count_if(r & ~held & p).alias("pending"), F.count_if(r & ~held & ~p).alias("missing"), F.count_if(held & ~r).alias("extra"), total(r & (held | ~p)).alias("source_sum"), total(held).alias("target_sum"))
+    return a.withColumn("equal", F.col("source_sum") == F.col("target_sum"))
+
+
 def metered_credits(metering: DataFrame, now: str, hours: int = 24, delay: int = 6) -> DataFrame:
     """AGG-10: credits of the closed day that ended ``delay`` whole hours ago; null if an hour is missing or null."""
     end = F.date_trunc("hour", F.lit(now).cast("timestamp")).cast("timestamp_ntz") - F.make_dt_interval(hours=F.lit(delay))

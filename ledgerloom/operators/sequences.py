@@ -30,6 +30,19 @@ def receipt_verdict(gaps: DataFrame) -> DataFrame:
                                           F.when(F.count("kind") == 0, "continuous").otherwise("broken").alias("verdict"))
 
 
+def receipt_counts(receipts: DataFrame, events: DataFrame, width: int = 500) -> DataFrame:
+    """WIN-6: per receipt the declared count against the events present in its range.  Both sides meet by ranges of ``width``
+    positions.  receipts: table_name, receiver, start_seq, end_seq, event_count; events: receiver, sequence."""
+    place = lambda c: F.floor(F.col(c) / width)
+    once = receipts.distinct()
+    r = once.withColumn("__range", F.explode(F.sequence(place("start_seq"), place("end_seq"))))
+    found = r.join(events.select("receiver", "sequence", place("sequence").alias("__range")), ["receiver", "__range"]).where("sequence between start_seq and end_seq")
+    key = ["table_name", "receiver", "start_seq", "end_seq"]
+    present = found.groupBy(*key).agg(F.count("*").alias("present"))
+    x = once.join(present, key, "left").withColumn("present", F.coalesce("present", F.lit(0)))
+    return x.select(*key, F.col("event_count").alias("declared"), "present", F.when(F.col("present") < F.col("event_count"), "short").when(F.col("present") > F.col("event_count"), "over").otherwise("matched").alias("state"))
+
+
 def receiver_chain(catalogue: DataFrame) -> DataFrame:
     """WIN-7: each receiver's link to the one before it: start, reset, continued, gap, or broken.
     catalogue: journal, receiver, ordinal, first_seq, last_seq, previous."""
@@ -102,6 +115,20 @@ def temporal_gaps(buckets: DataFrame, width_s: int) -> DataFrame:
     return own.drop("p").unionByName(gaps)
 
 
+def coverage_verdict(rows: DataFrame) -> DataFrame:
+    """WIN-15: per pipeline what its buckets and gap rows cover: complete, or with gaps."""
+    n = lambda k: F.count_if(F.col("kind") == k)
+    return rows.groupBy("pipeline").agg(n("bucket").alias("buckets"), n("gap").alias("gaps"), F.coalesce(F.sum(F.when(F.col("kind") == "gap", F.col("end_s") - F.col("start_s"))), F.lit(0)).alias("gap_s"),
+                                        F.when(n("gap") == 0, "complete").otherwise("gap").alias("coverage"))
+
+
+def alert_changes(checks: DataFrame) -> DataFrame:
+    """WIN-16: firing checks whose observed value has changed since the report before, while they go on firing."""
+    w = Window.partitionBy("pipeline", "check").orderBy("at")
+    seen = checks.where("status in ('breach', 'pass')").withColumns({"p": F.lag("status").over(w), "before": F.lag("observed").over(w)})
+    return seen.where("status = 'breach' and p = 'breach' and not (observed <=> before)").select("pipeline", "check", "at", F.lit("changed").alias("event"), "before", "observed")
+
+
 def alert_lifecycle(checks: DataFrame) -> DataFrame:
     """WIN-16: opened, resolved and reopened transitions of every (pipeline, check), with the occurrence's number
     and its evaluations so far; an unobserved check neither opens nor resolves."""
@@ -138,9 +165,19 @@ def latest_per(facts: DataFrame, entity: str, order: list[str], value: list[str]
     return facts.groupBy(entity).agg(F.max(F.struct(*order, *value)).alias("x")).select(entity, *[F.col(f"x.{c}").alias(c) for c in (*order, *value)])
 
 
+def _export(rows: DataFrame, order: list[str], bound: int) -> DataFrame:
+    over = rows.agg((F.count("*") > bound).alias("exceeded"))
+    return rows.crossJoin(over).orderBy(*order)  # one row
+
+
 def ordered_export(mirror: DataFrame, key: str, bound: int) -> DataFrame:
-    """TOP-3: the first rows by key, one more than the bound tells that it was exceeded."""
-    return mirror.orderBy(key).limit(bound + 1)
+    """TOP-3: all rows by key, dealt by ranges of it, and whether there are more than the bound."""
+    return _export(mirror, [key], bound)
+
+
+def history_export(history: DataFrame, bound: int) -> DataFrame:
+    """TOP-3: all of history by ingest time and id, and whether there is more than the bound."""
+    return _export(history, ["ingested_at", "event_id"], bound)
 
 
 def coalesce_measures(first: DataFrame, second: DataFrame, key: str, columns: list[str], reasons: str) -> DataFrame:

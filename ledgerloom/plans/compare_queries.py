@@ -305,3 +305,38 @@ def _(spark, sf_dir):
                           led.where("sequence % 211 <> 0 and receiver not like 'SNAPSHOT:%'").select("receiver", "sequence"), raw, ["operation", "before_key", "after_key", "cents"],
                           ids.union(ids.where("n % 50 = 11")).select("event_id"), gone)
     return run.drop("before_image_mismatches", "deleted_present")
+
+
+@query("rec_1_column_sets", "SELECT 'cents' AS \"column\", 'missing' AS kind UNION ALL SELECT 'o_totalprice', 'extra'")
+def _(spark, sf_dir):
+    s = X.orders_source(spark, sf_dir)
+    return R.column_sets(s, s.withColumnRenamed("cents", "o_totalprice"))
+
+
+@query("agg_25_cell_kinds", """SELECT c AS "column", count(*) AS cells, count(CASE WHEN v IS NULL THEN 1 END) AS nulls, count(CASE WHEN regexp_full_match(v, '[+-]?([0-9]+([.][0-9]*)?|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 1 END) AS numeric FROM (
+SELECT unnest(['o_custkey', 'o_orderstatus', 'cents']) AS c, unnest([o_custkey::VARCHAR, o_orderstatus, cents::VARCHAR]) AS v FROM orders_dest) GROUP BY c""")
+def _(spark, sf_dir):
+    return R.cell_kinds(X.orders_dest(spark, sf_dir), FIELDS)
+
+
+@query("agg_17_duplicate_totals", "SELECT count(*) AS rows, count(DISTINCT event_id) AS distinct_ids, count(*) - count(DISTINCT event_id) AS surplus, (SELECT count(*) FROM (SELECT event_id FROM raw_events GROUP BY event_id HAVING count(*) > 1)) AS repeated_ids FROM raw_events")
+def _(spark, sf_dir):
+    return R.duplicate_totals(X.raw_events(spark, sf_dir))
+
+
+@query("set_3_multiset_digests", """WITH a AS (SELECT at_ms, op, count(*) AS x FROM first_system GROUP BY 1, 2), b AS (SELECT at_ms - 3600000 AS at_ms, op, count(*) AS y FROM second_system GROUP BY 1, 2),
+j AS (SELECT coalesce(a.at_ms, b.at_ms) || '|' || coalesce(a.op, b.op) AS t, coalesce(x, 0) AS x, coalesce(y, 0) AS y FROM a FULL JOIN b ON a.at_ms = b.at_ms AND a.op = b.op), h AS (SELECT *, ('0x' || substr(sha256(t), 1, 15))::BIGINT::HUGEINT AS h FROM j)
+SELECT sum(h * least(x, y))::VARCHAR AS overlap_digest, sum(h * greatest(x - y, 0))::VARCHAR AS missing_digest, sum(h * greatest(y - x, 0))::VARCHAR AS extra_digest FROM h""")
+def _(spark, sf_dir):
+    b = X.second_system(spark, sf_dir).withColumn("at_ms", F.col("at_ms") - 3600000)
+    return R.multiset_digests(X.first_system(spark, sf_dir), b, ["at_ms", "op"])
+
+
+@query("rec_11_write_bounds", """WITH e AS (SELECT user_id AS marker, epoch_us(ts) AS us, event_type FROM events), w AS (SELECT marker, min(us) AS acked_us FROM e GROUP BY 1), r AS (SELECT marker, min(us) AS raw_us FROM e WHERE event_type = 'click' GROUP BY 1),
+v AS (SELECT marker, max(CASE WHEN event_type = 'view' THEN us END) AS absent_us, min(CASE WHEN event_type = 'purchase' THEN us END) AS visible_us FROM e WHERE event_type IN ('view', 'purchase') GROUP BY 1),
+x AS (SELECT w.marker, acked_us, raw_us, absent_us, visible_us, CASE WHEN visible_us IS NULL THEN 'not_visible' WHEN coalesce(raw_us < acked_us, false) OR visible_us < acked_us OR coalesce(visible_us < absent_us, false) THEN 'clock' END AS reason FROM w LEFT JOIN r ON r.marker = w.marker LEFT JOIN v ON v.marker = w.marker)
+SELECT marker, CASE WHEN reason IS NULL THEN raw_us - acked_us END AS to_raw_us, CASE WHEN reason IS NULL THEN greatest(coalesce(absent_us, acked_us) - acked_us, 0) END AS at_least_us, CASE WHEN reason IS NULL THEN visible_us - acked_us END AS at_most_us, reason FROM x""")
+def _(spark, sf_dir):
+    e = X.table(spark, sf_dir, "events").select(F.col("user_id").alias("marker"), X.micros("ts").alias("us"), "event_type")
+    v = e.where("event_type in ('view', 'purchase')").select("marker", F.when(F.col("event_type") == "view", F.col("us")).alias("absent_us"), F.when(F.col("event_type") == "purchase", F.col("us")).alias("visible_us"))
+    return R.write_bounds(e.groupBy("marker").agg(F.min("us").alias("acked_us")), e.where("event_type = 'click'").select("marker", F.col("us").alias("raw_us")), v)

@@ -34,9 +34,17 @@ def _(spark, sf_dir):
                                         P.key_fingerprint(F.col("before_key").isNotNull(), "before_key").alias("before_fp"))
 
 
-@query("prj_6_project_events", """SELECT event_id, lower(operation) AS op, starts_with(receiver, 'SNAPSHOT:') AS is_snapshot, before_key, after_key FROM ledger""")
+@query("prj_5_key_object", """SELECT event_id, CASE WHEN after_key IS NOT NULL THEN '{"k":' || after_key || ',"zone":' || CASE WHEN n % 3 = 0 THEN 'null' ELSE '"' || event_type || '"' END || '}' END AS after_object FROM ledger""")
 def _(spark, sf_dir):
-    return ledger(spark, sf_dir).select("event_id", F.lower("operation").alias("op"), L.is_snapshot().alias("is_snapshot"), "before_key", "after_key")
+    zone = F.when(F.col("n") % 3 != 0, F.col("event_type"))
+    return ledger(spark, sf_dir).select("event_id", P.key_object(F.col("after_key").isNotNull(), k="after_key", zone=zone).alias("after_object"))
+
+
+@query("prj_6_project_events", """SELECT event_id, receiver, sequence, lower(operation) AS op, starts_with(receiver, 'SNAPSHOT:') AS is_snapshot, before_key, after_key, CASE WHEN before_key IS NOT NULL THEN sha256('[' || before_key || ']') END AS before_fp,
+CASE WHEN after_key IS NOT NULL THEN sha256('[' || after_key || ']') END AS after_fp, CASE WHEN before_key IS NOT NULL THEN '{"k":' || before_key || ',"type":"' || event_type || '"}' END AS before_image,
+CASE WHEN after_key IS NOT NULL THEN '{"k":' || after_key || ',"type":"' || event_type || '"}' END AS after_image FROM ledger""")
+def _(spark, sf_dir):
+    return L.project_events(ledger(spark, sf_dir), {"k": ("before_key", "after_key"), "type": ("event_type", "event_type")})
 
 
 @query("prj_8_canonicalise", """WITH q AS (SELECT *, cents // 10 + CASE WHEN cents % 10 > 5 OR (cents % 10 = 5 AND (cents // 10) % 2 = 1) THEN 1 ELSE 0 END AS even FROM orders_source)
@@ -47,6 +55,15 @@ def _(spark, sf_dir):
     return s.select("o_orderkey", P.canonical_char(F.col("o_orderstatus"), 8).alias("status"), P.canonical_decimal(thousandth.cast("string"), 2).alias("amount"))
 
 
+@query("prj_8_canonicalise_schema", """SELECT o_orderkey::VARCHAR AS o_orderkey, rpad(o_orderstatus, 3, ' ') AS o_orderstatus, (cents // 100) || '.' || lpad((cents % 100)::VARCHAR, 2, '0') AS price, strftime(o_orderdate, '%Y-%m-%d') AS day,
+strftime(o_orderdate, '%Y-%m-%d 00:00:00.000') AS moment, o_orderpriority FROM (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders)""")
+def _(spark, sf_dir):
+    o = X.table(spark, sf_dir, "orders")
+    rows = o.select("o_orderkey", "o_orderstatus", (X.cents("o_totalprice").cast("decimal(20,0)") / 100).cast("decimal(22,4)").alias("price"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("day"),
+                    F.date_format("o_orderdate", "yyyy-MM-dd-HH.mm.ss").alias("moment"), "o_orderpriority")
+    return P.canonicalise(rows, {"o_orderkey": ("integer",), "o_orderstatus": ("char", 3), "price": ("decimal", 22, 2), "day": ("date",), "moment": ("timestamp", 3), "o_orderpriority": ("varchar",)})
+
+
 @query("prj_9_canonical_date", """SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m-%d') END AS day, CASE WHEN o_orderkey % 3 = 2 THEN 'two_digit_year' END AS refused FROM orders""")
 def _(spark, sf_dir):
     o = X.table(spark, sf_dir, "orders")
@@ -151,6 +168,12 @@ def _(spark, sf_dir):
     return C.in_scope(X.raw_events(spark, sf_dir), "ORDERS", ends).select("event_id", "source_file")
 
 
+@query("con_6_of_table", "SELECT event_id FROM ledger WHERE n % 2 = 0 AND n % 3 = 1")
+def _(spark, sf_dir):
+    e = ledger(spark, sf_dir).withColumns({"library": F.concat(F.lit("LIB"), F.col("n") % 2), "table_name": F.concat(F.lit("T"), F.col("n") % 3)})
+    return C.of_table(e, "LIB0", "T1").select("event_id")
+
+
 @query("con_7_schema_drift", """WITH v AS (SELECT DISTINCT 'v' || (n % 3 + 1) AS v FROM (SELECT n % 3 + CASE WHEN n % 3 < 0 THEN 3 ELSE 0 END AS n FROM ledger)),
 f AS (SELECT v, field FROM v JOIN (VALUES ('v1', 'cents'), ('v1', 'event_type'), ('v2', 'cents'), ('v2', 'event_type'), ('v2', 'k2'), ('v3', 'cents'), ('v3', 'k2')) p(pv, field) ON pv = v),
 base AS (SELECT field FROM f WHERE v = (SELECT min(v) FROM f)), d AS (SELECT f.v, string_agg(CASE WHEN b.field IS NULL THEN f.field END, ',' ORDER BY f.field) AS added, count(b.field) AS kept FROM f LEFT JOIN base b ON b.field = f.field GROUP BY f.v)
@@ -188,11 +211,14 @@ o AS (SELECT *, lag(sequence) OVER (PARTITION BY w ORDER BY sequence) AS prev, c
 a AS (SELECT w, true AS scope, count(DISTINCT receiver) = 1 AS single_receiver, count(CASE WHEN sequence <= prev THEN 1 END) = 0 AS strict_order, count(CASE WHEN k IS NULL THEN 1 END) = 0 AS keys,
  count(CASE WHEN operation = 'c' THEN 1 END) > 0 AND count(CASE WHEN operation = 'd' THEN 1 END) > 0 AND count(CASE WHEN operation IN ('u', 'u_after') THEN 1 END) > 0 AS operation_coverage,
  count(CASE WHEN operation = 'u_after' THEN 1 END) = 0 AS image_balance, count(CASE WHEN operation = 'u_after' THEN 1 END) = 0 AS image_order,
- count(CASE WHEN cents IS NULL THEN 1 END) = 0 AS business_null, count(*) = count(DISTINCT event_id) AS idempotent_replay FROM o GROUP BY w)
-SELECT w AS "window", "check", passed FROM (UNPIVOT a ON scope, single_receiver, strict_order, keys, operation_coverage, image_balance, image_order, business_null, idempotent_replay INTO NAME "check" VALUE passed)""")
+ count(CASE WHEN cents IS NULL THEN 1 END) = 0 AS business_null, w NOT LIKE 'JRN2%' AS additive_schema, count(*) = count(DISTINCT event_id) AS idempotent_replay FROM o GROUP BY w)
+SELECT w AS "window", "check", passed FROM (UNPIVOT a ON scope, single_receiver, strict_order, keys, operation_coverage, image_balance, image_order, business_null, additive_schema, idempotent_replay INTO NAME "check" VALUE passed)""")
 def _(spark, sf_dir):
     j = X.journal_events(spark, sf_dir).withColumns({"window": F.concat("receiver", F.lit("-"), F.floor(F.col("sequence") / 1000)), "table_name": F.lit("ORDERS"), "k": F.coalesce("after_key", "before_key")})
-    return C.mutation_window_checks(j)
+    # every window changes its schema once; that of one receiver loses a field on the way
+    new = F.col("n") % 2 == 1
+    fields = F.when(~new, F.array(F.lit("a"), F.lit("b"))).when(F.col("receiver") == "JRN2", F.array(F.lit("a"), F.lit("c"))).otherwise(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    return C.mutation_window_checks(j.withColumns({"schema_version": F.when(new, "v2").otherwise("v1"), "fields": fields}))
 
 
 @query("prj_3_map_entry_type", """SELECT event_id, CASE event_type WHEN 'signup' THEN 'c' WHEN 'click' THEN 'u_after' WHEN 'view' THEN 'u_before' WHEN 'error' THEN 'd' END AS operation, event_type = 'purchase' AS refused FROM events""")

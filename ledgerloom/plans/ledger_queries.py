@@ -109,18 +109,16 @@ def _(spark, sf_dir):
     return r.run(led).select("k", "cents", "event_id", "sequence")
 
 
-@query("rep_3_idempotence", """SELECT count(*) AS raw_rows, count(DISTINCT event_id) AS distinct_ids, count(DISTINCT event_id) AS ledger_rows, 0 AS inserted_again FROM raw_events""")
+@query("rep_3_idempotence", """SELECT count(*) AS raw_rows, count(DISTINCT event_id) AS distinct_ids, count(DISTINCT event_id) AS ledger_rows, 0::BIGINT AS inserted_again, true AS stable FROM raw_events""")
 def _(spark, sf_dir):
     raw = X.raw_events(spark, sf_dir)
-    first = L.append_history(raw, raw.limit(0))
-    again = L.append_history(raw, first)
-    return (raw.agg(F.count("*").alias("raw_rows"), F.count_distinct("event_id").alias("distinct_ids"))
-            .crossJoin(first.agg(F.count("*").alias("ledger_rows"))).crossJoin(again.agg(F.count("*").cast("int").alias("inserted_again"))))  # one row each
+    return L.idempotence_check(raw, raw.limit(0))
 
 
-@query("src_6_snapshot_as_events", """SELECT row_number() OVER (ORDER BY c_custkey) AS sequence, sha256('ibmi|SNAPSHOT:TPCH.CUSTOMER|SNAPSHOT:S2|' || row_number() OVER (ORDER BY c_custkey)) AS event_id, 'c' AS operation FROM customer""")
+@query("src_6_snapshot_as_events", """SELECT row_number() OVER (ORDER BY c_custkey) AS sequence, sha256('ibmi|SNAPSHOT:TPCH.CUSTOMER|SNAPSHOT:S2|' || row_number() OVER (ORDER BY c_custkey)) AS event_id, 'c' AS operation, row_number() OVER (ORDER BY c_custkey) AS rrn, c_name FROM customer""")
 def _(spark, sf_dir):
-    return L.snapshot_as_events(X.table(spark, sf_dir, "customer"), "c_custkey", "S2", "TPCH.CUSTOMER").select("sequence", "event_id", "operation")
+    s = L.snapshot_as_events(X.table(spark, sf_dir, "customer"), "c_custkey", "S2", "TPCH.CUSTOMER")
+    return s.select("sequence", "event_id", "operation", F.get_json_object("after", "$._rrn").cast("long").alias("rrn"), F.get_json_object("after", "$.c_name").alias("c_name"))
 
 
 @query("src_11_append_history", """SELECT event_id, operation FROM ledger WHERE event_id NOT IN (SELECT event_id FROM ledger WHERE sequence % 3 = 0)""")
@@ -143,6 +141,11 @@ def _(spark, sf_dir):
     return L.replace_from_snapshot(ledger(spark, sf_dir), "S1").select("k", "cents", "event_id")
 
 
+@query("src_13_snapshot_complete", "SELECT count(*) AS rows, count(DISTINCT after_key) AS keys, (SELECT count(*) FROM customer) AS rows_copied, true AS complete FROM ledger WHERE receiver = 'SNAPSHOT:S1'")
+def _(spark, sf_dir):
+    return L.snapshot_complete(L.replace_from_snapshot(ledger(spark, sf_dir), "S1"), X.table(spark, sf_dir, "customer").count())
+
+
 @query("agg_conflicting_ids", """SELECT event_id, count(*) AS copies FROM raw_events GROUP BY event_id HAVING count(DISTINCT CASE WHEN n % 20 = 0 THEN attempt ELSE 0 END) > 1""")
 def _(spark, sf_dir):
     raw = X.raw_events(spark, sf_dir).withColumn("cents", F.when(F.col("n") % 20 == 0, F.col("cents") + F.col("attempt")).otherwise(F.col("cents")))

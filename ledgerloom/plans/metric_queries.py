@@ -88,6 +88,17 @@ def _(spark, sf_dir):
     return M.certify(X.raw_events(spark, sf_dir), ledger(spark, sf_dir).where("not (n % 100 <=> 3)"), "2024-01-20 00:00:00")
 
 
+@query("agg_9_certify_pending", """WITH r AS (SELECT DISTINCT event_id, n FROM raw_events WHERE ingested_at <= TIMESTAMP '2024-01-20 00:00:00'), l AS (SELECT DISTINCT event_id, n FROM ledger WHERE ingested_at <= TIMESTAMP '2024-01-20 00:00:00' AND n % 10 <> 3),
+h AS (SELECT r.event_id AS id, l.event_id IS NOT NULL AS held, r.n % 20 = 3 AS p, ('0x' || substr(sha256(r.event_id), 1, 15))::BIGINT::HUGEINT AS h FROM r LEFT JOIN l ON l.event_id = r.event_id)
+SELECT count(CASE WHEN NOT held AND p THEN 1 END) AS pending, count(CASE WHEN NOT held AND NOT p THEN 1 END) AS missing, (SELECT count(*) FROM l WHERE event_id NOT IN (SELECT event_id FROM r)) AS extra, sum(CASE WHEN held OR NOT p THEN h ELSE 0 END)::VARCHAR AS source_sum,
+sum(CASE WHEN held THEN h ELSE 0 END)::VARCHAR AS target_sum, sum(CASE WHEN held OR NOT p THEN h ELSE 0 END) = sum(CASE WHEN held THEN h ELSE 0 END) AS equal FROM h""")
+def _(spark, sf_dir):
+    end = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
+    raw = X.raw_events(spark, sf_dir)
+    led = ledger(spark, sf_dir).where((F.col("ingested_at") <= end) & (F.col("n") % 10 != 3))
+    return M.certify_pending(raw, led, raw.where("n % 20 = 3").select("event_id"), "2024-01-20 00:00:00")
+
+
 METERED = """SELECT pipeline, CASE WHEN count(*) = 24 AND count(credits) = 24 THEN sum(credits)::BIGINT END AS credits, count(*) AS rows, count(credits) AS known FROM metering
 WHERE hour >= TIMESTAMP '2024-01-14 09:00:00' AND hour < TIMESTAMP '2024-01-15 09:00:00' GROUP BY pipeline"""
 

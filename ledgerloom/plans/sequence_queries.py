@@ -36,6 +36,13 @@ def _(spark, sf_dir):
     return S.receipt_verdict(S.receipt_gaps(X.receipts_broken(spark, sf_dir), ranked_catalogue(spark, sf_dir).select("receiver", "receiver_rank", "first_seq", "last_seq")))
 
 
+@query("win_6_receipt_counts", """WITH r AS (SELECT DISTINCT table_name, receiver, start_seq, end_seq, event_count + CASE WHEN start_seq = 1001 THEN 2 ELSE 0 END AS declared FROM receipts), p AS (SELECT r.*, (SELECT count(*) FROM journal_events j WHERE j.receiver = r.receiver AND j.sequence BETWEEN start_seq AND end_seq AND j.n % 97 <> 0) AS present FROM r)
+SELECT *, CASE WHEN present < declared THEN 'short' WHEN present > declared THEN 'over' ELSE 'matched' END AS state FROM p""")
+def _(spark, sf_dir):
+    r = X.receipts(spark, sf_dir).withColumn("event_count", F.col("event_count") + F.when(F.col("start_seq") == 1001, 2).otherwise(0))
+    return S.receipt_counts(r, X.journal_events(spark, sf_dir).where("n % 97 <> 0"))
+
+
 @query("win_7_receiver_chain", "SELECT 'JRN' AS journal, receiver, ordinal, CASE WHEN previous IS NULL THEN 'start' WHEN first_seq = lag(last_seq) OVER (ORDER BY ordinal) + 1 THEN 'continued' WHEN first_seq = 1 THEN 'reset' ELSE 'gap' END AS link FROM catalogue_chain")
 def _(spark, sf_dir):
     return S.receiver_chain(X.receiver_catalogue(spark, sf_dir).withColumn("journal", F.lit("JRN")))
@@ -92,6 +99,12 @@ def _(spark, sf_dir):
     return S.temporal_gaps(M.lag_buckets(X.lag_samples(spark, sf_dir), 3600), 3600)
 
 
+@query("win_15_coverage_verdict", f"""WITH b AS ({HOURS}), p AS (SELECT pipeline, start_s, lag(start_s) OVER (PARTITION BY pipeline ORDER BY start_s) + 3600 AS p FROM b)
+SELECT pipeline, count(*) AS buckets, count(CASE WHEN start_s > p THEN 1 END) AS gaps, coalesce(sum(CASE WHEN start_s > p THEN start_s - p END), 0)::BIGINT AS gap_s, CASE WHEN count(CASE WHEN start_s > p THEN 1 END) = 0 THEN 'complete' ELSE 'gap' END AS coverage FROM p GROUP BY pipeline""")
+def _(spark, sf_dir):
+    return S.coverage_verdict(S.temporal_gaps(M.lag_buckets(X.lag_samples(spark, sf_dir), 3600), 3600))
+
+
 CHECKS = "SELECT pipeline, hour, m AS \"check\", o::DOUBLE AS observed, t::DOUBLE AS threshold, CASE WHEN o IS NULL OR o < 0 THEN 'unobserved' WHEN o > t THEN 'breach' ELSE 'pass' END AS status FROM (" + " UNION ALL ".join(
     f"SELECT pipeline, hour, '{m}' AS m, {m}::BIGINT AS o, {t} AS t FROM slo_telemetry" for m, t in O.POLICY.items()) + ")"
 
@@ -147,6 +160,13 @@ def _(spark, sf_dir):
     return S.alert_lifecycle(c).withColumn("at_us", X.micros("at")).drop("at")
 
 
+@query("win_16_alert_changes", f"""WITH c AS ({CHECKS}), s AS (SELECT *, lag(status) OVER w AS p, lag(observed) OVER w AS before FROM c WHERE status <> 'unobserved' WINDOW w AS (PARTITION BY pipeline, "check" ORDER BY hour))
+SELECT pipeline, "check", epoch_us(hour) AS at_us, 'changed' AS event, before, observed FROM s WHERE status = 'breach' AND p = 'breach' AND observed IS DISTINCT FROM before""")
+def _(spark, sf_dir):
+    c = O.evaluate_slo(X.slo_telemetry(spark, sf_dir), ["pipeline", "hour"]).withColumnRenamed("hour", "at")
+    return S.alert_changes(c).withColumn("at_us", X.micros("at")).drop("at")
+
+
 @query("win_17_choose_key", """WITH t AS (SELECT c_custkey, CASE WHEN c_custkey % 11 = 0 THEN '*BEFORE' WHEN c_custkey % 7 = 0 THEN '*AFTER' ELSE '*BOTH' END AS images FROM customer)
 SELECT 'T' || c_custkey AS table_name, CASE WHEN images = '*BEFORE' THEN 'blocked' WHEN images = '*AFTER' OR c_custkey % 5 = 0 THEN 'rrn' WHEN c_custkey % 3 = 0 THEN 'primary' WHEN c_custkey % 2 = 0 THEN 'unique' ELSE 'index' END AS identity,
 CASE WHEN images = '*BOTH' AND c_custkey % 5 <> 0 THEN CASE WHEN c_custkey % 3 = 0 THEN 'pk' WHEN c_custkey % 2 = 0 THEN 'uq_a' ELSE 'ix_a' END END AS name FROM t""")
@@ -170,9 +190,15 @@ def _(spark, sf_dir):
     return S.latest_per(X.deliveries(spark, sf_dir), "pipeline", ["at_us"], ["n"])
 
 
-@query("top_3_ordered_export", "SELECT k, cents, event_id FROM mirror ORDER BY k LIMIT 101")
+@query("top_3_ordered_export", "SELECT k, cents, event_id, (SELECT count(*) > 1000 FROM mirror) AS exceeded FROM mirror")
+def _(spark, sf_dir):
+    """The whole mirror in key order, and whether it has more than a thousand rows."""
+    return S.ordered_export(mirror(spark, sf_dir).select("k", "cents", "event_id"), "k", 1000)
+
+
+@query("top_3_history_export", "SELECT event_id, epoch_us(ingested_at) AS ingested_us, cents, (SELECT count(*) > 1000 FROM ledger) AS exceeded FROM ledger")
 def _(spark, sf_dir):
-    return S.ordered_export(mirror(spark, sf_dir).select("k", "cents", "event_id"), "k", 100)
+    return S.history_export(ledger(spark, sf_dir), 1000).select("event_id", X.micros("ingested_at").alias("ingested_us"), "cents", "exceeded")
 
 
 @query("prj_16_coalesce_measures", """WITH a AS (SELECT DISTINCT pipeline FROM hourly WHERE pipeline <> 'view'), b AS (SELECT pipeline, sum(n)::BIGINT AS rows FROM hourly WHERE pipeline <> 'click' GROUP BY 1)

@@ -91,6 +91,12 @@ def _(spark, sf_dir):
     return per.join(bad, "table_name", "left").select("table_name", "events", "last_sequence", F.when(F.col("bad"), "refused").otherwise("routed").alias("state"))
 
 
+@query("src_10_route_check", "SELECT count(*) AS events, count(CASE WHEN n % 4 <> 3 THEN 1 END) AS routed, count(DISTINCT CASE WHEN n % 4 = 3 THEN 3 END) AS unknown_tables, CASE WHEN count(CASE WHEN n % 4 = 3 THEN 1 END) > 0 THEN 'refused' ELSE 'routed' END AS verdict FROM journal_events")
+def _(spark, sf_dir):
+    e = X.journal_events(spark, sf_dir).withColumn("table_name", F.concat(F.lit("T"), F.col("n") % 4))
+    return W.route_check(e, spark.createDataFrame([("T0",), ("T1",), ("T2",)], "table_name string"))
+
+
 @query("src_14_generate_changes", """WITH s AS (SELECT c_custkey AS key, CASE WHEN c_custkey % 50 = 1 THEN '3-changes' WHEN c_custkey % 60 = 0 OR c_custkey % 30 = 1 THEN '2-changes' WHEN c_custkey % 4 = 3 OR c_custkey % 10 = 1 OR c_custkey % 20 = 0 THEN '1-changes' ELSE '0-seed' END AS step,
 c_name, c_acctbal FROM customer WHERE c_custkey % 20 <> 0 OR c_custkey % 60 = 0)
 SELECT key, step, 'Libellé ' || c_name || ' ' || step AS label, rpad('C' || key, 8, ' ') AS code, CAST(CAST(round(c_acctbal * 100) AS BIGINT) * CASE WHEN key % 2 = 0 THEN 1 ELSE -1 END AS BIGINT) AS cents,

@@ -215,6 +215,14 @@ def route_by_table(events: DataFrame, allowed: DataFrame) -> tuple[DataFrame, Da
     return per, events.join(F.broadcast(allowed), "table_name", "left_anti")
 
 
+def route_check(events: DataFrame, allowed: DataFrame) -> DataFrame:
+    """SRC-10: whether a combined window may be split: every event in a listed table, none lost; counts must sum."""
+    listed = allowed.select("table_name", F.lit(1).alias("ok")).distinct()
+    per = events.groupBy("table_name").agg(F.count("*").alias("n")).join(listed, "table_name", "left")
+    a = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("events"), F.coalesce(F.sum(F.when(F.col("ok") == 1, F.col("n"))), F.lit(0)).alias("routed"), F.count_if(F.col("ok").isNull()).alias("unknown_tables"))
+    return a.withColumn("verdict", F.when((F.col("events") == F.col("routed")) & (F.col("unknown_tables") == 0), "routed").otherwise("refused"))
+
+
 def generate_changes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-14: deterministic changes of a table's own rows (a seed and three steps, chosen by key: updates with accents, padding,
     nulls and changed signs, deletes, and keys that come back) and the state they must lead to: the latest step of every
