@@ -261,6 +261,21 @@ def capture_counters(polls: DataFrame) -> DataFrame:
     return a.withColumn("events_per_s", F.when(F.col("poll_ms") > 0, F.floor(F.col("events") * 1000 / F.col("poll_ms"))))
 
 
+def capture_costs(polls: DataFrame, stages: list[str]) -> DataFrame:
+    """AGG-27: per run idle polls (nothing to read and nothing rotated), batches, time by stage (unknown if no poll reports it) and
+    CPU milliseconds per event (unknown without events or CPU time).  polls: run, events, rotated, cpu_ms and the stages."""
+    idle = (F.col("events") == 0) & ~F.col("rotated")
+    a = polls.groupBy("run").agg(F.count_if(idle).alias("idle"), F.count_if(F.col("events") > 0).alias("batches"), F.sum("events").alias("events"), *[F.sum(s).alias(s) for s in stages], F.sum("cpu_ms").alias("cpu_ms"))
+    return a.withColumn("cpu_us_per_event", F.when(F.col("events") > 0, F.floor(F.col("cpu_ms") * 1000 / F.col("events"))))
+
+
+def stage_failures(cycles: DataFrame) -> DataFrame:
+    """AGG-28: per loader stage the cycles that failed in it, and of these the ones that give no time for it (an absent time is
+    not 0); other names are no stage.  cycles: line (JSON: failed_stage, stages_ms)."""
+    c = cycles.select(F.from_json("line", "failed_stage string, stages_ms map<string,double>").alias("c")).select("c.*").where(F.col("failed_stage").isin(*STAGES))
+    return c.groupBy(F.col("failed_stage").alias("stage")).agg(F.count("*").alias("failures"), F.count_if(F.element_at("stages_ms", F.col("failed_stage")).isNull()).alias("without_time"))
+
+
 STAGES = ("discover", "snapshot", "split", "history", "mirror", "checkpoint", "lag")
 
 

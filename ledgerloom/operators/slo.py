@@ -118,6 +118,17 @@ def destination_status(measures: DataFrame) -> DataFrame:
     return measures.withColumn("state", F.when(unknown, "unknown").when(wrong, "mismatch").when(done, "matched").otherwise("running"))
 
 
+def destination_progress(measures: DataFrame) -> DataFrame:
+    """REC-6: the states of load and apply, and the position that both cover (null unless all three positions of one receiver are
+    known; never beyond the source).  measures: id, source_rows, raw_rows, ledger_rows, pending, source_position, loaded_position,
+    applied_position."""
+    state = lambda have, want: (F.when(F.col(have).isNull() | F.col(want).isNull(), "unknown").when(F.col(have) > F.col(want), "ahead").when(F.col(have) < F.col(want), "running").otherwise("complete"))
+    load = F.when(F.col("pending") > 0, F.when(F.col("raw_rows").isNull(), "unknown").otherwise("running")).otherwise(state("raw_rows", "source_rows"))
+    places = ["source_position", "loaded_position", "applied_position"]
+    known = F.col(places[0]).isNotNull() & F.col(places[1]).isNotNull() & F.col(places[2]).isNotNull()
+    return measures.select("id", load.alias("load_state"), state("ledger_rows", "raw_rows").alias("apply_state"), F.when(known, F.least(*places)).alias("covered"))
+
+
 def certification_verdict(cert: DataFrame, freshness_slo_s: int) -> DataFrame:
     """REC-8: the first reason that a certification fails, or certified."""
     c = F.col

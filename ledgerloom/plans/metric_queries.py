@@ -242,3 +242,21 @@ def _(spark, sf_dir):
     state = F.when((c == 0) & (u % 21 == 0), "incident").when((c == 1) & (u % 3 == 0), "unknown").when(c < 4, "planned_stop").otherwise("healthy")
     t = X.table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("lag"), F.count("*").alias("tp"))
     return M.connection_rollup(t.select(F.concat(F.lit("conn-"), c).alias("connection"), state.alias("state"), F.when(u % 2 == 0, F.col("lag")).alias("lag"), F.when(c != 5, F.col("tp")).alias("throughput")))
+
+
+@query("agg_27_capture_costs", """SELECT run, count(CASE WHEN events = 0 AND NOT rotated THEN 1 END) AS idle, count(CASE WHEN events > 0 THEN 1 END) AS batches, sum(events)::BIGINT AS events, sum(CASE WHEN n % 5 <> 0 THEN poll_ms END)::BIGINT AS read_ms, sum(n % 11)::BIGINT AS write_ms,
+sum(CASE WHEN n % 2 = 0 THEN n % 7 END)::BIGINT AS cpu_ms, CASE WHEN sum(events) > 0 THEN floor(sum(CASE WHEN n % 2 = 0 THEN n % 7 END) * 1000 / sum(events))::BIGINT END AS cpu_us_per_event FROM capture_polls GROUP BY run""")
+def _(spark, sf_dir):
+    n = F.col("n")
+    p = X.capture_polls(spark, sf_dir).withColumns({"read_ms": F.when(n % 5 != 0, F.col("poll_ms")), "write_ms": n % 11, "cpu_ms": F.when(n % 2 == 0, n % 7)})
+    return M.capture_costs(p, ["read_ms", "write_ms"])
+
+
+@query("agg_28_stage_failures", """WITH c AS (SELECT CASE n % 9 WHEN 0 THEN 'history' WHEN 1 THEN 'mirror' WHEN 2 THEN 'elsewhere' WHEN 3 THEN 'lag' END AS stage, n % 2 = 0 AS timed FROM capture_polls)
+SELECT stage, count(*) AS failures, count(CASE WHEN NOT (timed AND stage <> 'lag') THEN 1 END) AS without_time FROM c WHERE stage IN ('history', 'mirror', 'lag') GROUP BY stage""")
+def _(spark, sf_dir):
+    """Failures in three stages and in a name that is none; even polls give times of all stages but the lag."""
+    n = F.col("n")
+    failed = F.element_at(F.array(*[F.lit(s) for s in ("history", "mirror", "elsewhere", "lag", None, None, None, None, None)]), (n % 9 + 1).cast("int"))
+    times = F.when(n % 2 == 0, F.create_map(F.lit("history"), F.lit(1.0), F.lit("mirror"), F.lit(2.0))).otherwise(F.create_map().cast("map<string,double>"))
+    return M.stage_failures(X.capture_polls(spark, sf_dir).select(F.to_json(F.struct(failed.alias("failed_stage"), times.alias("stages_ms"))).alias("line")))

@@ -298,6 +298,18 @@ def _(spark, sf_dir):
     return O.destination_status(m).select("id", "state")
 
 
+@query("rec_6_destination_progress", f"""WITH m AS ({MEASURES}), p AS (SELECT user_id AS id, CASE WHEN count(*) % 5 <> 0 THEN max(event_id) END AS source_position, max(CASE WHEN event_type <> 'error' THEN event_id END) AS loaded_position, max(CASE WHEN event_type = 'view' THEN event_id END) AS applied_position FROM events GROUP BY 1)
+SELECT m.id, CASE WHEN pending > 0 THEN 'running' WHEN source_rows IS NULL THEN 'unknown' WHEN raw_rows > source_rows THEN 'ahead' WHEN raw_rows < source_rows THEN 'running' ELSE 'complete' END AS load_state, CASE WHEN ledger_rows > raw_rows THEN 'ahead' WHEN ledger_rows < raw_rows THEN 'running' ELSE 'complete' END AS apply_state,
+CASE WHEN source_position IS NOT NULL AND loaded_position IS NOT NULL AND applied_position IS NOT NULL THEN least(source_position, loaded_position, applied_position) END AS covered FROM m JOIN p ON m.id = p.id""")
+def _(spark, sf_dir):
+    n, top, low, e = F.count("*"), F.max("event_id"), F.min("event_id"), F.col("event_id")
+    late = top % 3 % 2
+    m = X.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(
+        F.when(n % 11 != 0, n).alias("source_rows"), (n - late).alias("raw_rows"), (n - late + F.when(low % 17 == 0, 1).otherwise(0)).alias("ledger_rows"), late.alias("pending"), F.when(n % 5 != 0, top).alias("source_position"),
+        F.max(F.when(F.col("event_type") != "error", e)).alias("loaded_position"), F.max(F.when(F.col("event_type") == "view", e)).alias("applied_position"))
+    return O.destination_progress(m)
+
+
 @query("rec_8_certification_verdict", """WITH c AS (SELECT user_id AS id, CASE WHEN count(*) % 9 <> 0 THEN count(*) END AS raw_rows, count(*) + CASE WHEN max(event_id) % 8 = 0 THEN 1 ELSE 0 END AS ledger_rows, sum(event_id) AS raw_hash, sum(event_id + CASE WHEN event_id % 97 = 0 THEN 1 ELSE 0 END) AS ledger_hash,
 max(event_id) % 6 // 5 AS missing, min(event_id) % 5 // 4 AS extra, min(event_id) % 7 // 6 AS duplicates, CASE WHEN max(event_id) % 10 <> 0 THEN max(event_id) % 400 END AS freshness_s, CASE WHEN min(event_id) % 3 = 0 THEN NULL ELSE min(event_id) % 3 = 1 END AS cost_matches FROM events GROUP BY user_id),
 w AS (SELECT id, CASE WHEN raw_rows IS NULL THEN 'unmeasured' WHEN raw_rows <> ledger_rows THEN 'counts_differ' WHEN raw_hash <> ledger_hash THEN 'hashes_differ' WHEN missing > 0 THEN 'missing' WHEN extra > 0 THEN 'extra' WHEN duplicates > 0 THEN 'duplicates'

@@ -83,6 +83,16 @@ def _(spark, sf_dir):
     return m.select("batch_id", F.col("high_watermark.receiver").alias("receiver"), "event_count", F.col("high_watermark.sequence").alias("last_sequence"), F.sha2(F.array_join("event_ids", ","), 256).alias("ids"))
 
 
+@query("src_9_refused_events", """WITH b AS (SELECT CASE WHEN n % 29 = 0 THEN '' WHEN n % 31 = 0 THEN 'same' ELSE event_id END AS event_id, CASE WHEN n % 37 = 0 THEN NULL ELSE receiver END AS receiver, CASE WHEN n % 41 = 0 THEN -1 ELSE sequence END AS sequence FROM journal_events),
+s AS (SELECT event_id, count(DISTINCT CASE WHEN receiver IS NOT NULL AND sequence IS NOT NULL THEN receiver || '/' || sequence END) AS places FROM b GROUP BY 1),
+r AS (SELECT DISTINCT b.event_id, receiver, sequence, CASE WHEN b.event_id = '' THEN 'no_id' WHEN receiver IS NULL THEN 'no_receiver' WHEN sequence < 0 THEN 'negative_position' WHEN places > 1 THEN 'several_positions' END AS reason FROM b JOIN s ON s.event_id = b.event_id)
+SELECT * FROM r WHERE reason IS NOT NULL""")
+def _(spark, sf_dir):
+    n = F.col("n")
+    j = X.journal_events(spark, sf_dir).select(F.when(n % 29 == 0, "").when(n % 31 == 0, "same").otherwise(F.col("event_id")).alias("event_id"), F.when(n % 37 != 0, F.col("receiver")).alias("receiver"), F.when(n % 41 == 0, -1).otherwise(F.col("sequence")).alias("sequence"))
+    return W.refused_events(j)
+
+
 @query("src_10_route_by_table", "SELECT 'T' || (n % 4) AS table_name, count(*) AS events, max(sequence) AS last_sequence, CASE WHEN n % 4 = 3 THEN 'refused' ELSE 'routed' END AS state FROM journal_events GROUP BY n % 4")
 def _(spark, sf_dir):
     e = X.journal_events(spark, sf_dir).withColumn("table_name", F.concat(F.lit("T"), F.col("n") % 4))

@@ -63,6 +63,16 @@ def write_raw_batches(events: DataFrame, out: str, size: int = 500) -> None:
                     "payload_sha256").write.json(f"{out}/manifest")
 
 
+def refused_events(events: DataFrame) -> DataFrame:
+    """SRC-9: events that no batch may hold: without id, receiver or position, below position 0, or an id that stands at more
+    than one position.  event_id, receiver, sequence, reason."""
+    several = events.groupBy("event_id").agg(F.count_distinct("receiver", "sequence").alias("__places"))
+    x = events.select("event_id", "receiver", "sequence").join(several, "event_id", "left")
+    empty = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    why = (F.when(empty("event_id"), "no_id").when(empty("receiver"), "no_receiver").when(F.col("sequence").isNull(), "no_position").when(F.col("sequence") < 0, "negative_position").when(F.col("__places") > 1, "several_positions"))
+    return x.withColumn("reason", why).where("reason is not null").select("event_id", "receiver", "sequence", "reason").distinct()
+
+
 def read_raw_events(spark: SparkSession, path: str, files: list[str] | None = None) -> DataFrame:
     """SRC-1 and SRC-2: every line as an untyped payload with its batch, file, time and row number inside its
     file (files are in position order).  An explicit list must be free of repeats and of ways out."""
