@@ -383,6 +383,63 @@ def test_summed_normal_equations_equal_one_solve(spark):
     assert np.allclose(weights, want)
 
 
+def test_quality_scores_equal_one_machines_fit(spark, sf):
+    """The whole score by plain numpy on all labelled rows at once: kernel features, ridge, calibration by pooling."""
+    d, labels = docs(spark, sf), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r.doc_id: r.score for r in quality.classify(d, labels).collect()}
+    x = {r.doc_id: np.array(quality.statistics((r.text or "").encode())) for r in d.collect()}
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in x and zlib.crc32(str(r.doc_id).encode()) % 5 != 0}
+    train, target = np.array([x[i] for i in y]), np.array(list(y.values()), dtype=float)
+    mean, dev = train.mean(axis=0), train.std(axis=0)
+    rng = np.random.default_rng(quality.SEED)
+    w, b = rng.normal(0.0, np.sqrt(2 * quality.GAMMA), (len(mean), quality.WIDTH)), rng.uniform(0, 2 * np.pi, quality.WIDTH)
+
+    def lift(v):
+        z = np.clip((v - mean) / np.where(dev > 1e-9, dev, 1.0), -8, 8)
+        return np.hstack([np.sqrt(2.0 / quality.WIDTH) * np.cos(z @ w + b), np.ones((len(v), 1))])
+
+    z = lift(train)
+    weights = np.linalg.solve(z.T @ z + quality.RIDGE * len(z) / z.shape[1] * np.eye(z.shape[1]), z.T @ target)
+    bins = defaultdict(lambda: [0, 0.0])
+    for s, v in zip(z @ weights, target):
+        k = bins[int(np.floor((min(2.0, max(-1.0, s)) + 1) / 3 * (quality.BINS - 1)))]
+        k[0] += 1
+        k[1] += v
+    blocks = [[n, p, n * k] for k, (n, p) in sorted(bins.items())]
+    i = 0
+    while i < len(blocks) - 1:  # join the first pair out of order, and look again from the start
+        if blocks[i][1] / blocks[i][0] >= blocks[i + 1][1] / blocks[i + 1][0]:
+            blocks[i:i + 2] = [[u + v for u, v in zip(blocks[i], blocks[i + 1])]]
+            i = 0
+        else:
+            i += 1
+    at, p = [(k / n + 0.5) / (quality.BINS - 1) * 3 - 1 for n, _, k in blocks], [(q + 0.5) / (n + 1) for n, q, _ in blocks]
+    ids = list(x)
+    want = np.clip(np.interp(lift(np.array([x[i] for i in ids])) @ weights, at, p), 0, 1)
+    off = np.abs(want - np.array([got[i] for i in ids]))
+    assert np.quantile(off, 0.98) < 1e-6  # a sum in another order may move a score over the edge of its bin
+
+
+def test_grammar_equals_a_plain_reading():
+    """Marks of random clauses against a reading that keeps no machine: every word looks at its clause."""
+    rng = np.random.default_rng(8)
+    lexicon = {"idiot": 4.0, "kill": 3.0, "scum": 2.0}
+    s = toxicity.Scanner(lexicon, {})
+    pool = ["idiot", "kill", "scum", "you", "not", "said", "tree", "runs", "far", "."]
+    for _ in range(300):
+        words = [pool[i] for i in rng.integers(0, len(pool), 25)]
+        want, clause = [], []
+        for w in [*words, "."]:
+            if w != ".":
+                clause.append(w)
+                continue
+            for i, v in enumerate(clause):
+                if v in lexicon:
+                    want.append(((v == "kill", "you" in clause, "not" in clause[max(0, i - 3):i], "said" in clause[:i]), lexicon[v]))
+            clause = []
+        assert s.outputs(" ".join(words)) == want
+
+
 # -- 8 ---------------------------------------------------------------------------------------------
 
 def check_packing(pieces, want):
