@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+#: A list of files to look at is bounded, and so may be broadcast.
+MOST_FILES = 1000
+
 OPERATIONS = ("c", "u", "u_before", "u_after", "d")
 #: Journal entry types and what they mean; rollbacks are refused.
 ENTRY_TYPES = {"PT": "c", "PX": "c", "UB": "u_before", "UP": "u_after", "DL": "d"}
@@ -71,7 +74,11 @@ def orphan_deletes(events: DataFrame) -> DataFrame:
 def in_scope(events: DataFrame, table_name: str, suffixes: DataFrame | None = None, file_col: str = "source_file") -> DataFrame:
     """CON-6: events of one table's files, optionally only of files that end as listed (a short list)."""
     found = events.where(F.col(file_col).contains(f"/{table_name}/"))
-    return found if suffixes is None else found.join(F.broadcast(suffixes), F.col(file_col).endswith(F.col("suffix")), "left_semi")
+    if suffixes is None:
+        return found
+    if suffixes.limit(MOST_FILES + 1).count() > MOST_FILES:
+        raise ValueError(f"at most {MOST_FILES} file suffixes")
+    return found.join(F.broadcast(suffixes), F.col(file_col).endswith(F.col("suffix")), "left_semi")
 
 
 def of_table(events: DataFrame, library: str, table: str) -> DataFrame:

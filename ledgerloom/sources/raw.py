@@ -222,7 +222,7 @@ def receipt_integrity(receipts: DataFrame, batches: DataFrame, events: DataFrame
 def route_by_table(events: DataFrame, allowed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """SRC-10: per-table counts of a combined window, and the events of tables that are not listed."""
     per = events.groupBy("table_name").agg(F.count("*").alias("events"), F.max("sequence").alias("last_sequence"))
-    return per, events.join(F.broadcast(allowed), "table_name", "left_anti")
+    return per, events.join(allowed, "table_name", "left_anti")
 
 
 def route_check(events: DataFrame, allowed: DataFrame) -> DataFrame:
