@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.forms import key_fingerprint
+from ..sources.raw import cut
 
 SNAPSHOT = "SNAPSHOT:"
 
@@ -183,7 +184,8 @@ def snapshot_as_events(table: DataFrame, key: str, run: str, schema_table: str,
     if "_rrn" in table.columns:
         raise ValueError("_rrn is reserved")
     spark = table.sparkSession
-    dealt = table.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id())
+    # cut: ranges are sampled anew by every run of the plan, and rows and sizes must come from the same ones
+    dealt = cut(table.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).withColumn("__p", F.spark_partition_id()))
     inside = dealt.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(key)))
     sizes = dealt.groupBy("__p").count()  # one row a partition
     base = sizes.select("__p", (F.coalesce(F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).alias("__b"))
