@@ -8,8 +8,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, exact_dedup, html_main, mixing, packing, quality, simhash, spelling, suffix_dedup, toxicity, warc
+from . import (ann, collocations, exact_dedup, html_main, mixing, packing, quality, secret_scan, simhash, spelling, suffix_dedup,
+               toxicity, warc)
+from .collocations import OP13_SQL
 from .common import table
+from .secret_scan import OP12_SQL
 from .spelling_sql import OP11_SQL
 
 
@@ -94,6 +97,15 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {"op2_permutation_index": op2_permutation_index, "op6_toxicity": op6_toxicity, "op4_html_main": op4_html_main, "op9_warc": op9_warc, "op1_suffix_dedup": op1_suffix_dedup, "op7_quality": op7_quality, "op8_packing": op8_packing, "op3_poisson_mixing": op3_poisson_mixing, "op5_exact_dedup": op5_exact_dedup, "op10_simhash": op10_simhash,
-           "op11_spelling": op11_spelling}
-ORACLE = {"op11_spelling": OP11_SQL, "op9_warc": OP9_SQL, "op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}
+           "op11_spelling": op11_spelling, "op12_secret_scan": op12_secret_scan,
+           "op13_collocations": op13_collocations}
+ORACLE = {"op11_spelling": OP11_SQL, "op12_secret_scan": OP12_SQL, "op13_collocations": OP13_SQL, "op9_warc": OP9_SQL, "op3_poisson_mixing": OP3_SQL, "op5_exact_dedup": OP5_SQL}

@@ -101,9 +101,9 @@ def _posted(w: str, places: list[int], p: int, q: int) -> Iterator[tuple[int, in
     size = len(w)
     for i in places:
         yield _key(1, size, w[:i + 2]), 0
-        for j in range(i + 2, size + 1):
+        for j in range(i + 3, size + 1):  # an edit leaves a letter or more of a middle and of a head
             yield _key(2, size, w[:i + 2], w[j:]), 0
-        for j in range(i + 1):
+        for j in range(1, i + 1):
             yield _key(3, size, w[j:], size - i), 0
 
 
@@ -141,9 +141,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
 
 def forms(words: DataFrame, pairs: DataFrame, ratio: int = 10) -> DataFrame:
     """word, n, n_near, form, form_n."""
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("nb").alias("m")).union(
-        pairs.select("b", "a", "na"))
-    near = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
+    sides = F.array(*[F.struct(F.col(x).alias("word"), F.col(y).alias("other"), F.col(f"n{y}").alias("m")) for x, y in ("ab", "ba")])
+    near = pairs.select(F.explode(sides).alias("x")).select("x.*").groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     led: Column = -F.col("best.m") >= F.lit(ratio) * F.col("n")
     return words.join(near, "word", "left").select(
         "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"),
