@@ -7,7 +7,8 @@ of its vectors that have it, with the place it has there.  A query walks the lis
 adds up, for each vector met, how much smaller its footrule distance (the sum over pivots of the difference
 of places, a missing pivot counting as last) is than that of a vector that shares no pivot; the
 ``share`` of each block's vectors with the least distance is then reranked by the exact measure on the
-original vectors in double precision, and the blocks' best are merged.
+original vectors in double precision, and the blocks' best are merged.  Angles say nothing of lengths, which inner products
+grow with, so the share is taken of the vectors of each length (to a power of two) by itself.
 
 Queries travel in blocks of about ``BLOCK`` to every group of about ``GROUP`` vectors; neither side is broadcast or
 collected, a group's task handles ``BLOCK`` vectors at a time and gives k rows a query, and how many groups there
@@ -41,9 +42,20 @@ def usable(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
             .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & fine & F.exists("v", lambda x: x != 0)))
 
 
+def exponents(x: np.ndarray) -> np.ndarray:
+    """For each row the power of two that brings its largest component to between 1/2 and 1."""
+    return np.frexp(np.abs(x).max(axis=-1))[1]
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; they are scaled first, so that no square overflows or vanishes."""
+    x = np.ldexp(x, -exponents(x)[:, None])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def order_pivots(x: np.ndarray, pivots: np.ndarray, depth: int) -> np.ndarray:
     """The depth nearest pivots of every row by angle, nearest first; ties to the smaller pivot."""
-    near = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ pivots.T
+    near = unit(x) @ pivots.T
     if depth < near.shape[1]:
         cut = np.sort(np.argpartition(-near, depth - 1, axis=1)[:, :depth], axis=1)
         near = np.take_along_axis(near, cut, axis=1)
@@ -57,7 +69,10 @@ class Block:
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, depth: int) -> None:
         order = np.argsort(ids, kind="stable")
         self.ids, self.x, self.depth = ids[order], np.ascontiguousarray(x[order]), depth
-        self.single = self.x.astype(np.float32)
+        self.power = exponents(self.x)
+        self.single = np.ldexp(self.x, -self.power[:, None]).astype(np.float32)
+        length = self.power + np.frexp(np.linalg.norm(np.ldexp(self.x, -self.power[:, None]), axis=1))[1]
+        self.strata = [np.flatnonzero(length == e) for e in np.unique(length)]
         perm = order_pivots(self.x, pivots, depth)
         flat = perm.ravel()
         post = np.argsort(flat, kind="stable")
@@ -71,16 +86,24 @@ class Block:
         # |a - b| against last places: each shared pivot lowers the distance by twice the lesser room
         gain = np.concatenate([np.minimum(self.room[s], self.depth - r) for r, s in enumerate(lists)])
         shared = np.bincount(who, weights=gain, minlength=len(self.ids))
-        n = min(len(self.ids), max(4 * k, int(np.ceil(share * len(self.ids)))))
         key = shared * len(self.ids) + np.arange(len(self.ids), 0, -1)  # ties to the smaller id
-        pick = np.argpartition(-key, n - 1)[:n] if n < len(key) else np.arange(len(key))
+        picks = []
+        for rows in self.strata:
+            n = min(len(rows), max(4 * k, int(np.ceil(share * len(rows)))))
+            picks.append(rows[np.argpartition(-key[rows], n - 1)[:n]] if n < len(rows) else rows)
+        pick = np.concatenate(picks)
         pick = pick[self.ids[pick] != query_id]
-        # single precision first: the k best and all within its error of them are scored exactly
-        rough = self.single[pick] @ q.astype(np.float32)
-        if len(pick) > k:
-            most = np.float32(1e-5) * (np.abs(self.single[pick]).max() * np.abs(q).sum() + 1)
-            pick = pick[rough >= np.partition(rough, -k)[-k] - 2 * most]
-        scores = (self.x[pick] * q).sum(axis=1)
+        # single precision first: the k best and all within its error of them are scored exactly; where products may
+        # overflow even in double precision, ties of infinities decide, so all are
+        power = exponents(q)
+        if len(pick) > k and self.power.max() + power + 16 < 1024:
+            q32 = np.ldexp(q, -power).astype(np.float32)
+            scale = np.maximum(self.power[pick] - self.power[pick].max(), -1070)
+            rough = np.ldexp((self.single[pick] @ q32).astype(np.float64), scale)
+            most = np.ldexp(np.full(len(pick), 1e-5 * (float(np.abs(q32).sum()) + 1)), scale)
+            pick = pick[rough + most >= np.partition(rough - most, -k)[-k]]
+        with np.errstate(over="ignore", invalid="ignore"):
+            scores = (self.x[pick] * q).sum(axis=1)
         best = np.lexsort((self.ids[pick], -scores))[:k]
         return self.ids[pick][best], scores[best]
 
@@ -104,10 +127,9 @@ def neighbours(vectors: DataFrame, every: int = 20, k: int = 20, pivots: int = P
     rows = rows.where(F.size("v") == common.width)
     # bounded: four times the pivots, as equal vectors are one pivot
     some = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * pivots).collect()
-    unit = np.array([r.v for r in some], dtype=np.float64)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
-    _, first = np.unique(unit, axis=0, return_index=True)
-    base = unit[np.sort(first)][:pivots]
+    known = unit(np.array([r.v for r in some], dtype=np.float64))
+    _, first = np.unique(known, axis=0, return_index=True)
+    base = known[np.sort(first)][:pivots]
     used = min(depth, len(base))
 
     n = rows.agg(F.count("*"), F.count(F.when(F.pmod("vec_id", F.lit(every)) == 0, 1))).first()

@@ -38,7 +38,7 @@ from pyspark.sql.window import Window
 from .common import cut, partitions
 
 #: Words after which a shard is full, bytes after which a text is cut at the next end of a piece, phrases a bucket holds
-SHARD, SLICE, BUCKET = 2_000_000, 8_000_000, 2_000_000
+SHARD, SLICE, BUCKET = 750_000, 4_000_000, 1_500_000
 SPLIT = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(SPLIT + b"\t" + bytes(range(65, 91)), b"\n" * len(SPLIT) + b" " + bytes(range(97, 123)))
 TOKEN = re.compile(rb"\n|[^ \n]+")
@@ -99,12 +99,12 @@ def shards(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> D
 
 def _sorted_rows(t: np.ndarray, depth: int, symbols: int) -> np.ndarray:
     """Places of a sequence by the ``depth`` symbols from there on."""
-    columns = [np.concatenate((t[k:], np.zeros(min(k, len(t)), dtype=t.dtype))) for k in range(depth)]
     if symbols ** depth >= 1 << 63:
-        return np.lexsort(columns[::-1])
-    key = columns[0]
-    for c in columns[1:]:
-        key = key * symbols + c
+        return np.lexsort([np.concatenate((t[k:], np.zeros(min(k, len(t)), dtype=t.dtype))) for k in range(depth)][::-1])
+    key = t.copy()
+    for k in range(1, depth):
+        key *= symbols
+        key[:-k] += t[k:]
     return np.argsort(key)
 
 
@@ -190,6 +190,12 @@ def _opened(lang: str, ids: bytes, vocabulary: bytes, depth: int) -> tuple[list[
     return words, levels, np.concatenate(hashes)
 
 
+def _each(b: pa.RecordBatch) -> Iterator[dict]:
+    """One row at a time: a shard's index is large beside its row."""
+    for i in range(b.num_rows):
+        yield b.slice(i, 1).to_pylist()[0]
+
+
 def _dealt(hashes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of phrases by bucket, and where each bucket begins in it."""
     bucket = (hashes >> U64(40)) % U64(width)
@@ -201,7 +207,7 @@ def frequent(held: DataFrame, least: int, depth: int, width: int) -> DataFrame:
     """shard, marks (bucket, bits): of each shard's phrases, in the order they were dealt, those that may be frequent."""
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in _each(b):
                 _, levels, hashes = _opened(r["lang"], r["ids"], r["vocabulary"], depth)
                 order, start = _dealt(hashes, width)
                 code = hashes[order].view(np.uint8).reshape(-1, 8)[:, :5]
@@ -244,7 +250,7 @@ def phrase_counts(held: DataFrame, least: int, depth: int) -> DataFrame:
 
     def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for r in _each(b):
                 words, levels, hashes = _opened(r["lang"], r["ids"], r["vocabulary"], depth)
                 order, start = _dealt(hashes, width)
                 ok = np.zeros(len(hashes), dtype=bool)

@@ -39,8 +39,6 @@ from .common import cut, least_reachable, partitions, release
 
 BITS, TILE, SAMPLE = 64, 2048, 1000
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
-SKETCH_PROBE_COST = 1500.0  # a row with a sketch takes about 5 us, a candidate in large tiles 3 ns
-BINS, EMPTY = 128, 255
 
 
 def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
@@ -162,29 +160,14 @@ class Forest:
         return [a for a, r in low if a != r], [r for a, r in low if a != r]
 
 
-def _similar(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Estimated resemblance of shingle sets from their sketches."""
-    used = (x != EMPTY) | (y != EMPTY)
-    n = used.sum(axis=1)
-    share = ((x == y) & used).sum(axis=1) / np.maximum(n, 1)
-    return np.where(n, (share - 1 / EMPTY) / (1 - 1 / EMPTY), 1.0)
-
-
 class Group:
     """Rows of one (part, value): ``base`` marks the nodes' own rows, the others are their probes."""
 
-    def __init__(self, fp: np.ndarray, own: np.ndarray, base: np.ndarray, sketch: np.ndarray | None, distance: int, similarity: float) -> None:
-        self.fp, self.own, self.base, self.sketch, self.distance, self.similarity = fp, own, base, sketch, distance, similarity
+    def __init__(self, fp: np.ndarray, own: np.ndarray, base: np.ndarray, distance: int) -> None:
+        self.fp, self.own, self.base, self.distance = fp, own, base, distance
 
     def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        hit = np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
-        return hit if self.sketch is None else self._alike(i, j, np.flatnonzero(hit), hit)
-
-    def _alike(self, i: np.ndarray, j: np.ndarray, at: np.ndarray, hit: np.ndarray) -> np.ndarray:
-        for k in range(0, len(at), 50_000):
-            x = at[k:k + 50_000]
-            hit[x] = _similar(self.sketch[i[x]], self.sketch[j[x]]) >= self.similarity
-        return hit
+        return np.bitwise_count(self.fp[i] ^ self.fp[j]) <= self.distance
 
     def tiles(self, rows: np.ndarray, forest: Forest) -> None:
         """Every own row against every row, in tiles; a tile's links meet in its least rows."""
@@ -197,9 +180,6 @@ class Group:
                 a, b = x[a], y[b]
                 other = self.own[a] < self.own[b] if self.base.all() else self.own[a] != self.own[b]
                 a, b = a[other], b[other]
-                if self.sketch is not None and len(a):
-                    keep = self._alike(a, b, np.arange(len(a)), np.zeros(len(a), dtype=bool))
-                    a, b = a[keep], b[keep]
                 if len(a):
                     ids, index = np.unique(np.concatenate([self.own[a], self.own[b]]), return_inverse=True)
                     low = least_reachable(len(ids), index[:len(a)], index[len(a):])
@@ -245,37 +225,32 @@ def _verify(part: np.ndarray, val: np.ndarray, rows: Group, forest: Forest) -> N
             forest.link(x, y)
 
 
-def links(nodes: DataFrame, distance: int = 4, count: int | None = None, similarity: float | None = None) -> DataFrame:
-    """nodes: fp, node (one row a distinct fp) and, with ``similarity``, sketch.  Edges (node, root) whose
-    components are those of all pairs within distance (and of estimated similarity)."""
+def links(nodes: DataFrame, distance: int = 4, count: int | None = None) -> DataFrame:
+    """nodes: fp, node (one row a distinct fp).  Edges (node, root) whose components are those of all pairs within distance."""
     n = nodes.count() if count is None else count
     sample = np.array([r.fp for r in nodes.orderBy(F.xxhash64("fp", F.lit(1)), "fp").limit(SAMPLE).select("fp").collect()], dtype=np.int64)
-    parts = plan(sample.view(np.uint64), n, distance, PROBE_COST if similarity is None else SKETCH_PROBE_COST)
-    extra, kinds = (["sketch"], ", sketch binary") if similarity is not None else ([], "")
-    names = ["part", "val", "fp", "node", "base", *extra]
+    parts = plan(sample.view(np.uint64), n, distance, PROBE_COST)
+    names = ["part", "val", "fp", "node", "base"]
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64)
-            rest = [b.column(c) for c in extra]
             for i, (group, t) in enumerate(parts):
                 if t < 0:
                     continue
                 v = _take(fp.view(np.uint64), group)
                 for mask in [0, *_masks(len(group), t)]:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array((v ^ np.uint64(mask)).view(np.int64)), pa.array(fp), b.column("node"), pa.array(np.full(len(fp), mask == 0)), *rest], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), i, np.int32)), pa.array((v ^ np.uint64(mask)).view(np.int64)), pa.array(fp), b.column("node"), pa.array(np.full(len(fp), mask == 0))], names=names)
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, kept = Forest(), None
 
         def settle(e: int) -> None:
-            group = Group(kept[2][:e].view(np.uint64), kept[3][:e], kept[4][:e], kept[5][:e] if extra else None, distance, similarity or 0.0)
+            group = Group(kept[2][:e].view(np.uint64), kept[3][:e], kept[4][:e], distance)
             _verify(kept[0][:e], kept[1][:e], group, forest)
 
         for b in batches:
             now = [b.column(k).to_numpy(zero_copy_only=False) for k in range(5)]
-            if extra:
-                now.append(np.frombuffer(b"".join(b.column(5).to_pylist()), dtype=np.uint8).reshape(-1, BINS))
             kept = now if kept is None else [np.concatenate(x) for x in zip(kept, now)]
             if len(kept[0]) < 100_000 and len(kept[0]) < 2 * len(now[0]):
                 continue
@@ -289,7 +264,7 @@ def links(nodes: DataFrame, distance: int = 4, count: int | None = None, similar
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(r, pa.int64())], names=["a", "b"])
 
     width = partitions(nodes.sparkSession)
-    posted = nodes.select("fp", "node", *extra).mapInArrow(post, f"part int, val long, fp long, node long, base boolean{kinds}")
+    posted = nodes.select("fp", "node").mapInArrow(post, "part int, val long, fp long, node long, base boolean")
     return posted.repartition(width, "part", "val").sortWithinPartitions("part", "val").mapInArrow(check, "a long, b long")
 
 
@@ -315,10 +290,12 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id; one row a document."""
     fps = cut(fingerprints(docs, id_col, text_col, words))
-    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("node")))
-    named = nodes.where("node is not null")
-    comp = components(links(named, distance))
-    whole = nodes.join(comp, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    # a fingerprint is its own node, so one that only rows without an id have links and bridges like any other
+    nodes = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    comp = components(links(nodes.select("fp", F.col("fp").alias("node")), distance))
+    member = cut(nodes.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp")))
+    named = member.groupBy("component").agg(F.min("least").alias("component_id"))
+    whole = member.join(named, "component").select("fp", "component_id")
     return fps.join(whole, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 

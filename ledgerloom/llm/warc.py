@@ -43,6 +43,7 @@ from pyspark.sql import functions as F
 from .common import cut, partitions, shared_dir
 
 EPOCH = "2024-01-01T00:00:00Z"  # captures carry no time of their own
+SALTS = 32
 
 
 def store_uri(folder: str) -> str:
@@ -60,7 +61,8 @@ def capture_key(url: str | Column, page_id: str | Column, digest: str | Column)
     u, p, d = (F.col(x) if isinstance(x, str) else x for x in (url, page_id, digest))
     u = F.coalesce(u, F.lit(""))
     host = F.lower(F.regexp_extract(u, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    rest = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[\x00-\x20]", "+")
+    host = F.regexp_replace(host, r"[\x00-\x20\x7f]", "+")  # lines of the index end, and fields are split, at such characters
+    rest = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", ""), r"[\x00-\x20\x7f]", "+")
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), rest, F.lit(" "), F.coalesce(F.format_string("%020d", p), F.lit("-")), F.lit(" "), F.substring(d, 1, 32))
 
 
@@ -78,7 +80,10 @@ def plan(pages: DataFrame, least: int = 100, id_col: str = "page_id", url_col: s
     first = (rows.where(F.length("payload") >= least).groupBy("digest").agg(F.min(named).alias("first"), F.count("*").alias("n"))
              .where("n > 1 and first is not null").select("digest", "first"))
     later = (F.col("first.page_id") < F.col("page_id")) | (F.col("first").isNotNull() & F.col("page_id").isNull())
-    return rows.join(first.hint("shuffle_hash"), "digest", "left").select("page_id", "url", "payload", "digest", F.when(later, F.col("first.page_id")).alias("refers_to"),
+    # payloads that many records share are dealt over salts; the other side is a page id and a url a group
+    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    return rows.join(first.hint("shuffle_hash"), ["digest", "salt"], "left").select("page_id", "url", "payload", "digest", F.when(later, F.col("first.page_id")).alias("refers_to"),
                                                      F.when(later, F.col("first.url")).alias("refers_url"))
 
 

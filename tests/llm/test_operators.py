@@ -616,7 +616,7 @@ def test_large_groups_split_exactly(monkeypatch):
     fp = np.unique(np.concatenate([rng.integers(0, 1 << 63, 100, dtype=np.uint64), np.uint64(5) ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))]))
     f = simhash.Forest()
     n = len(fp)
-    simhash.Group(fp, np.arange(n), np.ones(n, dtype=bool), None, 4, 0.0).split(np.arange(n), f)
+    simhash.Group(fp, np.arange(n), np.ones(n, dtype=bool), 4).split(np.arange(n), f)
     assert [f.root(i) for i in range(n)] == brute_components(fp, 4).tolist()
 
 
