@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .scans import MOST, running
+
 from .ledger import is_snapshot
+from .scans import MOST, running
 
 
 def missing(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -109,11 +112,16 @@ def set_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 def best_offset(a: DataFrame, b: DataFrame, hours: list[int]) -> DataFrame:
     """JON-13 and SET-6: overlap of a with b shifted by each of a few hours, most overlap first, ties to the
-    smaller offset; ``best`` is null if nothing overlaps.  The offsets multiply only one side's rows."""
-    shift = F.explode(F.array(*[F.lit(h) for h in hours])).alias("hours")
-    left = a.select(shift, F.col("at_ms"), "op", F.lit(1).alias("x"), F.lit(0).alias("y"))
-    right = b.select(shift, F.col("at_ms"), "op", F.lit(0).alias("x"), F.lit(1).alias("y")).withColumn("at_ms", F.col("at_ms") - F.col("hours") * 3600000)
-    per = left.unionByName(right).groupBy("hours", "at_ms", "op").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    smaller offset; ``best`` is null if nothing overlaps.  Whole hours leave the place in the hour as it is, so rows are dealt
+    by it once and counted there; offsets only multiply counts, inside their task."""
+    side = lambda df, x: df.select("at_ms", "op", F.lit(x).alias("x"), F.lit(1 - x).alias("y"))
+    dealt = side(a, 1).unionByName(side(b, 0)).withColumn("place", F.pmod("at_ms", F.lit(3600000))).repartition("op", "place")
+    counted = dealt.groupBy("op", "place", "at_ms").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    none = F.lit(0).cast("long")
+    moved = [F.struct(F.lit(h).alias("hours"), at.alias("at"), x.alias("x"), y.alias("y"))
+             for h in hours for at, x, y in ((F.col("at_ms"), F.col("x"), none), (F.col("at_ms") - h * 3600000, none, F.col("y")))]
+    spread = counted.select("op", "place", F.explode(F.array(*moved)).alias("m")).where("m.x + m.y > 0").select("op", "place", "m.*")
+    per = spread.groupBy("op", "place", "hours", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
     got = per.groupBy("hours").agg(F.sum(F.least("x", "y")).alias("overlap"))
     first = F.max(F.struct("overlap", -F.col("hours"))).over(Window.partitionBy(F.lit(0)))  # one row an offset
     return got.select("hours", "overlap", ((F.col("overlap") > 0) & (F.struct("overlap", -F.col("hours")) == first)).alias("best"))
@@ -166,15 +174,12 @@ def replay_check(raw: DataFrame, content: list[str]) -> DataFrame:
     return per.agg(F.sum("n").alias("raw_rows"), F.count("*").alias("distinct_ids"), F.sum(F.when(same, more).otherwise(0)).alias("identical_repeats"), F.sum(F.when(same, 0).otherwise(more)).alias("divergent_repeats"))
 
 
-def before_image_mismatch(events: DataFrame, ranks: DataFrame) -> DataFrame:
-    """WIN-9: before-images that differ from the state just before, and deletes of absent keys.
-    events: k, receiver, sequence, operation, before_value, after_value."""
-    ranked = events.join(F.broadcast(ranks.select("receiver", "receiver_rank")), "receiver", "left")
-    w = Window.partitionBy("k").orderBy(F.coalesce("receiver_rank", F.lit(-1)), "sequence")
-    past = w.rowsBetween(Window.unboundedPreceding, -1)
+def before_image_mismatch(events: DataFrame, ranks: DataFrame, most: int = MOST) -> DataFrame:
+    """WIN-9: before-images that differ from the state just before, and deletes of absent keys; a key of more than ``most``
+    events is scanned in ranges.  events: k, receiver, sequence, operation, before_value, after_value."""
+    ranked = events.join(F.broadcast(ranks.select("receiver", F.col("receiver_rank").alias("__r"))), "receiver", "left").withColumn("__r", F.coalesce("__r", F.lit(-1)))
     post = F.when(F.col("operation") == "d", F.struct(F.lit(False).alias("there"), F.lit(None).cast("long").alias("v"))).otherwise(F.struct(F.lit(True).alias("there"), F.col("after_value").alias("v")))
-    before = F.last(F.when(F.col("operation") != "u_before", post), ignorenulls=True).over(past)
-    seen = ranked.withColumn("__b", before)
+    seen = running(ranked, ["k"], ["__r", "sequence"], last={"__b": F.when(F.col("operation") != "u_before", post)}, most=most)
     there = F.coalesce(F.col("__b.there"), F.lit(False))
     why = (F.when(F.col("operation").isin("d") & ~there, "delete_of_absent_key")
            .when(F.col("operation").isin("d", "u", "u_before") & there & F.col("before_value").isNotNull() & ~F.col("before_value").eqNullSafe(F.col("__b.v")), "before_image_differs"))

@@ -103,24 +103,31 @@ def replay_incremental(ledger: DataFrame, mirror: DataFrame, watermark) -> DataF
     return mirror.join(keys, "k", "left_anti").unionByName(won)
 
 
-#: A key's winning operation, deletes included: all that later events are compared with.
+#: An operation with all that operations are compared by, deletes included.
 STATE = "k long, kind string, cents long, event_type string, event_id string, receiver string, sequence long, commit_ts timestamp_ntz, source_file string"
 STATE_COLUMNS = [c.split()[0] for c in STATE.split(", ")]
 
 
-def advance(state: DataFrame, events: DataFrame, ranks: DataFrame) -> DataFrame:
-    """REP-2 on stored winners (``STATE``, as ``latest_operation`` gives them): the winners of the keys in state and events after
-    these events.  A winner is a maximum, so a key's stored winner stands for its whole history, which is not read;
-    this holds as long as the receivers keep their order (``same_order``)."""
-    return latest_operation(state.unionByName(operations(events).select(*STATE_COLUMNS)), ranks).select(*STATE_COLUMNS)
+def advance(state: DataFrame, events: DataFrame) -> DataFrame:
+    """REP-2 on stored winners (``STATE``, one row a key and receiver): the winners of the keys in state and events after these
+    events.  Inside one receiver order is fixed for good, so a stored winner stands for all its key's events there, which
+    are not read, and nothing is made anew when the receivers turn out to stand in another order: ``resolve`` settles that."""
+    rows = state.unionByName(operations(events).select(*STATE_COLUMNS))
+    return _best(rows, ["k", "receiver"], [F.col("sequence"), F.col("kind") == "upsert", F.col("commit_ts"), F.col("event_id"), F.col("source_file")]).select(*STATE_COLUMNS)
 
 
-def same_order(before: DataFrame, after: DataFrame) -> bool:
-    """Whether receivers known before stand in the same order after; one row a receiver."""
-    held = {r.receiver: r.receiver_rank for r in before.collect()}
-    now = {r.receiver: r.receiver_rank for r in after.collect()}
-    order = sorted(held, key=lambda r: (held[r], r))
-    return all(r in now for r in held) and all((held[a] < held[b]) == (now[a] < now[b]) and (held[a] == held[b]) == (now[a] == now[b]) for a, b in zip(order, order[1:]))
+def resolve(state: DataFrame, ranks: DataFrame) -> DataFrame:
+    """The winner of every key among its winners by receiver."""
+    return latest_operation(state, ranks).select(*STATE_COLUMNS)
+
+
+def winners_by_receiver(events: DataFrame) -> DataFrame:
+    """The streaming form of ``advance``: per key and receiver the winning operation (``won``), and, under a null key, per
+    receiver the first commit (``first_ts``).  Partial aggregation sends one row a task for a hot key or receiver."""
+    ops = operations(events).select(*STATE_COLUMNS)
+    seen = events.select(*[F.col(c) if c in events.columns else F.lit(None).cast(t).alias(c) for c, t in (f.split() for f in STATE.split(", "))])
+    won = F.struct("sequence", (F.col("kind") == "upsert").alias("up"), "commit_ts", "event_id", "source_file", "kind", "cents", "event_type")
+    return ops.unionByName(seen).groupBy("k", "receiver").agg(F.max(won).alias("won"), F.min("commit_ts").alias("first_ts"))
 
 
 def project_events(ledger: DataFrame, images: dict[str, tuple[str, str]] | None = None) -> DataFrame:

@@ -3,11 +3,14 @@ never becomes a number."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .ledger import is_snapshot
+from .scans import MOST, running
 
 
 def raw_coverage(raw: DataFrame) -> DataFrame:
@@ -145,11 +148,14 @@ def cluster_allocation(allocations: DataFrame, namespace: str) -> DataFrame:
     return a.select("day", F.when(ok, F.col("own")).alias("namespace_cost"), F.when(ok, F.col("cluster")).alias("cluster_cost"), F.when(ok, F.col("idle")).alias("idle_cost"))
 
 
-def _counted(values: DataFrame, by: list[str], col: str) -> DataFrame:
-    """by, value, c (rows of that value), upto (rows up to it) and n (all rows): what percentiles need, one row a value."""
+def _counted(values: DataFrame, by: list[str], col: str, most: int = MOST) -> DataFrame:
+    """by, value, c (rows of that value), upto (rows up to it) and n (all rows): what percentiles need, one row a value.  A group
+    of more than ``most`` different values is ranked in ranges, not in one task."""
     per = values.where(F.col(col).isNotNull()).groupBy(*by, F.col(col).alias("value")).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by)
-    return per.withColumns({"upto": F.sum("c").over(w.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)), "n": F.sum("c").over(w)})
+    size = [F.col(b).alias(f"__{b}") for b in by]
+    n = values.where(F.col(col).isNotNull()).groupBy(*size).agg(F.count("*").alias("n"))
+    same = reduce(lambda x, y: x & y, [F.col(b).eqNullSafe(F.col(f"__{b}")) for b in by])
+    return running(per, by, ["value"], total={"upto": F.col("c")}, most=most).join(n, same).drop(*[f"__{b}" for b in by])
 
 
 def _at(index: Column) -> Column:
@@ -157,27 +163,30 @@ def _at(index: Column) -> Column:
     return F.min(F.when(F.col("upto") > index, F.col("value")))
 
 
-def compare_runs(samples: DataFrame) -> DataFrame:
+def _linear(p: float) -> Column:
+    """The percentile between the two rows about its place."""
+    place = F.lit(p) * (F.col("n") - 1)
+    low = F.floor(place)
+    return (_at(low) + (_at(F.ceil(place)) - _at(low)) * F.max(place - low)).cast("double")
+
+
+def compare_runs(samples: DataFrame, most: int = MOST) -> DataFrame:
     """AGG-14: per solution totals, linear percentiles (over counts by value), rates and cost per million samples; comparable
     only if all samples have one scope and one fingerprint, whatever the solution."""
     a = samples.groupBy("solution").agg(F.count("*").alias("samples"), F.sum("bytes").alias("bytes"), F.sum("elapsed_ms").alias("elapsed_ms"), F.max("lag").alias("most_lag"), F.sum("cost_cents").alias("cost_cents"))
     one = samples.agg((F.count_distinct("scope") == 1).alias("one_scope"), (F.count_distinct("fingerprint") == 1).alias("one_fingerprint"))
-    quantiles = []
-    for p in (0.5, 0.95, 0.99):
-        place = F.lit(p) * (F.col("n") - 1)
-        low = F.floor(place)
-        quantiles.append((_at(low) + (_at(F.ceil(place)) - _at(low)) * F.max(place - low)).cast("double").alias(f"p{int(p * 100)}"))
-    x = a.join(_counted(samples, ["solution"], "elapsed_ms").groupBy("solution").agg(*quantiles), "solution", "left").crossJoin(one)  # one row
+    quantiles = [_linear(p).alias(f"p{int(p * 100)}") for p in (0.5, 0.95, 0.99)]
+    x = a.join(_counted(samples, ["solution"], "elapsed_ms", most).groupBy("solution").agg(*quantiles), "solution", "left").crossJoin(one)  # one row
     per_s = lambda c: F.when(F.col("elapsed_ms") > 0, F.floor(F.col(c) * 1000 / F.col("elapsed_ms")))
     return x.select("solution", "samples", "bytes", "elapsed_ms", "p50", "p95", "p99", "most_lag", per_s("samples").alias("samples_per_s"), per_s("bytes").alias("bytes_per_s"),
                     F.floor(F.col("cost_cents") * 1000000 / F.col("samples")).alias("cents_per_million"), (F.col("one_scope") & F.col("one_fingerprint")).alias("comparable"))
 
 
-def latency_summary(values: DataFrame, by: list[str], col: str) -> DataFrame:
+def latency_summary(values: DataFrame, by: list[str], col: str, most: int = MOST) -> DataFrame:
     """AGG-15: count, nearest-rank p50 and p95 at the half-even index, most, and mean with six digits.  Rows are counted by
     value first, so a group is as many rows as it has different values."""
     at = lambda p: _at(F.bround(F.lit(p) * (F.col("n") - 1), 0))
-    return _counted(values, by, col).groupBy(*by).agg(F.sum("c").alias("rows"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"),
+    return _counted(values, by, col, most).groupBy(*by).agg(F.sum("c").alias("rows"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max("value").alias("most"),
                                                       F.round(F.sum(F.col("value") * F.col("c")) / F.sum("c"), 6).alias("mean")).withColumnRenamed("rows", "n")
 
 
@@ -279,7 +288,7 @@ def stage_failures(cycles: DataFrame) -> DataFrame:
 STAGES = ("discover", "snapshot", "split", "history", "mirror", "checkpoint", "lag")
 
 
-def stage_durations(cycles: DataFrame) -> DataFrame:
+def stage_durations(cycles: DataFrame, most: int = MOST) -> DataFrame:
     """AGG-28: per loader stage the cycles that report it and percentiles of its time; cycles whose stages sum
     to more than the cycle (and a microsecond) are left out, an absent stage is not 0.
     cycles: line (JSON: cycle_ms, stages_ms)."""
@@ -288,7 +297,7 @@ def stage_durations(cycles: DataFrame) -> DataFrame:
     total = F.aggregate(F.map_values("stages_ms"), F.lit(0.0), lambda a, x: a + x)
     valid = c.where(total <= F.col("cycle_ms") + 0.001)
     rows = valid.select(F.explode(F.array(*[F.struct(F.lit(s).alias("stage"), F.col("stages_ms")[s].alias("ms")) for s in STAGES])).alias("s")).select("s.*").where("ms is not null")
-    return rows.groupBy("stage").agg(F.count("*").alias("cycles"), F.percentile("ms", 0.5).alias("p50_ms"), F.percentile("ms", 0.95).alias("p95_ms"), F.max("ms").alias("most_ms"))
+    return _counted(rows, ["stage"], "ms", most).groupBy("stage").agg(F.sum("c").alias("cycles"), _linear(0.5).alias("p50_ms"), _linear(0.95).alias("p95_ms"), F.max("value").alias("most_ms"))
 
 
 def known_sum(df: DataFrame, by: list[str], col: str) -> DataFrame:

@@ -86,8 +86,8 @@ def _(spark, sf_dir):
     led = ledger(spark, sf_dir)
     past = F.col("ingested_at") > F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     ranks = L.receiver_ranks(led)
-    before = L.latest_operation(L.operations(led.where(~past)), ranks).select(*L.STATE_COLUMNS)
-    return L.advance(before, led.where(past), ranks).where("kind = 'upsert'").select("k", "cents", "event_id", "sequence")
+    before = L.advance(spark.createDataFrame([], L.STATE), led.where(~past))
+    return L.resolve(L.advance(before, led.where(past)), ranks).where("kind = 'upsert'").select("k", "cents", "event_id", "sequence")
 
 
 @query("rep_2_replay_by_history", "SELECT k, cents, event_id, sequence FROM mirror")
@@ -109,6 +109,18 @@ def _(spark, sf_dir):
     return r.run(led).select("k", "cents", "event_id", "sequence")
 
 
+@query("rep_2_receiver_order_changes", "SELECT k, cents, event_id, sequence FROM mirror")
+def _(spark, sf_dir):
+    """The earliest receiver comes after the others, and its first events last of all: stored winners are ranked anew, not replayed."""
+    led = ledger(spark, sf_dir)
+    r = IncrementalReplay(spark, W.scratch(spark, "order"))
+    late = (F.col("receiver") == "JRN9") & (F.col("sequence") <= 3)
+    r.run(led.where(~late & (F.col("receiver") != "JRN9")))
+    r.run(led.where(~late).withColumn("ingested_at", F.when(F.col("receiver") == "JRN9", F.col("ingested_at") + F.expr("INTERVAL 100 DAYS")).otherwise(F.col("ingested_at"))))
+    return r.run(led.withColumn("ingested_at", F.when(late, F.col("ingested_at") + F.expr("INTERVAL 200 DAYS")).when(
+        F.col("receiver") == "JRN9", F.col("ingested_at") + F.expr("INTERVAL 100 DAYS")).otherwise(F.col("ingested_at")))).select("k", "cents", "event_id", "sequence")
+
+
 @query("rep_3_idempotence", """SELECT count(*) AS raw_rows, count(DISTINCT event_id) AS distinct_ids, count(DISTINCT event_id) AS ledger_rows, 0::BIGINT AS inserted_again, true AS stable FROM raw_events""")
 def _(spark, sf_dir):
     raw = X.raw_events(spark, sf_dir)

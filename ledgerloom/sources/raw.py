@@ -9,7 +9,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -46,21 +46,51 @@ def line(columns: list[str]) -> Column:
     return F.to_json(F.struct(*columns), {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
 
 
-def write_raw_batches(events: DataFrame, out: str, size: int = 500) -> None:
+def _refusal(c: dict[str, Column]) -> Column:
+    """Why no batch may hold an event, if so."""
+    empty = lambda x: x.isNull() | (F.trim(x) == "")
+    return (F.when(empty(c["event_id"]), "no_id").when(empty(c["receiver"]), "no_receiver").when(c["sequence"].isNull(), "no_position").when(c["sequence"] < 0, "negative_position"))
+
+
+def write_raw_batches(events: DataFrame, out: str, size: int = 500) -> int:
     """SRC-9: events once each, in position order, as one payload file per (table, receiver, batch), and then the
-    manifests.  A batch is one task's file, so it is in order; empty batches do not exist."""
-    once = events.dropDuplicates(["event_id"])
-    keyed = once.select("*", line([c for c in events.columns if c != "table_name"]).alias("value"), batch_of(size).alias("batch"))
+    manifests; gives the number of events.  A batch is one task's file, so it is in order; empty batches do not exist.
+
+    Checks are part of the pass that writes: an event without id, receiver or position, an id at several positions or with
+    several contents, or no event at all, is an error, and then there are no manifests.  Only whole copies are dropped.
+    Manifests are read off the files, one file a row, so they say what storage holds; both passes count, and must agree."""
+    content = [c for c in events.columns if c not in ("table_name", "attempt", "ingested_at", "source_file")]
+    rest = [c for c in events.columns if c != "event_id"]
+    digest, place = F.xxhash64(F.to_json(F.struct(*content), {"ignoreNullFields": "false"})), F.struct("receiver", "sequence")
+    first = [F.col("ingested_at"), F.col("source_file")] if "ingested_at" in events.columns else []
+    packed = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(first)], *[F.col(c).alias(f"v{i}") for i, c in enumerate(rest)])
+    once = events.groupBy("event_id").agg(F.min(packed).alias("row"), F.min(place).alias("p"), F.max(place).alias("q"), F.min(digest).alias("a"), F.max(digest).alias("b"))
+    c = {"event_id": F.col("event_id")} | {x: F.col(f"row.v{i}") for i, x in enumerate(rest)}
+    why = F.coalesce(_refusal(c), F.when(F.col("p") != F.col("q"), "several_positions").when(F.col("a") != F.col("b"), "several_contents"))
+    checked = once.select(*[c[x].alias(x) for x in events.columns], why.alias("__why"))
+    text = F.when(F.col("__why").isNull(), line([x for x in events.columns if x != "table_name"])).otherwise(
+        F.raise_error(F.concat(F.lit("refused "), F.coalesce("event_id", F.lit("null")), F.lit(": "), F.col("__why"))))
     parts = ["table_name", "receiver_dir", "batch"]
-    dealt = keyed.withColumn("receiver_dir", F.regexp_replace("receiver", "[^A-Za-z0-9]", "_"))
+    dealt = checked.select("table_name", F.regexp_replace("receiver", "[^A-Za-z0-9]", "_").alias("receiver_dir"), batch_of(size).alias("batch"), "sequence", "event_id", text.alias("value"))
+    written = Observation()  # in the stage that writes, whose tasks count once each even if they run again
     rows = dealt.repartition(*parts).sortWithinPartitions(*parts, "sequence", "event_id")
-    rows.select("value", *parts).write.partitionBy(*parts).text(f"{out}/payload")
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("sequence", "event_id"))), lambda x: x["event_id"])
-    text = F.concat(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sequence", "event_id", "value"))), lambda x: x["value"]), "\n"), F.lit("\n"))
-    manifest = dealt.groupBy(*parts, "receiver").agg(
-        F.count("*").alias("event_count"), ids.alias("event_ids"), F.max("sequence").alias("last"), F.sha2(text, 256).alias("payload_sha256"))
-    manifest.select(F.concat_ws("/", *parts).alias("batch_id"), F.lit(FORMAT).alias("format_version"), "event_count", "event_ids", F.struct("receiver", F.col("last").alias("sequence")).alias("high_watermark"),
-                    "payload_sha256").write.json(f"{out}/manifest")
+    rows.select("value", *parts).observe(written, F.count("value").alias("n")).write.partitionBy(*parts).text(f"{out}/payload")
+    if not written.get["n"]:
+        raise ValueError("no event to write")
+    spark = events.sparkSession
+    held = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(f"{out}/payload")
+    lines = F.filter(F.split(F.col("content").cast("string"), "\n"), lambda x: x != "")
+    read = held.select(*[F.lpad(F.col(p).cast("string"), 6, "0").alias(p) if p == "batch" else F.col(p).cast("string").alias(p) for p in parts], F.sha2("content", 256).alias("payload_sha256"),
+                       F.transform(lines, lambda x: F.from_json(x, "event_id string, receiver string, sequence long")).alias("e"))
+    manifest = read.select(F.concat_ws("/", *parts).alias("batch_id"), F.lit(FORMAT).alias("format_version"), F.size("e").cast("long").alias("event_count"), F.col("e.event_id").alias("event_ids"),
+                           F.element_at("e", -1).dropFields("event_id").alias("high_watermark"), "payload_sha256")
+    # held back until both counts agree: a manifest says that its batch is whole
+    manifest = cut(manifest)
+    there = manifest.agg(F.sum("event_count")).first()[0]
+    if there != written.get["n"]:
+        raise ValueError(f"{written.get['n']} events went out, {there} are there")
+    manifest.write.json(f"{out}/manifest")
+    return int(written.get["n"])
 
 
 def refused_events(events: DataFrame) -> DataFrame:
@@ -68,8 +98,7 @@ def refused_events(events: DataFrame) -> DataFrame:
     than one position.  event_id, receiver, sequence, reason."""
     several = events.groupBy("event_id").agg(F.count_distinct("receiver", "sequence").alias("__places"))
     x = events.select("event_id", "receiver", "sequence").join(several, "event_id", "left")
-    empty = lambda c: F.col(c).isNull() | (F.trim(c) == "")
-    why = (F.when(empty("event_id"), "no_id").when(empty("receiver"), "no_receiver").when(F.col("sequence").isNull(), "no_position").when(F.col("sequence") < 0, "negative_position").when(F.col("__places") > 1, "several_positions"))
+    why = F.coalesce(_refusal({c: F.col(c) for c in ("event_id", "receiver", "sequence")}), F.when(F.col("__places") > 1, "several_positions"))
     return x.withColumn("reason", why).where("reason is not null").select("event_id", "receiver", "sequence", "reason").distinct()
 
 

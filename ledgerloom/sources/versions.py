@@ -24,6 +24,9 @@ class _Folder:
     def _finished(self) -> list[str]:
         return [n for n in self._names() if self._fs.exists(self._join(f"{self.path}/{n}/_SUCCESS"))]
 
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._join(path))
+
     def _empty(self) -> DataFrame:
         return self.spark.createDataFrame([], self.schema)
 
@@ -67,19 +70,11 @@ class BucketTable(_Folder):
 
 
 class BatchedTable(_Folder):
-    """Append-only rows by batch: a batch that runs again replaces its own folder and sees all others.  ``cell``, a column
-    expression, deals rows over folders, so that reads may name the cells they need."""
-
-    def __init__(self, spark: SparkSession, path: str, schema: str, cell: Column | None = None) -> None:
-        super().__init__(spark, path, schema)
-        self.cell = F.lit("all") if cell is None else cell
+    """Append-only rows by batch: a batch that runs again replaces its own folder and sees all others."""
 
-    def read(self, without: int | None = None, cells: list[str] | None = None) -> DataFrame:
+    def read(self, without: int | None = None) -> DataFrame:
         paths = [f"{self.path}/{n}" for n in self._finished() if n.startswith("batch=") and n != f"batch={without}"]
-        if not paths:
-            return self._empty()
-        rows = self.spark.read.schema(f"{self.schema}, batch long, cell string").option("basePath", self.path).parquet(*paths)
-        return (rows if cells is None else rows.where(F.col("cell").isin(cells))).drop("batch", "cell")
+        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self._empty()
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        rows.withColumn("cell", self.cell).write.mode("overwrite").partitionBy("cell").parquet(f"{self.path}/batch={batch}")
+        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")

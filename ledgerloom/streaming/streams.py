@@ -1,6 +1,7 @@
 """Structured Streaming over raw files, receipts, samples and checks.
 
-Everything is idempotent by batch id: a batch that runs again after a crash replaces what it wrote.
+State lives in Spark's own state store (RocksDB with changelog checkpoints), so a micro-batch reads and writes the keys it
+holds and no others, and a batch that runs again after a crash leaves the same state.
 """
 
 from __future__ import annotations
@@ -8,9 +9,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..operators import ledger as L
@@ -18,6 +19,22 @@ from ..sources.raw import EVENT, typed_events
 from ..sources.versions import BatchedTable, BucketTable
 
 MIRROR = "k long, cents long, event_type string, event_id string, receiver string, sequence long, commit_ts timestamp_ntz"
+#: What makes two events with one id the same event
+CONTENT = ("receiver", "sequence", "operation", "before_key", "after_key", "cents", "event_type")
+EVENT_COLUMNS = [f.split()[0] for f in EVENT.split(", ")]
+JUDGED = f"{EVENT}, verdict string"
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def _named(schema: str) -> Row:
+    """Makes rows of a schema from their values."""
+    return Row(*[f.split()[0] for f in schema.split(", ")])
+
+
+def rocksdb(spark: SparkSession) -> None:
+    """Streams of this session keep their state in RocksDB and checkpoint its changes only."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
 def lines(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
@@ -36,86 +53,190 @@ def dedupe_within(events: DataFrame, horizon: str = "3 days") -> DataFrame:
     return events.withColumn("__t", F.col("ingested_at").cast("timestamp")).withWatermark("__t", horizon).dropDuplicatesWithinWatermark(["event_id"]).drop("__t")
 
 
-class Mirror(BucketTable):
-    """The current state: a key's winning operation, deletes included, by bucket of the key."""
+class Judge(StatefulProcessor):
+    """STR-6: by event id, the content that the id first came with; with a horizon it is forgotten once event time has passed
+    the id's last event by that much."""
+
+    def __init__(self, horizon_ms: int | None = None) -> None:
+        self.horizon_ms = horizon_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.content = handle.getValueState("content", "digest string, due long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, row = self.content.get(), _named(JUDGED)
+        digest, due = tuple(held) if held else (None, None)
+        newest = 0
+        for r in sorted(rows, key=lambda r: (r.ingested_at, r.source_file, r.digest)):
+            newest = max(newest, r.at_ms)
+            if digest is None:
+                digest = r.digest
+                yield row(*[r[f] for f in EVENT_COLUMNS], "fenced" if r.fenced else "accepted")
+            elif r.digest != digest:
+                yield row(*[r[f] for f in EVENT_COLUMNS], "refused")
+        if self.horizon_ms is None:
+            if held is None:
+                self.content.update((digest, None))
+        elif due is None or newest + self.horizon_ms > due:
+            if due is not None:
+                self.handle.deleteTimer(due)
+            due = newest + self.horizon_ms
+            self.handle.registerTimer(due)
+            self.content.update((digest, due))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        self.content.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def judged(events: DataFrame, horizon_s: int | None = None, run: str | None = None, boundary: tuple[str, int] | None = None) -> DataFrame:
+    """STR-2 and STR-6: of each id its first event, accepted, or fenced if it is of another snapshot than ``run`` or lies at or
+    before that one's boundary; and every event that comes with another content, refused.  Replays are dropped.  State: an
+    id and a digest, for good or, with a horizon, as long as ingestion time has not passed them by it; then events that were
+    ingested longer than that before the newest are not looked at."""
+    digest = F.sha2(F.to_json(F.struct(*CONTENT), {"ignoreNullFields": "false"}), 256)
+    fenced = F.lit(False) if run is None else L.is_snapshot() & (F.col("receiver") != f"{L.SNAPSHOT}{run}")
+    if boundary is not None:
+        fenced = fenced | ((F.col("receiver") == boundary[0]) & (F.col("sequence") <= boundary[1]))
+    at = F.col("ingested_at").cast("timestamp")
+    rows = events.withColumns({"digest": digest, "fenced": F.coalesce(fenced, F.lit(False)), "at_ms": F.unix_millis(at), "at": at})
+    rows = rows.drop("at") if horizon_s is None else rows.withWatermark("at", f"{horizon_s} seconds")
+    return rows.groupBy("event_id").transformWithState(Judge(None if horizon_s is None else horizon_s * 1000), JUDGED, "Append", "None" if horizon_s is None else "EventTime")
 
-    def __init__(self, spark: SparkSession, path: str) -> None:
-        super().__init__(spark, path, L.STATE, "k")
-
-    def read(self) -> DataFrame:
-        return self.rows().where("kind = 'upsert'").select(*[c.split()[0] for c in MIRROR.split(", ")])
 
+class LedgerStream:
+    """STR-2 to STR-6 and STR-10.  ``run`` is two streams, one after the other, each with its own checkpoint: raw lines are
+    judged and added to history, batch by batch; then history's accepted events advance the mirror.  If the second dies,
+    the next run goes on where it stopped, so history is never ahead for good.
+
+    The mirror is the second stream's state: per key and receiver the winning operation.  A batch touches the state of its
+    own keys; late files and replays need no special way, as a winner is a maximum; and an order of receivers that turns
+    out another way changes no state, as keys are resolved over their receivers when the mirror is read.
+
+    A snapshot opens an epoch.  Rows of older epochs stay in history and never win: each epoch has a folder of history and a
+    mirror of its own, which starts with the snapshot's rows.  Journal events that come later count if they lie past the
+    boundary; what receivers are known, and since when, is carried over.  The epoch is open once its record is written, after
+    its rows, so a snapshot that dies before is simply taken again, and its mirror advances with the next run otherwise."""
+
+    def __init__(self, spark: SparkSession, folder: str, horizon_s: int | None = None) -> None:
+        self.spark, self.folder, self.horizon_s = spark, folder.rstrip("/"), horizon_s
+        self.epochs = BatchedTable(spark, f"{self.folder}/epochs", "epoch long, run string, receiver string, sequence long")
+        self.carried = BatchedTable(spark, f"{self.folder}/carried", "receiver string, commit_ts timestamp_ntz, epoch long")
+        self.last: list = []  # progress of the mirror's batches in this session, for reports
+
+    def epoch(self) -> tuple[int, str | None, tuple[str, int] | None]:
+        """The open epoch, its snapshot's run and its boundary."""
+        now = self.epochs.read().agg(F.max(F.struct("epoch", "run", "receiver", "sequence")).alias("e")).first().e
+        return (now.epoch, now.run, None if now.receiver is None else (now.receiver, now.sequence)) if now else (0, None, None)
+
+    def _rows(self, epoch: int) -> BatchedTable:
+        return BatchedTable(self.spark, f"{self.folder}/history/epoch={epoch}", JUDGED)
+
+    def judgements(self) -> DataFrame:
+        """All events that ever came, but for replays, with their epoch and verdict."""
+        parts = [self._rows(e).read().withColumn("epoch", F.lit(e).cast("long")) for e in range(self.epoch()[0] + 1)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+
+    def history(self) -> DataFrame:
+        """Accepted and fenced events, each once."""
+        return L.dedupe_first(self.judgements().where("verdict <> 'refused'").drop("verdict", "epoch"))
+
+    def rejects(self) -> DataFrame:
+        return self.judgements().where("verdict = 'refused'")
 
-def place(width: int = 1_000_000) -> Column:
-    """The cell of history that a position falls in: an id follows from its position, so copies share a cell."""
-    return F.concat(F.regexp_replace("receiver", "[^A-Za-z0-9]", "_"), F.lit("-"), F.floor(F.col("sequence") / width).cast("string"))
+    def run(self, path: str, files: int = 8) -> None:
+        """Reads all files there are in micro-batches, and returns."""
+        rocksdb(self.spark)
+        number, snapshot, boundary = self.epoch()
+        stream = judged(typed_events(lines(self.spark, path, files)), self.horizon_s, snapshot, boundary)
+        out = self._rows(number)
+        q = stream.writeStream.foreachBatch(out.write).outputMode("append").option("checkpointLocation", f"{self.folder}/judge").trigger(availableNow=True).start()
+        q.awaitTermination()
+        self._advance(number, files)
+
+    def _advance(self, epoch: int, files: int = 8) -> None:
+        rows = self._rows(epoch)
+        if not rows.read().limit(1).count():
+            return
+        live = self.spark.readStream.schema(JUDGED).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 8 * files).parquet(rows.path)
+        won = L.winners_by_receiver(live.where("verdict = 'accepted'").drop("verdict"))
+        q = won.writeStream.outputMode("update").format("noop").option("checkpointLocation", f"{self.folder}/mirror-{epoch}").trigger(availableNow=True).start()
+        q.awaitTermination()
+        self.last = q.recentProgress
+
+    def _state(self, epoch: int) -> DataFrame:
+        """k, receiver, won, first_ts as the state store holds them."""
+        state = self.spark.read.format("statestore").load(f"{self.folder}/mirror-{epoch}")
+        won, first = (f"value.`{f.name}`" for f in state.schema["value"].dataType.fields)
+        key = [f"key.`{f.name}`" for f in state.schema["key"].dataType.fields]
+        return state.select(F.col(key[0]).alias("k"), F.col(key[1]).alias("receiver"), F.col(won).alias("won"), F.col(first).alias("first_ts"))
+
+    def _started(self, epoch: int) -> bool:
+        return self.epochs.exists(f"{self.folder}/mirror-{epoch}/state")
+
+    def winners(self) -> DataFrame:
+        """``STATE`` of the open epoch, one row a key and receiver."""
+        epoch = self.epoch()[0]
+        if not self._started(epoch):
+            return self.spark.createDataFrame([], L.STATE)
+        s = self._state(epoch).where("k is not null").select("k", "receiver", "won.*")
+        return s.select(*L.STATE_COLUMNS)
+
+    def receivers(self) -> DataFrame:
+        """receiver, commit_ts: the first commit known of each; one row a receiver and epoch."""
+        epoch = self.epoch()[0]
+        known = self.carried.read().where(F.col("epoch") == epoch).drop("epoch")
+        if self._started(epoch):
+            known = known.unionByName(self._state(epoch).where("k is null").select("receiver", F.col("first_ts").alias("commit_ts")))
+        return known
+
+    def mirror(self) -> DataFrame:
+        won = L.resolve(self.winners(), L.receiver_ranks(self.receivers()))
+        return won.where("kind = 'upsert'").select(*[c.split()[0] for c in MIRROR.split(", ")])
+
+    def snapshot(self, events: DataFrame, run: str, boundary: tuple[str, int] | None = None) -> int:
+        """STR-5: a snapshot run opens the next epoch, and its rows are the mirror that the epoch starts with."""
+        rocksdb(self.spark)
+        number = self.epoch()[0] + 1
+        s = events.where(F.col("receiver") == f"{L.SNAPSHOT}{run}").withColumn("verdict", F.lit("accepted"))
+        self.carried.write(self.receivers().withColumn("epoch", F.lit(number).cast("long")), number)
+        self._rows(number).write(s.select(*[f.split()[0] for f in JUDGED.split(", ")]), -1)
+        self.epochs.write(self.spark.createDataFrame([(number, run, *(boundary or (None, None)))], self.epochs.schema), number)
+        self._advance(number)
+        return number
 
+    def positions(self) -> DataFrame:
+        """STR-10: last committed position of each table, for reporting; resuming is the checkpoint's matter."""
+        return positions(self.history())
 
-class LedgerStream:
-    """STR-2 to STR-6 and STR-10 in one ``foreachBatch``: conflicts, history, then mirror, then positions.  A batch reads
-    the cells of history that its positions fall in, and reads and rewrites the buckets of the mirror that its keys fall in;
-    only if it changes the receivers' order is the mirror made anew from all of history."""
 
-    def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder = spark, folder
-        self.history = BatchedTable(spark, f"{folder}/history", EVENT, place())
-        self.rejects = BatchedTable(spark, f"{folder}/rejects", "event_id string, copies long")
-        self.receivers = BatchedTable(spark, f"{folder}/receivers", "receiver string, commit_ts timestamp_ntz")
-        self.mirror = Mirror(spark, f"{folder}/mirror")
-        self.boundary: tuple[str, int] | None = None
-
-    def apply(self, batch: DataFrame, number: int) -> None:
-        """One batch: its events that history lacks, and the mirror of the keys it touches.  The
-        mirror is made again even if history already holds the rows, so a crash between the two heals."""
-        if self.boundary is not None:
-            receiver, sequence = self.boundary
-            batch = batch.where((F.col("receiver") != receiver) | (F.col("sequence") > sequence))
-        batch = batch.persist()  # read several times below
-        cells = [r.cell for r in batch.select(place().alias("cell")).distinct().collect()]  # as many as a batch spans
-        known = self.history.read(without=number, cells=cells)
-        content = ["receiver", "sequence", "operation", "before_key", "after_key", "cents", "event_type"]
-        ids = batch.select("event_id").distinct()
-        self.rejects.write(L.conflicts(known.join(ids, "event_id", "left_semi").unionByName(batch), content), number)
-        good = batch.join(self.rejects.read().select("event_id").distinct(), "event_id", "left_anti")
-        self.history.write(L.append_history(good, known).select(*known.columns), number)
-        ranks = L.receiver_ranks(self.receivers.read(without=number))
-        self.receivers.write(good.groupBy("receiver").agg(F.min("commit_ts").alias("commit_ts")), number)
-        now = L.receiver_ranks(self.receivers.read())
-        if L.same_order(ranks, now):
-            touched = L.touched_keys(good).select(self.mirror.bucket().alias("b")).distinct().collect()  # at most the buckets
-            stored = self.mirror.rows(only={r.b for r in touched}, before=number + 1)
-            self.mirror.write(L.advance(stored, L.dedupe_first(good), now), number + 1)
-        else:
-            self.mirror.write(L.advance(self.mirror._empty(), self.history.read(), now), number + 1, whole=True)
-        batch.unpersist()
+def positions(history: DataFrame) -> DataFrame:
+    """STR-10: table_name, receiver, sequence of the last event of each table."""
+    ranked = history.join(F.broadcast(L.receiver_ranks(history)), "receiver", "left").withColumn("table_name", F.split("source_file", "/")[1])
+    return ranked.groupBy("table_name").agg(F.max(F.struct(F.coalesce("receiver_rank", F.lit(-1)).alias("r"), "sequence", "receiver")).alias("x")).select("table_name", "x.receiver", "x.sequence")
 
-    def snapshot(self, events: DataFrame, run: str, boundary: tuple[str, int] | None = None) -> None:
-        """STR-5: a snapshot run makes the mirror anew before any journal event; events up to the boundary are
-        inside it already.  History keeps earlier epochs."""
-        s = events.where(F.col("receiver") == f"SNAPSHOT:{run}")
-        self.history.write(s.select(*[f.split()[0] for f in EVENT.split(", ")]), -1)
-        self.mirror.write(L.advance(self.mirror._empty(), s, L.receiver_ranks(self.receivers.read())), 0, whole=True)
-        self.boundary = boundary
 
-    def positions(self) -> DataFrame:
-        """STR-10: last committed position of each table, for reporting; resuming is the checkpoint's matter."""
-        h = self.history.read()
-        ranked = h.join(F.broadcast(L.receiver_ranks(h)), "receiver", "left").withColumn("table_name", F.split("source_file", "/")[1])
-        return ranked.groupBy("table_name").agg(F.max(F.struct(F.coalesce("receiver_rank", F.lit(-1)).alias("r"), "sequence", "receiver")).alias("x")).select("table_name", "x.receiver", "x.sequence")
+class Winners(BucketTable):
+    """Winning operations by key and receiver, in buckets of the key."""
 
-    def run(self, path: str, files: int = 8) -> None:
-        """Reads all files there are in micro-batches, and returns."""
-        stream = typed_events(lines(self.spark, path, files))
-        q = stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", f"{self.folder}/checkpoint").trigger(availableNow=True).start()
-        q.awaitTermination()
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        super().__init__(spark, path, L.STATE, "k")
 
 
 class IncrementalReplay:
     """REP-2 with its state: winners by bucket of the key, and the ingestion-time watermark that the last finished run left.
-    The watermark is written last, so a run that dies is simply run again."""
+    The watermark is written last, so a run that dies is simply run again.  Winners are kept by receiver: when receivers
+    turn out to stand in another order, only what is read changes, and no key is replayed."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.winners = Mirror(spark, f"{folder}/winners")
+        self.winners = Winners(spark, f"{folder}/winners")
         self.marks = BatchedTable(spark, f"{folder}/marks", "run long, ingested_at timestamp_ntz")
         self.receivers = BatchedTable(spark, f"{folder}/receivers", "receiver string, commit_ts timestamp_ntz")
 
@@ -130,17 +251,13 @@ class IncrementalReplay:
         changed = (ledger if mark is None else ledger.where(F.col("ingested_at") > F.lit(mark))).persist()
         high = changed.agg(F.max("ingested_at")).first()[0]
         if high is not None:
-            before = L.receiver_ranks(self.receivers.read(without=run + 1))
             self.receivers.write(changed.groupBy("receiver").agg(F.min("commit_ts").alias("commit_ts")), run + 1)
-            now = L.receiver_ranks(self.receivers.read())
-            if L.same_order(before, now):
-                touched = L.touched_keys(changed).select(self.winners.bucket().alias("b")).distinct().collect()  # at most the buckets
-                self.winners.write(L.advance(self.winners.rows(only={r.b for r in touched}, before=run + 1), changed, now), run + 1)
-            else:  # the receivers' order has changed: stored winners may be wrong
-                self.winners.write(L.advance(self.winners._empty(), ledger, now), run + 1, whole=True)
+            touched = L.touched_keys(changed).select(self.winners.bucket().alias("b")).distinct().collect()  # at most the buckets
+            self.winners.write(L.advance(self.winners.rows(only={r.b for r in touched}, before=run + 1), changed), run + 1)
             self.marks.write(changed.sparkSession.createDataFrame([(run + 1, high)], self.marks.schema), run + 1)
         changed.unpersist()
-        return self.winners.read()
+        won = L.resolve(self.winners.rows(), L.receiver_ranks(self.receivers.read()))
+        return won.where("kind = 'upsert'").select(*[c.split()[0] for c in MIRROR.split(", ")])
 
 
 # -- windows that close on data ---------------------------------------------------------------------
@@ -177,28 +294,88 @@ def proof_windows(receipts: DataFrame, duration_s: int, grace_s: int) -> DataFra
     return receipts.groupBy("stream").applyInPandas(run, WINDOW_OUT)
 
 
-def refused_scans(scans: DataFrame) -> DataFrame:
-    """STR-7: scans that break their stream's chain: a loop (linked to itself or to a later one), a link to a scan that is not
-    there, or a gap (linked to another than the one before).  scans: stream, at_us, previous_us (null: first)."""
-    before = F.lag("at_us").over(Window.partitionBy("stream").orderBy("at_us"))
-    x = scans.withColumn("__before", before)
-    why = F.when(F.col("previous_us") >= F.col("at_us"), "loop").when(F.col("previous_us").isNotNull() & F.col("__before").isNull(), "unknown_predecessor").when(~F.col("previous_us").eqNullSafe(F.col("__before")), "gap")
-    return x.select("stream", "at_us", why.alias("reason")).where("reason is not null")
-
+def chained(scans: DataFrame) -> DataFrame:
+    """STR-7: scans (stream, at_us, previous_us: null for the first) with the reason that they break their stream's chain for,
+    if any: a loop (linked to itself or to a later one), an unknown predecessor (a moment at which there was no scan), or a
+    gap (linked to another than the one before, or to none)."""
+    w = Window.partitionBy("stream").orderBy("at_us")
+    there = scans.select("stream", F.col("at_us").alias("previous_us"), F.lit(True).alias("__there")).distinct()
+    x = scans.withColumn("__before", F.lag("at_us").over(w)).join(there, ["stream", "previous_us"], "left")
+    why = (F.when(F.col("previous_us") >= F.col("at_us"), "loop").when(F.col("previous_us").isNotNull() & F.col("__there").isNull(), "unknown_predecessor")
+           .when(~F.col("previous_us").eqNullSafe(F.col("__before")), "gap"))
+    return x.select(*scans.columns, why.alias("reason"))
 
-def proof_window_stream(receipts: DataFrame, duration_s: int, grace_s: int) -> DataFrame:
-    """STR-7 live: closed windows as scans arrive in order; the open window is the state."""
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else None
-        rows = []
-        got = pd.concat(list(pdfs)).sort_values(["at_us", "event_count"])
-        more, now = close_windows(key[0], got, duration_s * 1000000, grace_s * 1000000, now)
-        rows += more
-        if now is not None:
-            state.update(now)
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in WINDOW_OUT.split(", ")])
 
-    return receipts.groupBy("stream").applyInPandasWithState(run, WINDOW_OUT, "window_no long, start_us long, receipts long, events long", "append", GroupStateTimeout.NoTimeout)
+def refused_scans(scans: DataFrame) -> DataFrame:
+    """STR-7: stream, at_us, reason of the scans that break their stream's chain."""
+    return chained(scans).where("reason is not null").select("stream", "at_us", "reason")
+
+
+WINDOWS_LIVE = f"{WINDOW_OUT}, at_us long, reason string"
+
+
+class ProofWindows(StatefulProcessor):
+    """STR-7 live: the open window, the moments of all scans so far, and a timer at the end of the window's grace."""
+
+    def __init__(self, duration_us: int, grace_us: int) -> None:
+        self.duration_us, self.grace_us = duration_us, grace_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.window = handle.getValueState("window", "window_no long, start_us long, receipts long, events long")
+        self.last = handle.getValueState("last", "at_us long")
+        self.scans = handle.getMapState("scans", "at_us long", "event_count long")
+
+    def _due(self, start_us: int) -> int:
+        return -(-(start_us + self.duration_us + self.grace_us) // 1000) + 1
+
+    def _reason(self, r: Row, before: int | None) -> str | None:
+        if r.previous_us is not None and r.previous_us >= r.at_us:
+            return "loop"
+        if r.previous_us is not None and not self.scans.containsKey((r.previous_us,)):
+            return "unknown_predecessor"
+        return None if r.previous_us == before else "gap"
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        last, row = self.last.get(), _named(WINDOWS_LIVE)
+        before = last[0] if last else None
+        state = self.window.get()
+        state = tuple(state) if state else None
+        opened = state and state[1]
+        for r in sorted(rows, key=lambda r: (r.at_us, r.event_count)):
+            reason = self._reason(r, before)
+            self.scans.updateValue((r.at_us,), (r.event_count,))
+            before = r.at_us
+            if reason:
+                yield row(key[0], None, None, None, None, r.event_count, "refused", r.at_us, reason)
+                continue
+            closed, state = close_windows(key[0], pd.DataFrame({"at_us": [r.at_us], "event_count": [r.event_count]}), self.duration_us, self.grace_us, state)
+            for w in closed:
+                yield row(*w, r.at_us, None)
+        if before is not None:
+            self.last.update((before,))
+        if state is not None:
+            self.window.update(state)
+            if state[1] != opened:
+                if opened is not None:
+                    self.handle.deleteTimer(self._due(opened))
+                self.handle.registerTimer(self._due(state[1]))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        """No scan has ended the window within its grace: it is reported, and stays open for the scan that ends it late."""
+        state = self.window.get()
+        if state and self._due(state[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            yield _named(WINDOWS_LIVE)(key[0], state[0], state[1], None, state[2], state[3], "overdue", state[1] + self.duration_us + self.grace_us, None)
+
+    def close(self) -> None:
+        pass
+
+
+def proof_window_stream(scans: DataFrame, duration_s: int, grace_s: int, late: str = "0 seconds") -> DataFrame:
+    """STR-7 live: closed and late windows, scans refused for their chain (they count in no window), and windows overdue by the
+    watermark, which trails event time by ``late``.  scans: stream, at_us, previous_us, event_count."""
+    timed = scans.withColumn("at", F.timestamp_micros("at_us")).withWatermark("at", late)
+    return timed.groupBy("stream").transformWithState(ProofWindows(duration_s * 1000000, grace_s * 1000000), WINDOWS_LIVE, "Append", "EventTime")
 
 
 def lag_stream(samples: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -207,33 +384,51 @@ def lag_stream(samples: DataFrame, width: str = "1 hour", late: str = "10 minute
             .agg(F.min("lag").alias("least"), F.max("lag").alias("most"), F.count("*").alias("samples"), F.count_if(F.col("lag").isNull()).alias("unknown")).select("pipeline", F.col("w.start").alias("start"), "least", "most", "samples", "unknown"))
 
 
-ALERT_OUT = "pipeline string, check string, at_us long, event string, occurrence long, evaluations long"
+ALERT_OUT = "pipeline string, check string, at_us long, event string, occurrence long, evaluations long, before double, observed double"
 
 
-def alert_stream(checks: DataFrame) -> DataFrame:
-    """STR-9: WIN-16 live per (pipeline, check): reports not later than the last are ignored, so the same instant is
-    idempotent; an unobserved check changes nothing.  checks: pipeline, check, at_us, status."""
-    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, firing, occurrence, evaluations = tuple(state.get) if state.exists else (-1, False, 0, 0)
-        rows = []
-        for r in pd.concat(list(pdfs)).sort_values("at_us").itertuples():
-            if r.at_us <= last or r.status == "unobserved":
+class Alerts(StatefulProcessor):
+    """STR-9: by (pipeline, check) the last report that observed it and what has been counted so far."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("alert", "last long, status string, observed double, occurrence long, evaluations long")
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        held, row = self.state.get(), _named(ALERT_OUT)
+        last, status, observed, occurrence, evaluations = tuple(held) if held else (None, None, None, 0, 0)
+        for r in sorted(rows, key=lambda r: r.at_us):
+            if last is not None and r.at_us <= last:  # the same instant is idempotent, or a contradiction
+                if r.at_us < last or (r.status, r.observed) != (status, observed):
+                    yield row(*key, r.at_us, "refused_older" if r.at_us < last else "refused_conflict", occurrence, evaluations, None, r.observed)
                 continue
-            last = int(r.at_us)
+            if r.status not in ("breach", "pass"):
+                continue
+            event = None
             if r.status == "breach":
                 evaluations += 1
-                if not firing:
-                    occurrence, firing = occurrence + 1, True
-                    rows.append((*key, last, "opened" if occurrence == 1 else "reopened", occurrence, evaluations))
-            elif firing:
-                firing = False
-                rows.append((*key, last, "resolved", occurrence, evaluations))
-        state.update((last, firing, occurrence, evaluations))
-        yield pd.DataFrame(rows, columns=[c.split()[0] for c in ALERT_OUT.split(", ")])
+                occurrence += status != "breach"
+                event = ("opened" if occurrence == 1 else "reopened") if status != "breach" else "changed" if r.observed != observed else None
+            elif status == "breach":
+                event = "resolved"
+            if event:
+                yield row(*key, r.at_us, event, occurrence, evaluations, observed if event == "changed" else None, r.observed)
+            last, status, observed = r.at_us, r.status, r.observed
+        if last is not None:
+            self.state.update((last, status, observed, occurrence, evaluations))
+
+    def close(self) -> None:
+        pass
 
-    return checks.groupBy("pipeline", "check").applyInPandasWithState(run, ALERT_OUT, "last long, firing boolean, occurrence long, evaluations long", "append", GroupStateTimeout.NoTimeout)
+
+def alert_stream(checks: DataFrame) -> DataFrame:
+    """STR-9: WIN-16 live per (pipeline, check), with what changed while it was firing; a report older than the last, or another
+    one of the same instant, is refused as a row of its own; an unobserved check changes nothing.
+    checks: pipeline, check, at_us, status, observed."""
+    rows = checks.select("pipeline", "check", "at_us", "status", F.col("observed").cast("double").alias("observed"))
+    return rows.groupBy("pipeline", "check").transformWithState(Alerts(), ALERT_OUT, "Append", "None")
 
 
 def drain(stream: DataFrame, out: str, checkpoint: str, mode: str = "append") -> None:
     """Runs a stream over what there is into Parquet, and returns."""
+    rocksdb(stream.sparkSession)
     stream.writeStream.outputMode(mode).format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out).awaitTermination()
