@@ -98,9 +98,10 @@ class Block:
         power = exponents(q)
         if len(pick) > k and self.power.max() + power + 16 < 1024:
             q32 = np.ldexp(q, -power).astype(np.float32)
-            scale = np.maximum(self.power[pick] - self.power[pick].max(), -1070)
-            rough = np.ldexp((self.single[pick] @ q32).astype(np.float64), scale)
-            most = np.ldexp(np.full(len(pick), 1e-5 * (float(np.abs(q32).sum()) + 1)), scale)
+            scale = self.power[pick] - self.power[pick].max()
+            tiny, scale = scale < -900, np.maximum(scale, -900)  # too small beside the largest to be told apart here
+            rough = np.where(tiny, 0.0, np.ldexp((self.single[pick] @ q32).astype(np.float64), scale))
+            most = np.ldexp(np.where(tiny, float(len(q)), 1e-5 * (float(np.abs(q32).sum()) + 1)), scale)
             pick = pick[rough + most >= np.partition(rough - most, -k)[-k]]
         with np.errstate(over="ignore", invalid="ignore"):
             scores = (self.x[pick] * q).sum(axis=1)
