@@ -306,8 +306,9 @@ def collocations(docs: DataFrame, longest: int = 3, least: int = 10, cover: int
     alone = scored(counts).join(covered(counts, cover), ["lang", "phrase"], "left").where(
         F.col("within").isNull() | (F.lit(100) * F.col("within") < F.lit(cover) * F.col("a")))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = alone.withColumn("rank", F.row_number().over(order).cast("long"))
-    ranked = ranked.where(F.col("rank") <= top) if top is not None else ranked
+    ranked = alone.withColumn("__r", F.row_number().over(order))
+    ranked = ranked.where(F.col("__r") <= top) if top is not None else ranked  # each task sends its first rows only
+    ranked = ranked.withColumn("rank", F.col("__r").cast("long"))
     words = held.groupBy("lang").agg(F.sum("n").alias("n"))
     return ranked.join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
