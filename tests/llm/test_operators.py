@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from html.parser import HTMLParser
 
 import duckdb
 import numpy as np
@@ -174,6 +175,31 @@ def test_neighbours_on_awkward_vectors(spark):
     assert ann.neighbours(v.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("odd", [[1e-200], [1e37], [1e39], [1e200], [1e-200, 1e39, 1e160, 1e-320, 1e307]])
+@pytest.mark.parametrize("scale", [1.0, 1e39, 1e-150])
+def test_finite_vectors_of_any_size_take_part(spark, odd, scale):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(200, 6)) * scale
+    for i, o in enumerate(odd):
+        x[7 + 30 * i] = rng.choice([-1.0, 1.0], size=6) * o
+    got = defaultdict(list)
+    for r in ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>"), share=1.0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    with np.errstate(over="ignore", invalid="ignore"):
+        for q in range(0, 200, 20):
+            s = (x * x[q]).sum(axis=1)
+            keep = np.flatnonzero(np.arange(200) != q)
+            assert got[q] == keep[np.lexsort((keep, -s[keep]))][:20].tolist()
+
+
+def test_long_vectors_are_candidates_whatever_their_angle(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(400, 24))
+    x[11] *= 1e37
+    found = ann.neighbours(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")).where("vec_id = 11 and rank = 1").count()
+    assert found == sum((x[q] * x[11]).sum() > 0 for q in range(0, 400, 20))
+
+
 def test_one_vector_of_another_length_takes_nothing_along(spark):
     """Whatever its id: its hash must not matter."""
     rng = np.random.default_rng(3)
@@ -254,24 +280,120 @@ def test_without_the_tree_nothing_goes(spark, sf):
 
 def test_site_tree_equals_brute_force(spark, sf):
     p = spark.read.parquet(f"{sf}/pages.parquet").selectExpr("page_id", "regexp_extract(url, '://([^/]*)', 1) AS host", "html")
-    seen = defaultdict(lambda: [Counter(), Counter(), 0])  # node -> child sequences, texts, pages
+    seen = defaultdict(lambda: [Counter(), Counter(), 0, 0.0, 0.0])  # node -> child sequences, texts, pages, shares, places
     for host, page in {(r.host, r.html) for r in p.collect()}:
         found, children = html_main.nodes(page)
-        for node in {n for n, _ in found}:
+        for node, (share, place) in html_main.places(found).items():
             x = seen[host, node]
             x[0][" ".join(children[node])] += 1
             x[1].update({t for n, t in found if n == node})
-            x[2] += 1
+            x[2:] = x[2] + 1, x[3] + share, x[4] + place
     got = {(r.host, r.path): r for r in html_main.site_tree(p).collect()}
     assert set(got) == set(seen)
-    for (host, node), (shapes, texts, m) in seen.items():
+    varied, top = {}, defaultdict(float)
+    for (host, node), (shapes, texts, m, share, place) in seen.items():
         entropy = -sum(k / m * math.log(k / m, m) for k in shapes.values()) if m > 1 else 1.0
         content = sum(k * (1 - math.log(k, m)) for k in texts.values()) / sum(texts.values()) if m > 1 else 1.0
-        drawn = [(html_main.PRIOR + m * max(0.0, e)) / (html_main.PRIOR + m) for e in (entropy, content)]
-        want = html_main.weight(node) * ((1 - html_main.GAMMA) * drawn[0] + html_main.GAMMA * drawn[1])
+        drawn = [(10 + m * max(0.0, e)) / (10 + m) for e in (entropy, content)]
+        varied[host, node] = 0.1 * drawn[0] + 0.9 * drawn[1]
+        if html_main.weight(node, 0.0) == 1.0 and share / m >= 0.1:
+            top[host, node.startswith("main")] = max(top[host, node.startswith("main")], varied[host, node])
+    for (host, node), (*_, m, share, place) in seen.items():
+        want = html_main.weight(node, place / m) * min(1.0, varied[host, node] / (top[host, node.startswith("main")] or 1.0))
         assert got[host, node].pages == m and abs(got[host, node].importance - want) < 1e-9
 
 
+class PlainPage(HTMLParser):
+    """Paths of well-formed pages whose tags all are blocks: [(path, text)] and the child names of each path."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.path, self.found, self.children = (), [], defaultdict(list)
+        self.feed(page)
+
+    def handle_starttag(self, tag, attrs):
+        name = (tag, dict(attrs).get("class", ""))
+        self.children[self.path].append(name)
+        self.path += (name,)
+
+    def handle_endtag(self, tag):
+        self.path = self.path[:-1]
+
+    def handle_data(self, data):
+        if data.strip():
+            self.found.append((self.path, " ".join(data.split())))
+
+
+def plain_main_texts(pages):
+    """The main texts of one host's pages, all with text in an article or all without, by the rules and nothing else."""
+    parsed = [PlainPage(p) for p in pages]
+    distinct = [PlainPage(p) for p in sorted(set(pages))]
+    article = any(("article", "") in path for q in parsed for path, _ in q.found)
+    whole = lambda path: any(t == "nav" or c in ("ad", "cookie-notice") for t, c in path)
+    partly = lambda path: [i for i, (t, c) in enumerate(path) if c == "social-history"]
+    away = lambda path: article and ("article", "") not in path
+    part = lambda path: path[:partly(path)[-1] + 1] if partly(path) else ("out",) if away(path) and not whole(path) else ()
+    nodes = {path for q in distinct for path, _ in q.found}
+    score, weighty = {}, []
+    for node in nodes:
+        holds = [q for q in distinct if any(p == node for p, _ in q.found)]
+        m = len(holds)
+        size = lambda q, ok: sum(len(t) for p, t in q.found if ok(p)) / sum(len(t) for _, t in q.found)
+        share = sum(size(q, lambda p: p == node) for q in holds) / m
+        place = sum(size(q, lambda p: part(p) == part(node)) for q in holds) / m
+        shapes = Counter(tuple(q.children[node]) for q in holds)
+        texts = Counter(t for q in holds for t in {t for p, t in q.found if p == node})
+        shape = 1 + sum(k / m * math.log(1 / k) for k in shapes.values()) / math.log(m) if m > 1 else 1
+        text = 1 - sum(k * math.log(k) for k in texts.values()) / sum(texts.values()) / math.log(m) if m > 1 else 1
+        varied = sum(w * (10 + m * max(0, e)) / (10 + m) for w, e in ((0.1, shape), (0.9, text)))
+        role = (0.2 if whole(node) else 1) * ((0.2 + 0.8 * place ** 3) if partly(node) else 1) * ((0.2 + 0.8 * place ** 3) if away(node) else 1)
+        score[node] = [role, varied]
+        if share >= 0.1 and not (whole(node) or partly(node) or away(node)):
+            weighty.append(varied)
+    low = {n for n, (role, varied) in score.items() if role * min(1, varied / max(weighty, default=1)) < 0.3}
+    stays = lambda path: not any(all(n in low for n in nodes if n[:k] == path[:k]) for k in range(1, len(path) + 1))
+    return [" ".join(t for path, t in q.found if stays(path)) for q in parsed]
+
+
+def site(n, page):
+    return [page.replace("{i}", str(i)).replace("{k}", str(i % 2)) for i in range(n)]
+
+
+def texts_of(spark, pages):
+    p = spark.createDataFrame([(i, f"https://s.example/{i}", x) for i, x in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html_main.main_text(p).orderBy("page_id").collect()]
+
+
+SITES = ["<html><body><nav><p>menu {i}</p></nav><article><h1>Story {i}</h1><p>alpha{i} beta{i} gamma delta</p><div class='q7'><p>Tell your friends</p></div></article><div class='z'><p>Call {k}</p></div></body></html>",
+         "<html><body><div class='m7'><p>Home</p><p>About</p></div><div class='social-history'><h1>Year {i}</h1><p>What {i} people did in the year {i} and after</p></div><div class='ad'><p>Buy {i}</p></div></body></html>",
+         "<html><body><article><h1>One story</h1><p>told on every page of the host</p></article><div class='cookie-notice'><p>{i} cookies</p></div></body></html>",
+         "<html><body><article><p>teaser {i}</p></article><div class='w'><p>long text {i} that stands outside of it, and goes on for {i} and more words</p><p>to its end {k}</p></div></body></html>"]
+
+
+@pytest.mark.parametrize("n", [1, 4, 40])
+@pytest.mark.parametrize("page", SITES)
+def test_removal_equals_plain_code(spark, page, n):
+    assert texts_of(spark, site(n, page)) == plain_main_texts(site(n, page))
+
+
+@pytest.mark.parametrize("n", [5, 15, 20, 25, 30, 60])
+def test_articles_stay_however_many_pages_show_them(spark, n):
+    page = "<html><body><nav><p>menu {i}</p></nav><article><h1>One story</h1><p>told on every page of the host</p></article></body></html>"
+    assert set(texts_of(spark, site(n, page))) == {"One story told on every page of the host"}
+
+
+def test_variety_and_place_outweigh_a_part_of_a_name(spark):
+    assert texts_of(spark, site(30, SITES[1])) == [f"Year {i} What {i} people did in the year {i} and after" for i in range(30)]
+
+
+def test_variety_decides_beside_the_roles(spark, monkeypatch):
+    """With every node taken for varied the roles alone remove other branches than the tree does."""
+    tree = texts_of(spark, site(40, SITES[0]))
+    monkeypatch.setattr(html_main, "PRIOR", 1e12)
+    roles = texts_of(spark, site(40, SITES[0]))
+    assert all("friends" in r and "friends" not in t and "menu" not in r + t for r, t in zip(roles, tree))
+
+
 def test_many_removed_branches_are_joined(spark, sf, monkeypatch):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     want = sorted(html_main.main_text(p).collect())
@@ -525,6 +647,13 @@ def test_warc_awkward(spark):
     assert warc.round_trip(p.limit(0)).count() == 0
 
 
+def test_hosts_with_control_characters_give_their_rows(spark):
+    urls = ["http://a\tb/x", "http://a\nb/x", "http://a\rb/x", "http://a\r\nb:80/x", "http:///x", "http://", "", "\t\n", "http://a\x00b/\x7f", "http://u:p@a\tb/", "http://a\u2028b/x"]
+    p = spark.createDataFrame([(i, u, "t" * 120 if i % 2 else str(i)) for i, u in enumerate(urls)], "page_id long, url string, html string")
+    got = {r.page_id: (r.record_type, r.refers_to, r.payload_bytes) for r in warc.round_trip(p).collect()}
+    assert got == {i: ("revisit", 1, 120) if i % 2 and i > 1 else ("response", None, 120 if i % 2 else len(str(i))) for i in range(len(urls))}
+
+
 def test_capture_index_is_sorted_and_reads_ranges(spark, sf, tmp_path):
     p = spark.read.parquet(f"{sf}/pages.parquet")
     folder = f"file://{tmp_path}/w"
@@ -626,6 +755,14 @@ def test_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 41)} | {95: 90, 100: 90}
 
 
+def test_fingerprints_without_ids_link_and_bridge(spark, monkeypatch):
+    fps = {7: 0b0, None: 0b1111, 9: 0b11111111}  # 7 and 9 only meet over the row without an id
+    rows = spark.createDataFrame([(i, f) for i, f in fps.items()] + [(None, 0x7C << 56)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: rows)
+    got = sorted((r.fingerprint, r.component_id) for r in simhash.near_duplicates(rows).collect())
+    assert got == [("0" * 16, 7), ("0" * 14 + "0f", 7), ("0" * 14 + "ff", 7), ("7c" + "0" * 14, None)]
+
+
 def test_simhash_awkward(spark, awkward):
     got = sorted((r.doc_id or -1, r.fingerprint == "0" * 16, r.component_id) for r in simhash.near_duplicates(awkward).collect())
     assert [(d, c) for d, z, c in got if z] == [(3, 3), (4, 3), (9, 3)] and [c for d, _, c in got if d in (1, 2, 7)] == [1, 1, 1, 1] and len(got) == 11
