@@ -192,7 +192,7 @@ class LedgerStream:
     def receivers(self) -> DataFrame:
         """receiver, commit_ts: the first commit known of each; one row a receiver and epoch."""
         epoch = self.epoch()[0]
-        known = self.carried.read().where(F.col("epoch") == epoch).drop("epoch")
+        known = self.carried.read(without=epoch + 1).where(F.col("epoch") == epoch).drop("epoch")
         if self._started(epoch):
             known = known.unionByName(self._state(epoch).where("k is null").select("receiver", F.col("first_ts").alias("commit_ts")))
         return known
