@@ -168,7 +168,8 @@ def _(spark, sf_dir):
     return C.in_scope(X.raw_events(spark, sf_dir), "ORDERS", ends).select("event_id", "source_file")
 
 
-@query("con_6_of_table", "SELECT event_id FROM ledger WHERE n % 2 = 0 AND n % 3 = 1")
+@query("con_6_of_table", """WITH e AS (SELECT event_id, 'LIB' || (n % 2) AS library, 'T' || (n % 3) AS table_name FROM ledger)
+SELECT event_id FROM e WHERE library = 'LIB0' AND table_name = 'T1'""")
 def _(spark, sf_dir):
     e = ledger(spark, sf_dir).withColumns({"library": F.concat(F.lit("LIB"), F.col("n") % 2), "table_name": F.concat(F.lit("T"), F.col("n") % 3)})
     return C.of_table(e, "LIB0", "T1").select("event_id")
