@@ -246,7 +246,8 @@ def reconcile_events(source: DataFrame, dest: DataFrame, key: str, fields: list[
 
 
 def reconcile3(oracle: DataFrame, source: DataFrame, destination: DataFrame, mirror: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """JON-12: five pairwise differences in one pass: every system is tagged and grouped once by key."""
+    """JON-12: five pairwise differences in one pass: every system is tagged and grouped once by key.  A key that a system holds
+    with several contents differs from any other; copies of one content do not."""
     systems = {"oracle": oracle, "source": source, "destination": destination, "mirror": mirror}
     pairs = [("oracle", "source"), ("oracle", "destination"), ("source", "destination"), ("destination", "mirror"), ("oracle", "mirror")]
     digest = F.sha2(F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}), 256)
@@ -254,8 +255,9 @@ def reconcile3(oracle: DataFrame, source: DataFrame, destination: DataFrame, mir
     for name, df in systems.items():
         one = df.select(F.col(key).alias("key"), F.lit(name).alias("system"), digest.alias("d"))
         tagged = one if tagged is None else tagged.unionByName(one)
-    per = tagged.groupBy("key").agg(*[F.max(F.when(F.col("system") == s, F.col("d"))).alias(s) for s in systems])
-    rows = [F.struct(F.lit(f"{a}-{b}").alias("pair"), F.when(F.col(a).isNull() & F.col(b).isNull(), None).when(F.col(b).isNull(), "missing").when(F.col(a).isNull(), "extra").when(F.col(a) != F.col(b), "different").otherwise("same").alias("kind")) for a, b in pairs]
+    per = tagged.groupBy("key").agg(*[pick(F.when(F.col("system") == s, F.col("d"))).alias(s + end) for s in systems for pick, end in ((F.max, ""), (F.min, "_least"))])
+    several = {s: F.col(s) != F.col(f"{s}_least") for s in systems}
+    rows = [F.struct(F.lit(f"{a}-{b}").alias("pair"), F.when(F.col(a).isNull() & F.col(b).isNull(), None).when(F.col(b).isNull(), "missing").when(F.col(a).isNull(), "extra").when((F.col(a) != F.col(b)) | several[a] | several[b], "different").otherwise("same").alias("kind")) for a, b in pairs]
     return (per.select(F.explode(F.array(*rows)).alias("x")).select("x.*").where("kind is not null").groupBy("pair")
             .agg(*[F.count_if(F.col("kind") == k).alias(k) for k in ("same", "missing", "extra", "different")]))
 
