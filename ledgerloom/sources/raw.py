@@ -122,9 +122,9 @@ def project_envelope(raw: DataFrame) -> DataFrame:
     return raw.select("*", get("event_id", "string").alias("event_id"), get("receiver", "string").alias("receiver"), get("sequence", "long").alias("sequence"), get("operation", "string").alias("operation"))
 
 
-def typed_events(raw: DataFrame, col: str = "value") -> DataFrame:
-    """The ledger's own columns of every line; decimals and times are read from their text."""
-    return raw.select(F.from_json(col, EVENT, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("e")).select("e.*")
+def typed_events(raw: DataFrame, col: str = "value", *others: str) -> DataFrame:
+    """The ledger's own columns of every line, and ``others`` as they are; decimals and times are read from their text."""
+    return raw.select(F.from_json(col, EVENT, {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}).alias("e"), *others).select("e.*", *others)
 
 
 #: What a declared column may be (fixed values); decimals carry precision and scale.
