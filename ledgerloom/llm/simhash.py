@@ -307,11 +307,33 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     SimHash cannot give these candidates without loss: shingles of several words all change around one edit, and
     single words change with every added block.  They come from the prefix filter of ``jaccard``, and the
     links are exact."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    own = cut(jaccard.nodes(rows, words))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("t", F.xxhash64("text"))
+    own = cut(jaccard.nodes(rows, words).drop("odd"))
     common = jaccard.common_shingles(rows, own.count(), words)
-    first = cut(jaccard.candidates(rows, words, similarity, common))
+    edges = cut(jaccard.neighbours(rows, words, similarity, common))
     release(docs.sparkSession)
+    hung = components(edges).withColumnRenamed("component", "block")
+    blocks = hung.union(hung.select("block", "block").distinct())  # components do not list their least node
+    one = cut(own.join(blocks, "node").groupBy("node", "block").agg(F.min(F.struct("doc_id", "t")).alias("d"), F.max("n").alias("n")))
+    large = cut(one.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where((F.col("k") > jaccard.BLOCK_NODES) | (F.col("s") > jaccard.BLOCK_SHINGLES)).select("block"))
+    of = one.select("block", F.col("d.doc_id").alias("__d"), F.col("d.t").alias("__t"))
+
+    def texts(some: DataFrame) -> DataFrame:
+        """block, doc_id, text, t of one document a node."""
+        return rows.join(some, rows.doc_id.eqNullSafe(F.col("__d")) & (rows.t == F.col("__t"))).select("block", "doc_id", "text", "t")
+
+    comp = cut(jaccard.within_blocks(texts(of.join(large, "block", "left_anti")), words, similarity))
+    if large.limit(1).count():
+        comp = comp.unionByName(_large_groups(texts(of.join(large, "block", "left_semi")), words, similarity, common))
+    named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
+    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+
+
+def _large_groups(rows: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, component of documents (doc_id, text, t) too many to meet in one task."""
+    own = cut(jaccard.nodes(rows, words))
+    first = cut(jaccard.candidates(rows, words, similarity, common))
+    release(rows.sparkSession)
 
     def linked(pairs: DataFrame, edges: DataFrame | None) -> DataFrame:
         """edges and the links among pairs that join different components of them."""
@@ -329,5 +351,4 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     posts = first.where("n is not null")
     if posts.limit(1).count():
         comp = components(linked(cut(jaccard.across_groups(posts, own, comp, similarity)), edges))
-    named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
-    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+    return comp

@@ -862,6 +862,51 @@ def test_similar_groups_of_a_large_family(spark, monkeypatch):
     assert {a: b for a, b in got if a is not None} == want and sorted(str(b) for a, b in got if a is None) == ["0", "None"]
 
 
+def family(k, f=0):
+    """A family of near copies about 0.8 apart."""
+    rng, rows = np.random.default_rng(12 + f), []
+    base = [f"f{f}w{i}" for i in range(200)]
+    for i in range(k):
+        at = int(rng.integers(0, 150))
+        rows.append((1000 * f + i, " ".join(base[:at] + [f"x{f}-{i}-{j}" for j in range(int(rng.integers(5, 30)))] + base[at + int(rng.integers(0, 25)):])))
+    return rows
+
+
+def test_near_copies_send_rows_in_proportion(spark):
+    """Four times the members of a family send about four times the rows to find it, and not sixteen times."""
+    J, none = simhash.jaccard, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    sent = [J.neighbours(spark.createDataFrame(family(k), "doc_id long, text string"), 5, 0.8, none).count() for k in (60, 240)]
+    assert 59 <= sent[0] and sent[1] <= 6 * sent[0]
+
+
+def test_similar_groups_of_blocks_too_large_for_a_task(spark, monkeypatch):
+    rows = family(40) + family(3, 1) + family(2, 2)
+    d = spark.createDataFrame(rows + [(None, rows[0][1]), (7777, rows[0][1].upper())], "doc_id long, text string")
+    want = exact_groups(rows)
+    for most in (8192, 4):
+        monkeypatch.setattr(simhash.jaccard, "BLOCK_NODES", most)
+        got = [(r.doc_id, r.component_id) for r in simhash.similar_groups(d).collect()]
+        assert sorted(x for x in got if x[0] is not None) == sorted([*want.items(), (7777, want[0])]) and (None, want[0]) in got
+
+
+def test_components_of_a_block_are_exact():
+    rng = np.random.default_rng(5)
+    some = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
+    for families, k, n in ((1, 90, 260), (60, 2, 260), (1, 60, 12)):
+        sets = []
+        for _ in range(families):
+            base = some(n)
+            sets += [np.unique(np.concatenate([base[rng.random(n) < rng.choice([0.8, 0.9, 0.95])], some(int(rng.integers(1, n // 8 + 2)))])) for _ in range(k)]
+        name = list(range(len(sets)))
+        for a, x in enumerate(sets):
+            for b, y in enumerate(sets[:a]):
+                both = len(np.intersect1d(x, y))
+                if name[a] != name[b] and 5 * both >= 4 * (len(x) + len(y) - both):
+                    name = [name[b] if c == name[a] else c for c in name]
+        got = simhash.jaccard._components(sets, 0.8).tolist()
+        assert len(set(name)) == len(set(got)) == len(set(zip(name, got))) < len(sets)
+
+
 def test_suffix_runs_of_other_content_are_not_equal(spark):
     """Documents that share a passage, their runs at its ends told apart only by bytes far from the anchor."""
     rng = np.random.default_rng(7)
