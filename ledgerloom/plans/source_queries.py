@@ -163,8 +163,8 @@ def _(spark, sf_dir):
     """Every seventh batch is left whole; the others' manifests say something else in one way each."""
     out = written(spark, sf_dir)
     m = W.read_manifests(spark, out)
-    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("batch_id")) % 7  # one row a batch
-    broken = m.withColumn("i", i).where("i <> 6").withColumns({
+    i = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("batch_id")) % 7  # a name a batch; manifests hold all ids and stay where they are
+    broken = m.join(m.select("batch_id").withColumn("i", i), "batch_id").where("i <> 6").withColumns({
         "event_count": F.when(F.col("i") == 2, F.col("event_count") + 1).otherwise(F.col("event_count")), "event_ids": F.when(F.col("i") == 3, F.slice(F.reverse("event_ids"), 1, 10**6)).otherwise(F.col("event_ids")),
         "payload_sha256": F.when(F.col("i") == 4, "x").otherwise(F.col("payload_sha256")), "format_version": F.when(F.col("i") == 1, "v0").otherwise(F.col("format_version")),
         "high_watermark": F.when(F.col("i") == 5, F.struct(F.col("high_watermark.receiver").alias("receiver"), (F.col("high_watermark.sequence") + 1).alias("sequence"))).otherwise(F.col("high_watermark"))})
