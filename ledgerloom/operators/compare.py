@@ -113,16 +113,18 @@ def set_counts(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 def best_offset(a: DataFrame, b: DataFrame, hours: list[int]) -> DataFrame:
     """JON-13 and SET-6: overlap of a with b shifted by each of a few hours, most overlap first, ties to the
     smaller offset; ``best`` is null if nothing overlaps.  Whole hours leave the place in the hour as it is, so rows are dealt
-    by it once and counted there; offsets only multiply counts, inside their task."""
+    by it once, sorted and counted there; an offset is a range of the window that the sort gives, so no task multiplies or hashes its rows."""
     side = lambda df, x: df.select("at_ms", "op", F.lit(x).alias("x"), F.lit(1 - x).alias("y"))
     dealt = side(a, 1).unionByName(side(b, 0)).withColumn("place", F.pmod("at_ms", F.lit(3600000))).repartition("op", "place")
-    counted = dealt.groupBy("op", "place", "at_ms").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    none = F.lit(0).cast("long")
-    moved = [F.struct(F.lit(h).alias("hours"), at.alias("at"), x.alias("x"), y.alias("y"))
-             for h in hours for at, x, y in ((F.col("at_ms"), F.col("x"), none), (F.col("at_ms") - h * 3600000, none, F.col("y")))]
-    spread = counted.select("op", "place", F.explode(F.array(*moved)).alias("m")).where("m.x + m.y > 0").select("op", "place", "m.*")
-    per = spread.groupBy("op", "place", "hours", "at").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
-    got = per.groupBy("hours").agg(F.sum(F.least("x", "y")).alias("overlap"))
+    place = Window.partitionBy("op", "place").orderBy("at_ms")
+    same, before = place.rangeBetween(0, 0), place.rowsBetween(-1, -1)
+    counted = dealt.select("op", "place", "at_ms", F.sum("x").over(same).alias("x"), F.sum("y").over(same).alias("y"), F.max("at_ms").over(before).alias("__before"),
+                           *[F.sum("y").over(place.rangeBetween(h * 3600000, h * 3600000)).alias(f"y{i}") for i, h in enumerate(hours)])
+    once = counted.where("__before is null or __before <> at_ms")  # one row a moment
+    there = F.col("at_ms").isNotNull() & F.col("op").isNotNull()
+    overlap = lambda i: F.sum(F.when(there, F.least("x", F.coalesce(f"y{i}", F.lit(0)))).otherwise(0))
+    sums = once.agg(F.count("*").alias("n"), *[overlap(i).alias(f"o{i}") for i in range(len(hours))]).where("n > 0")
+    got = sums.select(F.explode(F.array(*[F.struct(F.lit(h).alias("hours"), F.col(f"o{i}").alias("overlap")) for i, h in enumerate(hours)])).alias("m")).select("m.*")
     first = F.max(F.struct("overlap", -F.col("hours"))).over(Window.partitionBy(F.lit(0)))  # one row an offset
     return got.select("hours", "overlap", ((F.col("overlap") > 0) & (F.struct("overlap", -F.col("hours")) == first)).alias("best"))
 
