@@ -42,14 +42,17 @@ def rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
 
 
-def lines(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """The stream of raw lines under a folder."""
-    return spark.readStream.option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").text(f"{path}/payload")
+def lines(spark: SparkSession, path: str, files: int = 100, size: int | None = None) -> DataFrame:
+    """The stream of raw lines under a folder; a micro-batch takes so many files, or files of about so many bytes."""
+    stream = spark.readStream.option("recursiveFileLookup", "true")
+    stream = stream.option("maxFilesPerTrigger", files) if size is None else stream.option("maxBytesPerTrigger", size)
+    return stream.text(f"{path}/payload")
 
 
-def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, files: int = 100) -> None:
-    """STR-1: new files' lines appended to the raw table, each once; returns when all there are have been read."""
-    q = lines(spark, path, files).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
+def ingest_stream(spark: SparkSession, path: str, out: str, checkpoint: str, size: int = 1 << 30) -> None:
+    """STR-1: new files' lines appended to the raw table, each once; returns when all there are have been read.  Nothing is kept
+    between micro-batches, so bytes bound them: by files, many small ones would make as many batches."""
+    q = lines(spark, path, size=size).writeStream.format("parquet").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(out)
     q.awaitTermination()
 
 
