@@ -38,6 +38,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The same rows, read from Parquet in the shared folder: what reads them several times makes them once, and reads only the
+    columns and row groups that it needs."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def batch_of(size: int = 500) -> Column:
     return F.lpad(F.floor(F.col("sequence") / size).cast("string"), 6, "0")
 

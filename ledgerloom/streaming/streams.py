@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from pyspark.sql.window import Window
 
 from ..operators import ledger as L
-from ..sources.raw import EVENT, line, typed_events
+from ..sources.raw import EVENT, cut, line, typed_events
 from ..sources.versions import BatchedTable, BucketTable
 
 MIRROR = "k long, cents long, event_type string, event_id string, receiver string, sequence long, commit_ts timestamp_ntz"
@@ -263,16 +263,18 @@ class IncrementalReplay:
         return (mark.run, mark.ingested_at) if mark else (0, None)
 
     def run(self, ledger: DataFrame) -> DataFrame:
-        """The mirror after all events of the ledger; only those ingested past the watermark are read."""
+        """The mirror after all events of the ledger; only those ingested past the watermark count.  They are read three times, a few
+        columns twice and all once, and not held in memory: a ledger that is dear to make should be stored (``raw.stored``)."""
         run, mark = self.last()
-        changed = (ledger if mark is None else ledger.where(F.col("ingested_at") > F.lit(mark))).persist()
-        high = changed.agg(F.max("ingested_at")).first()[0]
+        changed = ledger if mark is None else ledger.where(F.col("ingested_at") > F.lit(mark))
+        seen = cut(changed.groupBy("receiver").agg(F.min("commit_ts").alias("commit_ts"), F.max("ingested_at").alias("high")))  # one row a receiver
+        high = seen.agg(F.max("high")).first()[0]
         if high is not None:
-            self.receivers.write(changed.groupBy("receiver").agg(F.min("commit_ts").alias("commit_ts")), run + 1)
-            touched = L.touched_keys(changed).select(self.winners.bucket().alias("b")).distinct().collect()  # at most the buckets
+            self.receivers.write(seen.select("receiver", "commit_ts"), run + 1)
+            keys = changed.select(F.explode(F.array("before_key", "after_key")).alias("k")).where("k is not null")
+            touched = keys.select(self.winners.bucket().alias("b")).distinct().collect()  # at most the buckets; keys need not be told apart
             self.winners.write(L.advance(self.winners.rows(only={r.b for r in touched}, before=run + 1), changed), run + 1)
             self.marks.write(changed.sparkSession.createDataFrame([(run + 1, high)], self.marks.schema), run + 1)
-        changed.unpersist()
         won = L.resolve(self.winners.rows(), L.receiver_ranks(self.receivers.read()))
         return won.where("kind = 'upsert'").select(*[c.split()[0] for c in MIRROR.split(", ")])
 
