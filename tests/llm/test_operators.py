@@ -879,6 +879,43 @@ def test_near_copies_send_rows_in_proportion(spark):
     assert 59 <= sent[0] and sent[1] <= 6 * sent[0]
 
 
+def test_block_edges_are_pairs_with_room_whatever_the_partitions(spark):
+    """Chance meetings beyond a pair's room hang nothing together, and more partitions give no more edges."""
+    J, none = simhash.jaccard, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def edges(*posts):
+        cols = zip(*posts)
+        return len(J._neighbours([len(posts).to_bytes(8, "little") + b"".join(np.array(c).astype(k).tobytes() for c, (_, k) in zip(cols, J.POST))], 0.8)[0])
+
+    assert edges((7, 1, 100, 11), (7, 2, 100, 11)) == 1
+    assert edges((7, 1, 100, 11), (7, 2, 100, 15)) == 0  # at most 85 shared of 115 in all
+    assert edges((7, 1, 100, 11), (7, 2, 100, 15), (7, 3, 85, 0)) == 2  # both have room with the third
+    own, sent = spark.conf.get("spark.sql.shuffle.partitions"), set()
+    d = spark.createDataFrame(family(60) + family(40, 1) + family(9, 2), "doc_id long, text string")
+    try:
+        for n in (1, 3, 24):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            sent.add(J.neighbours(d, 5, 0.8, none).count())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", own)
+    assert len(sent) == 1
+
+
+def test_nodes_with_room_hang_together(monkeypatch):
+    """By sizes and reaches of large groups: the components of all pairs, or unions of them beyond ``TILE``."""
+    rng, J = np.random.default_rng(3), simhash.jaccard
+    for _ in range(40):
+        n = np.sort(rng.integers(20, 60, 70))
+        reach = n * rng.choice([0.85, 0.95, 1.0, 1.1, 1.25], len(n))
+        a, b = np.nonzero((n <= reach[:, None]) & (n[:, None] <= reach) & ~np.eye(len(n), dtype=bool))
+        want = J.least_reachable(len(n), a, b)
+        monkeypatch.setattr(J, "TILE", 70)
+        assert J._near_sizes(n, reach, 0.8).tolist() == want.tolist()
+        monkeypatch.setattr(J, "TILE", 69)
+        got = J._near_sizes(n, reach, 0.8)
+        assert len(set(zip(want.tolist(), got.tolist()))) == len(set(want.tolist()))
+
+
 def test_similar_groups_of_blocks_too_large_for_a_task(spark, monkeypatch):
     rows = family(40) + family(3, 1) + family(2, 2)
     d = spark.createDataFrame(rows + [(None, rows[0][1]), (7777, rows[0][1].upper())], "doc_id long, text string")
