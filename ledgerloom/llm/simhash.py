@@ -316,15 +316,17 @@ def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_
     blocks = hung.union(hung.select("block", "block").distinct())  # components do not list their least node
     one = cut(own.join(blocks, "node").groupBy("node", "block").agg(F.min(F.struct("doc_id", "t")).alias("d"), F.max("n").alias("n")))
     large = cut(one.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where((F.col("k") > jaccard.BLOCK_NODES) | (F.col("s") > jaccard.BLOCK_SHINGLES)).select("block"))
-    of = one.select("block", F.col("d.doc_id").alias("__d"), F.col("d.t").alias("__t"))
-
-    def texts(some: DataFrame) -> DataFrame:
-        """block, doc_id, text, t of one document a node."""
-        return rows.join(some, rows.doc_id.eqNullSafe(F.col("__d")) & (rows.t == F.col("__t"))).select("block", "doc_id", "text", "t")
-
-    comp = cut(jaccard.within_blocks(texts(of.join(large, "block", "left_anti")), words, similarity))
-    if large.limit(1).count():
-        comp = comp.unionByName(_large_groups(texts(of.join(large, "block", "left_semi")), words, similarity, common))
+    of = (one.join(large.withColumn("large", F.lit(True)), "block", "left")
+          .select("block", F.col("d.doc_id").alias("__d"), F.col("d.t").alias("__t"), F.coalesce("large", F.lit(False)).alias("large")))
+    # one document a node
+    texts = rows.join(of, rows.doc_id.eqNullSafe(F.col("__d")) & (rows.t == F.col("__t"))).select("block", "doc_id", "text", "t", "large")
+    if not large.limit(1).count():
+        comp = cut(jaccard.within_blocks(texts, words, similarity))
+    else:  # read several times: stored, so that all texts move once; still dealt by document, as a block may hold very many
+        texts = cut(texts)
+        release(docs.sparkSession)
+        comp = cut(jaccard.within_blocks(texts.where("not large"), words, similarity))
+        comp = comp.unionByName(_large_groups(texts.where("large").drop("large"), words, similarity, common))
     named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
     return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
 

@@ -926,6 +926,15 @@ def test_similar_groups_of_blocks_too_large_for_a_task(spark, monkeypatch):
         assert sorted(x for x in got if x[0] is not None) == sorted([*want.items(), (7777, want[0])]) and (None, want[0]) in got
 
 
+def test_texts_of_large_blocks_move_once(spark, monkeypatch):
+    """What is read several times for large blocks is stored, and not joined out of all texts each time."""
+    plans, own = [], simhash._large_groups
+    monkeypatch.setattr(simhash.jaccard, "BLOCK_NODES", 4)
+    monkeypatch.setattr(simhash, "_large_groups", lambda rows, *a: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or own(rows, *a))
+    simhash.similar_groups(spark.createDataFrame(family(9), "doc_id long, text string")).collect()
+    assert len(plans) == 1 and "Join" not in plans[0]
+
+
 def test_components_of_a_block_are_exact():
     rng = np.random.default_rng(5)
     some = lambda n: rng.integers(0, 1 << 62, n).astype(np.uint64)
