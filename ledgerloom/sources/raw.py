@@ -5,8 +5,10 @@ Paths are anything that Spark reads; listing and content go through Spark's own
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -38,6 +40,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release(spark: SparkSession) -> None:
+    """Asks for the shuffle files of finished jobs to go now: Spark removes them once the driver's JVM happens to collect its
+    garbage, and until then they fill the executors' disks.  Python lets go of JVM objects about a second after its own collection."""
+    gc.collect()
+    time.sleep(1.5)
+    for _ in range(2):
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
+
+
+def bytes_under(spark: SparkSession, path: str) -> int:
+    """Bytes of all files under a folder."""
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(root).getLength()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read from Parquet in the shared folder: what reads them several times makes them once, and reads only the
     columns and row groups that it needs."""

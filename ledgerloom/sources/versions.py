@@ -77,4 +77,4 @@ class BatchedTable(_Folder):
         return self.spark.read.schema(self.schema).parquet(*paths) if paths else self._empty()
 
     def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/batch={batch}")  # most of a row are digests in hex
