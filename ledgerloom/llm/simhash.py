@@ -27,17 +27,20 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import jaccard
 from .common import cut, least_reachable, partitions, release
 
 BITS, TILE, SAMPLE = 64, 2048, 1000
+#: Words of a feature, and bits that may differ, of the SimHash that finds near copies: single words hang unrelated texts together
+FEATURE, NEAR = 2, 4
 PROBE_COST = 200.0  # measured: about 2 us for a posted row, 10 ns for a candidate
 
 
@@ -301,34 +304,63 @@ def near_duplicates(docs: DataFrame, distance: int = 4, words: int = 4, id_col:
 
 # -- shingle similarity ----------------------------------------------------------------------------
 
+def text_hash(text: Column) -> Column:
+    """What tells rows of one id apart."""
+    return F.xxhash64(text.cast("binary"))
+
+
 def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, component_id: documents linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more.
+    """doc_id, component_id: documents linked whose sets of shingles have a Jaccard similarity of ``similarity`` or more."""
+    return similar_rows(docs, words, similarity, id_col, text_col).select("doc_id", "component_id")
+
 
-    SimHash cannot give these candidates without loss: shingles of several words all change around one edit, and
-    single words change with every added block.  They come from the prefix filter of ``jaccard``, and the
-    links are exact."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("t", F.xxhash64("text"))
-    own = cut(jaccard.nodes(rows, words).drop("odd"))
+def similar_rows(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``similar_groups`` with t, the hash of each row's text: rows that repeat an id with other texts may be in other groups.
+
+    First the texts of each group that SimHash links meet and are compared exactly.  This finds most near copies, but not all:
+    texts of a similarity of 0.8 may differ in many more bits than ``NEAR``.  So all rows then go through the prefix filter of ``jaccard``,
+    which loses none; its blocks that the first step has joined to one component are settled, the others are compared."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text")).withColumn("t", text_hash(F.col("text")))
+    own = cut(jaccard.nodes(rows, words, partial(fingerprint, words=FEATURE)).drop("odd"))
+    # one document a node
+    one = cut(own.groupBy("node").agg(F.min(F.struct("doc_id", "t")).alias("d"), F.max("n").alias("n"), F.min("fp").alias("fp")))
+    sure = _simhash_links(rows, one, words, similarity)
     common = jaccard.common_shingles(rows, own.count(), words)
     edges = cut(jaccard.neighbours(rows, words, similarity, common))
     release(docs.sparkSession)
     hung = components(edges).withColumnRenamed("component", "block")
     blocks = hung.union(hung.select("block", "block").distinct())  # components do not list their least node
-    one = cut(own.join(blocks, "node").groupBy("node", "block").agg(F.min(F.struct("doc_id", "t")).alias("d"), F.max("n").alias("n")))
-    large = cut(one.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where((F.col("k") > jaccard.BLOCK_NODES) | (F.col("s") > jaccard.BLOCK_SHINGLES)).select("block"))
-    of = (one.join(large.withColumn("large", F.lit(True)), "block", "left")
-          .select("block", F.col("d.doc_id").alias("__d"), F.col("d.t").alias("__t"), F.coalesce("large", F.lit(False)).alias("large")))
-    # one document a node
-    texts = rows.join(of, rows.doc_id.eqNullSafe(F.col("__d")) & (rows.t == F.col("__t"))).select("block", "doc_id", "text", "t", "large")
-    if not large.limit(1).count():
+    held = cut(one.join(blocks, "node").join(sure, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    open_ = cut(held.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+                .select("block", ((F.col("k") > jaccard.BLOCK_NODES) | (F.col("s") > jaccard.BLOCK_SHINGLES)).alias("large")))
+    settled = held.join(open_, "block", "left_anti").select("node", "component")
+    texts = _texts(rows, held.join(open_, "block").select("block", "d", "large"))
+    if not open_.where("large").limit(1).count():
         comp = cut(jaccard.within_blocks(texts, words, similarity))
     else:  # read several times: stored, so that all texts move once; still dealt by document, as a block may hold very many
         texts = cut(texts)
         release(docs.sparkSession)
         comp = cut(jaccard.within_blocks(texts.where("not large"), words, similarity))
         comp = comp.unionByName(_large_groups(texts.where("large").drop("large"), words, similarity, common))
-    named = cut(own.join(comp, "node", "left").select("doc_id", F.coalesce("component", "node").alias("c")))
-    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "component_id")
+    named = cut(own.join(comp.unionByName(settled), "node", "left").select("doc_id", "t", F.coalesce("component", "node").alias("c")))
+    return named.join(named.groupBy("c").agg(F.min("doc_id").alias("component_id")), "c").select("doc_id", "t", "component_id")
+
+
+def _texts(rows: DataFrame, of: DataFrame) -> DataFrame:
+    """The rows' columns with block and what else ``of`` has beside d (doc_id, t), its document."""
+    of = of.select(F.col("d.doc_id").alias("__d"), F.col("d.t").alias("__t"), *[c for c in of.columns if c != "d"])
+    return rows.join(of, rows.doc_id.eqNullSafe(F.col("__d")) & (rows.t == F.col("__t"))).drop("__d", "__t")
+
+
+def _simhash_links(rows: DataFrame, one: DataFrame, words: int, similarity: float) -> DataFrame:
+    """node, component under the links of that similarity or more inside of each group that SimHash makes; exact.  A group too large for
+    one task is left to the prefix filter.  one: node, d, n, fp."""
+    fps = cut(one.select("fp", F.col("fp").alias("node")).distinct())
+    comp = components(links(fps, NEAR)).withColumnRenamed("node", "fp").withColumnRenamed("component", "block")
+    named = cut(one.join(comp, "fp", "left").withColumn("block", F.coalesce("block", "fp")))
+    fit = (named.groupBy("block").agg(F.count("*").alias("k"), F.sum("n").alias("s")).where((F.col("k") > 1) & (F.col("k") <= jaccard.BLOCK_NODES) & (F.col("s") <= jaccard.BLOCK_SHINGLES))
+           .select("block"))
+    return cut(jaccard.within_blocks(_texts(rows, named.join(fit, "block").select("block", "d")), words, similarity))
 
 
 def _large_groups(rows: DataFrame, words: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
